@@ -6,8 +6,8 @@
    for each of the least n - ceil(t n) + 1 values (a prefix filter, which loses nothing), from LARGE shingles a list for
    each run of three consecutive retained values. At a similarity of 0.8 two sets lack a common run with a chance of
    about 3e-8, and a passage that thousands of unrelated documents share fills few lists.
-3. Round one compares each list's neighbours in an order that differs from list to list, so a group of near copies gets
-   a sparse, well connected set of pairs instead of all of them. A sketch estimate filters, the exact Jaccard on full
+3. Round one compares neighbours in a node's first lists, in an order that differs from list to list, so a group of
+   near copies gets a sparse, well connected set of pairs instead of all of them. A sketch estimate filters, the exact Jaccard on full
    sets verifies, and components are formed.
 4. Round two is complete: of lists that still hold several components, all pairs of nodes from different components are
    estimated in blocks of bounded size, and those that pass are verified exactly. Pairs inside one component can't
@@ -19,9 +19,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.scratch import stored
@@ -30,8 +29,9 @@ from newsloom.operators.graph import connected_components
 
 K = 48  # retained values
 SMALL, LARGE = 125, 100  # shingles: single-value lists up to SMALL, run lists from LARGE; LARGE <= 0.8 * SMALL
-BLOCK = 600  # nodes of a list that a task compares with as many others
-PASS = 0.45  # share of common retained values from which a pair is verified; about 6 standard deviations below 0.8
+FIRST = 10  # of a node's lists, those that round one uses
+BLOCK = 500  # nodes of a list that are joined with as many others at once
+PASS = 0.62  # share of common retained values from which a pair is verified: at 0.8 it is 0.89, six deviations more
 
 
 def _sets(h: np.ndarray, first: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -78,7 +78,7 @@ def _hashed(docs: DataFrame, shingle: int, full: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sketcher(shingle, full), "doc_id long, n_shingles long, s1 long, s2 long, hashes array<long>")
 
 
-def _keys(threshold: float) -> F.Column:
+def _keys(threshold: float) -> Column:
     """The keys of a node's lists; see the module's text."""
     prefix = (F.col("n_shingles") - F.ceil(F.col("n_shingles") * threshold) + 1).cast("int")
     single = F.slice("sketch", 1, F.least(prefix, F.lit(K)))
@@ -87,61 +87,44 @@ def _keys(threshold: float) -> F.Column:
     return F.concat(F.when(F.col("n_shingles") <= SMALL, single).otherwise(none), F.when(F.col("n_shingles") >= LARGE, runs).otherwise(none))
 
 
-def _fits(a: str, b: str, pct: int) -> F.Column:
+def _fits(a: str, b: str, pct: int) -> Column:
     """Sets of these sizes can reach the threshold."""
     return 100 * F.least(a, b) >= pct * F.greatest(a, b)
 
 
-def _shared(a: str, b: str) -> F.Column:
-    return F.size(F.array_intersect(a, b))
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """Of the pairs (a, b), those with an exact Jaccard similarity of pct per cent or more."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
-    both = two.withColumn("common", _shared("set_a", "set_b"))
+    both = two.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     return both.filter(100 * F.col("common") >= pct * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
-def _compare(pct: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a block pair whose components differ, sizes fit and estimate passes."""
-        left = group[group.side == 0].reset_index(drop=True)
-        right = group[group.side == 1].reset_index(drop=True)
-        own = len(right) == 0  # a block with itself
-        right = left if own else right
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        values = np.concatenate([np.concatenate(list(left.sketch)), np.concatenate(list(right.sketch))])
-        _, at, times = np.unique(values, return_inverse=True, return_counts=True)
-        column = np.cumsum(times > 1) - 1
-        wide = int((times > 1).sum())
-
-        def matrix(frame: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
-            m = np.zeros((len(frame), max(1, wide)), np.float32)
-            row = np.repeat(np.arange(len(frame)), frame.sketch.map(len))
-            ok = times[ids] > 1
-            m[row[ok], column[ids[ok]]] = 1
-            return m
-
-        cut = int(left.sketch.map(len).sum())
-        y = matrix(right, at[cut:]).T
-        nr, cr, br = (right[c].to_numpy() for c in ("n_shingles", "component", "node"))
-        nl, cl, bl = (left[c].to_numpy() for c in ("n_shingles", "component", "node"))
-        a, b = [], []
-        for lo in range(0, len(left), 256):
-            hi = min(len(left), lo + 256)
-            common = matrix(left.iloc[lo:hi].reset_index(drop=True), at[: cut][int(left.sketch.iloc[:lo].map(len).sum()) : int(left.sketch.iloc[:hi].map(len).sum())]) @ y
-            least = np.minimum(nl[lo:hi, None], nr[None, :])
-            ok = (common >= PASS * np.minimum(least, K)) & (100 * least >= pct * np.maximum(nl[lo:hi, None], nr[None, :])) & (cl[lo:hi, None] != cr[None, :])
-            i, j = np.nonzero(ok)
-            a.append(np.minimum(bl[lo + i], br[j]))
-            b.append(np.maximum(bl[lo + i], br[j]))
-        out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-        return out
+def _brief() -> Column:
+    """The sketch's upper 32 bits, which serve for estimates."""
+    return F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
 
-    return run
+
+def _passes(a: str, b: str) -> Column:
+    """The sketches have enough values in common for the threshold; a, b: suffixes of the two nodes' columns."""
+    common = F.size(F.array_intersect(f"brief_{a}", f"brief_{b}"))
+    return common >= F.ceil(PASS * F.least(f"n_{a}", f"n_{b}", F.lit(K))) - 2 * (F.least(f"n_{a}", f"n_{b}") < K).cast("int")
+
+
+def _open_pairs(members: DataFrame, pct: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share a list, are in different components and pass size and sketch estimate.
+
+    members: key, node, n, component, brief. Lists are cut into blocks of at most about BLOCK nodes, and each pair of
+    blocks is joined apart, so that no task holds a list. Pairs that fail are dropped inside the join.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    rows = members.join(sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = rows.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("other"), *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "brief")))
+    right = rows.select("key", F.col("own").alias("other"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("own"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "brief")))
+    fit = _fits("n_a", "n_b", pct) & (F.col("component_a") != F.col("component_b")) & ((F.col("own") != F.col("other")) | (F.col("node_a") < F.col("node_b")))
+    both = left.alias("l").join(right.alias("r"), ["key", "own", "other"]).filter(fit & _passes("a", "b"))
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFrame:
@@ -156,7 +139,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
     nodes = hashed.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("hashes").alias("sketch"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
-    entries = nodes.select("node", "n_shingles", F.explode(_keys(pct / 100)).alias("key"))
+    entries = nodes.select("node", "n_shingles", F.posexplode(_keys(pct / 100)).alias("at", "key"))
     order = Window.partitionBy("key").orderBy(F.floor(F.log("n_shingles") / float(np.log(1.25))), F.xxhash64("key", "node"))
     near = entries.withColumns({"before": F.lag("node").over(order), "n_before": F.lag("n_shingles").over(order), "after": F.lead("node").over(order)})
     near = stored(near.filter("before is not null or after is not null").drop("after"), "near-lists")
@@ -165,28 +148,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
     texts = docs.select("doc_id", "text").join(live.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     sets = _hashed(texts, shingle, full=True).join(live, ["s1", "s2", "n_shingles"]).dropDuplicates(["node"]).select("node", "hashes")
     sets = stored(sets, "near-sets")
-    sketches = nodes.select("node", "n_shingles", "sketch")
-
-    pairs = near.filter(F.col("before").isNotNull() & _fits("n_shingles", "n_before", pct))
-    pairs = pairs.groupBy(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).count()
-    rated = pairs.join(sketches.toDF("a", "n_a", "sketch_a"), "a").join(sketches.toDF("b", "n_b", "sketch_b"), "b")
-    rated = rated.filter(_shared("sketch_a", "sketch_b") >= PASS * F.least("n_a", "n_b", F.lit(K))).select("a", "b")
-    links = stored(_linked(rated, sets, pct), "near-links")
-    part = connected_components(links, "a", "b")
-
-    members = near.select("key", "node", "n_shingles").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = stored(members, "near-members")
-    open_lists = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    blocks = open_lists.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(blocks, "key").join(nodes.select("node", "sketch"), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    more = rows.select("key", "i", "j", "side", "node", "n_shingles", "component", "sketch").groupBy("key", "i", "j").applyInPandas(_compare(pct), "a long, b long").distinct()
-    links = links.unionByName(_linked(more, sets, pct))
-    part = connected_components(links, "a", "b")
+    brief = nodes.select("node", F.col("n_shingles").alias("n"), _brief().alias("brief"))
+
+    pairs = near.filter(F.col("before").isNotNull() & (F.col("at") < FIRST) & _fits("n_shingles", "n_before", pct))
+    pairs = pairs.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
+    rated = pairs.join(brief.toDF("a", "n_a", "brief_a"), "a").join(brief.toDF("b", "n_b", "brief_b"), "b").filter(_passes("a", "b")).select("a", "b")
+    part = connected_components(_linked(rated, sets, pct), "a", "b")
+
+    members = near.select("key", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).join(brief, "node")
+    more = _linked(_open_pairs(members, pct), sets, pct)
+    ends = more.join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
+    joined = connected_components(ends.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).distinct(), "x", "y")
 
-    named = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.join(part, "node", "left").withColumn("first", F.coalesce("component", "node")).drop("component")
+    named = named.join(joined.toDF("first", "second"), "first", "left").withColumn("component", F.coalesce("second", "first"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component")
     out = hashed.select("doc_id", "n_shingles", "s1", "s2").join(named.select("s1", "s2", "n_shingles", "component_id"), ["s1", "s2", "n_shingles"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
