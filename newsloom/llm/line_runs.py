@@ -138,8 +138,8 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A run of lines is deleted where the same lines, with min_words words or more together, stand earlier: in an earlier
     line of the document or in a document with a smaller doc_id (null first). Lines without a word neither count nor
     break a run, and stay. A null text stays null; an empty one and one without repeats stay as they are. Equal rows are
-    one document and get the same result; rows with one doc_id and different texts are different documents. The one
-    first copy of every run stays, so that nothing is lost from the corpus.
+    one document and get the same result; rows with one doc_id and different texts are different documents. An
+    earlier copy may overlap the run: of one line over and over, the first stays. What is deleted always stands earlier.
     """
     found = later_copies(docs, min_words).withColumn("removed", _runs(F.col("lines"))).select(F.col("_doc").alias("_key"), "removed")
     all_rows = docs.withColumn("_key", F.xxhash64("doc_id", "text", F.lit(1)))

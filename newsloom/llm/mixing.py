@@ -57,6 +57,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, see
     n = named.count()
     rate = min(1.0, sample / max(1, n))
     named = named.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    named = docs.select("doc_id").join(F.broadcast(named), "doc_id").distinct()  # about sample rows; those of documents that exist
     found = sorted(r[0] for r in named.select("_domain").distinct().collect())
     if len(found) < 2:
         return None, found

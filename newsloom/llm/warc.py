@@ -102,5 +102,5 @@ def read_archive(headers: DataFrame, payloads: DataFrame, check: bool = True) ->
 def export_text(headers: DataFrame, payloads: DataFrame, path: str) -> None:
     """Write gzip files of WARC records in standard form: header, block, two line ends."""
     both = headers.join(payloads, "sha256", "left")
-    block = F.when(F.col("header").contains("WARC-Type: response"), F.decode("payload", F.lit("UTF-8"))).otherwise("")
+    block = F.when(F.col("header").contains("WARC-Type: response"), F.decode("payload", "UTF-8")).otherwise("")
     both.select(F.concat("header", block, F.lit("\r\n\r")).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
