@@ -80,23 +80,22 @@ def read_archive(headers: DataFrame, payloads: DataFrame, check: bool = True) ->
     Digest and length are computed anew from the stored bytes; with check, a record whose bytes differ from what its
     header or key states raises an error. A revisit gets the payload of the record that it refers to.
     """
-    both = headers.join(payloads, "sha256", "left")
-    got = both.select(
+    good = F.sha2("payload", 256) == F.col("sha256")
+    # lengths and digests are taken before the join, which then moves payloads only where a caller asks for them
+    bodies = payloads.select("sha256", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("_found"), good.alias("_good"))
+    both = headers.join(bodies, "sha256", "left")
+    bad = F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("sha256")))
+    same = F.coalesce(F.col("_good") & (_field("WARC-Payload-Digest", "sha1:([A-Z2-7]*)") == F.col("_found")), F.lit(False))
+    return both.select(
         F.expr("try_cast(nullif(regexp_extract(header, 'WARC-Record-ID: <urn:page:([^>]*)>', 1), '') as bigint)").alias("page_id"),
         _field("WARC-Target-URI").alias("url"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        "payload_bytes",
+        (F.when(same, F.col("_found")).otherwise(bad) if check else F.col("_found")).alias("payload_digest"),
         _field("WARC-Type").alias("record_type"),
         _field("WARC-Refers-To", "<urn:page:([^>]*)>").cast("long").alias("refers_to"),
-        _field("WARC-Payload-Digest", "sha1:([A-Z2-7]*)").alias("_stated"),
-        "sha256",
         "header",
         "payload",
     )
-    if check:
-        good = (F.col("_stated") == F.col("payload_digest")) & (F.sha2("payload", 256) == F.col("sha256"))
-        got = got.withColumn("payload_digest", F.when(F.coalesce(good, F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("sha256")))))
-    return got.drop("_stated", "sha256")
 
 
 def export_text(headers: DataFrame, payloads: DataFrame, path: str) -> None:
