@@ -1,0 +1,239 @@
+"""Hand-made rows: the documented cases and traps that the tables don't hold."""
+
+import datetime as dt
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.functions import scalars as S
+from newsloom.operators import documents as D
+from newsloom.operators import events as E
+from newsloom.operators import news as N
+from newsloom.operators import risk as R
+from newsloom.operators.graph import connected_components
+from newsloom.sources import scan, sinks
+
+DAY = dt.date(2024, 1, 1)
+
+
+def one(spark, **columns):
+    return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("https://example.com/path/", "https://example.com/path"),
+        ("https://example.com/page?utm_source=google&utm_medium=cpc&id=123", "https://example.com/page?id=123"),
+        ("https://example.com/page?fbclid=abc123&id=1", "https://example.com/page?id=1"),
+        ("https://example.com/search?q=test&page=2", "https://example.com/search?q=test&page=2"),
+        ("https://example.com/path", "https://example.com/path"),
+        ("  https://example.com  ", "https://example.com"),
+        ("https://example.com/page#section1", "https://example.com/page"),
+        ("https://example.com/path/?utm_source=a", "https://example.com/path"),
+        ("https://example.com/p?hlabel=1&x=2", "https://example.com/p?x=2"),
+        ("not a url", "not a url"),
+        ("", ""),
+    ],
+)
+def test_normalize_url(spark, url, want):
+    assert one(spark, u=S.normalize_url(F.lit(url))).u == want
+
+
+def test_identity_key(spark):
+    key = lambda actors: one(spark, k=S.identity_key(F.lit("军事"), F.array(*map(F.lit, actors)), F.lit("hormuz strait"), F.lit(None))).k
+    assert key(["us", "Iran "]) == key(["iran", "US", "us"]) == "MILITARY|IRAN,US|HORMUZ_STRAIT|"
+    assert key(list("edcba")).split("|")[1] == "A,B,C"
+    assert len(one(spark, i=S.event_id(F.lit("x"))).i) == 12
+
+
+def test_codes_and_ids(spark):
+    names = [("United States", "US"), ("us", "US"), ("iran", "IR"), ("伊朗", "IR"), ("china", "CN")]
+    found = lambda t: one(spark, c=S.extract_codes(F.lit(t), names, 3)).c
+    assert found("US strikes Iran") == ["IR", "US"] and found("focus on busy") == [] and found("美国伊朗") == ["IR"]
+    ident = lambda t: one(spark, c=S.canonical_event_id(F.lit(t), names, [("strike", "STRIKE")], [("oil", "OIL")], [("Taiwan", 9, ["taiwan"], ["movie"]), ("Any", 1, ["taiwan"], [])])).c
+    assert ident("Iran strikes oil") == "ir-strike-oil" and ident("Taiwan vote") == "taiwan" and ident("taiwan movie") == "any"
+    assert ident("Something else").startswith("something-else-")
+
+
+def test_times(spark):
+    for text in ("2024-01-02 03:04:05", "2024-01-02 03:04", "Tue, 02 Jan 2024 03:04:05 GMT", "Tue, 02 Jan 2024 03:04:05 +0000", "2024-01-02T03:04:05Z"):
+        assert one(spark, t=S.parsed_time(F.lit(text))).t.replace(second=0) == dt.datetime(2024, 1, 2, 3, 4), text
+    assert one(spark, t=S.parsed_time(F.lit("soon"))).t is None
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "soon"), (4, "2024-01-01"), (5, "2024-01-09")], "id int, published string")
+    assert {r.id for r in scan.not_stale(rows, F.lit("2024-01-10").cast("timestamp"), 3).collect()} == {3, 5}
+
+
+def test_two_key_dedup(spark):
+    rows = [(1, "u1", "f1"), (2, "u1", "f2"), (3, "u3", "f2"), (4, "", "f9")]
+    df = spark.createDataFrame(rows, "pos int, url string, title string").withColumn("source", F.lit("s"))
+    assert {r.pos for r in N.dedup_news(df).collect()} == {1, 3}
+    # a row dropped by its title still holds its URL: the two passes drop the third row
+    chain = spark.createDataFrame([(1, "u1", "f1"), (2, "u2", "f1"), (3, "u2", "f3")], "pos int, url string, title string").withColumn("source", F.lit("s"))
+    assert {r.pos for r in N.dedup_news(chain).collect()} == {1}
+    again = N.dedup_news(df).drop("url_hash", "fingerprint")
+    assert N.dedup_news(again).count() == again.count()
+
+
+def test_coverage(spark):
+    rows = [(1, "a", "x y z"), (2, "b", "z y x"), (3, "a", "x y z"), (4, "c", "x y q r"), (5, "d", "lone"), (6, "e", "lone"), (7, "f", ""), (8, "g", None)]
+    got = {r.id: r.coverage_count for r in N.coverage_count(spark.createDataFrame(rows, "id int, url string, title string")).collect()}
+    words = {i: set((t or "").split()) for i, _, t in rows}
+    for i, u, _ in rows:
+        near = [j for j, v, _ in rows if v != u and words[i] and words[j] and len(words[i] & words[j]) > 0.5 * max(len(words[i]), len(words[j]))]
+        assert got[i] == 1 + len(near)
+
+
+def test_stratified(spark):
+    rows = [(k, "big" if k < 20 else "small", float(100 - k)) for k in range(24)]
+    df = spark.createDataFrame(rows, "pos int, region string, importance_score double")
+    got = N.stratified_top(df, 10).collect()
+    assert len(got) == 10 and sum(r.region == "small" for r in got) == 3
+    assert {r.region for r in N.stratified_top(df, 2).collect()} == {"big"}
+
+
+def test_diverse_sample(spark):
+    rows = [(k, k, "t", "s" * 10, ["a", "a", "b", "c"][k % 4], f"src{k % 2}") for k in range(12)]
+    got = N.diverse_sample(spark.createDataFrame(rows, "id int, pos int, title string, summary string, region string, source string"), 4).collect()
+    assert len(got) == 4 and {r.region for r in got} == {"a", "b", "c"}
+
+
+def test_budget(spark):
+    rows = [("g", 10, 0, 900), ("g", 5, 1, 60), ("g", 5, 2, 50), ("g", 1, 3, 40)]
+    got = N.budget_pack(spark.createDataFrame(rows, "g string, priority int, pos int, cost int"), "g", 1000).first()
+    assert (got.used, got.taken) == (1000, "0,1,3")
+
+
+def ev(**k):
+    return {"event_id": "e", "date": DAY, "pos": 0, "title": "t", "summary": "s", "phase": "diplomatic", "risk": 10, "signal_level": "C", "sources": ["a"]} | k
+
+
+EV = "event_id string, date date, pos int, title string, summary string, phase string, risk int, signal_level string, sources array<string>"
+
+
+def test_revisions(spark):
+    rows = [ev(), ev(pos=1, risk=30, phase="military"), ev(date=DAY + dt.timedelta(1), risk=20, title="new")]
+    df = spark.createDataFrame(rows, EV)
+    got = E.build_revisions(df).orderBy("date").collect()
+    assert [(r.risk, r.risk_delta, r.phase_transition) for r in got] == [(30, 0, None), (20, -10, "military→diplomatic")]
+    head = E.event_heads(E.build_revisions(df)).first()
+    assert (head.canonical_title, head.revisions, head.peak_risk, head.phase) == ("t", 2, 30, "diplomatic")
+    assert E.events_by_date(E.event_heads(df), df, F.lit("2099-01-01").cast("date")).count() == 0
+
+
+def test_evidence(spark):
+    df = spark.createDataFrame([ev(sources=list("abcdefghijkl"))], EV)
+    none = spark.createDataFrame([], "event_id string, date date, content_hash string")
+    assert E.append_evidence(none, df).count() == 1 and E.append_evidence(none, df, per_source=True).count() == 10
+    assert E.append_evidence(E.append_evidence(none, df), df).count() == 0
+
+
+def test_merge_fold(spark):
+    schema = "event_id string, pos int, title string, actors array<string>, sources array<string>, domains array<string>, related_events array<string>, signal_level string, summary string, phase string, trend string, confidence string, source_lean string, lean_reasoning string"
+    rng = random.Random(5)
+    rows = [("e", k, f"t{k}", rng.sample("abcd", 2), rng.sample("xyz", 2), None, [], rng.choice("SABC"), "s" * rng.randint(0, 5), f"p{k}", "up", "高", rng.choice(["中立", "l", "m"]), rng.choice(["", "r1", "r2"])) for k in range(9)]
+    got = E.merge_events(spark.createDataFrame(rng.sample(rows, 9), schema)).first()
+    uniq = lambda i: list(dict.fromkeys(x for r in rows for x in r[i] or []))
+    rank = {"S": 4, "A": 3, "B": 2, "C": 1}
+    lean, why = "中立", ""
+    for r in rows:
+        if r[12] != "中立":
+            lean = r[12] if lean in ("中立", r[12]) else "混合"
+            if r[13] and r[13] not in why:
+                why = f"{why}; {r[13]}" if why else r[13]
+    assert (got.title, got.actors, got.sources, got.phase) == ("t0", uniq(3), uniq(4), "p8")
+    assert got.signal_level == max((r[7] for r in rows), key=lambda x: rank[x]) and got.summary == max((r[8] for r in rows), key=len)
+    assert (got.source_lean, got.lean_reasoning) == (lean, why)
+
+
+def test_relations(spark):
+    edges = spark.createDataFrame([("a", "b", "r", DAY, DAY, None, [(DAY, 0.3)]), ("a", "c", "r", DAY, DAY, DAY, [(DAY, 0.3)])], "src string, dst string, relation string, first_seen date, last_confirmed date, expired date, history array<struct<date:date,confidence:double>>")
+    later = DAY + dt.timedelta(3)
+    new = spark.createDataFrame([("a", "b", "r", later, 0.5), ("a", "c", "r", later, 0.4)], "src string, dst string, relation string, date date, confidence double")
+    got = E.upsert_relations(edges, new).collect()
+    assert len(got) == 3
+    live = {r.dst: r for r in got if r.expired is None}
+    assert (live["b"].first_seen, live["b"].last_confirmed, len(live["b"].history)) == (DAY, later, 2) and len(live["c"].history) == 1
+
+
+def test_search(spark):
+    df = spark.createDataFrame([(1, "Iran talks in Oman"), (2, "talks about talks"), (3, "伊朗霍尔木兹海峡"), (4, "nothing")], "doc_id int, text string")
+    ids = lambda *q: [r.doc_id for r in E.search(df, list(q)).collect()]
+    assert ids("talk*") == [2, 1] and ids("iran", "oman") == [1] and ids("霍尔") == [3] and ids("尔木兹海") == [3] and ids("absent") == []
+
+
+def test_merge_and_components(spark):
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame([(3, 2), (2, 1), (9, 8), (5, 5), (None, 1), (10, 9)], "a int, b int"), "a", "b").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 10: 8}
+    rng = random.Random(1)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()}
+    assert all(got.get(a) == got.get(b) for a, b in edges) and all(c <= n for n, c in got.items())
+
+
+def test_evolution(spark):
+    moves = {("a", "b"): 40, ("b", "a"): -10}
+    rng = random.Random(3)
+    rows = [(e, DAY + dt.timedelta(d), rng.choice("ab")) for e in range(6) for d in sorted(rng.sample(range(40), 7))]
+    end = DAY + dt.timedelta(120)
+    got = {r.event_id: r for r in R.evolve(spark.createDataFrame(rows, "event_id int, date date, phase string"), moves, F.lit(end)).collect()}
+    for e in range(6):
+        by = {d: p for x, d, p in rows if x == e}
+        day, risk, phase, seen = min(by), 0, None, None
+        while day <= end:
+            if day in by:
+                if phase is not None and by[day] != phase:
+                    risk = max(0, min(100, risk + moves.get((phase, by[day]), 0)))
+                phase, seen = by[day], day
+            else:
+                risk = int(risk * math.exp(-0.693 * (day - seen).days / 14))
+            day += dt.timedelta(1)
+        assert (got[e].risk, got[e].phase, got[e].last_updated) == (risk, phase, seen)
+        assert got[e].archived == (risk == 0 and (end - seen).days >= 60)
+
+
+def test_blocks(spark):
+    rows = [(1, '<METADATA>{"a": 1}</METADATA>body<STRUCTURED>{"x": [1, 2,]}</STRUCTURED>'), (2, 'text\n```json\n{"y": {"z": 1\n```\nend'), (3, "plain"), (4, "<STRUCTURED>hopeless</STRUCTURED>")]
+    got = {r.doc_id: r for r in D.extract_blocks(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1].metadata == '{"a": 1}' and got[1].structured == '{"x": [1, 2]}' and got[1].body == "body"
+    assert got[2].structured == '{"y": {"z": 1}}' and got[3].structured is None and got[4].structured is None
+
+
+def test_report_page(spark):
+    page = "".join(f'<h2 class="chapter-title">{k}</h2>' for k in range(8)) + '<div class="watch-card">' * 3 + "<h3>风险矩阵</h3><table>" + "<tr><td>" * 3 + "</table><h4>4.1 全量市场数据</h4><table>" + "<tr>" * 10 + '</table><span class="sig sig-A">'
+    got = D.html_structure_checks(spark.createDataFrame([(1, page), (2, "<p>")], "page_id int, html string")).orderBy("page_id").collect()
+    assert got[0].passed and not got[1].passed and got[0].levels == "A"
+
+
+def test_links_and_dates(spark):
+    html = '<time datetime="2024-01-05"></time><a href="/a/2024/02/03/x">a long enough text</a><a href="mailto:x@y">a long enough text</a><a href="p.html">another <b>long</b> text</a><a href="https://o.org/">short</a>'
+    df = spark.createDataFrame([(1, "https://h.org/dir/index.html", html), (2, "https://h.org", html[34:])], "page_id int, url string, html string")
+    got = {(r.page_id, r.url): r.published for r in scan.scan_page_links(df, F.lit("2024-03-01").cast("date")).collect()}
+    assert got == {(1, "https://h.org/a/2024/02/03/x"): "2024-01-05", (1, "https://h.org/dir/p.html"): "2024-01-05", (2, "https://h.org/a/2024/02/03/x"): "2024-02-03", (2, "https://h.org/p.html"): "2024-03-01"}
+
+
+def test_sinks(spark, tmp_path):
+    path = str(tmp_path / "dated")
+    rows = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "x int, date string")
+    sinks.write_dated(rows, path)
+    sinks.write_dated(rows.filter("x = 2").withColumn("x", F.lit(3)), path)
+    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [1, 3]
+    for v in (1, 2):
+        sinks.write_state(rows.withColumn("v", F.lit(v)), str(tmp_path / "state"), v)
+    assert {r.v for r in sinks.read_state(spark, str(tmp_path / "state")).collect()} == {2}
+    history = spark.createDataFrame([(DAY + dt.timedelta(k), ["c"], ["s"], {"r": ["x"]}, "e") for k in (0, 100, 195)], "date date, clusters array<string>, signals array<string>, regions map<string,array<string>>, summary_excerpt string")
+    sinks.apply_retention(history, F.lit(DAY + dt.timedelta(200)), str(tmp_path / "h"))
+    assert spark.read.parquet(str(tmp_path / "h/full")).count() == 1 and "regions" not in spark.read.parquet(str(tmp_path / "h/archive")).columns
+    sinks.save_snapshot(rows, str(tmp_path / "snap"), "a")
+    assert sinks.load_snapshot(spark, str(tmp_path / "snap"), "a").count() == 2 and sinks.list_snapshots(spark, str(tmp_path / "snap")).count() == 1
+
+
+def test_feed_and_event_scans(spark, tmp_path):
+    (tmp_path / "feed.xml").write_text("<rss><channel><item><title>A</title><link>https://x.org/1</link><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item><item><title>B</title><link>u</link></item></channel></rss>")
+    assert [r.title for r in scan.read_feed(spark, str(tmp_path / "feed.xml")).collect()] == ["A", "B"]
+    for d, line in (("2024-01-01", '{"event_id": "e", "title": "t", "extra": 1}'), ("2024-01-02", '{"event_id": '), ("2023-01-01", '{"event_id": "old", "title": "t"}')):
+        (tmp_path / f"ev/date={d}").mkdir(parents=True)
+        (tmp_path / f"ev/date={d}/x.json").write_text(line + "\n")
+    assert [r.event_id for r in scan.scan_events(spark, str(tmp_path / "ev"), "2024-01-03", 7).collect()] == ["e"]
