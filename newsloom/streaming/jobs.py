@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom.functions import scalars as S
+from newsloom.functions.scratch import stored
 from newsloom.operators.events import build_revisions
 from newsloom.sources.sinks import write_dated
 
@@ -40,8 +41,6 @@ def upsert_batch(batch: DataFrame, path: str) -> None:
         old = batch.limit(0)
     both = old.unionByName(batch)
     last = both.groupBy("event_id", "date").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("event_id", "date")]), "pos").alias("_r")).select("event_id", "date", "_r.*")
-    from newsloom.functions.scratch import stored
-
     write_dated(stored(last, "upsert"), path)
 
 
@@ -55,38 +54,31 @@ def current_revisions(rows: DataFrame) -> DataFrame:
     return build_revisions(rows)
 
 
-class Evolution(StatefulProcessor):
-    """Of each event phase, risk and day last seen; a day's first new phase adds its delta, idle days decay the risk.
+def stream_evolution(stream: DataFrame, transitions: dict[tuple[str, str], int], half_life: float = 14, archive_days: int = 60, delay: str = "2 days") -> DataFrame:
+    """(event_id, ts, phase) rows to the state of each event that a batch has rows of.
 
-    State expires after the idle time of an archived event.
+    A new phase adds its transition's delta, idle days decay the risk as in the batch form, and days before the last one
+    seen are over. State goes when event time has passed the last day by the idle time of an archived event.
     """
 
-    def __init__(self, transitions: dict[tuple[str, str], int], half_life: float = 14, archive_days: int = 60):
-        self.transitions, self.half_life, self.archive_days = transitions, half_life, archive_days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "phase string, risk int, seen long, transitions int", ttlDurationMs=self.archive_days * 86_400_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        days = pd.concat(list(rows)).sort_values("day").drop_duplicates("day", keep="last")
-        phase, risk, seen, moves = self.state.get() if self.state.exists() else (None, 0, None, 0)
+    def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        phase, risk, seen, moves = state.get if state.exists else (None, 0, None, 0)
+        days = pd.concat(list(rows)).sort_values(["day", "ts"], kind="stable").drop_duplicates("day", keep="last")
         for day, new in zip(days.day, days.phase, strict=True):
             if seen is not None and day < seen:
-                continue  # a day that is over
-            for idle in range(1, (int(day) - seen) if seen is not None else 0):
-                risk = int(risk * math.exp(-0.693 * idle / self.half_life))
+                continue
+            for idle in range(1, int(day) - seen if seen is not None else 0):
+                risk = int(risk * math.exp(-0.693 * idle / half_life))
             if phase is not None and new != phase:
-                risk = max(0, min(100, risk + self.transitions.get((phase, new), 0)))
+                risk = max(0, min(100, risk + transitions.get((phase, new), 0)))
                 moves += 1
             phase, seen = new, int(day)
-        self.state.update((phase, risk, seen, moves))
+        state.update((phase, risk, seen, moves))
+        state.setTimeoutTimestamp(max((seen + archive_days) * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": [key[0]], "phase": [phase], "risk": [risk], "last_day": [seen], "transitions": [moves]})
 
-    def close(self) -> None:
-        pass
-
-
-def stream_evolution(stream: DataFrame, transitions: dict[tuple[str, str], int]) -> DataFrame:
-    """(event_id, day, phase) rows to the state of each event after each batch. Needs the RocksDB state store."""
-    return stream.groupBy("event_id").transformWithStateInPandas(Evolution(transitions), outputStructType="event_id long, phase string, risk int, last_day long, transitions int", outputMode="Update", timeMode="ProcessingTime")
+    dated = stream.withWatermark("ts", delay).withColumn("day", F.unix_date(F.to_date("ts")))
+    return dated.groupBy("event_id").applyInPandasWithState(advance, "event_id long, phase string, risk int, last_day long, transitions int", "phase string, risk int, seen long, transitions int", "update", GroupStateTimeout.EventTimeTimeout)
