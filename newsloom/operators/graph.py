@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from newsloom.functions.scratch import stored
 
 
+PER_FILE = 250_000  # edges of a task that writes a round; the number of edges never grows
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    """For each u, link its larger neighbours to the least of u and its neighbours."""
+    """For each u, link its larger neighbours to the least of u and its neighbours; equal links may repeat."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,9 +33,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e = stored(e, "components")
+    files = 1 + e.count() // PER_FILE
     last = None
     while True:
-        e = stored(_small_star(_large_star(e)), "components")
+        e = stored(_small_star(_large_star(e)).coalesce(files), "components")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
             break
