@@ -9,9 +9,9 @@
 3. Round one compares neighbours in a node's first lists, in an order that differs from list to list, so a group of
    near copies gets a sparse, well connected set of pairs instead of all of them. A sketch estimate filters, the exact Jaccard on full
    sets verifies, and components are formed.
-4. Round two is complete: of lists that still hold several components, all pairs of nodes from different components are
-   estimated in blocks of bounded size, and those that pass are verified exactly. Pairs inside one component can't
-   change the result and are never made.
+4. Round two is complete: of nodes in lists that still hold several components, an exact prefix filter with rare shingles
+   first finds every pair from different components that can reach the threshold, in blocks of bounded size; estimate
+   and exact Jaccard follow. Pairs inside one component can't change the result and are never made.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from newsloom.operators.graph import connected_components
 K = 48  # retained values
 SMALL, LARGE = 125, 100  # shingles: single-value lists up to SMALL, run lists from LARGE; LARGE <= 0.8 * SMALL
 FIRST = 10  # of a node's lists, those that round one uses
-BLOCK = 500  # nodes of a list that are joined with as many others at once
+BLOCK = 500  # nodes that share a shingle and are joined with as many others at once
+HEAVY, BITS = 3, 20  # times in a batch from which a shingle counts as frequent; 2**BITS buckets of shingles
 PASS = 0.62  # share of common retained values from which a pair is verified: at 0.8 it is 0.89, six deviations more
 
 
@@ -111,19 +112,63 @@ def _passes(a: str, b: str) -> Column:
     return common >= F.ceil(PASS * F.least(f"n_{a}", f"n_{b}", F.lit(K))) - 2 * (F.least(f"n_{a}", f"n_{b}") < K).cast("int")
 
 
-def _open_pairs(members: DataFrame, pct: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a list, are in different components and pass size and sketch estimate.
+def _rated(pairs: DataFrame, brief: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches pass."""
+    both = pairs.join(brief.toDF("a", "n_a", "brief_a"), "a").join(brief.toDF("b", "n_b", "brief_b"), "b")
+    return both.filter(_passes("a", "b")).select("a", "b")
 
-    members: key, node, n, component, brief. Lists are cut into blocks of at most about BLOCK nodes, and each pair of
-    blocks is joined apart, so that no task holds a list. Pairs that fail are dropped inside the join.
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets of hashes that a batch of sets holds HEAVY times or more, with the times."""
+    for batch in batches:
+        x, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        x, n = x[n >= HEAVY], n[n >= HEAVY]
+        yield pa.RecordBatch.from_arrays([pa.array((x.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)), pa.array(n)], names=["bucket", "times"])
+
+
+def _prefixes(times: np.ndarray, pct: int):
+    """Of each set the first n - ceil(pct n) + 1 hashes, in an order that puts frequent buckets last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, places, hashes = [], [], [], []
+            for node, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = own.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                k = len(x) + pct * len(x) // -100 + 1
+                first = x[np.lexsort((x, times[(x >> np.uint64(64 - BITS)).astype(np.int64)]))[:k]]
+                nodes.append(np.full(len(first), node))
+                sizes.append(np.full(len(first), len(x)))
+                places.append(np.arange(len(first)))
+                hashes.append(first.view(np.int64))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (nodes, sizes, places, hashes)], names=["node", "n", "place", "hash"])
+
+    return run
+
+
+def _open_pairs(open_nodes: DataFrame, sets: DataFrame, part: DataFrame, pct: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes in different components that an exact prefix filter leaves.
+
+    Hashes are ordered by how often their bucket occurs, then by value. Two sets that reach the threshold share a hash
+    in their prefixes, and after the first that they share enough hashes are left in both; the counts only choose the
+    order, so they may be rough. Hashes of a passage that many documents share come last, and texts with many words of
+    their own meet nobody. The histogram has 2**BITS entries, whatever the input.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rows = members.join(sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    heavy = sets.select("hashes").mapInArrow(_frequent, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times"))
+    times = np.zeros(1 << BITS, np.int64)
+    found = heavy.toPandas()
+    times[found.bucket.to_numpy()] = found.times.to_numpy()
+    rows = sets.select("node", "hashes").mapInArrow(_prefixes(times, pct), "node long, n long, place long, hash long").join(open_nodes, "node", "left_semi")
+    rows = rows.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = rows.groupBy("hash").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    rows = rows.join(sizes.select("hash", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "hash")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = rows.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("other"), *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "brief")))
-    right = rows.select("key", F.col("own").alias("other"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("own"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "brief")))
+    names = ("node", "n", "place", "component")
+    left = rows.select("hash", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("other"), *(F.col(c).alias(f"{c}_a") for c in names))
+    right = rows.select("hash", F.col("own").alias("other"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("own"), *(F.col(c).alias(f"{c}_b") for c in names))
     fit = _fits("n_a", "n_b", pct) & (F.col("component_a") != F.col("component_b")) & ((F.col("own") != F.col("other")) | (F.col("node_a") < F.col("node_b")))
-    both = left.alias("l").join(right.alias("r"), ["key", "own", "other"]).filter(fit & _passes("a", "b"))
+    left_over = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    both = left.join(right, ["hash", "own", "other"]).filter(fit & ((100 + pct) * left_over >= pct * (F.col("n_a") + F.col("n_b"))))
     return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -146,17 +191,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
 
     live = nodes.join(near.select("node").distinct(), "node", "left_semi").select("node", "least", "s1", "s2", "n_shingles")
     texts = docs.select("doc_id", "text").join(live.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    sets = _hashed(texts, shingle, full=True).join(live, ["s1", "s2", "n_shingles"]).dropDuplicates(["node"]).select("node", "hashes")
+    sets = _hashed(texts, shingle, full=True).join(live, ["s1", "s2", "n_shingles"]).dropDuplicates(["s1", "s2", "n_shingles"]).select("node", "hashes")
     sets = stored(sets, "near-sets")
     brief = nodes.select("node", F.col("n_shingles").alias("n"), _brief().alias("brief"))
 
     pairs = near.filter(F.col("before").isNotNull() & (F.col("at") < FIRST) & _fits("n_shingles", "n_before", pct))
     pairs = pairs.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
-    rated = pairs.join(brief.toDF("a", "n_a", "brief_a"), "a").join(brief.toDF("b", "n_b", "brief_b"), "b").filter(_passes("a", "b")).select("a", "b")
-    part = connected_components(_linked(rated, sets, pct), "a", "b")
+    part = connected_components(_linked(_rated(pairs, brief), sets, pct), "a", "b")
 
-    members = near.select("key", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).join(brief, "node")
-    more = _linked(_open_pairs(members, pct), sets, pct)
+    members = near.select("key", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_lists = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    open_nodes = near.select("key", "node").join(open_lists, "key", "left_semi").select("node").distinct()
+    more = _open_pairs(open_nodes, sets, part, pct)
+    more = _linked(_rated(more, brief), sets, pct)
     ends = more.join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
     joined = connected_components(ends.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).distinct(), "x", "y")
 
