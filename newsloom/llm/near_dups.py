@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ SMALL, LARGE = 125, 100  # shingles: single-value lists up to SMALL, run lists f
 FIRST = 10  # of a node's lists, those that round one uses
 BLOCK = 500  # nodes that share a shingle and are joined with as many others at once
 HEAVY, BITS = 3, 20  # times in a batch from which a shingle counts as frequent; 2**BITS buckets of shingles
-PASS = 0.62  # share of common retained values from which a pair is verified: at 0.8 it is 0.89, six deviations more
+MISS = 1e-9  # chance, at most, that the estimate drops a pair whose similarity is exactly the threshold
 
 
 def _sets(h: np.ndarray, first: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -102,20 +103,36 @@ def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
 
 def _brief() -> Column:
-    """The sketch's upper 32 bits, which serve for estimates."""
-    return F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
+    """The sketch's upper 32 bits, which serve for estimates, shifted so that signed order is the hashes' order."""
+    return F.transform("sketch", lambda x: (F.shiftrightunsigned(x, 32) - (1 << 31)).cast("int"))
 
 
-def _passes(a: str, b: str) -> Column:
-    """The sketches have enough values in common for the threshold; a, b: suffixes of the two nodes' columns."""
-    common = F.size(F.array_intersect(f"brief_{a}", f"brief_{b}"))
-    return common >= F.ceil(PASS * F.least(f"n_{a}", f"n_{b}", F.lit(K))) - 2 * (F.least(f"n_{a}", f"n_{b}") < K).cast("int")
+def _cut(pct: int) -> int:
+    """The most common values among K of a union to ask for, so that a pair at pct per cent has fewer with a chance of MISS at most."""
+    p, tail = pct / 100, 0.0
+    for c in range(K + 1):
+        tail += comb(K, c) * p**c * (1 - p) ** (K - c)
+        if tail > MISS:
+            return c
+    return K
 
 
-def _rated(pairs: DataFrame, brief: DataFrame) -> DataFrame:
+def _passes(a: str, b: str, pct: int) -> Column:
+    """The sketches have enough values in common for the threshold; a, b: suffixes of the two nodes' columns.
+
+    The K least values of both sketches are a sample of the union, whatever the sizes of the two sets: each is common
+    with the chance that is their similarity. A union of fewer values is whole, but for equal upper bits.
+    """
+    union = F.sort_array(F.array_union(f"brief_{a}", f"brief_{b}"))
+    common = F.array_intersect(f"brief_{a}", f"brief_{b}")
+    sampled = F.size(F.array_intersect(common, F.slice(union, 1, K)))
+    return F.when(F.size(union) < K, 100 * (sampled + 2) >= pct * F.size(union)).otherwise(sampled >= _cut(pct))
+
+
+def _rated(pairs: DataFrame, brief: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) whose sketches pass."""
     both = pairs.join(brief.toDF("a", "n_a", "brief_a"), "a").join(brief.toDF("b", "n_b", "brief_b"), "b")
-    return both.filter(_passes("a", "b")).select("a", "b")
+    return both.filter(_passes("a", "b", pct)).select("a", "b")
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +214,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
 
     pairs = near.filter(F.col("before").isNotNull() & (F.col("at") < FIRST) & _fits("n_shingles", "n_before", pct))
     pairs = pairs.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
-    part = connected_components(_linked(_rated(pairs, brief), sets, pct), "a", "b")
+    part = connected_components(_linked(_rated(pairs, brief, pct), sets, pct), "a", "b")
 
     members = near.select("key", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_lists = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     open_nodes = near.select("key", "node").join(open_lists, "key", "left_semi").select("node").distinct()
     more = _open_pairs(open_nodes, sets, part, pct)
-    more = _linked(_rated(more, brief), sets, pct)
+    more = _linked(_rated(more, brief, pct), sets, pct)
     ends = more.join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
     joined = connected_components(ends.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).distinct(), "x", "y")
 

@@ -88,6 +88,24 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sorted(tuple(r)[:3] for r in got) == sorted(components(rows, 5, 80))
 
 
+def test_near_duplicates_of_contained_texts(spark):
+    """800 shingles within 1000, J = 0.80: pairs whose two bottom-48 sketches have fewer than 30 values in common; and some to 0.85."""
+    rows = [(2 * k + own, " ".join(f"c{k}_{i}" for i in range(n))) for k in (284, 766, 1819, 2282, 2539, 2992) for own, n in enumerate((804, 1004))]
+    rows += [(10_000 + 2 * k + own, " ".join(f"d{k}_{i}" for i in range(n))) for k in range(60) for own, n in enumerate((804 + k % 6 * 10, 1004))]
+    rows += [(20_000 + own, " ".join(f"e{i}" for i in range(n))) for own, n in enumerate((802, 1004))]  # 798 within 1000: no link
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d - d % 2 if d < 20_000 else d for d, _ in rows}
+
+
+def test_estimate_cut():
+    from math import comb
+
+    for pct in (50, 80, 95):
+        p, cut = pct / 100, near_dups._cut(pct)
+        tail = lambda c: sum(comb(48, i) * p**i * (1 - p) ** (48 - i) for i in range(c))  # noqa: B023, E731
+        assert tail(cut) <= near_dups.MISS < tail(cut + 1)
+
+
 def test_near_duplicates_empty(none):
     assert near_dups.near_duplicates(none).count() == 0
 
