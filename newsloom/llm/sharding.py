@@ -9,10 +9,12 @@ group of copies makes a bucket larger than another.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.scratch import stored
+from newsloom.functions.scratch import shared_dir, stored
 
 BUCKET_BYTES = 16 << 20
 
@@ -56,3 +58,10 @@ def shard(records: DataFrame, n_shards: int = 16, seed: int = 20240131, size: st
 def write_shards(sharded: DataFrame, path: str) -> None:
     """Write shard=<n> folders, each file's rows in slot order."""
     sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_back(sharded: DataFrame) -> DataFrame:
+    """sharded as its files in the shared folder hold it."""
+    path = f"{shared_dir(sharded.sparkSession)}/shards-{uuid.uuid4().hex}"
+    write_shards(sharded, path)
+    return sharded.sparkSession.read.schema(sharded.schema).parquet(path)

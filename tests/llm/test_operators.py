@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, language, line_runs, mixing, near_dups, quality, secret_scan, sharding, tokens, warc
+from newsloom.llm import decontaminate, language, line_runs, mixing, near_dups, quality, queries, secret_scan, sharding, tokens, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, key string, size long, shard int, _copy int"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,6 +187,17 @@ def test_sharding_is_a_seeded_permutation(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == records.count()
 
 
+def test_sharding_query_reads_its_shards(spark, docs, sf, monkeypatch):
+    paths, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path: (paths.append(path), write(df, path)))
+    got = queries.op3_sharding(spark, sf).collect()
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 1, crc(r.text)) for r in docs.collect())
+    files = spark.read.parquet(paths[0]).collect()
+    assert set(files[0].asDict()) == {*docs.columns, "size", "shard", "slot"}
+    assert Counter((r.doc_id, crc(r.text), r.shard, r.slot) for r in files) == Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got)
+
+
 def test_warc(spark, sf, tmp_path):
     rows = [(1, "u1", "<p>x</p>"), (2, "u2", None), (3, "u\n3", "<p>x</p>"), (4, "u4", ""), (5, None, "é" * 5000), (6, "u6", "WARC/1.1\r\n\r\nWARC-Type: response\r\n"), (None, "u7", "<p>x</p>"), (None, "u8", "alone"), (3, "u3", "<p>x</p>")]
     small = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"sha256": F.lit("z"), "header": F.lit(1)})
