@@ -28,6 +28,7 @@ CANDIDATE = (
     r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}"
 )
 FEATURES = ["length", "changes", "distinct", "digits", "upper", "symbols", "hex", "coverage", "in_path", "in_address", "keyword_before", "assigned", "quoted", "reference_before"]
+USER = r"://(?:[^\s/@:]{0,40}:)?$"  # before a token or password that a URL gives before its host
 REFERENCE = r"(?i)(?:commit|sha\d*|md5|hash|uuid|checksum|card|phone|tel|order|invoice|isbn|example|sample|dummy|placeholder)\W{0,4}$"
 
 
@@ -71,6 +72,7 @@ def featured(found: DataFrame) -> DataFrame:
     share = lambda other: F.length(F.regexp_replace("secret", other, "")) / n
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("secret", r"[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
     flag = lambda column, pattern: F.col(column).rlike(pattern).cast("double")
+    login = F.greatest(flag("before", USER), flag("before", ":$") * flag("secret", "^//[^/]+$")) * flag("after", r"^@\w")  # a bare login takes the slashes with it
     return found.join(covered, "_id", "left").withColumns({
         "length": n.cast("double"),
         "changes": (F.length(F.regexp_replace(shape, r"(.)\1+", "$1")) - 1) / n,
@@ -80,25 +82,27 @@ def featured(found: DataFrame) -> DataFrame:
         "symbols": share("[A-Za-z0-9]"),
         "hex": flag("secret", "^[0-9a-f]+$"),
         "coverage": F.coalesce(F.col("covered"), F.lit(0)) / n,
-        "in_path": F.greatest(flag("before", r"[/\\]$"), flag("secret", r"/.*/"), F.coalesce(flag("path", r"[/\\](?:test|example|sample|doc)"), F.lit(0.0))),
-        "in_address": F.greatest(flag("before", r"[@.]$"), flag("after", r"^[@.]\w")),
-        "keyword_before": flag("before", KEYWORD + r"\W{0,8}$"),
-        "assigned": flag("before", r"[=:]\s{0,3}[\"']?$"),
+        "in_path": F.greatest(flag("before", r"[/\\]$") * (1 - login), F.coalesce(flag("path", r"[/\\](?:test|example|sample|doc)"), F.lit(0.0))),
+        "in_address": F.greatest(flag("before", r"[@.]$"), flag("after", r"^[@.]\w")) * (1 - login),
+        "keyword_before": F.greatest(flag("before", KEYWORD + r"\W{0,8}$"), login),
+        "assigned": F.greatest(flag("before", r"[=:]\s{0,3}[\"']?$"), login),
         "quoted": flag("before", r"[\"']$"),
         "reference_before": flag("before", REFERENCE),
     }).drop("covered")
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """found with is_secret by provenance: 1 for provider keys and values assigned to a secret's name, 0 for numbers,
-    addresses, references, paths, repeated characters and placeholders; the others are not labelled and left out.
+    """found with is_secret by provenance: 1 for provider keys and values assigned to a secret's name or given as a URL's
+    login, 0 for numbers, repeated characters, placeholders and references, and, unless they are such values, for parts of
+    addresses and of paths and for ordinary words; the others, bare tokens among them, are not labelled and left out.
 
     Stands in for reviewed findings where a caller has none.
     """
     value = F.col("secret")
-    fake = value.rlike(r"^[0-9 -]+$") | value.rlike(r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy") | value.rlike(r"^(.)\1+$") | (F.col("in_address") == 1) | (F.col("in_path") == 1) | (F.col("reference_before") == 1)
+    fake = value.rlike(r"^[0-9 -]+$") | value.rlike(r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy") | value.rlike(r"^(.)\1+$") | (F.col("reference_before") == 1)
     real = value.rlike(r"^(?:AKIA[0-9A-Z]{16}|(?:ghp_|gho_|xox[abp]-|sk-|eyJ).{16,}|-----BEGIN .*)$") | ((F.col("keyword_before") == 1) & (F.col("assigned") == 1) & value.rlike("[0-9]") & (F.length(value) >= 8))
-    return found.withColumn("is_secret", F.when(fake, 0).when(real, 1).when((F.col("coverage") >= 0.6) | (F.col("keyword_before") == 0), 0)).filter("is_secret is not null")
+    part = (F.col("in_address") == 1) | F.col("before").rlike(r"[/\\]$") & ~F.col("before").rlike(USER) | (F.col("coverage") >= 0.6)
+    return found.withColumn("is_secret", F.when(fake, 0).when(real, 1).when(part, 0)).filter("is_secret is not null")
 
 
 def fit_forest(findings: DataFrame, sample: int = SAMPLE, seed: int = 11):

@@ -387,6 +387,22 @@ def test_secret_scan(spark, none):
     assert secret_scan.scan(none.withColumn("source", F.lit("s"))).count() == 0
 
 
+def test_secret_scan_labels_by_provenance_only(spark):
+    kinds = [
+        ("bare {}bQ7xT2mLp9Zr4Kd8Wv end", None), ("hf {}Hx3-Lm9Qw2Zt7Rk4Vb6 end", None), ('aws_secret_access_key = "{}J/xUtnFEMI/K7MDENG/bPxRfiCYk9z" end', 1),
+        ("clone https://bob:{}s3cr3tPa55w0rdQz7@db.host.org/x now", 1), ("clone https://{}s3cr3tPa55w0rdQz7@db.host.org/x now", 1), ("key AKIASJDZWJNP6ZRYWK{} end", 1),
+        ("card 48054762001705{} used", 0), ("commit {}ab398dc11d1a2a11dc6572c8df8bd228c864 fixes", 0), ("mail knshfdmg{}abcdefghij@mail.org now", 0),
+    ]
+    rows = [(100 * k + i, t.format(f"{k + 10:02d}"), "s") for k in range(30) for i, (t, _) in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scan.featured(secret_scan.candidates(docs))
+    labels = {r.doc_id: r.is_secret for r in secret_scan.labelled(found).collect()}
+    assert {d % 100 for d in labels} == {i for i, (_, x) in enumerate(kinds) if x is not None}
+    assert all(x == kinds[d % 100][1] for d, x in labels.items())
+    kept = {(r.doc_id % 100, r.kept) for r in secret_scan.scan(docs).collect()}
+    assert {(i, x != 0) for i, (_, x) in enumerate(kinds)} == kept
+
+
 def test_secret_scan_learns_from_findings(spark):
     rows = [(k, f"id {'ab12' * 4}{k:04d} zz" if k % 2 else f"id {'Xy9/' * 6}{k:04d} zz", "s") for k in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
