@@ -7,6 +7,8 @@ findings decides which are secrets.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.scratch import stored
 
 SAMPLE = 20_000  # labelled findings to train on, about; all where there are fewer
+SHARE = 1e-4  # of all documents, those that a word of the dictionary occurs in; three at least
 CONTEXT = 40  # characters before and after a candidate
 KEYWORD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)"
 ASSIGN = KEYWORD + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
@@ -58,16 +61,20 @@ def _chunks() -> Column:
     return F.filter(F.split(F.lower("secret"), "[^a-z]+"), lambda w: F.length(w) >= 3)
 
 
-def featured(found: DataFrame) -> DataFrame:
-    """found with an _id and the columns FEATURES.
+def dictionary(docs: DataFrame) -> DataFrame:
+    """(word): words of three letters a-z or more in at least SHARE of all documents, over whole texts without their candidates."""
+    least = max(3, ceil(SHARE * docs.count()))
+    words = F.regexp_extract_all(F.lower(F.regexp_replace("text", CANDIDATE, " ")), F.lit(r"(?<![\p{L}\p{N}])[a-z]{3,}+(?![\p{L}\p{N}])"), F.lit(0))
+    return docs.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").count().filter(F.col("count") >= least).select("word")
+
+
+def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """found, the candidates of docs, with an _id and the columns FEATURES.
 
-    Coverage is the share of the candidate's characters in runs of letters that occur at least three times as words
-    around candidates, counted over all of them.
+    Coverage is the share of the candidate's characters in runs of letters that are words of the dictionary of docs.
     """
     found = stored(found.withColumn("_id", F.monotonically_increasing_id()), "secret-candidates")
-    words = found.select(F.explode(F.filter(F.split(F.lower(F.concat_ws(" ", "before", "after")), "[^a-z]+"), lambda w: F.length(w) >= 3)).alias("word"))
-    dictionary = words.groupBy("word").count().filter("count >= 3").select("word")
-    covered = found.select("_id", F.explode(_chunks()).alias("word")).join(dictionary, "word").groupBy("_id").agg(F.sum(F.length("word")).alias("covered"))
+    covered = found.select("_id", F.explode(_chunks()).alias("word")).join(dictionary(docs), "word").groupBy("_id").agg(F.sum(F.length("word")).alias("covered"))
     n = F.length("secret")
     share = lambda other: F.length(F.regexp_replace("secret", other, "")) / n
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("secret", r"[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
@@ -124,7 +131,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, limit: float = 0.5)
     1 and all candidates stay. Null and empty texts have no candidates; a null source is an unknown path. Rows that
     repeat a document give its candidates again.
     """
-    found = featured(candidates(docs))
+    found = featured(candidates(docs), docs)
     known = labelled(found) if findings is None else found.join(findings.groupBy("doc_id", "start").agg(F.max("is_secret").alias("is_secret")), ["doc_id", "start"])
     model = fit_forest(known)
     if model is None:

@@ -395,7 +395,7 @@ def test_secret_scan_labels_by_provenance_only(spark):
     ]
     rows = [(100 * k + i, t.format(f"{k + 10:02d}"), "s") for k in range(30) for i, (t, _) in enumerate(kinds)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = secret_scan.featured(secret_scan.candidates(docs))
+    found = secret_scan.featured(secret_scan.candidates(docs), docs)
     labels = {r.doc_id: r.is_secret for r in secret_scan.labelled(found).collect()}
     assert {d % 100 for d in labels} == {i for i, (_, x) in enumerate(kinds) if x is not None}
     assert all(x == kinds[d % 100][1] for d, x in labels.items())
@@ -403,6 +403,14 @@ def test_secret_scan_labels_by_provenance_only(spark):
     assert {(i, x != 0) for i, (_, x) in enumerate(kinds)} == kept
 
 
+def test_secret_scan_dictionary_is_of_the_corpus(spark):
+    rows = [(k, "the quick brown foxes were jumping over", "s") for k in range(9)] + [(20 + k, f"{'unfamiliar' * 6} quick-brown-foxes-{k} end", "s") for k in range(5)] + [(40, "rare rare rare rare", "s"), (41, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.word for r in secret_scan.dictionary(docs).collect()} == {"the", "quick", "brown", "foxes", "were", "jumping", "over", "unfamiliar" * 6, "end"}
+    got = secret_scan.featured(secret_scan.candidates(docs), docs).collect()
+    assert len(got) == 5 and all(r.coverage == pytest.approx(15 / 19) for r in got)
+
+
 def test_secret_scan_learns_from_findings(spark):
     rows = [(k, f"id {'ab12' * 4}{k:04d} zz" if k % 2 else f"id {'Xy9/' * 6}{k:04d} zz", "s") for k in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
