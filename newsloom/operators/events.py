@@ -239,7 +239,7 @@ def merge_candidates(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
 
 
 def apply_merges(heads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """K2: heads merged along pairs: earliest first_seen, latest last_seen, highest peak, aliases; merged_into the least id."""
+    """K2: heads merged along pairs under the least id: earliest first_seen, latest last_seen, highest peak, count of the others. Aliases and evidence are not united."""
     part = connected_components(pairs, "a", "b").toDF("event_id", "merged_into")
     named = heads.join(part, "event_id", "left").withColumn("merged_into", F.coalesce("merged_into", "event_id"))
     return named.groupBy(F.col("merged_into").alias("event_id")).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("peak_risk").alias("peak_risk"), (F.count("*") - 1).alias("merged"))
