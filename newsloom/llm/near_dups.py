@@ -7,11 +7,13 @@
    each run of three consecutive retained values. At a similarity of 0.8 two sets lack a common run with a chance of
    about 3e-8, and a passage that thousands of unrelated documents share fills few lists.
 3. Round one compares neighbours in a node's first lists, in an order that differs from list to list, so a group of
-   near copies gets a sparse, well connected set of pairs instead of all of them. A sketch estimate filters, the exact Jaccard on full
-   sets verifies, and components are formed.
+   near copies gets a sparse set of pairs instead of all of them. A sketch estimate filters; by it, each list's hub is
+   the node that is most like its neighbours, and all nodes of a list are compared with its hub. The exact Jaccard on full
+   sets verifies, and components are formed. In a group of near copies most links meet a hub, so most of it is joined here.
 4. Round two is complete: of nodes in lists that still hold several components, an exact prefix filter with rare shingles
    first finds every pair from different components that can reach the threshold, in blocks of bounded size; estimate
-   and exact Jaccard follow. Pairs inside one component can't change the result and are never made.
+   and exact Jaccard follow. Pairs inside one component can't change the result: the members of a shingle's largest
+   component meet only the nodes outside of it.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.scratch import stored
 from newsloom.llm import textnum as T
+from newsloom.llm.names import unused
 from newsloom.operators.graph import connected_components
 
 K = 48  # retained values
 SMALL, LARGE = 125, 100  # shingles: single-value lists up to SMALL, run lists from LARGE; LARGE <= 0.8 * SMALL
-FIRST = 10  # of a node's lists, those that round one uses
+FIRST = 10  # of a node's lists, those in which round one compares neighbours
+LIST = 1000  # nodes of a list that one task orders; a longer list is dealt by node into as many parts as it needs
 BLOCK = 500  # nodes that share a shingle and are joined with as many others at once
 HEAVY, BITS = 3, 20  # times in a batch from which a shingle counts as frequent; 2**BITS buckets of shingles
 MISS = 1e-9  # chance, at most, that the estimate drops a pair whose similarity is exactly the threshold
@@ -117,22 +121,48 @@ def _cut(pct: int) -> int:
     return K
 
 
-def _passes(a: str, b: str, pct: int) -> Column:
-    """The sketches have enough values in common for the threshold; a, b: suffixes of the two nodes' columns.
+def _sampled(a: str, b: str) -> tuple[Column, Column]:
+    """(values of the union's sample, those in common); a, b: suffixes of the two nodes' columns.
 
     The K least values of both sketches are a sample of the union, whatever the sizes of the two sets: each is common
     with the chance that is their similarity. A union of fewer values is whole, but for equal upper bits.
     """
     union = F.sort_array(F.array_union(f"brief_{a}", f"brief_{b}"))
     common = F.array_intersect(f"brief_{a}", f"brief_{b}")
-    sampled = F.size(F.array_intersect(common, F.slice(union, 1, K)))
-    return F.when(F.size(union) < K, 100 * (sampled + 2) >= pct * F.size(union)).otherwise(sampled >= _cut(pct))
+    return F.least(F.size(union), F.lit(K)), F.size(F.array_intersect(common, F.slice(union, 1, K)))
 
 
 def _rated(pairs: DataFrame, brief: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) whose sketches pass."""
+    """(a, b, likeness) of the pairs (a, b) whose sketches have enough values in common for the threshold."""
     both = pairs.join(brief.toDF("a", "n_a", "brief_a"), "a").join(brief.toDF("b", "n_b", "brief_b"), "b")
-    return both.filter(_passes("a", "b", pct)).select("a", "b")
+    of, common = _sampled("a", "b")
+    both = both.select("a", "b", of.alias("of"), common.alias("common"))
+    passes = F.when(F.col("of") < K, 100 * (F.col("common") + 2) >= pct * F.col("of")).otherwise(F.col("common") >= _cut(pct))
+    return both.filter(passes).select("a", "b", (F.col("common") / F.col("of")).alias("likeness"))
+
+
+def _lists_of(nodes: DataFrame, pct: int) -> DataFrame:
+    """(node, n_shingles, at, key, part, long): the entries of all lists; one of more than LIST nodes is long and comes in parts."""
+    entries = nodes.select("node", "n_shingles", F.posexplode(_keys(pct / 100)).alias("at", "key"))
+    # counted in each task first; written down, so that Spark knows how small this table is and whether to broadcast it
+    long = stored(entries.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > LIST), "near-long")
+    dealt = F.pmod(F.xxhash64("node", "key"), F.ceil(F.coalesce("m", F.lit(1)) / LIST)).cast("int")
+    return entries.join(long, "key", "left").select("node", "n_shingles", "at", "key", dealt.alias("part"), F.col("m").isNotNull().alias("long"))
+
+
+def _neighbours(near: DataFrame, pct: int) -> DataFrame:
+    """Distinct pairs (a, b) of neighbours in the first lists of a node."""
+    pairs = near.filter(F.col("before").isNotNull() & (F.col("at") < FIRST) & _fits("n_shingles", "n_before", pct))
+    return pairs.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
+
+
+def _spokes(near: DataFrame, rated: DataFrame, pct: int) -> DataFrame:
+    """Distinct pairs (a, b) of a list's hub, by the mean likeness to its neighbours, and each other node of the list."""
+    central = rated.select(F.explode(F.array("a", "b")).alias("node"), "likeness").groupBy("node").agg(F.avg("likeness").alias("mean"))
+    hubs = near.join(central, "node").groupBy("key", "part").agg(F.max(F.struct("mean", "node", "n_shingles")).alias("hub"))
+    both = near.select("key", "part", "node", "n_shingles").join(hubs.select("key", "part", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("n_hub")), ["key", "part"])
+    both = both.filter((F.col("node") != F.col("hub")) & _fits("n_shingles", "n_hub", pct))
+    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +207,17 @@ def _open_pairs(open_nodes: DataFrame, sets: DataFrame, part: DataFrame, pct: in
     times[found.bucket.to_numpy()] = found.times.to_numpy()
     rows = sets.select("node", "hashes").mapInArrow(_prefixes(times, pct), "node long, n long, place long, hash long").join(open_nodes, "node", "left_semi")
     rows = rows.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = rows.groupBy("hash").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rows = rows.join(sizes.select("hash", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "hash")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    names = ("node", "n", "place", "component")
-    left = rows.select("hash", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("other"), *(F.col(c).alias(f"{c}_a") for c in names))
-    right = rows.select("hash", F.col("own").alias("other"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("own"), *(F.col(c).alias(f"{c}_b") for c in names))
-    fit = _fits("n_a", "n_b", pct) & (F.col("component_a") != F.col("component_b")) & ((F.col("own") != F.col("other")) | (F.col("node_a") < F.col("node_b")))
+    of_part = rows.groupBy("hash", "component").agg(F.count("*").alias("m"))
+    sizes = of_part.groupBy("hash").agg(F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("hash", F.col("most.component").alias("most"), blocks(F.col("m")).alias("blocks"), blocks(F.col("m") - F.col("most.m")).alias("few"))
+    rows = rows.join(sizes, "hash").withColumn("outside", F.col("component") != F.col("most"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ("node", "n", "place", "component", "outside")
+    left = rows.filter("outside").select("hash", block("few").alias("own"), every("blocks").alias("other"), *(F.col(c).alias(f"{c}_a") for c in names))
+    right = rows.select("hash", every("few").alias("own"), block("blocks").alias("other"), *(F.col(c).alias(f"{c}_b") for c in names))
+    fit = _fits("n_a", "n_b", pct) & (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("node_a") < F.col("node_b")))
     left_over = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     both = left.join(right, ["hash", "own", "other"]).filter(fit & ((100 + pct) * left_over >= pct * (F.col("n_a") + F.col("n_b"))))
     return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
@@ -201,10 +235,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
     nodes = hashed.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("hashes").alias("sketch"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
-    entries = nodes.select("node", "n_shingles", F.posexplode(_keys(pct / 100)).alias("at", "key"))
-    order = Window.partitionBy("key").orderBy(F.floor(F.log("n_shingles") / float(np.log(1.25))), F.xxhash64("key", "node"))
-    near = entries.withColumns({"before": F.lag("node").over(order), "n_before": F.lag("n_shingles").over(order), "after": F.lead("node").over(order)})
-    near = stored(near.filter("before is not null or after is not null").drop("after"), "near-lists")
+    order = Window.partitionBy("key", "part").orderBy(F.floor(F.log("n_shingles") / float(np.log(1.25))), F.xxhash64("key", "node"))
+    near = _lists_of(nodes, pct).withColumns({"before": F.lag("node").over(order), "n_before": F.lag("n_shingles").over(order), "after": F.lead("node").over(order)})
+    near = stored(near.filter("before is not null or after is not null or long").drop("after", "long"), "near-lists")
 
     live = nodes.join(near.select("node").distinct(), "node", "left_semi").select("node", "least", "s1", "s2", "n_shingles")
     texts = docs.select("doc_id", "text").join(live.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
@@ -212,15 +245,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
     sets = stored(sets, "near-sets")
     brief = nodes.select("node", F.col("n_shingles").alias("n"), _brief().alias("brief"))
 
-    pairs = near.filter(F.col("before").isNotNull() & (F.col("at") < FIRST) & _fits("n_shingles", "n_before", pct))
-    pairs = pairs.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
-    part = connected_components(_linked(_rated(pairs, brief, pct), sets, pct), "a", "b")
+    beside = _neighbours(near, pct)
+    rated = stored(_rated(beside, brief, pct), "near-rated")
+    spokes = _spokes(near, rated, pct).join(beside, ["a", "b"], "left_anti")
+    rated = rated.select("a", "b").unionByName(_rated(spokes, brief, pct).select("a", "b"))
+    part = stored(connected_components(_linked(rated, sets, pct), "a", "b"), "near-parts")
 
     members = near.select("key", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_lists = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     open_nodes = near.select("key", "node").join(open_lists, "key", "left_semi").select("node").distinct()
     more = _open_pairs(open_nodes, sets, part, pct)
-    more = _linked(_rated(more, brief, pct), sets, pct)
+    more = _linked(_rated(more, brief, pct).select("a", "b"), sets, pct)
     ends = more.join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
     joined = connected_components(ends.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).distinct(), "x", "y")
 
@@ -234,5 +269,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
 
 def representatives(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFrame:
     """The rows of docs whose doc_id stands for its group, with all their columns; rows that repeat a doc_id are one document."""
-    kept = near_duplicates(docs, shingle, pct).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    (own,) = unused(docs, "_id")
+    kept = near_duplicates(docs, shingle, pct).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
