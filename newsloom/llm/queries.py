@@ -27,7 +27,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    out = sharding.read_back(sharding.shard(docs.withColumn("size", sharding.text_size()), 16))
+    out = sharding.read_back(sharding.shard(docs, 16))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
     return out.select("doc_id", sharding.text_size().alias("size"), crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -1,63 +1,96 @@
 """Operator 3: uniform random sharding by a two-pass external shuffle, DataFrame functions only.
 
-Pass one scatters the records into buckets by a seeded hash and writes each record's bucket down, so that later reads
-agree whatever is lost. Pass two sends each bucket to a partition of its own, puts its records in a fixed order,
-permutes them with a seeded Fisher-Yates shuffle and deals the permuted sequence of all buckets to the shards in turn.
-Buckets are sized to fit a task's memory; the scattering hash takes each record's ordinal, so that no key, source or
-group of copies makes a bucket larger than another.
+Pass one scatters whole records into buckets of bounded bytes by a seeded hash of their content: one shuffle, and the
+same buckets however the input is split. Of a record that is repeated more than REPEATS times, each copy is scattered by
+its number, so that no repeated row fills a bucket. Pass two puts the records of a bucket in a fixed order, permutes
+them with a seeded Fisher-Yates shuffle, deals the permuted sequence of all buckets to the shards in turn and writes
+the bucket's part of each shard, from the task that holds the bucket.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.scratch import shared_dir, stored
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 64 << 20
+REPEATS = 1000  # copies of a record from which they are scattered one by one
+GROUP = 4096  # buckets whose offsets one task sums up
 
 
-def text_size() -> F.Column:
+def text_size(text: str = "text") -> Column:
     """UTF-8 bytes of the text (null: none) plus 1."""
-    return (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def scatter(records: DataFrame, n_buckets: int, seed: int) -> DataFrame:
-    """Pass one: records with a column _bucket, written to the shared folder."""
-    at = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(n_buckets)).cast("int")
-    return stored(records.withColumn("_bucket", at), "scatter")
+def _bucket(n_buckets: int, seed: int, copy: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("_content"), copy), F.lit(n_buckets)).cast("int")
 
 
-def shuffle_buckets(scattered: DataFrame, n_buckets: int, seed: int) -> DataFrame:
-    """Pass two: the records with _position, their 0-based place in the permuted sequence of all buckets."""
-    columns = [c for c in scattered.columns if c != "_bucket"]
-    sizes = scattered.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as buckets
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    whole = scattered.repartitionById(n_buckets, F.col("_bucket")).groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_all"))
-    dealt = whole.select("_bucket", F.posexplode(F.shuffle("_all", F.lit(seed))).alias("_index", "_record"))
-    return dealt.join(F.broadcast(offsets), "_bucket").select("_record.*", (F.col("_index") + F.col("_offset")).alias("_position"))
+def scatter(records: DataFrame, keys: DataFrame, n_buckets: int, seed: int) -> DataFrame:
+    """(_bucket, _record): every record with its bucket; keys has _content and its copies _n."""
+    whole = records.select(_content(records, seed), F.struct(*records.columns).alias("_record"))
+    hot = stored(keys.filter(F.col("_n") > REPEATS).select("_content"), "shard-repeats")  # written, so that its size is known
+    plain = whole.join(hot, "_content", "left_anti").select(_bucket(n_buckets, seed, F.lit(0)).alias("_bucket"), "_record")
+    many = whole.join(hot, "_content", "left_semi").groupBy("_content", "_record").agg(F.count("*").alias("_n"))
+    many = many.select("_content", "_record", F.explode(F.sequence(F.lit(1), "_n")).alias("_copy"))
+    return plain.unionByName(many.select(_bucket(n_buckets, seed, F.col("_copy").cast("int")).alias("_bucket"), "_record"))
 
 
-def shard(records: DataFrame, n_shards: int = 16, seed: int = 20240131, size: str = "size", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _content(records: DataFrame, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *records.columns).alias("_content")
+
+
+def offsets(keys: DataFrame, n_buckets: int, seed: int) -> DataFrame:
+    """(_bucket, _offset): the records in buckets before each; groups of buckets are summed apart and then in turn."""
+    one = keys.select("_content", F.when(F.col("_n") > REPEATS, F.sequence(F.lit(1).cast("long"), "_n")).otherwise(F.array(F.lit(0).cast("long"))).alias("_copies"), "_n")
+    one = one.select("_content", F.explode("_copies").alias("_copy"), F.when(F.col("_n") > REPEATS, 1).otherwise(F.col("_n")).alias("_n"))
+    sizes = one.groupBy(_bucket(n_buckets, seed, F.col("_copy").cast("int")).alias("_bucket")).agg(F.sum("_n").alias("_n"))
+    sizes = stored(sizes.withColumn("_group", F.floor(F.col("_bucket") / GROUP)), "shard-sizes")
+    upto = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("_group").agg(F.sum("_n").alias("_n"))
+    groups = groups.select("_group", upto(Window.orderBy("_group")).alias("_before"))  # a row for GROUP buckets, some hundreds at 100 TB
+    inner = sizes.select("_bucket", "_group", upto(Window.partitionBy("_group").orderBy("_bucket")).alias("_within"))
+    return inner.join(groups, "_group").select("_bucket", (F.col("_within") + F.col("_before")).alias("_offset"))
+
+
+def shuffle_buckets(scattered: DataFrame, at: DataFrame, n_buckets: int, seed: int) -> DataFrame:
+    """Pass two: (_record, _position), the 0-based place in the permuted sequence of all buckets.
+
+    A bucket's offset travels to it as one more row of the same shuffle.
+    """
+    rows = scattered.withColumn("_offset", F.lit(None).cast("long"))
+    marks = at.select("_bucket", F.lit(None).cast(scattered.schema["_record"].dataType).alias("_record"), "_offset")
+    sent = rows.unionByName(marks).repartitionById(n_buckets, F.col("_bucket"))
+    whole = sent.groupBy("_bucket").agg(F.max("_offset").alias("_offset"), F.sort_array(F.collect_list("_record")).alias("_all"))
+    dealt = whole.select("_offset", F.posexplode(F.shuffle("_all", F.lit(seed))).alias("_index", "_record"))
+    return dealt.select("_record", (F.col("_index") + F.col("_offset")).alias("_position"))
+
+
+def shard(records: DataFrame, n_shards: int = 16, seed: int = 20240131, size: Column | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """records with shard (0 to n_shards - 1) and slot (0, 1, ... in each shard), in uniformly random order.
 
-    The column named by size has each record's bytes. Shards differ by at most one row. Nulls in any column, equal rows
-    and empty texts are ordinary records; every row is dealt once. An empty table gives an empty result. The offsets
-    table has a row for each bucket, which is one for each bucket_bytes of input: a few MB at 100 TB.
+    size is a record's bytes (default: those of its column text). Shards differ by at most one row. The same seed and
+    rows give the same order, however they are split or ordered. Nulls in any column, equal rows and empty texts are
+    ordinary records; every row is dealt once. An empty table gives an empty result. Columns of records named shard or
+    slot are replaced. Columns of map type can't be put in order and raise an error.
     """
-    total = records.agg(F.sum(size)).first()[0] or 0
+    records = records.select(*[c for c in records.columns if c.lower() not in ("shard", "slot")])
+    keys = records.select(_content(records, seed), (text_size() if size is None else size).alias("_size"))
+    keys = stored(keys.groupBy("_content").agg(F.count("*").alias("_n"), F.sum("_size").alias("_bytes")), "shard-keys")
+    total = keys.agg(F.sum("_bytes")).first()[0] or 0
     n_buckets = max(n_shards, -(-int(total) // bucket_bytes))
-    dealt = shuffle_buckets(scatter(records, n_buckets, seed), n_buckets, seed)
+    dealt = shuffle_buckets(scatter(records, keys, n_buckets, seed), offsets(keys, n_buckets, seed), n_buckets, seed)
     place = F.col("_position")
-    return dealt.select(*records.columns, F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
+    return dealt.select("_record.*", F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write shard=<n> folders, each file's rows in slot order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write shard=<n> folders: a file for each bucket, its rows in slot order. Nothing is moved between tasks."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def read_back(sharded: DataFrame) -> DataFrame:

@@ -164,27 +164,41 @@ def test_line_runs_of_repeats_and_empty(spark, odd, none):
 
 
 def test_sharding(spark, odd, none, docs):
-    for df, n in ((odd, 4), (docs, 16)):
-        records = df.select("doc_id", "text", sharding.text_size().alias("size"))
-        got = sharding.shard(records, n).collect()
-        assert Counter((r.doc_id, r.text, r.size) for r in got) == Counter(tuple(r) for r in records.collect())
+    for df, n in ((odd, 4), (docs, 16)):  # odd has a column shard, which is replaced
+        names = [c for c in df.columns if c != "shard"]
+        out = sharding.shard(df, n)
+        assert out.columns == [*names, "shard", "slot"]
+        got = out.collect()
+        assert Counter(tuple(r[c] for c in names) for r in got) == Counter(tuple(r[c] for c in names) for r in df.collect())
         count = Counter(r.shard for r in got)
         assert max(count.values()) - min(count.values()) <= 1 and set(count) == set(range(n))
         for s, k in count.items():
             assert sorted(r.slot for r in got if r.shard == s) == list(range(k))
-    assert sharding.shard(none.select("doc_id", F.lit(1).alias("size")), 16).count() == 0
-    hot = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("x").alias("text"), F.lit(100).alias("size"))
-    counts = [r[1] for r in sharding.shard(hot, 16, bucket_bytes=100_000).groupBy("shard").count().collect()]
-    assert len(counts) == 16 and set(counts) == {1250}
+    assert sharding.shard(none, 16).count() == 0
+
+
+def test_sharding_of_one_row_repeated(spark):
+    hot = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("x").alias("text")).unionByName(spark.range(100).select(F.col("id").cast("int").alias("doc_id"), F.lit("y").alias("text")))
+    out = sharding.shard(hot, 16, size=F.lit(100), bucket_bytes=100_000)
+    assert sorted({r[0]: r[1] for r in out.groupBy("shard").count().collect()}.values()) == [1256] * 12 + [1257] * 4
+    assert out.filter("text = 'x'").count() == 20_000 and out.select("shard", "slot").distinct().count() == 20_100
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 21 and max(sizes) < 1300  # copies are spread over the buckets
 
 
 def test_sharding_is_a_seeded_permutation(spark, docs, tmp_path):
-    records = docs.select("doc_id", sharding.text_size().alias("size"))
-    a, b, c = (sorted(tuple(r) for r in sharding.shard(records, 16, seed).collect()) for seed in (1, 1, 2))
-    assert a == b != c
-    out = sharding.shard(records, 4)
+    records = docs.select("doc_id", "text")
+    a, b, c, d = (sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard(x, 16, seed).collect()) for x, seed in ((records, 1), (records, 1), (records.repartition(7, "text"), 1), (records, 2)))
+    assert a == b == c != d
+    want = sorted(a, key=lambda r: (r[1], r[2]))
+    assert sum(x[0] < y[0] for x, y in zip(want, want[1:])) < 0.6 * len(want)  # not in the order of doc_id
+    out = sharding.shard(records, 4, bucket_bytes=100_000)
     sharding.write_shards(out, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == records.count()
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text) for r in records.collect())
+    for file in sorted((tmp_path / "s" / "shard=0").glob("*.parquet"))[:5]:
+        slots = [r.slot for r in spark.read.parquet(str(file)).collect()]
+        assert slots == sorted(slots)
 
 
 def test_sharding_query_reads_its_shards(spark, docs, sf, monkeypatch):
@@ -194,7 +208,7 @@ def test_sharding_query_reads_its_shards(spark, docs, sf, monkeypatch):
     crc = lambda t: zlib.crc32((t or "").encode())
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 1, crc(r.text)) for r in docs.collect())
     files = spark.read.parquet(paths[0]).collect()
-    assert set(files[0].asDict()) == {*docs.columns, "size", "shard", "slot"}
+    assert set(files[0].asDict()) == {*docs.columns, "shard", "slot"}
     assert Counter((r.doc_id, crc(r.text), r.shard, r.slot) for r in files) == Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got)
 
 
