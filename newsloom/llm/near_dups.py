@@ -251,9 +251,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
     rated = rated.select("a", "b").unionByName(_rated(spokes, brief, pct).select("a", "b"))
     part = stored(connected_components(_linked(rated, sets, pct), "a", "b"), "near-parts")
 
-    members = near.select("key", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_lists = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_nodes = near.select("key", "node").join(open_lists, "key", "left_semi").select("node").distinct()
+    members = near.select("key", "part", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = members.groupBy("key", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_lists = ends.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("part").alias("last")).filter("lo <> hi")
+    open_lists = open_lists.select("key", F.explode(F.sequence(F.lit(0), "last")).alias("part"))
+    open_nodes = near.select("key", "part", "node").join(open_lists, ["key", "part"], "left_semi").select("node").distinct()
     more = _open_pairs(open_nodes, sets, part, pct)
     more = _linked(_rated(more, brief, pct).select("a", "b"), sets, pct)
     ends = more.join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
