@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.scratch import shared_dir, stored
 
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 REPEATS = 1000  # copies of a record from which they are scattered one by one
 GROUP = 4096  # buckets whose offsets one task sums up
 
