@@ -358,6 +358,8 @@ def test_mixing(spark, odd, none, docs, sf):
     assert all(r.rate >= 0 and abs(r.copies - r.rate) < 1 for r in got)
     words = {r.doc_id: len(SPACE.findall(r.text or "")) for r in docs.collect()}
     assert all(r.n_tokens == words[r.doc_id] for r in got)
+    clash = docs.withColumns({c: F.lit(9) for c in ("_copy", "_copies", "p_good", "_tokens", "_row", "_rate", "_words")})
+    assert Counter(tuple(r) for r in mixing.apply_mix(clash, labels).collect()) == Counter(tuple(r) for r in clash.collect() for _ in range(next(x.copies for x in got if x.doc_id == r.doc_id)))
     out = mixing.apply_mix(docs, labels)
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
 
@@ -367,17 +369,41 @@ def test_mixing_odd_rows(spark, odd, none, sf):
     got = mixing.mix(odd, labels).collect()
     assert len(got) == len(ODD) and all(r.rate >= 0 for r in got)
     assert mixing.mix(none, labels).count() == 0 and mixing.apply_mix(none, labels).count() == 0
+    assert mixing.apply_mix(odd, labels).columns == odd.columns
     flat = mixing.mix(odd, labels.limit(0)).collect()
     assert len(flat) == len(ODD) and all(r.p_good == pytest.approx(1 / 3) for r in flat)
 
 
-def test_unreachable_targets(spark):
-    rows = spark.createDataFrame([(100, 1.0, 0.0), (100, 0.9, 0.1), (50, 0.2, 0.8)], "_tokens long, p_a double, p_b double")
-    for targets in ({"a": 0.05, "b": 0.95}, {"a": 0.5, "b": 0.5}):
-        steps = mixing.fit_rates(rows, targets)
-        rates = [r[0] for r in rows.select(mixing.rate(sorted(targets), steps)).collect()]
-        assert min(rates) >= 0
-    assert sum(t * p * r for t, p, r in zip((100, 100, 50), (1, 0.9, 0.2), rates, strict=True)) == pytest.approx(125, rel=1e-3)
+def least_squares(rows, weight):
+    """Residual of plain projected gradient descent on all rates, many small steps."""
+    import numpy as np
+
+    t, p = np.array([r[0] for r in rows], float), np.array([r[1:] for r in rows], float)
+    a = (t[:, None] * p).T
+    r, want, size = np.ones(len(rows)), np.array(weight) * t.sum(), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(60_000):
+        r = np.maximum(0, r - size * a.T @ (a @ r - want))
+    return (a @ r - want) / t.sum()
+
+
+def test_rates_against_plain_descent(spark):
+    import random
+
+    pick = random.Random(5)
+    unreached, halves = ((0.05, 0.95), (0.99, 0.01)), ((0.5, 0.5), (0.3, 0.7))
+    tables = [([(100, 1.0, 0.0), (100, 0.9, 0.1), (50, 0.2, 0.8)], (*unreached, *halves)), ([(100, 0.7, 0.3), (40, 0.6, 0.4), (0, 0.1, 0.9)], unreached)]
+    tables.append(([(pick.randint(1, 300), x, 1 - x) for x in (pick.betavariate(2, 1) for _ in range(60))], halves))
+    for rows, weights in tables:
+        df = spark.createDataFrame(rows, "_tokens long, p_a double, p_b double")
+        for weight in weights:
+            fit = mixing.fit_rates(df, {"a": weight[0], "b": weight[1]})
+            want = least_squares(rows, weight)
+            assert sum(x * x for x in fit.residual.values()) <= float(want @ want) * 1.05 + 1e-10
+            rates = [r[0] for r in df.select(mixing.rate(["a", "b"], fit.steps)).collect()]
+            assert min(rates) >= 0
+            total = sum(r[0] for r in rows)
+            for k, d in enumerate("ab"):
+                assert sum(r[0] * r[1 + k] * x for r, x in zip(rows, rates, strict=True)) / total - weight[k] == pytest.approx(fit.residual[d], abs=1e-9)
 
 
 SECRETS = [

@@ -14,7 +14,7 @@ def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     judged = {
         "quality rules": lambda d: {r.doc_id for r in quality.quality_rules(d).filter("kept").collect()},
-        "near-dedup": lambda d: {r.doc_id for r in near_dups.near_duplicates(d, 5, 80).filter("kept").collect()},
+        "near-dedup": lambda d: {r.doc_id for r in near_dups.near_duplicates(d, 4, 80).filter("kept").collect()},
         "decontamination": lambda d: {r.doc_id for r in decontaminate.contamination(d, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("not contaminated").collect()},
     }
     for name, stage in corpus_pipeline.STAGES:
