@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small rows with every odd case and on the small tables."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -213,28 +214,55 @@ def test_sharding_query_reads_its_shards(spark, docs, sf, monkeypatch):
 
 
 def test_warc(spark, sf, tmp_path):
-    rows = [(1, "u1", "<p>x</p>"), (2, "u2", None), (3, "u\n3", "<p>x</p>"), (4, "u4", ""), (5, None, "é" * 5000), (6, "u6", "WARC/1.1\r\n\r\nWARC-Type: response\r\n"), (None, "u7", "<p>x</p>"), (None, "u8", "alone"), (3, "u3", "<p>x</p>")]
-    small = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"sha256": F.lit("z"), "header": F.lit(1)})
-    for pages in (small, spark.read.parquet(f"{sf}/pages.parquet")):
-        want = []
-        own = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
+    rows = [(1, "u1", "<p>x</p>"), (2, "u2", None), (3, "u\r\n3%0A", "<p>x</p>"), (4, "u4%41", ""), (5, None, "é" * 5000), (6, "u6", "WARC/1.1\r\n\r\nWARC-Type: response\r\n"), (None, "u7", "<p>x</p>"), (None, "u8", "alone"), (3, "u3", "<p>x</p>")]
+    small = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"sha256": F.lit("z"), "header": F.lit(1), "record_id": F.lit(2), "body": F.lit(3)})
+    for number, pages in enumerate((small, spark.read.parquet(f"{sf}/pages.parquet"))):
+        own = [(r.page_id, r.url, (r.html or "").encode()) for r in pages.collect()]
         top = {}
-        for p, x in own:
+        for p, _, x in own:
             top[x] = max([q for q in (top.get(x), p) if q is not None], default=None)
-        for p, x in own:
+        want = []
+        for p, u, x in own:
             kind = "response" if p == top[x] else "revisit"
-            want.append((p, len(x), base64.b32encode(hashlib.sha1(x).digest()).decode(), kind, top[x] if kind == "revisit" else None, x))
-        got = warc.read_archive(*warc.write_archive(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload").collect()
-        assert sorted(map(repr, ((*tuple(r)[:5], bytes(r.payload)) for r in got))) == sorted(map(repr, want))
-    headers, payloads = warc.write_archive(small)
-    assert payloads.count() == 5
-    warc.export_text(headers, payloads, str(tmp_path / "w"))
-    whole = "".join(r[0] for r in spark.read.option("wholetext", True).text(str(tmp_path / "w")).collect())
-    assert whole.count("WARC-Type: ") == len(rows) + 1  # one more is in a payload
-    broken = payloads.withColumn("payload", F.concat("payload", F.lit("!").cast("binary")))
+            want.append((p, u, kind, top[x] if kind == "revisit" else None, len(x), base64.b32encode(hashlib.sha1(x).digest()).decode()))
+        assert sorted(map(repr, (tuple(r) for r in warc.archived(pages).collect()))) == sorted(map(repr, want))
+        path = str(tmp_path / f"w{number}")
+        archive = warc.write_archive(pages)
+        assert archive.payloads.count() == len(top)
+        found = warc.read_warc(warc.write_warc(archive, path), path)
+        back = warc.payloads_of(found).collect()
+        assert Counter((r.page_id, r.url, bytes(r.payload)) for r in back) == Counter(own)
+        assert len({r.record_id for r in back}) == len(own)
+        # the files, byte for byte and by plain tools: each record is a gzip member of its own
+        seen, headers = [], {r.header for r in archive.headers.collect()}
+        for file in (tmp_path / f"w{number}").glob("*.warc.gz"):
+            raw = file.read_bytes()
+            single = list(warc.members(iter([raw[k : k + 7] for k in range(0, len(raw), 7)])))
+            assert gzip.decompress(raw) == b"".join(single)
+            for x in single:
+                head, block = x.split(b"\r\n\r\n", 1)
+                fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+                assert (head + b"\r\n\r\n").decode() in headers and head.startswith(b"WARC/1.1\r\n") and block.endswith(b"\r\n\r\n")
+                assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields) and len(block) - 4 == int(fields["Content-Length"])
+                assert (fields["WARC-Type"] == "revisit") == ("WARC-Profile" in fields) == ("WARC-Refers-To" in fields)
+                seen.append(fields["WARC-Record-ID"])
+        assert len(seen) == len(set(seen)) == len(own)
+
+
+def test_warc_detects_other_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"u{k}", f"<p>{k % 3}</p>") for k in range(9)], "page_id long, url string, html string")
+    archive = warc.write_archive(pages)
+    other = zlib.compress(b"other")
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.write_warc(warc.Archive(archive.headers, archive.payloads.withColumn("body", F.lit(bytearray(other)))), str(tmp_path / "a"))
+    with pytest.raises(Exception, match="missing"):
+        warc.write_warc(warc.Archive(archive.headers, archive.payloads.limit(1)), str(tmp_path / "b"))
+    path = str(tmp_path / "c")
+    found = warc.read_warc(warc.write_warc(archive, path), path)
     with pytest.raises(Exception, match="differs from its digest"):
-        warc.read_archive(headers, broken).select("payload_digest").collect()
-    assert warc.read_archive(*warc.write_archive(small.limit(0))).count() == 0
+        warc.described(found.withColumn("block", F.lit(bytearray(b"<p>9</p>")))).collect()
+    assert warc.archived(pages, min_bytes=100).filter("record_type = 'response'").count() == 9
+    assert warc.archived(pages.limit(0)).count() == 0
 
 
 def test_token_counts(odd, none, docs):
