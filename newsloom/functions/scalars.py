@@ -20,9 +20,22 @@ def words_pattern(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words) or r"(?!)"
 
 
+def has_low(low: Column, words: list[str]) -> Column:
+    """Whether a text in lower case contains any of the words; few of them are looked up as they are, many by one pattern."""
+    words = [w.lower() for w in words]
+    if not 0 < len(words) <= 8:
+        return low.rlike(words_pattern(words))
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether the text contains any of the words, without regard to case."""
-    return F.lower(text).rlike(words_pattern([w.lower() for w in words]))
+    return has_low(F.lower(text), words)
+
+
+def occurrences(text: Column, word: str) -> Column:
+    """How often the word is in the text, without overlaps."""
+    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
 
 
 def mapped(key: Column, table: dict, default) -> Column:
@@ -48,8 +61,10 @@ def url_hash(url: Column | str) -> Column:
 
 
 def fingerprint(title: Column | str, source: Column | str) -> Column:
-    """First 16 digits of the SHA-1 of the title's first 80 characters and the source."""
-    return F.substring(F.sha1(F.lower(F.concat(F.substring(col(title), 1, 80), F.lit("|"), col(source)))), 1, 16)
+    """First 16 digits of the SHA-1 of the title's first 80 characters and the source, trimmed; a null counts as empty."""
+    text = lambda c: F.coalesce(col(c), F.lit(""))
+    key = F.lower(F.concat(F.substring(text(title), 1, 80), F.lit("|"), text(source)))
+    return F.substring(F.sha1(F.regexp_replace(key, r"(?U)^\s+|\s+$", "")), 1, 16)
 
 
 def valid_url(url: Column | str) -> Column:
@@ -173,8 +188,13 @@ def classify_lean(source: Column, leans=V.LEANS, local: str = V.LOCAL_LEAN) -> C
 
 def confirmation(text: Column, source: Column, coverage: Column, official: list[str], social: list[str], multipliers=(1.5, 1.3, 0.5, 0.8), min_sources: int = 3) -> Column:
     """Multiplier of an official statement, of several sources, of social media, of one source; the first that holds."""
+    return confirmed(has_any(text, official), source, coverage, social, multipliers, min_sources)
+
+
+def confirmed(official: Column, source: Column, coverage: Column, social: list[str], multipliers=(1.5, 1.3, 0.5, 0.8), min_sources: int = 3) -> Column:
+    """confirmation() where it is known whether the text has an official statement."""
     a, b, c, d = multipliers
-    return F.when(has_any(text, official), a).when(coverage >= min_sources, b).when(has_any(source, social), c).otherwise(d)
+    return F.when(official, a).when(coverage >= min_sources, b).when(has_any(source, social), c).otherwise(d)
 
 
 def run_quality(r: dict[str, Column] | None = None) -> Column:

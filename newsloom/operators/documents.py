@@ -25,40 +25,45 @@ def _finding(category: str, severity: str, value: Column, when: Column) -> Colum
     return F.when(when, F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), value.cast("double").alias("value")))
 
 
-def quality_checks(docs: DataFrame, lang: str = "zh", news_count: int = 0, placeholders=None, vague=None, indicators=None, regions=None) -> DataFrame:
-    """(doc_id, category, severity, value): a row for each rule that a report text breaks."""
+def _findings(docs: DataFrame, lang: str, news_count: int, placeholders, vague, indicators, regions) -> DataFrame:
+    """docs with a text, with _found: a finding for each rule that the text breaks. The counts are taken once, then judged."""
     t = F.col("text")
-    h2 = F.regexp_count(t, F.lit(r"(?m)^##\s+"))
-    held = F.size(_named(t, placeholders or V.PLACEHOLDERS[lang]))
-    dull = F.size(_named(t, vague or V.VAGUE[lang]))
-    need = indicators or V.INDICATORS[lang]
-    missing = len(need) - F.size(_named(t, need))
-    names = regions or V.REPORT_REGIONS[lang]
-    covered = F.size(_named(t, names))
-    times = F.array(*[F.regexp_count(t, F.lit(re.escape(r))) for r in names])
-    share = F.array_max(times) * 100.0 / F.greatest(F.aggregate(times, F.lit(0), lambda a, x: a + x), F.lit(1))
+    need, names = indicators or V.INDICATORS[lang], regions or V.REPORT_REGIONS[lang]
     mark = "-level" if lang == "en" else "级"
-    levels = {k: F.regexp_count(t, F.lit(rf"(?U)(?<!\w){k}{mark}(?!\w)")) for k in "SA"}
-    sure = t.rlike(r"置信度.*\d+%") | t.contains("[事实")
     urls = F.regexp_extract_all(t, F.lit(URL), F.lit(0))
-    bad = F.size(F.filter(urls, lambda u: u.rlike(S.words_pattern(V.PLACEHOLDER_URLS))))
-    n = F.length(t)
+    counted = docs.filter(t.isNotNull()).select(
+        "doc_id", F.regexp_count(t, F.lit(r"(?m)^##\s+")).alias("h2"), F.size(_named(t, placeholders or V.PLACEHOLDERS[lang])).alias("held"), F.size(_named(t, vague or V.VAGUE[lang])).alias("dull"),
+        (len(need) - F.size(_named(t, need))).alias("missing"), F.array(*[S.occurrences(t, r) for r in names]).alias("times"),
+        *[F.regexp_count(t, F.lit(rf"(?U)(?<!\w){k}{mark}(?!\w)")).alias(k) for k in "SA"], (t.rlike(r"置信度.*\d+%") | t.contains("[事实")).alias("sure"), urls.alias("urls"), F.length(t).alias("n"),
+    )
+    bad = F.size(F.filter("urls", lambda u: u.rlike(S.words_pattern(V.PLACEHOLDER_URLS))))
+    share = F.array_max("times") * 100.0 / F.greatest(F.aggregate("times", F.lit(0), lambda a, x: a + x), F.lit(1))
+    counted = counted.select("*", bad.alias("bad"), F.size("urls").alias("links"), F.size(F.filter("times", lambda x: x > 0)).alias("covered"), share.alias("share"))
+    c = F.col
     found = [
-        _finding("A1_h2_count", "issue", h2, h2 < 4), _finding("A1_h2_count", "warning", h2, h2 > 12), _finding("A2_placeholders", "issue", held, held > 0), _finding("A3_vague", "warning", dull, dull > 0),
-        _finding("A4_market_data", "issue", missing, missing > 0), _finding("B1_coverage", "issue", covered, covered < 6), _finding("B1_coverage", "warning", covered, (covered >= 6) & (covered < 8)),
-        _finding("B2_dominance", "issue", F.round(share, 4), share > 45), _finding("B2_dominance", "warning", F.round(share, 4), (share <= 45) & (share > 30)),
-        _finding("C1_signal_S", "warning", levels["S"], levels["S"] > 2), _finding("C1_signal_A", "warning", levels["A"], levels["A"] > 8), _finding("C2_confidence", "warning", F.lit(0), ~sure),
-        _finding("D1_links", "warning", F.size(urls), (F.lit(news_count) > 0) & (F.size(urls) < news_count * 0.05)), _finding("D2_bad_urls", "issue", bad, bad > 0),
-        _finding("E1_length", "issue", n, n < 3000), _finding("E1_length", "warning", n, (n >= 3000) & (n < 5000)),
+        _finding("A1_h2_count", "issue", c("h2"), c("h2") < 4), _finding("A1_h2_count", "warning", c("h2"), c("h2") > 12), _finding("A2_placeholders", "issue", c("held"), c("held") > 0), _finding("A3_vague", "warning", c("dull"), c("dull") > 0),
+        _finding("A4_market_data", "issue", c("missing"), c("missing") > 0), _finding("B1_coverage", "issue", c("covered"), c("covered") < 6), _finding("B1_coverage", "warning", c("covered"), c("covered").isin(6, 7)),
+        _finding("B2_dominance", "issue", F.round("share", 4), c("share") > 45), _finding("B2_dominance", "warning", F.round("share", 4), (c("share") <= 45) & (c("share") > 30)),
+        _finding("C1_signal_S", "warning", c("S"), c("S") > 2), _finding("C1_signal_A", "warning", c("A"), c("A") > 8), _finding("C2_confidence", "warning", F.lit(0), ~c("sure")),
+        _finding("D1_links", "warning", c("links"), (F.lit(news_count) > 0) & (c("links") < news_count * 0.05)), _finding("D2_bad_urls", "issue", c("bad"), c("bad") > 0),
+        _finding("E1_length", "issue", c("n"), c("n") < 3000), _finding("E1_length", "warning", c("n"), (c("n") >= 3000) & (c("n") < 5000)),
     ]
-    return docs.filter(t.isNotNull()).select("doc_id", F.inline(F.array_compact(F.array(*found))))
+    return counted.select("doc_id", F.array_compact(F.array(*found)).alias("_found"))
+
+
+def quality_checks(docs: DataFrame, lang: str = "zh", news_count: int = 0, placeholders=None, vague=None, indicators=None, regions=None) -> DataFrame:
+    """(doc_id, category, severity, value): a row for each rule that a report text breaks; a null text has none.
+
+    Rows that repeat a doc_id are judged one by one.
+    """
+    return _findings(docs, lang, news_count, placeholders, vague, indicators, regions).select("doc_id", F.inline("_found"))
 
 
-def quality_summary(docs: DataFrame, checks: DataFrame) -> DataFrame:
-    """(doc_id, issues, warnings, passed)."""
-    n = checks.groupBy("doc_id").agg(F.count_if(F.col("severity") == "issue").alias("issues"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    out = docs.select("doc_id").join(n, "doc_id", "left").fillna(0, ["issues", "warnings"])
-    return out.withColumn("passed", F.col("issues") == 0)
+def quality_summary(docs: DataFrame, lang: str = "zh", news_count: int = 0, placeholders=None, vague=None, indicators=None, regions=None) -> DataFrame:
+    """(doc_id, issues, warnings, passed), a row for each row of docs with a text, judged alone."""
+    found = _findings(docs, lang, news_count, placeholders, vague, indicators, regions)
+    n = lambda severity: F.size(F.filter("_found", lambda x: x.severity == severity)).cast("long")
+    return found.select("doc_id", n("issue").alias("issues"), n("warning").alias("warnings")).withColumn("passed", F.col("issues") == 0)
 
 
 def html_structure_checks(pages: DataFrame, titles: tuple[str, str, str] = ("观察哨", "风险矩阵", "全量市场数据")) -> DataFrame:
@@ -131,39 +136,68 @@ def extract_blocks(docs: DataFrame, tags: tuple[str, ...] = ("METADATA", "CITATI
     return good.unionByName(fixed)
 
 
-def _marked_lines(docs: DataFrame) -> DataFrame:
-    """Lines with their number and the last heading above them."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+def _marked_lines(docs: DataFrame, excerpt: int = 0) -> DataFrame:
+    """Lines of each row of docs (_row) with their number, the last heading above them (heading) and their list item (item);
+    the first line also carries the text's first excerpt characters.
+
+    All windows over a row's lines keep to its partition, so that the texts' lines are moved once.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")  # numbered before the lines are made
+    lines = rows.select("_row", "doc_id", F.substring("text", 1, excerpt).alias("excerpt"), F.posexplode_outer(F.split("text", "\n")).alias("n", "line"))
+    order = Window.partitionBy("_row").orderBy("n")
     head = F.nullif(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1), F.lit(""))
-    order = Window.partitionBy("doc_id").orderBy("n")
-    return lines.withColumns({"_h": head}).withColumns({"heading": F.last("_h", ignorenulls=True).over(order), "_i": F.nullif(F.trim(F.regexp_extract("line", r"^\s*(?:[-*•]|\d+[.、])\s+(.*)$", 1)), F.lit(""))})
+    item = F.nullif(F.trim(F.regexp_extract("line", r"^\s*(?:[-*•]|\d+[.、])\s+(.*)$", 1)), F.lit(""))
+    return lines.select("_row", "doc_id", "n", F.when(F.col("n") == 0, F.col("excerpt")).alias("excerpt"), head.alias("_h"), item.alias("item")).withColumn("heading", F.last("_h", ignorenulls=True).over(order)).drop("_h")
 
 
-def extract_section_items(docs: DataFrame, heading: str = "信号|风险|观察哨", k: int = 10) -> DataFrame:
-    """(doc_id, rank, item): the first k list items under headings that match."""
-    rows = _marked_lines(docs).filter(F.col("_i").isNotNull() & F.col("heading").rlike(heading))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))).filter(F.col("rank") <= k).select("doc_id", "rank", F.col("_i").alias("item"))
+def _place(among: Column, *keys: str) -> Column:
+    """The place of a line among those of its row (and keys) for which the condition holds."""
+    return F.sum(among.cast("int")).over(Window.partitionBy("_row", *keys).orderBy("n"))
 
 
-def extract_region_items(docs: DataFrame, regions: dict[str, str], per_heading: int = 3, per_region: int = 5) -> DataFrame:
-    """(doc_id, region, rank, item): items under headings of a region (first pattern that matches)."""
-    rows = _marked_lines(docs).filter(F.col("_i").isNotNull())
+def _section(heading: str) -> Column:
+    return F.coalesce(F.col("item").isNotNull() & F.col("heading").rlike(heading), F.lit(False))
+
+
+def _with_regions(rows: DataFrame, regions: dict[str, str], per_heading: int, per_region: int) -> DataFrame:
+    """rows with region and rank_region, the place among its region's items, where a line is taken as one."""
     name = F.lit(None).cast("string")
     for region, pattern in reversed(list(regions.items())):
         name = F.when(F.col("heading").rlike(pattern), region).otherwise(name)
-    rows = rows.withColumn("region", name).filter("region is not null")
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "heading").orderBy("n"))).filter(F.col("_k") <= per_heading)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "region").orderBy("n"))).filter(F.col("rank") <= per_region).select("doc_id", "region", "rank", F.col("_i").alias("item"))
+    rows = rows.withColumn("region", F.when(F.col("item").isNotNull(), name))
+    rows = rows.withColumn("_in", F.col("region").isNotNull() & (_place(F.col("region").isNotNull(), "heading") <= per_heading))
+    rows = rows.withColumn("rank_region", F.when(F.col("_in"), _place(F.col("_in"), "region")))
+    return rows.withColumn("rank_region", F.when(F.col("rank_region") <= per_region, F.col("rank_region").cast("int"))).drop("_in")
+
+
+def extract_section_items(docs: DataFrame, heading: str = "信号|风险|观察哨", k: int = 10) -> DataFrame:
+    """(doc_id, rank, item): the first k list items under headings that match; rows that repeat a doc_id each give theirs."""
+    rows = _marked_lines(docs).withColumn("_in", _section(heading)).filter("_in")
+    return rows.withColumn("rank", _place(F.col("_in")).cast("int")).filter(F.col("rank") <= k).select("doc_id", "rank", "item")
+
+
+def extract_region_items(docs: DataFrame, regions: dict[str, str], per_heading: int = 3, per_region: int = 5) -> DataFrame:
+    """(doc_id, region, rank, item): items under headings of a region (first pattern that matches); rows that repeat a
+    doc_id each give theirs."""
+    rows = _with_regions(_marked_lines(docs), regions, per_heading, per_region).filter("rank_region is not null")
+    return rows.select("doc_id", "region", F.col("rank_region").alias("rank"), "item")
 
 
 def build_history(docs: DataFrame, regions: dict[str, str], signals: str = "信号|风险|观察哨", clusters: str = "聚类", excerpt: int = 500) -> DataFrame:
-    """I4: (doc_id, signals, clusters, regions map, summary_excerpt)."""
-    pack = lambda df, name: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x.item).alias(name))
-    by_region = extract_region_items(docs, regions).groupBy("doc_id", "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x.item).alias("items"))
-    by_region = by_region.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("region", "items")))).alias("regions"))
-    out = docs.select("doc_id", F.substring("text", 1, excerpt).alias("summary_excerpt"))
-    out = out.join(pack(extract_section_items(docs, signals, 10), "signals"), "doc_id", "left").join(pack(extract_section_items(docs, clusters, 15), "clusters"), "doc_id", "left")
-    return out.join(by_region, "doc_id", "left")
+    """I4: (doc_id, signals, clusters, regions map, summary_excerpt), a row for each row of docs; null where there is nothing."""
+    rows = _marked_lines(docs, excerpt)
+    for name, heading, k in (("signals", signals, 10), ("clusters", clusters, 15)):
+        rows = rows.withColumn(f"_{name}", _section(heading))
+        rows = rows.withColumn(f"_{name}", F.col(f"_{name}") & (_place(F.col(f"_{name}")) <= k))
+    rows = _with_regions(rows, regions, 3, 5)
+    some = lambda c: F.when(F.size(c) > 0, c)
+    pack = lambda on: some(F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("n", "item")))), lambda x: x.item))
+    placed = F.array_sort(F.collect_list(F.when(F.col("rank_region").isNotNull(), F.struct("n", "region", "item"))))
+    out = rows.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("excerpt").alias("summary_excerpt"), pack(F.col("_signals")).alias("signals"), pack(F.col("_clusters")).alias("clusters"), placed.alias("_placed"))
+    of = lambda r: F.transform(F.filter("_placed", lambda x: x.region == r), lambda x: x.item)
+    names = F.array_sort(F.array_distinct(F.transform("_placed", lambda x: x.region)))
+    out = out.withColumn("regions", F.when(F.size("_placed") > 0, F.map_from_entries(F.transform(names, lambda r: F.struct(r.alias("region"), of(r).alias("items"))))))
+    return out.select("doc_id", "signals", "clusters", "regions", "summary_excerpt")
 
 
 def split_chapters(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import scalars as S
 from newsloom.functions import vocab as V
+from newsloom.functions.scratch import stored
 from newsloom.operators.graph import connected_components
 
 
@@ -117,6 +118,11 @@ def event_by_id(heads: DataFrame, event_id) -> DataFrame:
     return heads.filter(F.col("event_id") == event_id)
 
 
+def event_by_key(heads: DataFrame, identity_key) -> DataFrame:
+    """By identity key; the filter reaches the scan where heads are read from files."""
+    return heads.filter(F.col("identity_key") == identity_key)
+
+
 def events_by_date(heads: DataFrame, revisions: DataFrame, date: Column, limit: int = 50) -> DataFrame:
     """Events with a revision on the date, by risk."""
     return heads.join(revisions.filter(F.col("date") == date).select("event_id"), "event_id", "left_semi").orderBy(F.col("risk").desc(), "event_id").limit(limit)
@@ -219,30 +225,52 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def rollup_clusters(events: DataFrame, assignment: DataFrame) -> DataFrame:
-    """Of each cluster its events, sources, highest signal, distinct actors and regions."""
+    """Of each cluster its events, sources, highest signal, distinct actors and regions. Nothing is gathered in lists."""
     rank = S.mapped(F.col("signal_level"), V.SIGNAL_RANK, 0)
-    out = events.join(assignment, "event_id").groupBy("cluster_id").agg(
-        F.count("*").alias("event_count"), F.size(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("source_count"),
-        F.max_by("signal_level", rank).alias("highest_signal"), F.size(F.array_distinct(F.flatten(F.collect_list("actors")))).alias("actors"), F.countDistinct("region").alias("regions"),
-    )
-    return out
+    rows = events.join(assignment, "event_id")
+    out = rows.groupBy("cluster_id").agg(F.count("*").alias("event_count"), F.max_by("signal_level", rank).alias("highest_signal"), F.countDistinct("region").alias("regions"))
+    distinct = lambda c: rows.select("cluster_id", F.explode_outer(c).alias("_x")).groupBy("cluster_id").agg(F.countDistinct("_x").cast("int").alias("n"))
+    out = out.join(distinct("sources").withColumnRenamed("n", "source_count"), "cluster_id").join(distinct("actors").withColumnRenamed("n", "actors"), "cluster_id")
+    return out.select("cluster_id", "event_count", "source_count", "highest_signal", "actors", "regions")
 
 
 def merge_candidates(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
-    """K1: (a, b, jaccard) of events of one type and location whose actors are alike; joined on a shared actor."""
-    rows = events.select("event_id", "event_type", "location", F.array_distinct("actors").alias("actors")).withColumn("actor", F.explode("actors"))
-    a = rows.select(F.col("event_id").alias("a"), "event_type", "location", "actor", F.size("actors").alias("na"))
-    b = rows.select(F.col("event_id").alias("b"), "event_type", "location", "actor", F.size("actors").alias("nb"))
-    pairs = a.join(b, ["event_type", "location", "actor"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") > min_jaccard * F.greatest("na", "nb")))
-    n = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return n.withColumn("jaccard", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).filter(F.col("jaccard") > min_jaccard).select("a", "b", "jaccard")
+    """K1: (a, b, jaccard) of events of one type and location whose actors are alike.
+
+    Events with the same actors are compared as one. Exact prefix filter: two sets over the threshold share one of the
+    rarest actors of either, the first n - floor(threshold n); an actor of a third of all events is in few prefixes.
+    """
+    place = ["event_type", "location"]
+    rows = events.select("event_id", *place, F.array_sort(F.array_distinct("actors")).alias("w")).filter(F.size("w") > 0)
+    rows = rows.withColumn("s", F.xxhash64(*place, "w"))
+    sets = stored(rows.select("s", *place, "w").dropDuplicates(["s"]).withColumn("n", F.size("w")), "actor-sets")
+    one = sets.select("s", *place, "n", "w", F.explode("w").alias("actor"))
+    freq = one.groupBy(*place, "actor").agg(F.count("*").alias("f"))
+    ranked = one.join(freq, [*place, "actor"]).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("f", "actor")))
+    prefix = stored(ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * min_jaccard)).select("s", *place, "actor", "n", "w"), "actor-prefixes")
+    a, b = prefix.toDF("sa", *place, "actor", "na", "wa"), prefix.toDF("sb", *place, "actor", "nb", "wb")
+    pairs = a.join(b, [*place, "actor"]).filter((F.col("sa") < F.col("sb")) & (F.least("na", "nb") > min_jaccard * F.greatest("na", "nb")))
+    common = F.size(F.array_intersect("wa", "wb"))
+    pairs = pairs.withColumn("jaccard", common / (F.col("na") + F.col("nb") - common)).filter(F.col("jaccard") > min_jaccard).select("sa", "sb", "jaccard").distinct()
+    pairs = pairs.unionByName(sets.select(F.col("s").alias("sa"), F.col("s").alias("sb"), F.lit(1.0).alias("jaccard")))
+    of = rows.select("event_id", "s")
+    out = pairs.join(of.toDF("x", "sa"), "sa").join(of.toDF("y", "sb"), "sb").filter((F.col("sa") != F.col("sb")) | (F.col("x") < F.col("y")))
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def apply_merges(heads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """K2: heads merged along pairs under the least id: earliest first_seen, latest last_seen, highest peak, count of the others. Aliases and evidence are not united."""
-    part = connected_components(pairs, "a", "b").toDF("event_id", "merged_into")
-    named = heads.join(part, "event_id", "left").withColumn("merged_into", F.coalesce("merged_into", "event_id"))
-    return named.groupBy(F.col("merged_into").alias("event_id")).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("peak_risk").alias("peak_risk"), (F.count("*") - 1).alias("merged"))
+    """K2: heads (event_id, canonical_title, first_seen, last_seen, peak_risk, sources) merged along pairs under the least id.
+
+    Earliest first_seen, latest last_seen, highest peak, the title of the least id, the other titles as aliases, the
+    united sources as evidence, and the count of the others. Titles and sources are made distinct before they are gathered.
+    """
+    part = stored(connected_components(pairs, "a", "b").toDF("event_id", "into"), "merges")
+    named = heads.join(part, "event_id", "left").withColumn("into", F.coalesce("into", "event_id"))
+    out = named.groupBy("into").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("peak_risk").alias("peak_risk"), (F.count("*") - 1).alias("merged"), F.min_by("canonical_title", "event_id").alias("canonical_title"))
+    gathered = lambda c, name: named.select("into", c.alias("_x")).distinct().groupBy("into").agg(F.array_sort(F.collect_list("_x")).alias(name))
+    out = out.join(gathered(F.col("canonical_title"), "_titles"), "into").join(gathered(F.explode_outer("sources"), "evidence"), "into")
+    aliases = F.filter("_titles", lambda t: ~t.eqNullSafe(F.col("canonical_title")))
+    return out.select(F.col("into").alias("event_id"), "canonical_title", aliases.alias("aliases"), "first_seen", "last_seen", "peak_risk", "merged", "evidence")
 
 
 def lifecycle(heads: DataFrame, as_of: Column) -> DataFrame:

@@ -33,6 +33,16 @@ def arbitrate(validated: DataFrame, third: DataFrame, tolerance: DataFrame, defa
     return out.withColumn("quality", F.when(near, "verified").otherwise(F.col("quality"))).drop("_t")
 
 
+def confirm(validated: DataFrame, more: DataFrame, tolerance: DataFrame, default: float = 1.0) -> DataFrame:
+    """A further provider that agrees verifies with two sources, or adds one where already verified; one that doesn't is noted."""
+    other = more.select("date", "key", F.col("price").alias("_p"))
+    out = validated.join(other, ["date", "key"], "left").join(tolerance.select("key", F.col("tolerance").alias("_t")), "key", "left")
+    near = F.coalesce(F.abs(F.col("price") - F.col("_p")) <= F.coalesce("_t", F.lit(default)), F.lit(False))
+    differs = F.when(F.col("_p").isNotNull() & ~near, "further source differs")
+    out = out.withColumns({"note": F.nullif(F.concat_ws("; ", "note", differs), F.lit("")), "source_count": F.when(near & (F.col("quality") == "verified"), F.col("source_count") + 1).when(near, 2).otherwise(F.col("source_count"))})
+    return out.withColumn("quality", F.when(near, "verified").otherwise(F.col("quality"))).drop("_t", "_p")
+
+
 def price_anomalies(prices: DataFrame, lookback: int = 14, least: int = 5) -> DataFrame:
     """(key, date, close) with z against the days before (sample deviation) and flag anomaly, note or normal."""
     day = F.unix_date("date")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import scalars as S
 from newsloom.functions import vocab as V
+from newsloom.functions.scratch import stored
 
 
 def text_of() -> Column:
@@ -44,15 +45,16 @@ def category_hits(news: DataFrame, categories: dict[str, dict]) -> DataFrame:
     return news.select("id", F.explode(hits).alias("h")).select("id", "h.category", "h.weight")
 
 
-def escalation_bonus(categories: dict[str, dict], cap: float = 30) -> Column:
-    """Bonuses of matched categories' rules of which two triggers or more are in the text, capped."""
+def escalation_bonus(categories: dict[str, dict], cap: float = 30, low: Column | None = None) -> Column:
+    """Bonuses of matched categories' rules of which two triggers or more are in the text (low: in lower case), capped."""
+    low = text_of() if low is None else low
     out = F.lit(0.0)
     for c in categories.values():
-        matched = S.has_any(text_of(), c["terms"])
+        matched = S.has_low(low, c["terms"])
         if c.get("context"):
-            matched = matched & S.has_any(text_of(), c["context"])
+            matched = matched & S.has_low(low, c["context"])
         for rule in c.get("escalation", []):
-            n = reduce(lambda a, b: a + b, [F.when(text_of().contains(t.lower()), 1).otherwise(0) for t in rule["triggers"]])
+            n = reduce(lambda a, b: a + b, [F.when(low.contains(t.lower()), 1).otherwise(0) for t in rule["triggers"]])
             out = out + F.when(matched & (n >= 2), float(rule["bonus"])).otherwise(0.0)
     return F.least(F.lit(float(cap)), out)
 
@@ -69,61 +71,76 @@ def with_source_quality(df: DataFrame, sources: DataFrame, default: float = 0.25
     return df.join(dim, "source", "left").withColumn("quality", F.coalesce("_q", F.lit(default))).drop("_q")
 
 
-def coverage_pairs(news: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b) of items whose titles' word sets overlap by more than threshold of the larger; other URLs only.
+def title_words() -> Column:
+    """The distinct lower-case words of the title, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != "")))
 
-    Exact prefix filter: over half of the larger set is shared, so two such titles share a word among the rarest words
-    of either, the first n - ceil(threshold n) + 1; frequent words make few candidates. Equal word sets are compared once.
+
+def coverage_pairs(items: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(sa, sb) of different word sets (s, w: sorted words) that overlap by more than threshold of the larger.
+
+    Exact prefix filter: over half of the larger set is shared, so two such sets share a word among the rarest words of
+    either, the first n - floor(threshold n); frequent words make few candidates. A common word at place r leaves
+    n - r + 1 words to share in each set, which drops pairs that only meet late.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != ""))
-    items = news.select("id", "url", words.alias("w")).filter(F.size("w") > 0)
-    sets = items.select(F.array_sort("w").alias("w"), F.xxhash64(F.array_sort("w")).alias("s")).dropDuplicates(["s"]).withColumn("n", F.size("w"))
+    sets = stored(items.select("s", "w").dropDuplicates(["s"]).withColumn("n", F.size("w")), "title-sets")
     tokens = sets.select("s", "n", F.explode("w").alias("t"))
-    freq = tokens.groupBy("t").agg(F.count("*").alias("f"))
-    ranked = tokens.join(freq, "t").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("f", "t")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * threshold)).select("s", "n", "t")
-    a, b = prefix.toDF("sa", "na", "t"), prefix.toDF("sb", "nb", "t")
-    cand = a.join(b, "t").filter((F.col("sa") < F.col("sb")) & (F.least("na", "nb") > threshold * F.greatest("na", "nb"))).select("sa", "sb").distinct()
-    wa, wb = sets.select(F.col("s").alias("sa"), F.col("w").alias("wa")), sets.select(F.col("s").alias("sb"), F.col("w").alias("wb"))
-    close = cand.join(wa, "sa").join(wb, "sb").filter(F.size(F.array_intersect("wa", "wb")) > threshold * F.greatest(F.size("wa"), F.size("wb"))).select("sa", "sb")
-    return close
+    ranked = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("f")), "t").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("f", "t")))
+    prefix = stored(ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * threshold)).select("s", "n", "t", "r"), "title-prefixes")
+    both = prefix.toDF("sa", "na", "t", "ra").join(prefix.toDF("sb", "nb", "t", "rb"), "t").filter(F.col("sa") < F.col("sb"))
+    left_over = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    cand = both.filter(left_over > threshold * F.greatest("na", "nb")).select("sa", "sb").distinct()
+    close = cand.join(sets.select(F.col("s").alias("sa"), F.col("w").alias("wa")), "sa").join(sets.select(F.col("s").alias("sb"), F.col("w").alias("wb")), "sb")
+    return close.filter(F.size(F.array_intersect("wa", "wb")) > threshold * F.greatest(F.size("wa"), F.size("wb"))).select("sa", "sb")
 
 
 def coverage_count(news: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(id, coverage_count): 1 plus the items of other URLs with a similar title.
 
-    Items are counted by word set and URL, so that copies are never paired one by one.
+    Items are counted by word set and URL, so that copies are never paired one by one. The sets and pairs are written
+    down once.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != ""))
-    items = news.select("id", "url", F.when(F.size(words) > 0, F.xxhash64(F.array_sort(words))).alias("s"))
-    pairs = coverage_pairs(news, threshold)
-    near = pairs.union(pairs.select("sb", "sa")).toDF("s", "o").union(items.filter("s is not null").select("s", F.col("s").alias("o")).distinct())
-    size = items.groupBy("s").agg(F.count("*").alias("m"))
-    own = items.groupBy("s", "url").agg(F.count("*").alias("k"))
-    total = near.join(size.withColumnRenamed("s", "o"), "o").groupBy("s").agg(F.sum("m").alias("total"))
-    mine = near.join(own.withColumnRenamed("s", "o"), "o").groupBy("s", "url").agg(F.sum("k").alias("mine"))
-    out = items.join(total, "s", "left").join(mine, ["s", "url"], "left")
+    items = news.select("id", "url", title_words().alias("w")).withColumn("s", F.when(F.size("w") > 0, F.xxhash64("w")))
+    pairs = stored(coverage_pairs(items.filter("s is not null"), threshold), "title-pairs")
+    own = stored(items.filter("s is not null").groupBy("s", "url").agg(F.count("*").alias("k")), "title-counts")
+    near = pairs.union(pairs.select("sb", "sa")).toDF("s", "o").union(own.select("s", F.col("s").alias("o")).distinct())
+    counted = near.join(own.withColumnRenamed("s", "o"), "o").groupBy("s", "url").agg(F.sum("k").alias("mine"))
+    total = counted.groupBy("s").agg(F.sum("mine").alias("total"))
+    out = items.drop("w").join(total, "s", "left").join(counted, ["s", "url"], "left")
     return out.select("id", (1 + F.coalesce(F.col("total") - F.col("mine"), F.lit(0))).cast("long").alias("coverage_count"))
 
 
-def importance(news: DataFrame, categories: dict, themes: dict[str, list[str]], official: list[str], social: list[str], media: list[str], coverage_bonus: dict[int, float], as_of: Column, half_life: float = 72) -> DataFrame:
-    """H7: news (title, summary, source, credibility, coverage_count, published_ts) with importance_score, one digit."""
-    text = F.concat_ws(" ", "title", "summary")
+def text_scores(news: DataFrame, categories: dict, themes: dict[str, list[str]], official: list[str]) -> DataFrame:
+    """H7: news with text_score (weights of categories, escalation and themes) and official, from title and summary.
+
+    The text is put in lower case once. What follows needs no text, so that callers can drop it before they join.
+    """
+    low = F.col("_low")
 
     def matched(c: dict) -> Column:
-        found = S.has_any(text, c["terms"])
-        return found & S.has_any(text, c["context"]) if c.get("context") else found
+        found = S.has_low(low, c["terms"])
+        return found & S.has_low(low, c["context"]) if c.get("context") else found
+
+    total = reduce(lambda a, b: a + b, [F.when(matched(c), float(c["weight"])).otherwise(0.0) for c in categories.values()], F.lit(0.0)) + escalation_bonus(categories, low=low)
+    total = total + reduce(lambda a, b: a + b, [F.when(S.has_low(low, w), 2.0).otherwise(0.0) for w in themes.values()], F.lit(0.0))
+    return news.withColumn("_low", text_of()).withColumns({"text_score": total, "official": S.has_low(low, official)}).drop("_low")
+
 
-    base = reduce(lambda a, b: a + b, [F.when(matched(c), float(c["weight"])).otherwise(0.0) for c in categories.values()], F.lit(0.0))
+def weighed(scored: DataFrame, social: list[str], media: list[str], coverage_bonus: dict[int, float], as_of: Column, half_life: float = 72) -> DataFrame:
+    """H7: text_scores() with source, credibility, coverage_count and published_ts to importance_score, one digit."""
     authority = F.least(F.coalesce("credibility", F.lit(5)), F.lit(10)) * 1.5
     loud = F.when(F.lower("source").isin([m.lower() for m in media]), 3.0).otherwise(0.0)
     step = F.lit(0.0)
     for least, bonus in sorted(coverage_bonus.items()):
         step = F.when(F.col("coverage_count") >= least, float(bonus)).otherwise(step)
-    theme = reduce(lambda a, b: a + b, [F.when(S.has_any(text, w), 2.0).otherwise(0.0) for w in themes.values()], F.lit(0.0))
-    sure = S.confirmation(text, F.col("source"), F.col("coverage_count"), official, social)
-    total = (base + escalation_bonus(categories) + authority + loud + step + theme) * sure * S.time_decay(F.col("published_ts"), as_of, half_life)
-    return news.withColumn("importance_score", F.round(total, 1))
+    sure = S.confirmed(F.col("official"), F.col("source"), F.col("coverage_count"), social)
+    total = (F.col("text_score") + authority + loud + step) * sure * S.time_decay(F.col("published_ts"), as_of, half_life)
+    return scored.withColumn("importance_score", F.round(total, 1)).drop("text_score", "official")
+
+
+def importance(news: DataFrame, categories: dict, themes: dict[str, list[str]], official: list[str], social: list[str], media: list[str], coverage_bonus: dict[int, float], as_of: Column, half_life: float = 72) -> DataFrame:
+    """H7: news (title, summary, source, credibility, coverage_count, published_ts) with importance_score, one digit."""
+    return weighed(text_scores(news, categories, themes, official), social, media, coverage_bonus, as_of, half_life)
 
 
 def mark_repeats(news: DataFrame, seen: DataFrame, factor: float = 0.7) -> DataFrame:
@@ -134,7 +151,8 @@ def mark_repeats(news: DataFrame, seen: DataFrame, factor: float = 0.7) -> DataF
 
 
 def dedup_news(news: DataFrame) -> DataFrame:
-    """G1: without empty URLs; the first item (by pos) of each normalized URL, then of each fingerprint of what is left."""
+    """G1: without null or empty URLs; the first item (by pos) of each normalized URL, then of each fingerprint of what is
+    left. A null title or source counts as empty, as the fingerprint says."""
     out = news.filter("url <> ''").withColumns({"url_hash": S.url_hash("url"), "fingerprint": S.fingerprint("title", "source")})
     for key in ("url_hash", "fingerprint"):
         out = out.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter("_rn = 1").drop("_rn")
@@ -170,19 +188,23 @@ def links_by_region(news: DataFrame, k: int = 5) -> DataFrame:
 def diverse_sample(news: DataFrame, n: int = 4, penalized: tuple[str, ...] = ("中东", "Middle East")) -> DataFrame:
     """N items picked one by one for new regions, rare regions, length and new sources; all where there are n or fewer.
 
-    Each round keeps only the best candidate; what was covered is a list of at most n names.
+    A null region or source is one of its own. The fixed part of the scores is written down once, for the n best items
+    of each region and source (a pick can't come from further down); each round keeps only the best candidate, and what
+    was covered is a list of at most n names.
     """
     share = news.groupBy("region").agg(F.count("*").alias("_n"))
     total = share.agg(F.sum("_n").alias("_all"))
-    dim = share.crossJoin(F.broadcast(total)).select("region", (1.0 / (F.col("_n") / F.col("_all") + 0.01)).alias("_w"))
-    pool = news.join(F.broadcast(dim), "region")  # a row for each region is broadcast
-    fixed = F.col("_w") * 20 + F.least(F.length(F.coalesce("summary", F.lit(""))), F.lit(200)) / 200 * 15 + F.least(F.length(F.coalesce("title", F.lit(""))), F.lit(100)) / 100 * 10 + F.when(F.col("region").isin(list(penalized)), -15.0).otherwise(0.0)
+    dim = share.crossJoin(F.broadcast(total)).select(F.col("region").alias("_region"), (1.0 / (F.col("_n") / F.col("_all") + 0.01)).alias("_w"))  # one row
+    long = lambda c, most: F.least(F.length(F.coalesce(c, F.lit(""))), F.lit(most)) / most
+    rows = news.select("id", "pos", "region", "source", (long("summary", 200) * 15 + long("title", 100) * 10 + F.when(F.col("region").isin(list(penalized)), -15.0).otherwise(0.0)).alias("_text"))
+    rows = rows.join(dim, F.col("region").eqNullSafe(F.col("_region"))).select("id", "pos", "region", "source", "_w", (F.col("_w") * 20 + F.col("_text")).alias("_fixed"))
+    best = Window.partitionBy("region", "source").orderBy(F.col("_fixed").desc(), "pos")
+    pool = stored(rows.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= n).drop("_k"), "diverse")
     picked: list = []
     for _ in range(n):
-        new_region = F.when(F.col("region").isin([p["region"] for p in picked] or [""]), 0).otherwise(1) * F.col("_w") * 30
-        new_source = F.when(F.col("source").isin([p["source"] for p in picked] or [""]), 0).otherwise(1) * 15
-        left = pool.filter(~F.col("id").isin([p["id"] for p in picked])) if picked else pool
-        top = left.withColumn("_s", new_region + new_source + fixed).orderBy(F.col("_s").desc(), "pos").select("id", "region", "source").limit(1).collect()
+        known = lambda c: reduce(lambda a, b: a | b, [F.col(c).eqNullSafe(F.lit(p[c])) for p in picked], F.lit(False))  # noqa: B023, E731
+        score = F.when(known("region"), 0).otherwise(1) * F.col("_w") * 30 + F.when(known("source"), 0).otherwise(1) * 15 + F.col("_fixed")
+        top = pool.filter(~known("id")).withColumn("_s", score).orderBy(F.col("_s").desc(), "pos").select("id", "region", "source").limit(1).collect()
         if not top:
             break
         picked.append(top[0])
@@ -202,11 +224,15 @@ def majority(df: DataFrame, column: str, order: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.col("n").desc(), "first").limit(1).select(F.col(column).alias("value"), "n")
 
 
-def fetch_stats(fetched: DataFrame, news: DataFrame) -> DataFrame:
-    """Sources that gave rows or failed (fetched: source, ok), items, and items that repeat a URL."""
+def fetch_stats(fetched: DataFrame, news: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Sources that gave rows or failed (fetched: source, ok), items, items that repeat a URL, and items whose
+    fingerprint the last run has seen (seen: fingerprint; none without it)."""
     a = fetched.agg(F.count_if("ok").alias("ok_sources"), F.count_if(~F.col("ok")).alias("failed_sources"))
     b = news.agg(F.count("*").alias("items"), (F.count("*") - F.countDistinct(S.url_hash("url"))).alias("duplicates"))
-    return a.crossJoin(b)
+    if seen is None:
+        return a.crossJoin(b)  # single rows
+    kept = dedup_news(news).join(seen.select("fingerprint").distinct(), "fingerprint", "left_semi").agg(F.count("*").alias("repeats"))
+    return a.crossJoin(b).crossJoin(kept)
 
 
 def budget_pack(sections: DataFrame, group: str, budget: int, always: int = 8) -> DataFrame:
@@ -235,9 +261,17 @@ def emerging_vs_yesterday(today: DataFrame, yesterday: DataFrame, key: str = "ti
     return today.join(yesterday.select(key).distinct(), key, "left_anti")
 
 
+MAX_REGIONS = 10_000
+
+
 def coverage_gap(news: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    """(doc_id, region) of regions in the news that the document's text does not name. names: region -> word."""
-    present = news.select("region").distinct()
+    """(doc_id, region) of regions in the news that the document's text does not name. names: region -> word.
+
+    The regions are a vocabulary: they travel to the documents as one row, and more than MAX_REGIONS of them are an error.
+    """
+    every = news.filter("region is not null").agg(F.array_sort(F.collect_set("region")).alias("_regions"))
+    every = every.select(F.when(F.size("_regions") <= MAX_REGIONS, F.col("_regions")).otherwise(F.raise_error(F.lit("too many regions"))).alias("_regions"))
     named = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    rows = docs.select("doc_id", "text").crossJoin(F.broadcast(present))  # a row for each region is broadcast
-    return rows.filter(~F.lower("text").contains(F.lower(F.coalesce(F.try_element_at(named, F.col("region")), F.col("region"))))).select("doc_id", "region")
+    rows = docs.select("doc_id", F.lower("text").alias("_low")).crossJoin(F.broadcast(every))  # one row
+    missing = F.filter("_regions", lambda r: ~F.col("_low").contains(F.lower(F.coalesce(F.try_element_at(named, r), r))))
+    return rows.select("doc_id", F.explode(missing).alias("region"))

@@ -60,7 +60,7 @@ def score_themes(media: DataFrame, hits: DataFrame, themes: list[str], dimension
 def escalate_themes(scores: DataFrame, signals: DataFrame, rules: list[dict], leans: DataFrame, first_seen: DataFrame, as_of: Column, divergent: float = 0.8) -> DataFrame:
     """Bonuses of rules whose triggers all occur in the day's signals (capped at 100), then the multiplier of
     divergent leans, then decay by first sight. A level is raised by rule or score and never lowered."""
-    bag = signals.agg(F.lower(F.concat_ws(" ", F.collect_list("text"))).alias("_bag")) if not rules else signals.agg(*[F.max(F.lower("text").contains(t.lower())).alias(f"_{i}_{j}") for i, r in enumerate(rules) for j, t in enumerate(r["triggers"])])
+    bag = signals.sparkSession.range(1).select(F.lit(True).alias("_bag")) if not rules else signals.agg(*[F.max(F.lower("text").contains(t.lower())).alias(f"_{i}_{j}") for i, r in enumerate(rules) for j, t in enumerate(r["triggers"])])
     fired = [reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_{i}_{j}"), F.lit(False)) for j in range(len(r["triggers"]))]) for i, r in enumerate(rules)]
     rank = {"C": 1, "B": 2, "A": 3, "S": 4}
     name = F.create_map(*[F.lit(x) for k, v in rank.items() for x in (v, k)])
@@ -143,6 +143,23 @@ def emerging(themes: DataFrame, max_days: int = 7, k: int = 5) -> DataFrame:
     return themes.filter(F.col("days") <= max_days).orderBy(F.col("days").desc(), themes.columns[0]).limit(k)
 
 
+def trend_dashboard(themes: DataFrame, regions: DataFrame, top_themes: int = 10, top_regions: int = 8, edge: float = 5, max_days: int = 7, k: int = 5) -> DataFrame:
+    """F2: (part, rank, name, value, trend) of trajectories: themes by trend score, inflections and emerging themes, and
+    regions by their daily mean."""
+
+    def part(name: str, df: DataFrame, key: str, value: Column, order: list[Column], n: int) -> DataFrame:
+        cut = df.select(F.col(key).cast("string").alias("name"), value.cast("double").alias("value"), "trend", *[o.alias(f"_o{i}") for i, o in enumerate(order)]).orderBy(*[f"_o{i}" for i in range(len(order))]).limit(n)
+        rank = F.row_number().over(Window.orderBy(*[f"_o{i}" for i in range(len(order))]))  # over at most n rows
+        return cut.select(F.lit(name).alias("part"), rank.alias("rank"), "name", "value", "trend")
+
+    t, score = themes.columns[0], F.col("trend_score")
+    out = part("themes", themes, t, score, [-score, F.col(t)], top_themes)
+    out = out.unionByName(part("inflections", themes.filter(F.abs(score) > edge), t, score, [-F.abs(score), F.col(t)], k))
+    out = out.unionByName(part("emerging", themes.filter(F.col("days") <= max_days), t, F.col("days"), [-F.col("days"), F.col(t)], k))
+    mean = F.col("total") / F.col("days")
+    return out.unionByName(part("regions", regions, regions.columns[0], F.round(mean, 4), [-mean, F.col(regions.columns[0])], top_regions))
+
+
 def region_timeline(history: DataFrame, per_day: int = 10) -> DataFrame:
     """Trajectory of items of each region; at most per_day regions of a day count."""
     rows = history.select("date", F.explode(F.slice(F.array_sort(F.map_entries("regions")), 1, per_day)).alias("_e")).select("date", F.col("_e.key").alias("region"), F.size("_e.value").alias("items"))
@@ -165,10 +182,12 @@ def evolve(events: DataFrame, transitions: dict[tuple[str, str], int], as_of: Co
 
     A new event starts at risk 0. On a day with a new phase the transition's delta is added, within 0 to 100. On a day
     without the event the risk decays by the days since it was last seen, cut to whole numbers each time. Archived at
-    risk 0 after archive_days idle days.
+    risk 0 after archive_days idle days. Of several rows of an event and day the last by pos counts, without a column
+    pos the one with the greatest phase.
     """
     delta = lambda a, b: S.mapped(F.concat_ws("→", a, b), {f"{x}→{y}": d for (x, y), d in transitions.items()}, 0)
-    days = events.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("date", "phase"))).alias("_p"), F.min("date").alias("first_seen"))
+    last = F.max_by("phase", "pos") if "pos" in events.columns else F.max("phase")
+    days = events.groupBy("event_id", "date").agg(last.alias("phase")).groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("date", "phase"))).alias("_p"), F.min("date").alias("first_seen"))
     days = days.withColumn("_run", F.sequence("first_seen", F.greatest(as_of, F.col("first_seen"))))
     zero = F.struct(F.lit(0).alias("risk"), F.lit(None).cast("string").alias("phase"), F.lit(None).cast("date").alias("seen"), F.lit(0).alias("transitions"))
 

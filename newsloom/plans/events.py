@@ -55,6 +55,14 @@ def b13_event_by_id(spark, d):
     return E.event_by_id(E.event_heads(revisions(spark, d)), 7).select("event_id", "revisions", "peak_risk")
 
 
+@query("SELECT p_partkey AS event_id, p_name AS canonical_title FROM part WHERE upper(replace(p_type, ' ', '_')) || '||' || upper(replace(p_brand, ' ', '_')) || '|' = (SELECT upper(replace(p_type, ' ', '_')) || '||' || upper(replace(p_brand, ' ', '_')) || '|' FROM part WHERE p_partkey = 7)")
+def b13_event_by_key(spark, d):
+    key = S.identity_key(F.col("p_type"), F.array().cast("array<string>"), F.col("p_brand"), F.lit(None).cast("string"))
+    heads = table(spark, d, "part").select(F.col("p_partkey").alias("event_id"), F.col("p_name").alias("canonical_title"), key.alias("identity_key"))
+    wanted = E.event_by_id(heads, 7).first().identity_key
+    return E.event_by_key(heads, wanted).drop("identity_key")
+
+
 @query(f"WITH {DAILY} SELECT event_id, risk FROM heads WHERE event_id IN (SELECT event_id FROM revs WHERE date = DATE '2024-01-15') ORDER BY risk DESC, event_id LIMIT 50")
 def c12_events_by_date(spark, d):
     r = revisions(spark, d)
@@ -113,11 +121,19 @@ def c20_upsert_relations(spark, d):
     return E.upsert_relations(one, e.filter("date >= '2020-01-01'")).select("src", "dst", "first_seen", "last_confirmed", F.size("history").alias("n"))
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'given' ELSE 'evt_' || lpad(CAST(c_custkey + 1 AS VARCHAR), 3, '0') END AS event_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS title,
+CASE c_custkey % 6 WHEN 0 THEN 'S' WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE 'C' END AS signal_level, c_name || '|' || c_mktsegment AS actors, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'x|y' END AS sources,
+CASE WHEN c_custkey % 2 = 0 THEN '军事' ELSE '政治' END AS event_type, CAST(CASE WHEN c_custkey % 7 = 0 THEN 9 WHEN c_custkey % 4 = 0 THEN 0 ELSE 2 END AS INT) AS source_count FROM customer""")
 def b5_normalize_events(spark, d):
-    c = table(spark, d, "customer")
-    raw = c.select(F.col("c_custkey").alias("pos"), F.lit(None).cast("string").alias("event_id"), F.col("c_name").alias("title"), F.lower(F.substring("c_mktsegment", 1, 1)).alias("signal_level"), F.concat_ws(",", "c_name", "c_mktsegment").alias("actors"), F.lit("x、y").alias("sources"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("int").alias("source_count"), "c_nationkey")
-    return E.normalize_events(raw).filter("size(actors) = 2 and source_count = 2 and event_type = '政治'").select(F.col("pos").alias("c_custkey"), "c_nationkey")
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    raw = c.select(
+        k.alias("pos"), F.when(k % 3 == 0, "given").alias("event_id"), F.when(k % 5 != 0, F.col("c_name")).alias("title"),
+        F.element_at(F.array(F.lit("s"), F.lit(" A "), F.lit("b"), F.lit("c"), F.lit("urgent"), none), (k % 6 + 1).cast("int")).alias("signal_level"), F.concat("c_name", F.lit(", ,"), "c_mktsegment").alias("actors"),
+        F.when(k % 4 != 0, "x、 y").alias("sources"), F.when(k % 2 == 0, "军事").alias("event_type"), F.when(k % 7 == 0, 9).alias("source_count"),
+    )
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return E.normalize_events(raw).select(F.col("pos").alias("c_custkey"), "event_id", "title", "signal_level", joined("actors"), joined("sources"), "event_type", "source_count")
 
 
 @query(f"WITH {DAILY} SELECT count(*) FILTER (WHERE signal_level = 'S') AS s_events, count(*) FILTER (WHERE signal_level = 'A') AS a_events, count(DISTINCT phase) AS regions, count(*) FILTER (WHERE signal_level = 'S') > 1 AS many_s, count(*) FILTER (WHERE signal_level = 'A') > 5 AS many_a, count(DISTINCT phase) < 3 AS few_regions FROM revs")
@@ -144,11 +160,17 @@ def d1_merge_events(spark, d):
     return m.select("event_id", "title", (F.col("signal_level") == "A").alias("has_a"), F.length("summary").alias("longest"), "phase", "source_lean", F.size("actors").alias("n_actors"))
 
 
-@query(f"WITH {NEWS} SELECT source AS cluster_id, count(*) AS event_count, CAST(count(DISTINCT region) AS INT) AS source_count, CASE WHEN bool_or(id % 7 = 0) THEN 'A' ELSE 'C' END AS highest_signal, count(DISTINCT region) AS regions FROM news GROUP BY source")
+@query("SELECT (SELECT count(*) FROM orders) AS events, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS clusters, (SELECT count(*) FROM orders) >= 10 AND (SELECT count(DISTINCT o_orderstatus) FROM orders) < 5 AS few")
+def b7_few_clusters(spark, d):
+    o = table(spark, d, "orders")
+    return E.few_clusters(o.select("o_orderstatus").distinct(), o)
+
+
+@query(f"WITH {NEWS} SELECT source AS cluster_id, count(*) AS event_count, CAST(count(DISTINCT region) AS INT) AS source_count, CASE WHEN bool_or(id % 7 = 0) THEN 'A' ELSE 'C' END AS highest_signal, CAST(1 AS INT) AS actors, count(DISTINCT region) AS regions FROM news GROUP BY source")
 def d23_rollup_clusters(spark, d):
     n = news(spark, d).select(F.col("id").alias("event_id"), F.array("region").alias("sources"), F.array("source").alias("actors"), "region", F.when(F.col("id") % 7 == 0, "A").otherwise("C").alias("signal_level"))
     a = news(spark, d).select(F.col("id").alias("event_id"), F.col("source").alias("cluster_id"))
-    return E.rollup_clusters(n, a).drop("actors")
+    return E.rollup_clusters(n, a)
 
 
 @query("SELECT p_partkey, upper(replace(p_type, ' ', '_')) || '|' || upper(p_brand) || ',' || 'X' || '|' || upper(replace(p_name, ' ', '_')) || '|' AS key, 'evt_' || substr(sha256(upper(replace(p_type, ' ', '_')) || '|' || upper(p_brand) || ',' || 'X' || '|' || upper(replace(p_name, ' ', '_')) || '|'), 1, 8) AS event_id FROM part")
@@ -180,6 +202,16 @@ def h10_estimate_risk(spark, d):
     return revisions(spark, d).select("event_id", "date", S.estimate_risk(F.col("signal_level"), F.col("phase")).alias("est"))
 
 
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.6 END::DOUBLE AS confidence, CASE WHEN event_id % 4 = 1 THEN '中东' WHEN event_id % 4 = 2 THEN '欧洲' ELSE '全球' END AS region,
+CASE WHEN event_id % 4 = 1 THEN '军事' ELSE CASE event_type WHEN 'error' THEN '军事' WHEN 'view' THEN '外交' ELSE '政治' END END AS type FROM events""")
+def h10_inferences(spark, d):
+    k = F.col("event_id")
+    level = F.element_at(F.array(*map(F.lit, ("HIGH", "中", "low", "unsure", "medium"))), (k % 5 + 1).cast("int"))
+    domains = F.when(k % 4 == 1, F.array(F.lit("军事"), F.lit("中东"))).when(k % 4 == 2, F.array(F.lit("other"), F.lit("欧洲"))).otherwise(F.array(F.lit("other")))
+    phase = F.when(F.col("event_type") == "error", "military").when(F.col("event_type") == "view", "diplomatic").otherwise("unknown")
+    return table(spark, d, "events").select("event_id", S.estimate_confidence(level).alias("confidence"), S.infer_region(domains).alias("region"), S.infer_type(domains, phase).alias("type"))
+
+
 @query("SELECT event_id, CASE event_type WHEN 'error' THEN 'military' WHEN 'click' THEN 'sanction' WHEN 'view' THEN 'financial' ELSE 'diplomatic' END AS phase FROM events")
 def h11_detect_phase(spark, d):
     rules = [("military", ["error"], ["diplomatic"]), ("sanction", ["click"], ["diplomatic"]), ("financial", ["view"], None), ("economic", ["signup"], ["military"])]
@@ -299,6 +331,22 @@ def f2_inflections(spark, d):
     return R.inflections(R.trajectory(_mentions(spark, d), "theme", "mentions")).select("theme", "trend_score")
 
 
+_TREND = "CASE WHEN trend_score > {0} THEN 'rising' WHEN trend_score < -{0} THEN 'falling' ELSE 'stable' END AS trend"
+
+
+@query(f"""WITH {_TRAJ}, rg AS (SELECT user_id AS region, CAST(ts AS DATE) AS date, count(*) AS items FROM events GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY date) AS i, count(*) OVER (PARTITION BY region) AS n FROM rg),
+rt AS (SELECT region, count(*) AS days, sum(items) AS total, round(avg(items) FILTER (WHERE i > floor(n / 2)) - avg(items) FILTER (WHERE i <= floor(n / 2)), 4) AS trend_score FROM q GROUP BY region HAVING count(*) >= 2),
+a AS (SELECT 'themes' AS part, row_number() OVER (ORDER BY -trend_score, theme) AS rank, theme AS name, trend_score::DOUBLE AS value, {_TREND.format(1)} FROM tj),
+b AS (SELECT 'inflections' AS part, row_number() OVER (ORDER BY -abs(trend_score), theme) AS rank, theme AS name, trend_score::DOUBLE AS value, {_TREND.format(1)} FROM tj WHERE abs(trend_score) > 5),
+c AS (SELECT 'emerging' AS part, row_number() OVER (ORDER BY -days, theme) AS rank, theme AS name, days::DOUBLE AS value, {_TREND.format(1)} FROM tj WHERE days <= 40),
+e AS (SELECT 'regions' AS part, row_number() OVER (ORDER BY -(total / days::DOUBLE), region) AS rank, CAST(region AS VARCHAR) AS name, round(total / days::DOUBLE, 4) AS value, {_TREND.format(0.05)} FROM rt)
+SELECT part, CAST(rank AS INT) AS rank, name, value, trend FROM (SELECT * FROM a WHERE rank <= 10 UNION ALL SELECT * FROM b WHERE rank <= 5 UNION ALL SELECT * FROM c WHERE rank <= 5 UNION ALL SELECT * FROM e WHERE rank <= 8)""")
+def f2_trend_dashboard(spark, d):
+    regions = table(spark, d, "events").groupBy(F.col("user_id").alias("region"), F.to_date("ts").alias("date")).agg(F.count("*").alias("items"))
+    return R.trend_dashboard(R.trajectory(_mentions(spark, d), "theme", "mentions"), R.trajectory(regions, "region", "items", scale=1, edge=0.05), max_days=40)
+
+
 @query(f"WITH {_TRAJ} SELECT theme, days FROM tj WHERE days <= 40 ORDER BY days DESC, theme LIMIT 5")
 def d8_emerging(spark, d):
     return R.emerging(R.trajectory(_mentions(spark, d), "theme", "mentions"), 40).select("theme", "days")
@@ -405,31 +453,39 @@ def c14_search(spark, d):
     return E.search(table(spark, d, "documents"), ["licensed", "apach*"], 20)
 
 
-@query("SELECT 'orders' AS \"table\", (SELECT count(*) FROM orders) AS rows UNION ALL SELECT 'events', (SELECT count(*) FROM events)")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS rows FROM {n}" for n in _TABLES))
 def d17_table_counts(spark, d):
-    return E.table_counts({n: table(spark, d, n) for n in ("orders", "events")})
+    return E.table_counts({n: table(spark, d, n) for n in _TABLES})
 
 
 def _actors(spark, d):
-    li = table(spark, d, "lineitem").filter("l_linenumber <= 3")
-    a = li.groupBy(F.col("l_orderkey").alias("event_id")).agg(F.collect_set(F.concat(F.lit("a"), (F.col("l_suppkey") % 12).cast("string"))).alias("actors"))
+    """Orders as events: their suppliers are the actors."""
+    a = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.collect_set(F.concat(F.lit("a"), (F.col("l_suppkey") % 40).cast("string"))).alias("actors"))
     return a.withColumns({"event_type": F.lit("t"), "location": (F.col("event_id") % 50).cast("string")})
 
 
-@query("""WITH a AS (SELECT l_orderkey AS e, l_orderkey % 50 AS loc, list_distinct(list('a' || CAST(l_suppkey % 12 AS VARCHAR))) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)
-SELECT x.e AS a, y.e AS b, len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::DOUBLE AS jaccard FROM a AS x JOIN a AS y ON x.loc = y.loc AND x.e < y.e WHERE len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::DOUBLE > 0.6""")
+_ACTORS = "ac AS (SELECT l_orderkey AS e, l_orderkey % 50 AS loc, list_distinct(list('a' || CAST(l_suppkey % 40 AS VARCHAR))) AS s FROM lineitem GROUP BY ALL)"
+_ALIKE = """k1 AS (SELECT x.e AS a, y.e AS b, len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::DOUBLE AS jaccard FROM ac AS x JOIN ac AS y ON x.loc = y.loc AND x.e < y.e
+  WHERE len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::DOUBLE > 0.6)"""
+
+
+@query(f"WITH {_ACTORS}, {_ALIKE} SELECT * FROM k1")
 def k1_merge_candidates(spark, d):
     return E.merge_candidates(_actors(spark, d))
 
 
-@query(f"""WITH RECURSIVE {DAILY}, p AS (SELECT event_id AS a, event_id + 7 AS b FROM heads WHERE event_id % 5 = 0), l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
-r AS (SELECT event_id AS id, event_id AS seen FROM heads UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen),
-c AS (SELECT id, min(seen) AS m FROM r GROUP BY id)
-SELECT m AS event_id, min(first_seen) AS first_seen, max(last_seen) AS last_seen, max(peak_risk) AS peak_risk, count(*) - 1 AS merged FROM heads JOIN c ON c.id = event_id GROUP BY m""")
+@query(f"""WITH RECURSIVE {_ACTORS}, {_ALIKE}, h AS (SELECT o_orderkey AS event_id, o_orderstatus || CAST(o_orderkey % 3 AS VARCHAR) AS title, CAST(o_orderdate AS DATE) AS d, CAST(substr(o_orderpriority, 1, 1) AS INT) AS risk, 's' || CAST(o_custkey % 5 AS VARCHAR) AS source FROM orders),
+l AS (SELECT a, b FROM k1 UNION SELECT b, a FROM k1), r AS (SELECT event_id AS id, event_id AS seen FROM h UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen), c AS (SELECT id, min(seen) AS m FROM r GROUP BY id),
+g AS (SELECT m, min(d) AS first_seen, max(d) AS last_seen, max(risk) AS peak_risk, count(*) - 1 AS merged, arg_min(title, event_id) AS canonical_title, list_sort(list_distinct(list(title))) AS ts, list_sort(list_distinct(list(source))) AS ss FROM h JOIN c ON c.id = event_id GROUP BY m)
+SELECT m AS event_id, canonical_title, array_to_string(list_filter(ts, lambda t: t <> canonical_title), ',') AS aliases, first_seen, last_seen, peak_risk, merged, array_to_string(ss, ',') AS evidence FROM g""")
 def k2_apply_merges(spark, d):
-    heads = E.event_heads(revisions(spark, d))
-    pairs = heads.filter("event_id % 5 = 0").select(F.col("event_id").alias("a"), (F.col("event_id") + 7).alias("b"))
-    return E.apply_merges(heads, pairs)
+    o = table(spark, d, "orders")
+    heads = o.select(F.col("o_orderkey").alias("event_id"), F.concat("o_orderstatus", (F.col("o_orderkey") % 3).cast("string")).alias("canonical_title"), F.to_date("o_orderdate").alias("first_seen"), F.to_date("o_orderdate").alias("last_seen"), F.substring("o_orderpriority", 1, 1).cast("int").alias("peak_risk"), F.array(F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string"))).alias("sources"))
+    out = E.apply_merges(heads, E.merge_candidates(_actors(spark, d)))
+    return out.withColumns({"aliases": F.array_join("aliases", ","), "evidence": F.array_join("evidence", ",")})
 
 
 @query(f"WITH {DAILY}, x AS (SELECT event_id, risk, date_diff('day', last_seen, DATE '2024-04-29') AS age FROM heads) SELECT event_id, CASE WHEN age >= 180 THEN 'archived' WHEN age >= 90 AND risk < 20 THEN 'resolved' WHEN age >= 60 THEN 'cooling' ELSE 'active' END AS status FROM x")

@@ -43,10 +43,10 @@ cov AS (SELECT news.id, 1 + count(pr.b) AS coverage_count FROM news LEFT JOIN pr
 
 
 def _scored(spark, d):
-    n = news(spark, d).join(N.coverage_count(news(spark, d)), "id")
+    n = news(spark, d)
+    scored = N.text_scores(n, CATEGORIES, TOPICS, ["licensed under"]).drop("summary").join(N.coverage_count(n), "id")
     dim = sources(spark, d).select(F.col("name").alias("source"), "credibility")
-    n = n.join(dim, "source", "left")
-    return N.importance(n, CATEGORIES, TOPICS, ["licensed under"], ["src19"], ["src1", "src2"], {2: 3, 3: 6}, as_of())
+    return N.weighed(scored.join(dim, "source", "left"), ["src19"], ["src1", "src2"], {2: 3, 3: 6}, as_of())
 
 
 _SCORED = f"""sd AS (SELECT news.*, coverage_count, credibility FROM news JOIN cov USING (id) LEFT JOIN so ON news.source = so.name),
@@ -141,12 +141,12 @@ def h1_normalize_url(spark, d):
     return table(spark, d, "pages").select("page_id", S.normalize_url("url").alias("url"))
 
 
-@query(f"WITH {NEWS} SELECT id, substr(sha1(lower(substr(title, 1, 80) || '|' || source)), 1, 16) AS fingerprint FROM news")
+@query(f"WITH {NEWS} SELECT id, substr(sha1(trim(lower(substr(coalesce(title, ''), 1, 80) || '|' || coalesce(source, '')))), 1, 16) AS fingerprint FROM news")
 def h2_fingerprint(spark, d):
     return news(spark, d).select("id", S.fingerprint("title", "source").alias("fingerprint"))
 
 
-@query(f"WITH {NEWS}, f AS (SELECT id, source, row_number() OVER (PARTITION BY substr(sha1(lower(substr(title, 1, 80) || '|' || source)), 1, 16) ORDER BY pos) AS rn FROM news) SELECT id, source FROM f WHERE rn = 1")
+@query(f"WITH {NEWS}, f AS (SELECT id, source, row_number() OVER (PARTITION BY substr(sha1(trim(lower(substr(coalesce(title, ''), 1, 80) || '|' || coalesce(source, '')))), 1, 16) ORDER BY pos) AS rn FROM news) SELECT id, source FROM f WHERE rn = 1")
 def g1_dedup_news(spark, d):
     return N.dedup_news(news(spark, d)).select("id", "source")
 
@@ -158,7 +158,7 @@ def g1_dedup_pages(spark, d):
 
 
 @query(f"""WITH {NEWS}, {SOURCES}, {_COVER}, {_SCORED},
-f AS (SELECT *, row_number() OVER (PARTITION BY substr(sha1(lower(substr(title, 1, 80) || '|' || source)), 1, 16) ORDER BY pos) AS rn FROM scored),
+f AS (SELECT *, row_number() OVER (PARTITION BY substr(sha1(trim(lower(substr(coalesce(title, ''), 1, 80) || '|' || coalesce(source, '')))), 1, 16) ORDER BY pos) AS rn FROM scored),
 r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY importance_score DESC, pos) AS k FROM f WHERE rn = 1),
 o AS (SELECT *, max(importance_score) OVER (PARTITION BY region) AS top, first_value(pos) OVER (PARTITION BY region ORDER BY importance_score DESC, pos) AS fp FROM r)
 SELECT id, region, importance_score FROM o ORDER BY CASE WHEN k <= 3 THEN 0 ELSE 1 END, CASE WHEN k <= 3 THEN -top END, CASE WHEN k <= 3 THEN fp END, CASE WHEN k <= 3 THEN k END, importance_score DESC, pos LIMIT 100""")
@@ -192,9 +192,11 @@ def d3_majority(spark, d):
     return N.majority(news(spark, d), "region", "pos")
 
 
-@query(f"WITH {SOURCES}, {_URLS} SELECT (SELECT count(*) FROM so WHERE NOT experimental) AS ok_sources, (SELECT count(*) FROM so WHERE experimental) AS failed_sources, count(*) AS items, count(*) - count(DISTINCT url) AS duplicates FROM nu")
+@query(f"WITH {SOURCES}, {_URLS} SELECT (SELECT count(*) FROM so WHERE NOT experimental) AS ok_sources, (SELECT count(*) FROM so WHERE experimental) AS failed_sources, count(*) AS items, count(*) - count(DISTINCT url) AS duplicates, (SELECT count(*) FROM (SELECT min(page_id) AS id FROM nu GROUP BY url) WHERE id % 3 = 0) AS repeats FROM nu")
 def d22_fetch_stats(spark, d):
-    return N.fetch_stats(sources(spark, d).select(F.col("name").alias("source"), (~F.col("experimental")).alias("ok")), table(spark, d, "pages"))
+    p = table(spark, d, "pages").select(F.col("page_id").alias("pos"), "url", F.col("page_id").cast("string").alias("title"), F.lit("page").alias("source"))
+    seen = p.filter("pos % 3 = 0").select(S.fingerprint("title", "source").alias("fingerprint"))
+    return N.fetch_stats(sources(spark, d).select(F.col("name").alias("source"), (~F.col("experimental")).alias("ok")), p, seen)
 
 
 @query("""WITH RECURSIVE s AS (SELECT conv_id, CASE role WHEN 'system' THEN 8 WHEN 'user' THEN 5 ELSE 3 END AS priority, CAST(turn AS INT) AS pos, CAST(length(text) // 2 AS INT) AS cost FROM conversations),

@@ -49,11 +49,23 @@ def c10_arbitrate(spark, d):
     return M.arbitrate(v, third, tol).select("date", "key", "quality", "source_count")
 
 
+@query(f"""WITH {_VAL}, t AS (SELECT date, key, round(avg(price), 4) AS p3, max(price) AS p4 FROM px GROUP BY ALL),
+n AS (SELECT v.*, coalesce(abs(price - p3) <= length(v.key) * 20, false) AS near, coalesce(abs(price - p4) <= length(v.key) * 20, false) AS near4 FROM v LEFT JOIN t USING (date, key)),
+a AS (SELECT date, key, near4, CASE WHEN near THEN 'verified' ELSE quality END AS quality, CASE WHEN near AND quality = 'verified' THEN 3 WHEN near THEN 2 ELSE source_count END AS source_count FROM n)
+SELECT date, key, CASE WHEN near4 THEN 'verified' ELSE quality END AS quality, CASE WHEN near4 AND quality = 'verified' THEN source_count + 1 WHEN near4 THEN 2 ELSE source_count END AS source_count FROM a""")
+def c10_confirm(spark, d):
+    v, tol = _validated(spark, d)
+    p = prices(spark, d).groupBy("date", "key")
+    third = M.arbitrate(v, p.agg(F.round(F.avg("price"), 4).alias("price")), tol)
+    return M.confirm(third, p.agg(F.max("price").alias("price")), tol).select("date", "key", "quality", "source_count")
+
+
 def _daily(spark, d):
-    return prices(spark, d).filter("provider = 1").select("key", "date", F.col("price").alias("close"))
+    """Prices of every provider, each provider's brand a key of its own."""
+    return prices(spark, d).select(F.concat_ws("/", "key", "provider").alias("key"), "date", F.col("price").alias("close"))
 
 
-@query(f"""WITH {PRICES}, c AS (SELECT key, date, price AS close FROM px WHERE provider = 1),
+@query(f"""WITH {PRICES}, c AS (SELECT key || '/' || CAST(provider AS VARCHAR) AS key, date, price AS close FROM px),
 w AS (SELECT *, count(close) OVER q AS n, avg(close) OVER q AS m, stddev_samp(close) OVER q AS s FROM c WINDOW q AS (PARTITION BY key ORDER BY date RANGE BETWEEN INTERVAL 14 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)),
 z AS (SELECT key, date, CASE WHEN n >= 5 AND s > 0 THEN round((close - m) / s, 4) ELSE 0.0 END AS z FROM w)
 SELECT key, date, z, CASE WHEN abs(z) >= 3 THEN 'anomaly' WHEN abs(z) >= 2 THEN 'note' ELSE 'normal' END AS flag FROM z""")
@@ -61,7 +73,7 @@ def e6_price_anomalies(spark, d):
     return M.price_anomalies(_daily(spark, d)).select("key", "date", "z", "flag")
 
 
-@query(f"""WITH {PRICES}, c AS (SELECT key, date AS ts, price AS close, lag(price) OVER (PARTITION BY key ORDER BY date) AS b FROM px WHERE provider = 1),
+@query(f"""WITH {PRICES}, c AS (SELECT key || '/' || CAST(provider AS VARCHAR) AS key, date AS ts, price AS close, lag(price) OVER (PARTITION BY key, provider ORDER BY date) AS b FROM px),
 l AS (SELECT key, arg_max(close, ts) AS close, arg_max(CASE WHEN b IS NULL THEN NULL ELSE b END, ts) AS b, count(*) AS data_points, max(ts) AS ts FROM c GROUP BY key)
 SELECT key, close, round((close - b) / b * 100, 4) AS change_pct, CASE WHEN close > b THEN '↑' WHEN close < b THEN '↓' ELSE '→' END AS arrow, data_points, round(date_diff('hour', CAST(ts AS TIMESTAMP), TIMESTAMP '{DAY}')::DOUBLE, 2) AS freshness_hours, 'ok' AS quality FROM l""")
 def e7_quote_summary(spark, d):
@@ -74,11 +86,11 @@ def d12_market_quality(spark, d):
     return M.market_quality_summary(_validated(spark, d)[0])
 
 
-@query(f"""WITH {PRICES}, k AS (SELECT date, max(price) FILTER (WHERE key = 'Brand#1') AS a, max(price) FILTER (WHERE key = 'Brand#2') AS b FROM px WHERE provider = 1 GROUP BY date)
+@query(f"""WITH {PRICES}, k AS (SELECT date, avg(price) FILTER (WHERE key = 'Brand#1') AS a, avg(price) FILTER (WHERE key = 'Brand#2') AS b FROM px GROUP BY date)
 SELECT date, round(a - b, 4) AS spread, a - b < 0 AS inverted FROM k""")
 def h16_spreads(spark, d):
-    p = prices(spark, d).filter("provider = 1").withColumn("key", F.when(F.col("key") == "Brand#1", "us10y").when(F.col("key") == "Brand#2", "us2y").otherwise("other"))
-    return M.spreads(p).select("date", "spread", "inverted")
+    p = prices(spark, d).withColumn("key", F.when(F.col("key") == "Brand#1", "us10y").when(F.col("key") == "Brand#2", "us2y").otherwise("other"))
+    return M.spreads(p.groupBy("date", "key").agg(F.avg("price").alias("price"))).select("date", "spread", "inverted")
 
 
 @query("SELECT event_id, CASE WHEN value > 72 AND event_type <> 'view' THEN 'stale' WHEN event_type = 'view' THEN 'verified' ELSE 'single' END AS quality, CASE WHEN value > 72 AND event_type <> 'view' THEN 'older than 72 h' END AS note FROM events")
@@ -112,6 +124,15 @@ def a10_quote_lines(spark, d):
     return out.select("key", "price", F.round("change_pct", 4).alias("change_pct"))
 
 
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'fx_' ELSE 'nf_' END || CAST(event_id AS VARCHAR) AS key, value * CASE event_id % 4 WHEN 0 THEN 100.0 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS price FROM events")
+def a10_check_quotes(spark, d):
+    k = F.col("event_id")
+    e = table(spark, d, "events").withColumn("symbol", F.concat(F.when(k % 3 == 0, "fx_").otherwise("nf_"), k.cast("string")))
+    body = F.when(k % 3 == 0, F.concat(F.lit("10:00,"), F.col("value").cast("string"), F.lit(",x"))).otherwise(F.concat(F.col("value").cast("string"), F.lit(",y,z")))
+    symbols = e.select("symbol", F.col("symbol").alias("key"), F.when(k % 4 == 0, 100.0).when(k % 4 == 1, 0.5).alias("factor"))
+    return scan.scan_check_quotes(e.select(F.concat(F.lit("var hq_str_"), "symbol", F.lit('="'), body, F.lit('";')).alias("value")), symbols)
+
+
 @query("WITH r AS (SELECT CAST(ts AS DATE) AS date, round(avg(value) FILTER (WHERE event_type = 'view'), 4) AS u, round(avg(value) FILTER (WHERE event_type = 'click'), 4) AS g, round(avg(value) FILTER (WHERE event_type = 'error'), 4) AS j FROM events GROUP BY 1) SELECT date, round(u, 5) AS eurusd, round(u / g, 5) AS gbpusd, round(j / u, 2) AS usdjpy FROM r")
 def a11_fx_cross_rates(spark, d):
     cur = F.when(F.col("event_type") == "view", "USD").when(F.col("event_type") == "click", "GBP").when(F.col("event_type") == "error", "JPY").otherwise("X")
@@ -220,7 +241,7 @@ def b10_quality_checks(spark, d):
 
 @query(f"WITH {_RULES}, c AS ({_CHECKS}) SELECT d.doc_id, count(*) FILTER (WHERE severity = 'issue') AS issues, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'issue') = 0 AS passed FROM documents AS d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id")
 def b10_quality_summary(spark, d):
-    return D.quality_summary(table(spark, d, "documents"), _checks(spark, d))
+    return D.quality_summary(table(spark, d, "documents"), "en", 100, **_WORDS)
 
 
 @query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<h2[^>]*class="chapter-title"')) AS INT) AS chapters, CAST(len(regexp_extract_all(html, '<div class="watch-card">')) AS INT) AS watch_cards, 0 AS watch_rows, 0 AS risk_rows, 0 AS market_rows, '' AS levels, false AS passed FROM pages""")
@@ -261,15 +282,23 @@ def i3_region_items(spark, d):
     return D.extract_region_items(_listed(spark, d), {"E": "signals", "F": "clusters"})
 
 
-@query(f"WITH {_ITEMS}, r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS rank FROM it) SELECT d.doc_id, CAST(count(*) FILTER (WHERE r.lang = 'en' AND rank <= 10) AS INT) AS n_signals, CAST(count(*) FILTER (WHERE r.lang = 'fr' AND rank <= 15) AS INT) AS n_clusters FROM documents AS d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id")
+@query(f"""WITH {_ITEMS}, r AS (SELECT doc_id, lang, item, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS rank FROM it)
+SELECT d.doc_id, string_agg(item, '|' ORDER BY rank) FILTER (WHERE r.lang = 'en' AND rank <= 10) AS signals, string_agg(item, '|' ORDER BY rank) FILTER (WHERE r.lang = 'fr' AND rank <= 15) AS clusters, string_agg(item, '|' ORDER BY rank) FILTER (WHERE r.lang = 'en' AND rank <= 3) AS region_e,
+substr(CASE d.lang WHEN 'en' THEN '# signals' WHEN 'fr' THEN '# clusters' ELSE '# rest' END || chr(10) || '- ' || replace(any_value(d.text), chr(10), chr(10) || '- '), 1, 500) AS summary_excerpt FROM documents AS d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, d.lang""")
 def i4_build_history(spark, d):
     h = D.build_history(_listed(spark, d), {"E": "signals"}, "signals", "clusters")
-    return h.select("doc_id", F.coalesce(F.size("signals"), F.lit(0)).alias("n_signals"), F.coalesce(F.size("clusters"), F.lit(0)).alias("n_clusters"))
+    return h.select("doc_id", F.array_join("signals", "|").alias("signals"), F.array_join("clusters", "|").alias("clusters"), F.array_join(F.try_element_at("regions", F.lit("E")), "|").alias("region_e"), "summary_excerpt")
+
 
+_PART = r"""ch AS (SELECT page_id, html, len(regexp_extract_all(lower(html), '<h2[^a-z0-9]')) AS n FROM pages),
+cs AS (SELECT page_id, n, list_filter(string_split_regex(regexp_replace(html, '(?i)(<h2[^a-z0-9])', chr(1) || '\1', 'g'), chr(1)), lambda p: regexp_matches(p, '(?i)^<h2[^a-z0-9]')) AS ps, html FROM ch),
+cp AS (SELECT page_id, CAST(i - 1 AS INT) AS n, p FROM (SELECT page_id, generate_subscripts(CASE WHEN n > 0 THEN ps ELSE [html] END, 1) AS i, unnest(CASE WHEN n > 0 THEN ps ELSE [html] END) AS p FROM cs)),
+chapters AS (SELECT page_id, n, trim(regexp_replace(regexp_replace(regexp_extract(p, '(?is)^<h2\b[^>]*>(.*?)</h2>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title, regexp_replace(p, '(?is)^<h2\b[^>]*>.*?</h2>', '') AS body FROM cp)"""
 
-@query("SELECT page_id, CAST(greatest(1, len(regexp_extract_all(lower(html), '<h2[^a-z0-9]'))) AS BIGINT) AS chapters FROM pages")
+
+@query(f"WITH {_PART} SELECT * FROM chapters")
 def i5_split_chapters(spark, d):
-    return D.split_chapters(table(spark, d, "pages")).groupBy("page_id").agg(F.count("*").alias("chapters"))
+    return D.split_chapters(table(spark, d, "pages"))
 
 
 @query()
@@ -277,7 +306,10 @@ def i6_extract_cards(spark, d):
     return D.extract_cards(table(spark, d, "pages"), ["the", "and", "of"])
 
 
-@query()
+_TAGS = "list_transform(regexp_extract_all(html, '(?is)<{0}\\b[^>]*>(.*?)</{0}>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))"
+
+
+@query(f"SELECT page_id, array_to_string(({_TAGS.format('h2')})[1:10], chr(10)) AS headings, array_to_string(list_transform((list_filter({_TAGS.format('p')}, lambda x: length(x) > 20 AND length(x) < 500))[1:5], lambda x: substr(x, 1, 100)), chr(10)) AS paragraphs FROM pages")
 def i7_html_excerpt(spark, d):
     return D.html_excerpt(table(spark, d, "pages"))
 
@@ -293,9 +325,9 @@ def i9_extract_links(spark, d):
     return D.extract_links(table(spark, d, "pages").select("page_id", F.concat_ws(" ", "html", "url").alias("text")), "page_id")
 
 
-@query()
+@query(f"WITH {_PART} SELECT page_id, n, title, " + ", ".join(f"CAST(len(regexp_extract_all(regexp_replace(body, '(?is)<h3\\b[^>]*>[^<]*the.*?(<h3\\b|$)', '\\1', 'g'), '{k}-level')) AS INT) AS {k.lower()}" for k in "SABC") + " FROM chapters")
 def i10_signal_mentions(spark, d):
-    return D.signal_mentions(table(spark, d, "pages"), "the").groupBy("page_id").agg(F.sum("s").alias("s"), F.sum("a").alias("a"))
+    return D.signal_mentions(table(spark, d, "pages"), "the")
 
 
 @query("SELECT user_id AS run_id, CAST(0 AS INT) AS claim, event_id AS ordinal, CASE WHEN event_id % 2 = 0 THEN 'u' || CAST(event_id AS VARCHAR) END AS url FROM events")

@@ -28,11 +28,17 @@ def scan_feed_entries(raw: DataFrame, as_of: Column, per_source: int = 30, max_d
     first = Window.partitionBy("source").orderBy("pos")
     out = raw.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= per_source).drop("_rn")
     out = out.filter((F.trim("title") != "") & (F.trim("link") != ""))
-    out = out.withColumns({"published": F.coalesce(F.nullif(F.trim("published"), F.lit("")), F.nullif(F.trim("updated"), F.lit(""))), "summary": F.substring(strip_tags(F.coalesce("summary", F.lit(""))), 1, 500), "url": F.trim("link")})
+    out = out.withColumns({"published": first_date("published", "updated"), "summary": F.substring(strip_tags(F.coalesce("summary", F.lit(""))), 1, 500), "url": F.trim("link")})
     out = not_stale(out, as_of, max_days)
     return relevant(out, list(noise), list(priority)).drop("link", "updated")
 
 
+def first_date(*columns: str) -> Column:
+    """The first of the columns that reads as a time; where none does, the first that is not blank."""
+    text = [F.nullif(F.trim(c), F.lit("")) for c in columns]
+    return F.coalesce(*[F.when(S.parsed_time(c).isNotNull(), t) for c, t in zip(columns, text, strict=True)], *text)
+
+
 def not_stale(df: DataFrame, as_of: Column, max_days: int = 3) -> DataFrame:
     """No date is stale, an unreadable one is kept, else more than max_days whole days before as_of is stale."""
     blank = F.coalesce(F.trim("published") == "", F.lit(True))
@@ -123,6 +129,18 @@ def scan_quote_lines(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.filter("price > 0").join(symbols, "symbol").select("key", "price", "change_pct", "label")
 
 
+def scan_check_quotes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A10, second layout: value lines `var hq_str_SYM="a,b,..."` to (key, price) for checks against other providers.
+
+    FX (fx_): price 1, futures: price 0, times the symbol's unit factor. symbols: (symbol, key, factor; null is 1).
+    """
+    found = r'hq_str_(\w+)="([^"]*)"'
+    rows = lines.select(F.regexp_extract("value", found, 1).alias("symbol"), F.split(F.regexp_extract("value", found, 2), ",").alias("f")).filter("symbol <> ''")
+    price = F.get("f", F.when(F.col("symbol").startswith("fx_"), 1).otherwise(0)).try_cast("double")
+    out = rows.select("symbol", price.alias("_p")).join(symbols, "symbol")
+    return out.select("key", (F.col("_p") * F.coalesce("factor", F.lit(1.0))).alias("price")).filter("price > 0")
+
+
 def fx_cross_rates(rates: DataFrame) -> DataFrame:
     """(date, currency, rate against EUR) to eurusd, gbpusd, usdjpy of each date."""
     wide = rates.groupBy("date").pivot("currency", ["USD", "GBP", "JPY"]).agg(F.first("rate"))

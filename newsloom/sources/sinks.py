@@ -43,6 +43,18 @@ def backfill_counts(events_daily: DataFrame, days: int | None = None) -> DataFra
     return events_daily.agg(F.countDistinct("date").alias("dates"), F.count("*").alias("events"), F.coalesce(F.sum(F.size("sources")), F.lit(0)).alias("sources"))
 
 
+def backfill(events_daily: DataFrame, path: str, days: int | None = None) -> DataFrame:
+    """Write daily events (date, ...) by date, with days the newest dates only; the counts of what was written.
+
+    A date that is backfilled again is replaced, so that the job can be repeated.
+    """
+    if days:
+        newest = events_daily.select("date").distinct().orderBy(F.col("date").desc()).limit(days)
+        events_daily = events_daily.join(newest, "date", "left_semi")
+    write_dated(events_daily, path)
+    return backfill_counts(events_daily.sparkSession.read.schema(events_daily.schema).parquet(path).join(events_daily.select("date").distinct(), "date", "left_semi"))
+
+
 def retention(history: DataFrame, as_of: Column, archive_after: int = 30, delete_after: int = 180) -> DataFrame:
     """History with bucket full, archive or dropped, by age in days."""
     age = F.datediff(as_of, "date")

@@ -58,27 +58,37 @@ def stream_evolution(stream: DataFrame, transitions: dict[tuple[str, str], int],
     """(event_id, ts, phase) rows to the state of each event that a batch has rows of.
 
     A new phase adds its transition's delta, idle days decay the risk as in the batch form, and days before the last one
-    seen are over. State goes when event time has passed the last day by the idle time of an archived event.
+    seen are over. Of a day the last row by time counts, in whatever batches they come: the state keeps what was before
+    the day and the day's last row. State goes when event time has passed the last day by the idle time of an archived event.
     """
 
+    def moved(before: tuple, day: int, new: str) -> tuple:
+        """State after a day with the phase new, from that before it."""
+        phase, risk, seen, moves = before
+        for idle in range(1, day - seen if phase is not None else 0):
+            risk = int(risk * math.exp(-0.693 * idle / half_life))
+        if phase is not None and new != phase:
+            risk, moves = max(0, min(100, risk + transitions.get((phase, new), 0))), moves + 1
+        return new, risk, day, moves
+
     def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        phase, risk, seen, moves = state.get if state.exists else (None, 0, None, 0)
-        days = pd.concat(list(rows)).sort_values(["day", "ts"], kind="stable").drop_duplicates("day", keep="last")
-        for day, new in zip(days.day, days.phase, strict=True):
-            if seen is not None and day < seen:
-                continue
-            for idle in range(1, int(day) - seen if seen is not None else 0):
-                risk = int(risk * math.exp(-0.693 * idle / half_life))
-            if phase is not None and new != phase:
-                risk = max(0, min(100, risk + transitions.get((phase, new), 0)))
-                moves += 1
-            phase, seen = new, int(day)
-        state.update((phase, risk, seen, moves))
-        state.setTimeoutTimestamp(max((seen + archive_days) * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        *before, day, at, now = state.get if state.exists else (None, 0, 0, 0, -1, 0, None)
+        whole = pd.concat(list(rows)).sort_values(["day", "micros"], kind="stable").drop_duplicates("day", keep="last")
+        for d, t, phase in zip(whole.day, whole.micros, whole.phase, strict=True):
+            if d > day:
+                if now is not None:
+                    before = moved(tuple(before), day, now)
+                day, at, now = int(d), int(t), phase
+            elif d == day and t >= at:
+                at, now = int(t), phase
+        state.update((*before, day, at, now))
+        state.setTimeoutTimestamp(max((day + archive_days) * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        phase, risk, seen, moves = moved(tuple(before), day, now)
         yield pd.DataFrame({"event_id": [key[0]], "phase": [phase], "risk": [risk], "last_day": [seen], "transitions": [moves]})
 
-    dated = stream.withWatermark("ts", delay).withColumn("day", F.unix_date(F.to_date("ts")))
-    return dated.groupBy("event_id").applyInPandasWithState(advance, "event_id long, phase string, risk int, last_day long, transitions int", "phase string, risk int, seen long, transitions int", "update", GroupStateTimeout.EventTimeTimeout)
+    dated = stream.withWatermark("ts", delay).withColumns({"day": F.unix_date(F.to_date("ts")), "micros": F.unix_micros("ts")})
+    kind = "phase string, risk int, seen long, moves int, day long, at long, now string"
+    return dated.groupBy("event_id").applyInPandasWithState(advance, "event_id long, phase string, risk int, last_day long, transitions int", kind, "update", GroupStateTimeout.EventTimeTimeout)

@@ -237,3 +237,65 @@ def test_feed_and_event_scans(spark, tmp_path):
         (tmp_path / f"ev/date={d}").mkdir(parents=True)
         (tmp_path / f"ev/date={d}/x.json").write_text(line + "\n")
     assert [r.event_id for r in scan.scan_events(spark, str(tmp_path / "ev"), "2024-01-03", 7).collect()] == ["e"]
+
+
+def test_null_titles_and_sources_are_not_one_item(spark):
+    rows = [(1, "u1", None, "s"), (2, "u2", "t", None), (3, "u3", None, None), (4, "u4", " T ", None), (5, "u5", "t", None), (6, None, "x", "s")]
+    got = N.dedup_news(spark.createDataFrame(rows, "pos int, url string, title string, source string")).collect()
+    assert {r.pos for r in got} == {1, 2, 3, 4}
+
+
+def test_evolution_takes_the_last_row_of_a_day(spark):
+    rows = [("e", DAY, 0, "a"), ("e", DAY + dt.timedelta(1), 1, "b"), ("e", DAY + dt.timedelta(1), 2, "a")]
+    got = R.evolve(spark.createDataFrame(rows, "event_id string, date date, pos int, phase string"), {("a", "b"): 40}, F.lit(DAY + dt.timedelta(1))).first()
+    assert (got.risk, got.phase, got.transitions) == (0, "a", 0)
+
+
+def test_diverse_sample_keeps_null_regions(spark):
+    rows = [(1, 1, "t", "s", None, "a"), (2, 2, "t", "s", "r", None), (3, 3, "t", "s", None, None)]
+    df = spark.createDataFrame(rows, "id int, pos int, title string, summary string, region string, source string")
+    assert {r.id for r in N.diverse_sample(df, 4).collect()} == {1, 2, 3}
+    assert N.diverse_sample(df.limit(0), 4).count() == 0
+
+
+def test_repeated_documents_are_judged_one_by_one(spark):
+    text = "# S\n- a\n- b"
+    df = spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id int, text string")
+    assert [r.issues for r in D.quality_summary(df, "en").collect()] == [r.issues for r in D.quality_summary(df.limit(1), "en").collect()] * 2
+    got = D.build_history(df, {"R": "S"}, "S", "none").collect()
+    assert sorted((r.doc_id, r.signals, r.regions) for r in got if r.doc_id == 1) == [(1, ["a", "b"], {"R": ["a", "b"]})] * 2
+    assert [(r.signals, r.clusters, r.regions, r.summary_excerpt) for r in got if r.doc_id == 2] == [(None, None, None, None)]
+    assert sorted((r.rank, r.item) for r in D.extract_section_items(df, "S").collect()) == [(1, "a"), (1, "a"), (2, "b"), (2, "b")]
+
+
+def test_first_date_that_reads(spark):
+    rows = [(1, "soon", "2024-01-02"), (2, " ", "later"), (3, "2024-01-03", "2024-01-01"), (4, None, None)]
+    got = spark.createDataFrame(rows, "id int, published string, updated string").select("id", scan.first_date("published", "updated").alias("d")).collect()
+    assert {r.id: r.d for r in got} == {1: "2024-01-02", 2: "later", 3: "2024-01-03", 4: None}
+
+
+def test_backfill_can_be_repeated(spark, tmp_path):
+    rows = spark.createDataFrame([(k, DAY + dt.timedelta(k % 3), ["a", "b"]) for k in range(6)], "event_id int, date date, sources array<string>")
+    path = str(tmp_path / "daily")
+    assert tuple(sinks.backfill(rows, path).first()) == (3, 6, 12)
+    assert tuple(sinks.backfill(rows, path, 1).first()) == (1, 2, 4) and spark.read.parquet(path).count() == 6
+
+
+def test_merges_unite_titles_and_sources(spark):
+    rows = [(1, "a", DAY, DAY, 3, ["x"]), (2, "b", DAY, DAY + dt.timedelta(1), 9, ["y", "x"]), (3, "c", DAY, DAY, 1, None)]
+    heads = spark.createDataFrame(rows, "event_id int, canonical_title string, first_seen date, last_seen date, peak_risk int, sources array<string>")
+    got = {r.event_id: r for r in E.apply_merges(heads, spark.createDataFrame([(2, 1)], "a int, b int")).collect()}
+    assert (got[1].canonical_title, got[1].aliases, got[1].evidence, got[1].peak_risk, got[1].merged) == ("a", ["b"], ["x", "y"], 9, 1)
+    assert (got[3].aliases, got[3].evidence, got[3].merged) == ([], [], 0)
+
+
+def test_merge_candidates_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(k, "t", str(k % 2), rng.sample("abcdefgh", rng.randint(0, 6))) for k in range(60)]
+    got = {(r.a, r.b): r.jaccard for r in E.merge_candidates(spark.createDataFrame(rows, "event_id int, event_type string, location string, actors array<string>")).collect()}
+    want = {}
+    for a, _, la, wa in rows:
+        for b, _, lb, wb in rows:
+            if a < b and la == lb and set(wa) | set(wb) and len(set(wa) & set(wb)) / len(set(wa) | set(wb)) > 0.6:
+                want[a, b] = len(set(wa) & set(wb)) / len(set(wa) | set(wb))
+    assert got == pytest.approx(want)

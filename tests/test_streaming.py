@@ -56,3 +56,14 @@ def test_evolution(spark, tmp_path):
         batch = evolve(days.filter(F.col("event_id") == e), {("a", "b"): 60, ("b", "a"): 7}, F.lit(DAY + dt.timedelta(8))).first()
         got = spark.table("evolution").filter(F.col("event_id") == e).first()
         assert (got.risk, got.phase) == (batch.risk, batch.phase)
+
+
+def test_evolution_takes_the_last_row_of_a_day(spark, tmp_path):
+    schema = "event_id long, ts timestamp, phase string"
+    for n, phase in enumerate("aba"):  # one day in three batches
+        spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 5 + n), phase)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        states = jobs.stream_evolution(stream, {("a", "b"): 60, ("b", "a"): 7}).writeStream.foreachBatch(lambda b, _: b.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("update")
+        states.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = [(r.phase, r.risk, r.transitions) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [("a", 0, 0), ("a", 0, 0), ("b", 0, 0)]
