@@ -12,7 +12,7 @@ from math import ceil
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.scratch import stored
@@ -22,13 +22,13 @@ SHARE = 1e-4  # of all documents, those that a word of the dictionary occurs in;
 CONTEXT = 40  # characters before and after a candidate
 KEYWORD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)"
 ASSIGN = KEYWORD + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-#: One alternation, so that a text is read once: keys with a known prefix, key files, assignments, long mixed tokens.
+#: One alternation: keys with a known prefix, key files, assignments, long mixed tokens (a token's digits may come late).
 CANDIDATE = (
     r"\bAKIA[0-9A-Z]{16}\b"
     r"|\b(?:ghp_|gho_|xox[abp]-|sk-|eyJ)[A-Za-z0-9_.-]{16,}"
     r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
     rf"|{ASSIGN}[^\s\"',;]{{6,}}"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}"
+    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 )
 FEATURES = ["length", "changes", "distinct", "digits", "upper", "symbols", "hex", "coverage", "in_path", "in_address", "keyword_before", "assigned", "quoted", "reference_before"]
 USER = r"://(?:[^\s/@:]{0,40}:)?$"  # before a token or password that a URL gives before its host
@@ -40,15 +40,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     start counts characters from 0. path is the document's source.
     """
-    hit = docs.select("doc_id", F.col("source").alias("path"), "text").filter(F.col("text").rlike(CANDIDATE))
-    found = hit.withColumns({"m": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), "gaps": F.split("text", CANDIDATE, -1)})
-    rows = found.select("doc_id", "path", F.explode(F.transform("m", lambda x, i: F.struct(
-        x.alias("match"),
-        F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) .alias("gap"),
-        F.aggregate(F.slice("m", 1, i), F.lit(0), lambda a, g: a + F.length(g)).alias("prior"),
-        F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"),
-        F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after"),
-    ))).alias("c")).select("doc_id", "path", "c.*")
+    found = docs.select("doc_id", F.col("source").alias("path"), "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("m")).filter("size(m) > 0")
+    found = found.withColumn("gaps", F.split("text", CANDIDATE, -1)).drop("text").withColumn("_doc", F.monotonically_increasing_id())
+    each = found.select("doc_id", "path", "_doc", F.posexplode(F.transform("m", lambda x, i: F.struct(x.alias("match"), F.length(F.get("gaps", i)).alias("gap"), F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after")))).alias("at", "c"))
+    order = Window.partitionBy("_doc").orderBy("at")  # over the candidates of one text
+    rows = each.select("doc_id", "path", "_doc", "at", "c.*").withColumns({"gap": F.sum("gap").over(order), "prior": F.sum(F.length("match")).over(order) - F.length("match")})
     head = F.regexp_extract("match", rf"^{ASSIGN}(?=[^\s\"',;]{{6,}})", 0)
     return rows.withColumn("head", head).select(
         "doc_id", "path", (F.col("gap") + F.col("prior") + F.length("head")).cast("long").alias("start"),

@@ -455,6 +455,20 @@ def test_secret_scan(spark, none):
     assert secret_scan.scan(none.withColumn("source", F.lit("s"))).count() == 0
 
 
+def test_secret_candidates_against_plain_scan(spark, docs):
+    pattern = re.compile(secret_scan.CANDIDATE)
+    extra = [(1, "Ab" * 35 + "9xyz end", "s"), (2, "x " + "Ab" * 300, "s"), (3, "é token: abcdef1 " * 500, None), (4, None, "s"), (4, "", "s"), (5, "a" * 40 + "1 " + "b" * 15 + "2 " + "c" * 14 + "3", "s"), (5, "a" * 40 + "1", "s")]
+    for df in (spark.createDataFrame(extra, "doc_id long, text string, source string"), docs):
+        want = Counter()
+        for r in df.collect():
+            for m in pattern.finditer(r.text or ""):
+                head = re.match(secret_scan.ASSIGN + "(?=[^\\s\"',;]{6,})", m[0])
+                start = m.start() + (len(head[0]) if head else 0)
+                want[r.doc_id, start, r.text[start : m.end()]] += 1
+        assert Counter((r.doc_id, r.start, r.secret) for r in secret_scan.candidates(df).collect()) == want
+    assert any(len(x[2]) == 74 for x in [(0, 0, r.secret) for r in secret_scan.candidates(spark.createDataFrame(extra[:1], "doc_id long, text string, source string")).collect()])
+
+
 def test_secret_scan_labels_by_provenance_only(spark):
     kinds = [
         ("bare {}bQ7xT2mLp9Zr4Kd8Wv end", None), ("hf {}Hx3-Lm9Qw2Zt7Rk4Vb6 end", None), ('aws_secret_access_key = "{}J/xUtnFEMI/K7MDENG/bPxRfiCYk9z" end', 1),
