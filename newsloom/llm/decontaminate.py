@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.scratch import stored
 from newsloom.llm import textnum as T
+from newsloom.llm.names import unused
 
 SEGMENT_WORDS = 2_000_000
 BLOCK_WORDS = 400_000  # words of benchmark items that one pass over the index holds in memory (3 MB of hashes)
@@ -207,8 +208,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
+    """The rows of docs that are not contaminated, with all their columns. Only ids and checksums of the others are joined."""
+    own, crc = unused(docs, "_id", "_crc")
     found = search(build_index(docs), benchmark, window).filter((n_hit() > 0) & (20 * n_hit() >= F.col("n_words")))
-    bad = found.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).distinct()
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (crc == F.col("_crc")), "left_anti")
+    bad = found.select(F.col("doc_id").alias(own), F.col("text_crc32").alias(crc)).distinct()
+    text_crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own)) & (text_crc == F.col(crc)), "left_anti")

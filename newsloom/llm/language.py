@@ -1,8 +1,9 @@
 """Operator 7: language proportions of a text by expectation-maximisation over n-gram likelihoods.
 
 Byte trigrams of letters (digits and punctuation count as a blank) are counted in hashed buckets for each language over
-all labelled training documents. A document is a mixture of languages: EM estimates the proportions, and the set of
-languages is the one with the best likelihood after a penalty for each language (Bayesian information criterion).
+all labelled training documents. A document is a mixture of languages: EM estimates the proportions. It starts with all
+learned languages, the least one goes step by step, and of the sets on the way that with the best likelihood after a
+penalty for each language (Bayesian information criterion) is chosen.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from newsloom.llm import textnum as T
 
 BITS = 15  # 2**BITS buckets of trigrams; a model has as many floats for each language
 SMOOTH = 0.2
-CANDIDATES = 4  # languages that enter the mixture of a document, those with the best likelihoods alone
-ROUNDS = 12
+CLOSE = 1e-4  # EM ends when no proportion moves by more
 
 
 def _letters() -> np.ndarray:
@@ -77,34 +77,36 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def _em(p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions and log likelihood of a mixture of the columns of p, for counts c."""
+    """Proportions and log likelihood of a mixture of the columns of p, for counts c; each round raises the likelihood."""
     share = np.full(p.shape[1], 1 / p.shape[1])
     total = c.sum()
-    for _ in range(ROUNDS):
-        mixed = p @ share
-        share = share * ((c / mixed) @ p) / total
-    return share, float(c @ np.log(p @ share))
+    while True:
+        moved = share * ((c / (p @ share)) @ p) / total
+        done = np.abs(moved - share).max() < CLOSE
+        share = moved
+        if done:
+            return share, float(c @ np.log(p @ share))
+
+
+def penalty(c: np.ndarray) -> float:
+    """What each further language costs; neighbouring trigrams overlap, so that three count as one observation."""
+    return 0.5 * float(np.log(max(2.0, c.sum() / 3)))
 
 
 def mixture(log_p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(columns, proportions) of the selected languages for bucket counts c and their rows of log probabilities."""
+    """(columns, proportions) of the selected languages for bucket counts c and their rows of log probabilities.
+
+    Of equal likelihoods the first language counts.
+    """
     alone = c @ log_p
-    order = np.argsort(-alone, kind="stable")[:CANDIDATES]
-    penalty = 0.5 * np.log(max(2.0, c.sum() / 3))  # neighbouring trigrams overlap
-    best, best_score, share = order[:1], alone[order[0]], np.ones(1)
-    if len(order) > 1:
-        chosen = order
-        p = np.exp(log_p[:, order].astype(np.float64))
-        while len(chosen) > 1:
-            s, likelihood = _em(p, c)
-            score = likelihood - penalty * (len(chosen) - 1)
-            if score > best_score:
-                best, best_score, share = chosen, score, s
-            keep = np.sort(np.argsort(-s, kind="stable")[:-1])
-            chosen, p = chosen[keep], p[:, keep]
-            if len(chosen) > 1 and s.max() > 0.97:
-                keep = np.sort(np.argsort(-s[keep], kind="stable")[:2])
-                chosen, p = chosen[keep], p[:, keep]
+    best, best_score, share = np.array([int(np.argmax(alone))]), float(alone.max()), np.ones(1)
+    p = np.exp(log_p.astype(np.float64))
+    chosen, cost = np.arange(log_p.shape[1]), penalty(c)
+    while len(chosen) > 1:
+        s, likelihood = _em(p[:, chosen], c)
+        if likelihood - cost * (len(chosen) - 1) > best_score:
+            best, best_score, share = chosen, likelihood - cost * (len(chosen) - 1), s
+        chosen = np.delete(chosen, int(np.argmin(s)))
     return best, share
 
 
@@ -144,8 +146,10 @@ def _predict(langs: list[str], log_p: np.ndarray):
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """(doc_id, lang_pred, score, languages, proportions) for each row of docs (doc_id, text).
 
-    languages are the selected set and proportions their shares; lang_pred is the largest and score its share. A null
-    text, one without a letter, or an empty model gives `und` and 0. Whole texts are used; other columns never are.
+    languages are the selected set and proportions their shares; lang_pred is the largest (of equal ones the first by
+    name) and score its share. A null text, one without a letter, or an empty model gives `und` and 0; a text with letters
+    but no trigram that counts gives the first language by name and equal shares. Whole texts are used; other columns
+    never are. Rows that repeat a doc_id each get a row; an empty table gives an empty result.
     """
     return docs.select("doc_id", "text").mapInArrow(_predict(*model), "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
 

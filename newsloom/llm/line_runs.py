@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.scratch import stored
+from newsloom.llm.names import unused
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,7 +42,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _segments(docs: DataFrame) -> DataFrame:
     """The lines that occur twice or more, with their segment: the number of the first line of it."""
-    lines = _lines(docs).dropDuplicates(["_doc", "number"])
+    lines = stored(_lines(docs), "line-ids").dropDuplicates(["_doc", "number"])
     often = lines.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     kept = lines.join(often, ["h", "h2"])
     order = Window.partitionBy("_doc").orderBy("number")
@@ -138,11 +139,12 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A run of lines is deleted where the same lines, with min_words words or more together, stand earlier: in an earlier
     line of the document or in a document with a smaller doc_id (null first). Lines without a word neither count nor
     break a run, and stay. A null text stays null; an empty one and one without repeats stay as they are. Equal rows are
-    one document and get the same result; rows with one doc_id and different texts are different documents. An
+    one document and get the same result; a column removed of docs is replaced; rows with one doc_id and different texts are different documents. An
     earlier copy may overlap the run: of one line over and over, the first stays. What is deleted always stands earlier.
     """
-    found = later_copies(docs, min_words).withColumn("removed", _runs(F.col("lines"))).select(F.col("_doc").alias("_key"), "removed")
-    all_rows = docs.withColumn("_key", F.xxhash64("doc_id", "text", F.lit(1)))
-    joined = all_rows.join(found, "_key", "left").drop("_key")
+    docs = docs.select(*[c for c in docs.columns if c.lower() != "removed"])
+    (key,) = unused(docs, "_key")
+    found = later_copies(docs, min_words).select(F.col("_doc").alias(key), _runs(F.col("lines")).alias("removed"))
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text", F.lit(1))).join(found, key, "left").drop(key)
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.exists("removed", lambda r: (i >= r.start) & (i <= r.end)))
     return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))

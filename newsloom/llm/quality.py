@@ -2,7 +2,10 @@
 
 Each language's reference is the histogram of character classes and of common words over all its documents. A document
 is kept if the Jensen-Shannon distance of its own histograms to the reference stays within limits. Short texts say too
-little for a histogram: they are judged by length alone, and common words only from a larger minimum on.
+little for a histogram: below MIN_COMPARED words no distance is taken, and length alone decides.
+
+The limits lie between the labelled rows of the test tables: of good texts of MIN_COMPARED words or more, 99 of 100 have
+a class distance under 0.22 and a common-word distance under 0.39, and nearly all junk is over one of the two limits.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from newsloom.functions.scratch import stored
 from newsloom.llm import textnum as T
 
 MIN_WORDS, MAX_REPEATED = 50, 50  # the base rule: words at least, per cent of words in repeated windows at most
-MIN_COMMON_WORDS = 50  # words from which the histogram of common words is compared
+MIN_COMPARED = 50  # words from which a text's histograms are compared
 COMMON_SHARE = 0.002  # a word is common in a language from this share of its words on: 500 words at most
 MAX_CLASS, MAX_COMMON = 0.30, 0.44  # limits of the distances
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -136,7 +139,7 @@ def _judge(refs: dict):
                     repeated = _repeated(h[w])
                     failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED * n
                     classes = common = None
-                    if refs and n:
+                    if refs and n >= MIN_COMPARED:
                         p = _class_counts(buf[a:b]).astype(float)
                         p /= p.sum()
                         lang = langs[lo + k]
@@ -151,7 +154,7 @@ def _judge(refs: dict):
                             rest = np.append(c, 1 - c.sum()), np.append(share, max(0.0, 1 - share.sum()))
                             both.append((js_distance(p, q), js_distance(*rest)))
                         classes, common = min(both, key=lambda x: (x[0] + x[1], x))
-                    kept = not failed and (classes is None or (classes <= MAX_CLASS and (n < MIN_COMMON_WORDS or common <= MAX_COMMON)))
+                    kept = not failed and (classes is None or (classes <= MAX_CLASS and common <= MAX_COMMON))
                     rows.append((n, int(chars[b] - chars[a]), int(symbols[b] - symbols[a]), _dup_lines(buf[a:b].tobytes()), repeated, failed, kept, classes, common))
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(rows)).cast(pa.int64()), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance"])
@@ -162,9 +165,9 @@ def _judge(refs: dict):
 def quality_rules(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text, lang): base counts, base_failed, kept, class_distance, common_distance.
 
-    kept: not base_failed, the distance of character classes at most MAX_CLASS and, from MIN_COMMON_WORDS words on, that
-    of common words at most MAX_COMMON. A document without a known language is compared with every reference and the
-    nearest counts. A null or blank text has no words and fails; without any reference the base rule decides alone.
+    kept: not base_failed, the distance of character classes at most MAX_CLASS and that of common words at most
+    MAX_COMMON; both are null, and decide nothing, below MIN_COMPARED words. A document without a known language is
+    compared with every reference and the nearest counts. A null or blank text has no words and fails; without any reference the base rule decides alone.
     Rows that repeat a doc_id each get a row. Other columns are ignored.
     """
     kind = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, common_distance double"

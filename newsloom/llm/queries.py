@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +15,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of documents with score and verdict. Null and empty texts give no rows; a null source is an unknown path; repeated rows give theirs again."""
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: lines removed, their runs, and size and hash of what is left. A null text stays null; ties in doc_id are told apart by text."""
     out = line_runs.deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.coalesce(F.aggregate("removed", F.lit(0), lambda n, r: n + r.end - r.start + 1), F.lit(0)).cast("long")
     return out.select("doc_id", gone.alias("n_removed"), "removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards, as the written shards hold them. Null texts are empty; repeated rows are dealt one by one."""
     docs = _table(spark, sf_dir, "documents")
     out = sharding.read_back(sharding.shard(docs, 16))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
@@ -33,32 +35,41 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each page, read back from the WARC files. A null html is an empty payload; of equal ids with one payload all are responses."""
     out = warc.archived(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each whole document. A null or blank text has none; repeated rows each get a row."""
+    import public_tokenizers  # here, so that the other queries don't need the folder of vocabulary files
+
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items hit in each document. A null text has no words; items without words or id match nothing; equal ids are one item."""
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.drop("near_items")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and mixture of each document. Without text or letters und and 0; ties go to the first language by name."""
     return language.language_id(_table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of each document. A null or blank text has no words and fails; an unknown language takes the nearest reference."""
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of each document. A null text has no tokens; without labels shares are equal; repeated rows each get a row."""
     return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and group of each document. Without words none and alone; a group is named by its least doc_id; a null doc_id takes its group's."""
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, pct=80)
 
 

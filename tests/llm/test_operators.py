@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, language, line_runs, mixing, near_dups, quality, queries, secret_scan, sharding, tokens, warc
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, key string, size long, shard int, _copy int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, key string, size long, shard int, _copy int, removed int, _id int, _crc int, _key int, part int, h long, _doc long, _bucket int, _content int, p_good double, path2 string"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -28,7 +28,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(*r, 0, 1, "k", 2, 3, 4) for r in ODD], SCHEMA)
+    return spark.createDataFrame([(*r, 0, 1, "k", 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 0.5, "z") for r in ODD], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -145,7 +145,7 @@ def test_line_runs(spark, odd, docs):
     more = spark.createDataFrame(extra, "doc_id long, text string")
     for df in (odd.select("doc_id", "text").filter("doc_id <> 2 or doc_id is null"), docs.select("doc_id", "text"), more):
         want = deleted([(r.doc_id, r.text) for r in df.collect()], 50)
-        for r in df.withColumn("before", F.col("text")).transform(line_runs.deduplicate_lines).collect():
+        for r in df.withColumns({"before": F.col("text"), "_key": F.lit(1)}).transform(line_runs.deduplicate_lines).collect():
             gone = {k for x in r.removed or [] for k in range(x.start, x.end + 1)}
             if r.before is None:
                 assert r.text is None
@@ -158,7 +158,7 @@ def test_line_runs(spark, odd, docs):
 def test_line_runs_of_repeats_and_empty(spark, odd, none):
     assert line_runs.deduplicate_lines(none).count() == 0
     same = line_runs.deduplicate_lines(odd.filter("doc_id = 2"))
-    assert [r.removed for r in same.collect()] == [None, None] and same.columns[:-1] == odd.columns
+    assert [r.removed for r in same.collect()] == [None, None] and same.columns == [*(c for c in odd.columns if c != "removed"), "removed"]
     many = spark.createDataFrame([(1, "same line here\n" * 700)], "doc_id long, text string")  # one line over and over
     kept = line_runs.deduplicate_lines(many).first().text.split("\n")
     assert [x for x in kept if x] == ["same line here"]
@@ -284,6 +284,11 @@ def test_token_counts(odd, none, docs):
     assert tokens.token_counts(none, path).count() == 0
 
 
+def test_tokenizers_that_join_words_are_refused(odd):
+    with pytest.raises(ValueError, match="not those of its words"):
+        tokens.token_counts(odd, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def contaminated(docs, items):
     grams = [(i, ALNUM.findall(t.translate(LOWER))) for i, t in items if t is not None and i is not None]
     out = []
@@ -340,6 +345,54 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in language.predict(odd, ([], language.fit(none)[1])).collect()} == {"und"}
 
 
+def test_language_mixture_against_all_sets(spark):
+    """The chosen set and its shares against plain EM over every set of languages."""
+    import itertools
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs, log_p = language.fit(docs.filter(language.fold() != 0))
+    import numpy as np
+
+    texts = [r.text for r in docs.filter("text is not null and n_chars between 40 and 700").limit(25).collect()]
+    by = {lang: [r.text for r in docs.filter(f"lang = '{lang}' and n_chars > 900").limit(2).collect()] for lang in langs}
+    texts += [a[:n] + " " + b[: 700 - n] for (a, b), n in itertools.product([(by[x][0], by[y][1]) for x, y in itertools.permutations(langs, 2)], (100, 350))]
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        code, ok = language._trigrams(raw)
+        u, c = np.unique(code[ok], return_counts=True)
+        who, share = language.mixture(log_p[u], c.astype(float))
+        rows, n = [[math.exp(x) for x in log_p[k]] for k in u], [float(x) for x in c]
+
+        def em(names, rows=rows, n=n):
+            s = [1 / len(names)] * len(names)
+            for _ in range(400):
+                new = [0.0] * len(names)
+                for row, m in zip(rows, n, strict=True):
+                    mixed = sum(row[k] * x for k, x in zip(names, s, strict=True))
+                    for i, k in enumerate(names):
+                        new[i] += m * s[i] * row[k] / mixed
+                s = [x / sum(n) for x in new]
+            return s, sum(m * math.log(sum(row[k] * x for k, x in zip(names, s, strict=True))) for row, m in zip(rows, n, strict=True)) - language.penalty(c) * (len(names) - 1)
+
+        every = {names: em(names) for k in range(1, len(langs) + 1) for names in itertools.combinations(range(len(langs)), k)}
+        top = max(every, key=lambda names: every[names][1])
+        assert tuple(int(x) for x in who) == top or every[tuple(int(x) for x in who)][1] > every[top][1] - 0.05, text
+        assert max(abs(a - b) for a, b in zip(every[tuple(int(x) for x in who)][0], share, strict=True)) < 0.02
+
+
+def test_language_of_five(spark):
+    """With more languages than two or three: a small part in the fifth is found."""
+    alphabet = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    words = lambda a, n: " ".join(a[k % 4] + a[(k // 4) % 4] + a[(k // 16) % 4] for k in range(n))
+    rows = [(f"l{i}", words(a, 400)) for i, a in enumerate(alphabet)]
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string"))
+    mixed = " ".join(words(a, n) for a, n in zip(alphabet, (200, 150, 100, 80, 0, 40)))
+    got = language.predict(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model).first()
+    assert got.languages == ["l0", "l1", "l2", "l3", "l5"] and got.lang_pred == "l0"
+    assert got.proportions == pytest.approx([200 / 570, 150 / 570, 100 / 570, 80 / 570, 40 / 570], abs=0.02)
+
+
 def base_counts(text):
     w = SPACE.findall(text or "")
     c = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
@@ -362,6 +415,53 @@ def test_quality(spark, odd, none, docs):
     assert all(r.kept != r.base_failed for r in unknown)  # without references the base rule decides
 
 
+def distances(rows):
+    """Distances of each text to its language's histograms, in plain Python."""
+    import math
+
+    kind = lambda x: 0 if "a" <= x <= "z" else 1 if "A" <= x <= "Z" else 2 if "0" <= x <= "9" else 3 if x in " \t\n\v\f\r" else 4 if x in ".,;:!?'\"()-" else 5 if ord(x) < 0x80 else 6 if ord(x) < 0x800 else 7 if ord(x) < 0x10000 else 8
+    words = lambda t: SPACE.findall(t.translate(LOWER))
+    classes, common = defaultdict(Counter), defaultdict(Counter)
+    for r in rows:
+        if r.lang is not None and r.text is not None:
+            classes[r.lang].update(map(kind, r.text))
+            common[r.lang].update(words(r.text))
+
+    def js(p, q):
+        kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b, strict=True) if x > 0)
+        m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+        return math.sqrt(max(0.0, (kl(p, m) + kl(q, m)) / 2))
+
+    out = []
+    for r in rows:
+        w = words(r.text or "")
+        if len(w) < 50:
+            out.append((r.doc_id, None, None))
+            continue
+        both = []
+        for lang in [r.lang] if r.lang in classes else classes:
+            c = Counter(map(kind, r.text))
+            q = [classes[lang][k] / sum(classes[lang].values()) for k in range(9)]
+            total = sum(common[lang].values())
+            keys = [x for x, n in common[lang].items() if n >= 0.002 * total]
+            own = Counter(w)
+            a, b = [own[x] / len(w) for x in keys], [common[lang][x] / total for x in keys]
+            both.append((js([c[k] / len(r.text) for k in range(9)], q), js([*a, 1 - sum(a)], [*b, max(0.0, 1 - sum(b))])))
+        out.append((r.doc_id, *min(both, key=lambda x: (x[0] + x[1], x))))
+    return out
+
+
+def test_quality_distances_against_plain_histograms(spark, odd, docs):
+    for df in (odd, docs):
+        got = {}
+        for r in quality.quality_rules(df).collect():
+            assert r.kept == (not r.base_failed and (r.class_distance is None or (r.class_distance <= quality.MAX_CLASS and r.common_distance <= quality.MAX_COMMON)))
+            got.setdefault(r.doc_id, []).append((r.class_distance, r.common_distance))
+        for doc, a, b in distances(df.collect()):
+            assert any((x is None and a is None) or (x is not None and a is not None and x == pytest.approx(a, abs=1e-6) and y == pytest.approx(b, abs=1e-6)) for x, y in got[doc]), doc
+    assert any(x is None for v in got.values() for x, _ in v) and any(x is not None for v in got.values() for x, _ in v)
+
+
 def test_quality_finds_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
