@@ -187,12 +187,21 @@ def h6_extract_codes(spark, d):
     return table(spark, d, "part").select("p_partkey", S.extract_codes(F.col("p_name"), _NAMES, 3).isNotNull().alias("has"))
 
 
-@query()
+_HAS = "CASE WHEN contains(t, '{0}') THEN '{1}' END"
+_NOT_WORD = "[^\\p{L}\\p{M}\\p{N}_]+"
+
+
+@query(f"""WITH {NEWS}, x AS (SELECT id, title, lower(title) AS t FROM news),
+c AS (SELECT *, list_filter([{", ".join(_HAS.format(n, c) for n, c in (("keit", "KEIT"), ("aux", "AUX"), ("the", "THE")))}], lambda v: v IS NOT NULL)[1:2] AS who, list_filter([{_HAS.format("tion", "TION")}, CASE WHEN regexp_matches(title, '(?i)(^|[^\\p{{L}}])en([^\\p{{L}}]|$)') THEN 'EN' END], lambda v: v IS NOT NULL) AS rest FROM x),
+k AS (SELECT *, list_concat(who, rest) AS codes FROM c)
+SELECT id, CASE WHEN len(codes) >= 2 THEN lower(array_to_string(codes, '-')) WHEN contains(t, 'rights') AND NOT contains(t, 'mit') THEN 'rights' ELSE substr(trim(regexp_replace(t, '{_NOT_WORD}', '-', 'g'), '-'), 1, 30) || '-' || substr(md5(title), 1, 8) END AS event_id FROM k""")
 def h5_canonical_event_id(spark, d):
     return news(spark, d).select("id", S.canonical_event_id(F.col("title"), [("aux", "AUX"), ("keit", "KEIT"), ("the", "THE")], [("tion", "TION")], [("en", "EN")], [("rights", 9, ["rights"], ["mit"])]).alias("event_id"))
 
 
-@query()
+@query(f"""WITH {NEWS}, x AS (SELECT id, title, lower(title) AS t, upper(region) AS region, upper(source) AS source FROM news),
+c AS (SELECT *, list_filter([{", ".join(_HAS.format(n, c) for n, c in (("keit", "KEIT"), ("the", "THE")))}], lambda v: v IS NOT NULL) AS who FROM x)
+SELECT id, region || '|' || CASE WHEN len(who) > 0 THEN array_to_string(list_sort(who), ',') ELSE source END || '|' || substr(source, 1, 30) || '|' || coalesce({_HAS.format("tion", "TION")}, upper(replace(trim(regexp_replace(substr(title, 1, 40), '{_NOT_WORD}', '_', 'g'), '_'), 'ß', 'SS'))) AS identity_key FROM c""")
 def h4_derive_identity(spark, d):
     return news(spark, d).select("id", S.derive_identity(F.col("title"), F.array("source"), F.lit(None).cast("string"), F.array("region", "source"), [("keit", "KEIT"), ("the", "THE")], [("tion", "TION")]).alias("identity_key"))
 
@@ -277,7 +286,15 @@ def d4_score_themes(spark, d):
     return _theme_scores(spark, d)
 
 
-@query()
+_RANK = "CASE WHEN {0} >= 80 THEN 4 WHEN {0} >= 60 THEN 3 WHEN {0} >= 35 THEN 2 ELSE 1 END"
+_RATE = "CASE l " + " ".join(f"WHEN {k} THEN {V.LEVEL_RATES.get(n, 0.80)}" for k, n in enumerate("CBAS", 1)) + " END"
+
+
+@query(f"""WITH {_TS}, f AS (SELECT bool_or(contains(lower(text), 'license')) AND bool_or(contains(lower(text), 'token')) AS one, bool_or(contains(lower(text), 'nowhere to be found')) AS two FROM documents),
+a AS (SELECT theme, least(100, score + CASE WHEN one THEN 10 ELSE 0 END + CASE WHEN two THEN 50 ELSE 0 END)::DOUBLE AS s1, greatest({_RANK.format("score")}, CASE WHEN one THEN 3 ELSE 1 END, CASE WHEN two THEN 4 ELSE 1 END) AS l0 FROM tl, f),
+b AS (SELECT theme, floor(s1 * CASE WHEN theme = 'rights' THEN 0.8 ELSE 1.0 END::DOUBLE + 1e-9) AS s2, greatest(l0, {_RANK.format("s1")}) AS l1 FROM a),
+e AS (SELECT theme, s2, greatest(l1, {_RANK.format("s2")}) AS l, date_diff('hour', coalesce((SELECT min(DATE '{DAY}' - CAST(doc_id % 40 AS INT)) FROM hit WHERE hit.theme = b.theme AND doc_id % 40 < 30), DATE '{DAY}')::TIMESTAMP, TIMESTAMP '{DAY}') AS h FROM b)
+SELECT theme, CAST(floor(s2 * CASE WHEN h <= 0 THEN 1.0 ELSE greatest(0.1, round(pow(({_RATE})::DOUBLE, h / 48.0::DOUBLE), 3)) END::DOUBLE + 1e-9) AS INT) AS score, ['C', 'B', 'A', 'S'][l] AS signal_level FROM e""")
 def d5_escalate_themes(spark, d):
     rules = [{"triggers": ["license", "token"], "bonus": 10, "level": "A"}, {"triggers": ["nowhere to be found"], "bonus": 50, "level": "S"}]
     leans = spark.range(1).select(F.lit("rights").alias("theme"), F.lit(True).alias("divergent"))
@@ -434,21 +451,30 @@ def _market(spark, d):
     return e.groupBy(F.when(F.col("event_type") == "view", "us10y").when(F.col("event_type") == "click", "us2y").otherwise(F.col("event_type")).alias("key")).agg(F.round(F.avg("value"), 4).alias("price"), (-F.round(F.avg("value") / 100, 4)).alias("change_pct"))
 
 
-@query("""WITH m AS (SELECT CASE event_type WHEN 'view' THEN 'us10y' WHEN 'click' THEN 'us2y' ELSE event_type END AS key, round(avg(value), 4) AS price, -round(avg(value) / 100, 4) AS change_pct FROM events GROUP BY 1),
-h AS (SELECT 'oil' AS chain FROM m WHERE key = 'us10y' AND price > 50 UNION ALL SELECT 'oil' FROM m WHERE key = 'us2y' AND change_pct < -1 UNION ALL SELECT 'gold' FROM m AS a, m AS b WHERE a.key = 'us10y' AND b.key = 'us2y' AND a.price - b.price < 1000 UNION ALL SELECT 'gold' FROM m WHERE key = 'us2y' AND abs(change_pct) > 5)
-SELECT chain, count(*) AS nodes, 5 * count(*) AS bonus FROM h GROUP BY chain""")
+_CHAINS = """mk AS (SELECT CASE event_type WHEN 'view' THEN 'us10y' WHEN 'click' THEN 'us2y' ELSE event_type END AS key, round(avg(value), 4) AS price, -round(avg(value) / 100, 4) AS change_pct FROM events GROUP BY 1),
+ch AS (SELECT 'oil' AS chain FROM mk WHERE key = 'us10y' AND price > 50 UNION ALL SELECT 'oil' FROM mk WHERE key = 'us2y' AND change_pct < -1 UNION ALL SELECT 'gold' FROM mk AS a, mk AS b WHERE a.key = 'us10y' AND b.key = 'us2y' AND a.price - b.price < 1000 UNION ALL SELECT 'gold' FROM mk WHERE key = 'us2y' AND abs(change_pct) > 5),
+fired AS (SELECT chain, count(*) AS nodes, 5 * count(*) AS bonus FROM ch GROUP BY chain)"""
+
+
+@query(f"WITH {_CHAINS} SELECT * FROM fired")
 def c11_chain_triggers(spark, d):
     return R.chain_triggers(spark.createDataFrame(_ANCH, "chain string, node string, indicator string, threshold double, direction string"), _market(spark, d))
 
 
-@query()
+@query(f"""WITH {_TS}, {_CHAINS}, b AS (SELECT coalesce(sum(bonus), 0) AS bonus, count(*) AS chains FROM fired)
+SELECT CAST(least(100, floor((SELECT avg(score) FROM tl) + bonus + CASE WHEN chains >= 3 THEN 20 WHEN chains = 2 THEN 10 ELSE 0 END + 1e-9)) AS INT) AS stress, chains FROM b""")
 def d6_global_stress(spark, d):
     chains = R.chain_triggers(spark.createDataFrame(_ANCH, "chain string, node string, indicator string, threshold double, direction string"), _market(spark, d))
     return R.global_stress(_theme_scores(spark, d), chains)
 
 
 # ---- search and merging ----
-@query()
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws, contains(lower(text), 'licensed apach') AS sub FROM documents),
+n AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda w: w = 'licensed')) AS f0, len(list_filter(ws, lambda w: starts_with(w, 'apach'))) AS f1, sub FROM t),
+s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (WHERE f0 > 0) AS d0, count(*) FILTER (WHERE f1 > 0) AS d1 FROM n),
+r AS (SELECT doc_id, f0 > 0 AND f1 > 0 AS ranked, round(ln(1 + (docs - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * f0 * 2.2::DOUBLE / (f0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) + ln(1 + (docs - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * f1 * 2.2::DOUBLE / (f1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)), 6) AS score, sub FROM n, s),
+o AS (SELECT * FROM r WHERE ranked OR sub ORDER BY ranked DESC, CASE WHEN ranked THEN score END DESC, doc_id LIMIT 20)
+SELECT doc_id, CASE WHEN ranked THEN score ELSE 0.0 END::DOUBLE AS score, ranked FROM o WHERE ranked = (SELECT bool_or(ranked) FROM o)""")
 def c14_search(spark, d):
     return E.search(table(spark, d, "documents"), ["licensed", "apach*"], 20)
 

@@ -177,7 +177,18 @@ def e10_links_by_region(spark, d):
     return N.links_by_region(news(spark, d), 5)
 
 
-@query()
+def _picks(n: int) -> str:
+    """The best item of each round, given those picked before."""
+    out = []
+    for k in range(n):
+        before = " UNION ALL ".join(f"SELECT * FROM pick{j}" for j in range(k)) or "SELECT * FROM base WHERE false"
+        old = lambda c: f"{c} IN (SELECT {c} FROM ({before}))"  # noqa: B023, E731
+        out.append(f"pick{k} AS MATERIALIZED (SELECT * FROM base WHERE NOT {old('id')} ORDER BY CASE WHEN {old('region')} THEN 0 ELSE 1 END * w * 30 + CASE WHEN {old('source')} THEN 0 ELSE 1 END * 15 + fixed DESC, pos LIMIT 1)")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT id, region, source, CAST({k} AS INT) AS pick FROM pick{k}" for k in range(n))
+
+
+@query(f"""WITH {NEWS}, s AS (SELECT region, 1.0::DOUBLE / (count(*) / (SELECT count(*) FROM news)::DOUBLE + 0.01) AS w FROM news GROUP BY region),
+base AS (SELECT id, pos, news.region, source, w, w * 20 + (least(length(summary), 200) / 200::DOUBLE * 15 + least(length(title), 100) / 100::DOUBLE * 10) AS fixed FROM news JOIN s ON s.region = news.region), {_picks(4)}""")
 def e12_diverse_sample(spark, d):
     return N.diverse_sample(news(spark, d), 4).select("id", "region", "source", "pick")
 
@@ -246,9 +257,15 @@ def a1_scan_feed_entries(spark, d):
     return scan.scan_feed_entries(n, as_of()).select("id", "summary")
 
 
-@query()
+_ANCHOR = "(?is)<a\\b[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a>"
+
+
+@query(rf"""WITH f AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract(url, '^(https?://[^?#]*/)', 1) AS base, regexp_extract_all(html, '{_ANCHOR}', 1) AS hs, regexp_extract_all(html, '{_ANCHOR}', 2) AS ts FROM pages),
+l AS (SELECT page_id, host, CASE WHEN base = '' THEN host || '/' ELSE base END AS base, i - 1 AS pos, trim(hs[i]) AS href, trim(regexp_replace(regexp_replace(ts[i], '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM (SELECT *, unnest(range(1, least(30, len(hs)) + 1)) AS i FROM f)),
+u AS (SELECT page_id, pos, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN host || href WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(href, '#') OR href = '' THEN NULL ELSE base || href END AS url, title FROM l)
+SELECT page_id, CAST(pos AS INT) AS pos, url, title, coalesce(nullif(replace(regexp_extract(url, '/(\d{{4}}/\d{{1,2}}/\d{{1,2}})/', 1), '/', '-'), ''), '{AS_OF}') AS published FROM u WHERE url IS NOT NULL AND length(title) >= 3 AND (NOT {_any(["au"], "lower(title)")} OR {_any(["eau"], "lower(title)")})""")
 def a2_scan_page_links(spark, d):
-    return scan.scan_page_links(table(spark, d, "pages"), as_of())
+    return scan.scan_page_links(table(spark, d, "pages"), as_of(), 30, 3, ["au"], ["eau"])
 
 
 @query(f"WITH {_URLS} SELECT DISTINCT md5(url) AS url_hash FROM nu WHERE url <> ''")

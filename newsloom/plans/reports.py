@@ -301,12 +301,25 @@ def i5_split_chapters(spark, d):
     return D.split_chapters(table(spark, d, "pages"))
 
 
-@query()
+_TAGS = "list_transform(regexp_extract_all(html, '(?is)<{0}\\b[^>]*>(.*?)</{0}>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))"
+
+
+def _between(label: str, labels: list[str]) -> str:
+    """What follows the label, up to the next label or the end."""
+    rest = f"regexp_replace(substr(p, instr(p, '{label}') + {len(label)}), '^\\s*[:：]?\\s*', '')"
+    ends = ", ".join(f"nullif(instr({rest}, '{x}'), 0)" for x in labels)
+    return f"CASE WHEN contains(p, '{label}') THEN nullif(trim(substr({rest}, 1, coalesce(least({ends}), length({rest}) + 1) - 1)), '') END AS \"{label}\""
+
+
+_LABELS = ["the", "and", "of"]
+
+
+@query(f"""WITH w AS (SELECT page_id, list_filter({_TAGS.format('p')}, lambda p: contains(p, 'the')) AS ps FROM pages), r AS (SELECT page_id, CAST(i - 1 AS INT) AS n, ps[i] AS p FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM w))
+SELECT page_id, n, {", ".join(_between(x, _LABELS) for x in _LABELS)} FROM r""")
 def i6_extract_cards(spark, d):
-    return D.extract_cards(table(spark, d, "pages"), ["the", "and", "of"])
+    return D.extract_cards(table(spark, d, "pages"), _LABELS)
 
 
-_TAGS = "list_transform(regexp_extract_all(html, '(?is)<{0}\\b[^>]*>(.*?)</{0}>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))"
 
 
 @query(f"SELECT page_id, array_to_string(({_TAGS.format('h2')})[1:10], chr(10)) AS headings, array_to_string(list_transform((list_filter({_TAGS.format('p')}, lambda x: length(x) > 20 AND length(x) < 500))[1:5], lambda x: substr(x, 1, 100)), chr(10)) AS paragraphs FROM pages")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import events, news, registry, reports  # noqa: F401  importing a plan module registers its queries
+from newsloom.plans import events, news, registry, reports, stores  # noqa: F401  importing a plan module registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,25 +57,89 @@ def relevant(df: DataFrame, noise: list[str], priority: list[str]) -> DataFrame:
     return df.filter(~S.has_any(text, noise) | S.has_any(text, priority))
 
 
-ANCHOR = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+DATED = re.compile("date|time|publish", re.I)
+LINKS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("href", "text", "time", "dated")]))
+
+
+class _Page(HTMLParser):
+    """A page as a tree of (tag, attributes, parent, parts), parts being texts and elements; its anchors in order."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.at: tuple = ("", {}, None, [])
+        self.anchors: list[tuple] = []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        element = (tag, dict(attrs), self.at, [])
+        self.at[3].append(element)
+        if tag == "a":
+            self.anchors.append(element)
+        if tag not in VOID:
+            self.at = element
+
+    def handle_endtag(self, tag):
+        up = self.at
+        while up is not None and up[0] != tag:
+            up = up[2]
+        if up is not None and up[2] is not None:
+            self.at = up[2]
+
+    def handle_data(self, data):
+        self.at[3].append(data)
+
+
+def _inside(element: tuple) -> Iterator[tuple]:
+    for part in element[3]:
+        if not isinstance(part, str):
+            yield part
+            yield from _inside(part)
+
+
+def _text(element: tuple) -> str:
+    return " ".join(" ".join(p if isinstance(p, str) else _text(p) for p in element[3]).split())
+
+
+def _stamp(element: tuple) -> str:
+    """The datetime of the first time element inside; empty without one."""
+    first = next((e for e in _inside(element) if e[0] == "time"), None)
+    return ((first[1].get("datetime") if first else None) or "").strip()
+
+
+@F.pandas_udf(LINKS)
+def page_links(html: pd.Series) -> pd.Series:
+    """Anchors of pages with their texts, the time in them or else in their parent, and the parent's first dated text."""
+
+    def found(x: str | None) -> list[dict]:
+        out = []
+        for a in _Page(x or "").anchors:
+            near = (_text(e) for e in _inside(a[2]) if DATED.search(e[1].get("class") or ""))
+            out.append({"href": (a[1].get("href") or "").strip(), "text": _text(a), "time": _stamp(a) or _stamp(a[2]), "dated": next((t[:25] for t in near if len(t) >= 8), "")})
+        return out
+
+    return html.map(found)
 
 
-def scan_page_links(pages: DataFrame, as_of: Column, per_page: int = 30, min_text: int = 10) -> DataFrame:
+def scan_page_links(pages: DataFrame, as_of: Column, per_page: int = 30, min_text: int = 10, noise: list[str] = (), priority: list[str] = ()) -> DataFrame:
     """A2 and A3: (page_id, url, html) to links (page_id, pos, url, title, published).
 
     The first per_page anchors; text of min_text characters or more; relative addresses completed with the page's host;
-    others than http dropped. published: the first time element of the page, a date in the link's path, or as_of.
+    others than http and irrelevant titles (B1) dropped. published: the time element in the anchor, else in its parent,
+    else a date in the link's path, else a text of the parent's classes for dates, else as_of.
     """
     host = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     base = F.regexp_extract("url", r"^(https?://[^?#]*/)", 1)
-    found = pages.select("page_id", host.alias("_host"), F.when(base == "", F.concat(host, F.lit("/"))).otherwise(base).alias("_base"), F.regexp_extract("html", r"(?is)<time\b[^>]*datetime\s*=\s*[\"']([^\"']+)", 1).alias("_time"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("_href"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("_text"))
-    rows = found.select("page_id", "_host", "_base", "_time", F.posexplode(F.slice(F.arrays_zip("_href", "_text"), 1, per_page)).alias("pos", "_a"))
-    href = F.trim("_a._href")
+    rows = pages.select("page_id", host.alias("_host"), F.when(base == "", F.concat(host, F.lit("/"))).otherwise(base).alias("_base"), F.posexplode(F.slice(page_links("html"), 1, per_page)).alias("pos", "_a"))
+    href = F.col("_a.href")
     full = F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat("_host", href)).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(href.startswith("#") | (href == ""), None).otherwise(F.concat("_base", href))
-    rows = rows.select("page_id", "pos", full.alias("url"), strip_tags(F.col("_a._text")).alias("title"), "_time")
+    rows = rows.select("page_id", "pos", full.alias("url"), F.col("_a.text").alias("title"), F.col("_a.time").alias("_time"), F.col("_a.dated").alias("_dated"))
     dated = F.regexp_replace(F.regexp_extract("url", r"/(\d{4}/\d{1,2}/\d{1,2})/", 1), "/", "-")
-    rows = rows.withColumn("published", F.coalesce(F.nullif("_time", F.lit("")), F.nullif(dated, F.lit("")), F.date_format(as_of, "yyyy-MM-dd")))
-    return rows.filter(F.col("url").isNotNull() & (F.length("title") >= min_text)).drop("_time")
+    some = lambda c: F.nullif(c, F.lit(""))
+    rows = rows.withColumn("published", F.coalesce(some(F.col("_time")), some(dated), some(F.col("_dated")), F.date_format(as_of, "yyyy-MM-dd")))
+    rows = rows.filter(F.col("url").isNotNull() & (F.length("title") >= min_text)).drop("_time", "_dated").withColumn("summary", F.lit(None).cast("string"))
+    return relevant(rows, list(noise), list(priority)).drop("summary")
 
 
 def select_sources(sources: DataFrame, limit: int | None = None) -> DataFrame:
