@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.scratch import stored
+from newsloom.functions.scratch import stored, temporary
 from newsloom.llm import decontaminate, mixing, near_dups, quality, sharding
 
 
@@ -42,9 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written and read again before the next."""
+    """All stages over documents, each stage's rows written and read again before the next; what a stage stored for itself
+    is deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary(spark) as kept:
+            kept.append(name.replace(" ", "-"))
+            docs = stored(stage(spark, docs, sf_dir), kept[0])
     out = STAGES[-1][1](spark, docs, sf_dir)
     return out.select("doc_id", sharding.text_size().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source", "shard", "slot")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.scratch import stored
+from newsloom.functions.scratch import discard_before, stored
 
 
 PER_FILE = 250_000  # edges of a task that writes a round; the number of edges never grows
@@ -29,14 +31,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for each node with an edge; component is the least node that it reaches.
 
     Edges with a null end and loops are ignored. Each round is written to the shared folder; only a count and a
-    checksum of a round's edges reach the driver.
+    checksum of a round's edges reach the driver, and the round before is deleted.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
-    e = stored(e, "components")
+    table = f"components-{uuid.uuid4().hex}"
+    e = stored(e, table)
     files = 1 + e.count() // PER_FILE
     last = None
     while True:
-        e = stored(_small_star(_large_star(e)).coalesce(files), "components")
+        e = discard_before(_small_star(_large_star(e)).coalesce(files), table)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
             break

@@ -299,3 +299,18 @@ def test_merge_candidates_against_all_pairs(spark):
             if a < b and la == lb and set(wa) | set(wb) and len(set(wa) & set(wb)) / len(set(wa) | set(wb)) > 0.6:
                 want[a, b] = len(set(wa) & set(wb)) / len(set(wa) | set(wb))
     assert got == pytest.approx(want)
+
+
+def test_stored_tables_are_deleted(spark):
+    import os
+
+    from newsloom.functions import scratch
+
+    root = scratch.shared_dir(spark).removeprefix("file:")
+    with scratch.temporary(spark) as kept:
+        for name in ("one-a", "two", "two"):
+            left = scratch.stored(spark.range(3), name)
+        rounds = scratch.discard_before(spark.range(4), "one-a")
+        assert rounds.count() == 4 and len([x for x in os.listdir(root) if x.startswith("one-a-")]) == 1
+        kept.append("two")
+    assert left.count() == 3 and [x for x in os.listdir(root) if x.startswith("one-a-")] == [] and len([x for x in os.listdir(root) if x.startswith("two-")]) == 1
