@@ -24,6 +24,7 @@ from newsloom.functions.scratch import stored
 from newsloom.llm.names import unused
 
 MIN_WORDS = 50
+HOT = 1000  # copies of a line from which it is looked up in a table of its own
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,11 +41,23 @@ def _lines(docs: DataFrame) -> DataFrame:
     return full.select("doc_id", "_doc", F.posexplode("_parts").alias("number", "_p")).select("doc_id", "_doc", "number", "_p.*")
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """The lines of docs, those of equal rows once."""
+    lines = stored(_lines(docs), "line-ids")
+    again = _documents(docs).groupBy("_doc").agg(F.count("*").alias("n")).filter("n > 1").select("_doc")
+    again = stored(again, "line-repeated-rows")  # written, so that Spark knows how small it is
+    return lines.join(again, "_doc", "left_anti").unionByName(lines.join(again, "_doc", "left_semi").dropDuplicates(["_doc", "number"]))
+
+
 def _segments(docs: DataFrame) -> DataFrame:
-    """The lines that occur twice or more, with their segment: the number of the first line of it."""
-    lines = stored(_lines(docs), "line-ids").dropDuplicates(["_doc", "number"])
-    often = lines.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    kept = lines.join(often, ["h", "h2"])
+    """The lines that occur twice or more, with their segment: the number of the first line of it.
+
+    Lines that occur more than HOT times are looked up apart: their table is small, and no task gets all rows of one.
+    """
+    lines = _once(docs)
+    often = stored(lines.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1"), "line-counts")
+    hot = stored(often.filter(F.col("n") > HOT).select("h", "h2"), "line-hot")
+    kept = lines.join(hot, ["h", "h2"], "left_semi").unionByName(lines.join(hot, ["h", "h2"], "left_anti").join(often.select("h", "h2"), ["h", "h2"], "left_semi"))
     order = Window.partitionBy("_doc").orderBy("number")
     return kept.withColumn("segment", F.col("number") - F.row_number().over(order))
 
