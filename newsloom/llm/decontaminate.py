@@ -177,15 +177,19 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int =
     An item's windows are its runs of window words, or the whole item where it has fewer. items have a window that
     occurs word for word; near_items have one whose words all stand within slop words of their place. Items without a
     word or an item_id match nothing; equal ids are one item. Benchmark items are taken in blocks of bounded size, one
-    pass over the index each.
+    pass over the index each; with several blocks the driver holds one at a time, and each one's matches are written.
+    Words are compared by 64-bit hashes: a window matches wrongly only if all its words' hashes meet by chance.
     """
     kind = "doc_id long, text_crc32 long, n_words long, spans array<struct<start:long,end:long>>, items array<string>, near_items array<string>, _segment string, _row long"
-    parts = [index.mapInArrow(_searcher(block, window, slop), kind) for block in _blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0].drop("_segment", "_row")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    blocks = _blocks(benchmark)
+    block, following = next(blocks), next(blocks, None)
+    one = lambda b: index.mapInArrow(_searcher(b, window, slop), kind)
+    if following is None:
+        return one(block).drop("_segment", "_row")
+    every = stored(one(block), "matches")
+    while following is not None:
+        every = every.unionByName(stored(one(following), "matches"))
+        following = next(blocks, None)
     whole = every.groupBy("_segment", "_row").agg(F.first("doc_id").alias("doc_id"), F.first("text_crc32").alias("text_crc32"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"))
     return whole.drop("_segment", "_row")
 
