@@ -127,7 +127,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, limit: float = 0.5)
     1 and all candidates stay. Null and empty texts have no candidates; a null source is an unknown path. Rows that
     repeat a document give its candidates again.
     """
-    found = featured(candidates(docs), docs)
+    found = stored(featured(candidates(docs), docs), "secret-features")  # read by every pass of the forest
     known = labelled(found) if findings is None else found.join(findings.groupBy("doc_id", "start").agg(F.max("is_secret").alias("is_secret")), ["doc_id", "start"])
     model = fit_forest(known)
     if model is None:
