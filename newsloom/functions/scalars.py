@@ -69,7 +69,10 @@ def fingerprint(title: Column | str, source: Column | str) -> Column:
 
 def valid_url(url: Column | str) -> Column:
     u = col(url)
-    return F.coalesce(u.rlike(r"^https?://") & ~F.lower(u).rlike(words_pattern(["xxxx", "placeholder", "example.com/test"])) & ~u.rlike(r"/a-\d+"), F.lit(False))
+    return F.coalesce(
+        u.rlike(r"^https?://") & ~F.lower(u).rlike(words_pattern(["xxxx", "placeholder", "example.com/test"])) & ~u.rlike(r"/a-\d+"),
+        F.lit(False)
+    )
 
 
 def _code(text: Column) -> Column:
@@ -78,8 +81,13 @@ def _code(text: Column) -> Column:
 
 def identity_key(event_type: Column, actors: Column, location: Column, obj: Column) -> Column:
     """TYPE|ACTORS|LOCATION|OBJECT: mapped type, the first three distinct upper-case actors in order, coded places."""
-    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in V.EVENT_TYPES.items() for x in kv]), event_type), F.replace(F.upper(event_type), F.lit(" "), F.lit("_")))
-    names = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(actors, F.array().cast("array<string>")), lambda a: F.upper(F.trim(a))), lambda a: a != "")))
+    kind = F.coalesce(
+        F.try_element_at(F.create_map(*[F.lit(x) for kv in V.EVENT_TYPES.items() for x in kv]), event_type),
+        F.replace(F.upper(event_type), F.lit(" "), F.lit("_"))
+    )
+    names = F.array_sort(F.array_distinct(F.filter(
+        F.transform(F.coalesce(actors, F.array().cast("array<string>")), lambda a: F.upper(F.trim(a))), lambda a: a != ""
+    )))
     return F.concat_ws("|", F.coalesce(kind, F.lit("")), F.array_join(F.slice(names, 1, 3), ","), _code(location), _code(obj))
 
 
@@ -114,7 +122,10 @@ def derive_identity(title: Column, actors: Column, phase: Column, domains: Colum
     kind = F.coalesce(F.nullif(F.upper(phase), F.lit("")), _code(F.get(domains, 0)), F.lit("GEOPOLITICAL"))
     did = F.get(extract_codes(title, actions, 2), 0)
     slug = F.upper(F.regexp_replace(F.regexp_replace(F.substring(title, 1, 40), r"(?U)[^\w]+", "_"), "^_+|_+$", ""))
-    return identity_key(F.coalesce(F.nullif(kind, F.lit("")), F.lit("GEOPOLITICAL")), who, F.substring(_code(F.get(domains, 1)), 1, 30), F.coalesce(did, slug))
+    return identity_key(
+        F.coalesce(F.nullif(kind, F.lit("")), F.lit("GEOPOLITICAL")), who, F.substring(_code(F.get(domains, 1)), 1, 30),
+        F.coalesce(did, slug)
+    )
 
 
 def canonical_event_id(title: Column, entities: list, actions: list, topics: list, aliases: list[tuple[str, int, list[str], list[str]]]) -> Column:
@@ -134,7 +145,10 @@ def canonical_event_id(title: Column, entities: list, actions: list, topics: lis
 def parsed_time(text: Column | str) -> Column:
     """The first format that fits, as a timestamp; null where none does."""
     t = F.regexp_replace(F.regexp_replace(F.trim(col(text)), r"^[A-Za-z]{3,9},\s*", ""), r"\s+(?:GMT|UTC)$", " +0000")
-    formats = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ssXXX", "dd MMM yyyy HH:mm:ss xx", "dd MMM yyyy HH:mm:ss")
+    formats = (
+        "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ssXXX", "dd MMM yyyy HH:mm:ss xx",
+        "dd MMM yyyy HH:mm:ss"
+    )
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])
 
 
@@ -151,7 +165,10 @@ def time_decay(ts: Column, as_of: Column, half_life: float = 72) -> Column:
 def signal_decay(first_seen: Column, level: Column, as_of: Column, half_life: float = 48) -> Column:
     """The level's rate to the power of elapsed half-lives, at least 0.1, three digits."""
     h = hours_between(first_seen.cast("timestamp"), as_of)
-    return F.coalesce(F.when(h <= 0, 1.0).otherwise(F.greatest(F.lit(0.1), F.round(F.pow(mapped(level, V.LEVEL_RATES, 0.80), h / half_life), 3))), F.lit(1.0))
+    return F.coalesce(
+        F.when(h <= 0, 1.0).otherwise(F.greatest(F.lit(0.1), F.round(F.pow(mapped(level, V.LEVEL_RATES, 0.80), h / half_life), 3))),
+        F.lit(1.0)
+    )
 
 
 def estimate_risk(level: Column, phase: Column) -> Column:
@@ -186,12 +203,17 @@ def classify_lean(source: Column, leans=V.LEANS, local: str = V.LOCAL_LEAN) -> C
     return reduce(lambda rest, t: F.when(has_any(source, t[1]), F.lit(t[0])).otherwise(rest), reversed(leans), F.lit(local))
 
 
-def confirmation(text: Column, source: Column, coverage: Column, official: list[str], social: list[str], multipliers=(1.5, 1.3, 0.5, 0.8), min_sources: int = 3) -> Column:
+def confirmation(
+    text: Column, source: Column, coverage: Column, official: list[str], social: list[str], multipliers=(1.5, 1.3, 0.5, 0.8),
+    min_sources: int = 3
+) -> Column:
     """Multiplier of an official statement, of several sources, of social media, of one source; the first that holds."""
     return confirmed(has_any(text, official), source, coverage, social, multipliers, min_sources)
 
 
-def confirmed(official: Column, source: Column, coverage: Column, social: list[str], multipliers=(1.5, 1.3, 0.5, 0.8), min_sources: int = 3) -> Column:
+def confirmed(
+    official: Column, source: Column, coverage: Column, social: list[str], multipliers=(1.5, 1.3, 0.5, 0.8), min_sources: int = 3
+) -> Column:
     """confirmation() where it is known whether the text has an official statement."""
     a, b, c, d = multipliers
     return F.when(official, a).when(coverage >= min_sources, b).when(has_any(source, social), c).otherwise(d)

@@ -69,7 +69,13 @@ OTHER_THEME = "其他"
 
 # ---- fixed values: narrative leans by source name, first match in this order ----
 LEANS = [
-    ("偏好西方叙事", ["cnn", "bbc", "reuters", "nyt", "bloomberg", "guardian", "wsj", "ft", "new york times", "wall street journal", "financial times", "ap", "associated press", "washington post"]),
+    (
+        "偏好西方叙事",
+        [
+            "cnn", "bbc", "reuters", "nyt", "bloomberg", "guardian", "wsj", "ft", "new york times", "wall street journal",
+            "financial times", "ap", "associated press", "washington post"
+        ]
+    ),
     ("偏好中方叙事", ["新华社", "cgtn", "环球时报", "观察者网", "财新", "scmp", "xinhua", "global times", "china daily", "people's daily"]),
     ("偏好俄方叙事", ["rt", "tass", "sputnik", "ria novosti"]),
 ]
@@ -78,15 +84,24 @@ LOCAL_LEAN = "区域本土视角"
 # ---- fixed values: report rules, by language ----
 PLACEHOLDERS = {
     "zh": ["待补充", "待确认", "待统计", "待更新", "暂无实时数据", "暂未接入", "市场数据暂未接入", "tbd", "TBD", "N/A", "n/a", "TBC"],
-    "en": ["to be added", "to be confirmed", "to be updated", "no real-time data", "not available", "market data not available", "pending", "tbd", "TBD", "N/A", "n/a", "TBC"],
+    "en": [
+        "to be added", "to be confirmed", "to be updated", "no real-time data", "not available", "market data not available", "pending",
+        "tbd", "TBD", "N/A", "n/a", "TBC"
+    ],
 }
 VAGUE = {
     "zh": ["意义重大", "值得关注", "需紧盯", "仍存合作空间", "料持稳偏强", "结构性机会优于系统性机会", "短期可能维持区间震荡", "逼近区间", "密切关注", "不容忽视", "拭目以待"],
-    "en": ["significant", "worth watching", "keep a close eye", "room for cooperation", "likely to remain stable", "range-bound", "structural opportunities outweigh", "approaching the range", "closely monitor", "cannot be ignored", "wait and see"],
+    "en": [
+        "significant", "worth watching", "keep a close eye", "room for cooperation", "likely to remain stable", "range-bound",
+        "structural opportunities outweigh", "approaching the range", "closely monitor", "cannot be ignored", "wait and see"
+    ],
 }
 REPORT_REGIONS = {
     "zh": ["中东", "欧洲", "北美", "亚太", "东南亚", "南亚", "中亚", "中国", "俄罗斯", "非洲", "南美", "大洋洲"],
-    "en": ["Middle East", "Europe", "North America", "Asia-Pacific", "Southeast Asia", "South Asia", "Central Asia", "China", "Russia", "Africa", "South America", "Oceania"],
+    "en": [
+        "Middle East", "Europe", "North America", "Asia-Pacific", "Southeast Asia", "South Asia", "Central Asia", "China", "Russia",
+        "Africa", "South America", "Oceania"
+    ],
 }
 INDICATORS = {"zh": ["标普500", "纳斯达克", "Brent", "WTI", "黄金", "VIX"], "en": ["S&P 500", "Nasdaq", "Brent", "WTI", "Gold", "VIX"]}
 PLACEHOLDER_URLS = ["xxxx", "example.com/test", "/a-123456"]

@@ -38,20 +38,31 @@ def _findings(docs: DataFrame, lang: str, news_count: int, placeholders, vague,
     )
     bad = F.size(F.filter("urls", lambda u: u.rlike(S.words_pattern(V.PLACEHOLDER_URLS))))
     share = F.array_max("times") * 100.0 / F.greatest(F.aggregate("times", F.lit(0), lambda a, x: a + x), F.lit(1))
-    counted = counted.select("*", bad.alias("bad"), F.size("urls").alias("links"), F.size(F.filter("times", lambda x: x > 0)).alias("covered"), share.alias("share"))
+    counted = counted.select(
+        "*", bad.alias("bad"), F.size("urls").alias("links"), F.size(F.filter("times", lambda x: x > 0)).alias("covered"),
+        share.alias("share")
+    )
     c = F.col
     found = [
         _finding("A1_h2_count", "issue", c("h2"), c("h2") < 4), _finding("A1_h2_count", "warning", c("h2"), c("h2") > 12), _finding("A2_placeholders", "issue", c("held"), c("held") > 0), _finding("A3_vague", "warning", c("dull"), c("dull") > 0),
-        _finding("A4_market_data", "issue", c("missing"), c("missing") > 0), _finding("B1_coverage", "issue", c("covered"), c("covered") < 6), _finding("B1_coverage", "warning", c("covered"), c("covered").isin(6, 7)),
-        _finding("B2_dominance", "issue", F.round("share", 4), c("share") > 45), _finding("B2_dominance", "warning", F.round("share", 4), (c("share") <= 45) & (c("share") > 30)),
+        _finding("A4_market_data", "issue", c("missing"), c("missing") > 0), _finding("B1_coverage", "issue", c("covered"), c("covered") < 6), _finding(
+            "B1_coverage", "warning", c("covered"), c("covered").isin(6, 7)
+        ),
+        _finding("B2_dominance", "issue", F.round("share", 4), c("share") > 45), _finding(
+            "B2_dominance", "warning", F.round("share", 4), (c("share") <= 45) & (c("share") > 30)
+        ),
         _finding("C1_signal_S", "warning", c("S"), c("S") > 2), _finding("C1_signal_A", "warning", c("A"), c("A") > 8), _finding("C2_confidence", "warning", F.lit(0), ~c("sure")),
-        _finding("D1_links", "warning", c("links"), (F.lit(news_count) > 0) & (c("links") < news_count * 0.05)), _finding("D2_bad_urls", "issue", c("bad"), c("bad") > 0),
+        _finding(
+            "D1_links", "warning", c("links"), (F.lit(news_count) > 0) & (c("links") < news_count * 0.05)
+        ), _finding("D2_bad_urls", "issue", c("bad"), c("bad") > 0),
         _finding("E1_length", "issue", c("n"), c("n") < 3000), _finding("E1_length", "warning", c("n"), (c("n") >= 3000) & (c("n") < 5000)),
     ]
     return counted.select("doc_id", F.array_compact(F.array(*found)).alias("_found"))
 
 
-def quality_checks(docs: DataFrame, lang: str = "zh", news_count: int = 0, placeholders=None, vague=None, indicators=None, regions=None) -> DataFrame:
+def quality_checks(
+    docs: DataFrame, lang: str = "zh", news_count: int = 0, placeholders=None, vague=None, indicators=None, regions=None
+) -> DataFrame:
     """(doc_id, category, severity, value): a row for each rule that a report text breaks; a null text has none.
 
     Rows that repeat a doc_id are judged one by one.
@@ -59,7 +70,9 @@ def quality_checks(docs: DataFrame, lang: str = "zh", news_count: int = 0, place
     return _findings(docs, lang, news_count, placeholders, vague, indicators, regions).select("doc_id", F.inline("_found"))
 
 
-def quality_summary(docs: DataFrame, lang: str = "zh", news_count: int = 0, placeholders=None, vague=None, indicators=None, regions=None) -> DataFrame:
+def quality_summary(
+    docs: DataFrame, lang: str = "zh", news_count: int = 0, placeholders=None, vague=None, indicators=None, regions=None
+) -> DataFrame:
     """(doc_id, issues, warnings, passed), a row for each row of docs with a text, judged alone."""
     found = _findings(docs, lang, news_count, placeholders, vague, indicators, regions)
     n = lambda severity: F.size(F.filter("_found", lambda x: x.severity == severity)).cast("long")
@@ -81,7 +94,10 @@ def html_structure_checks(pages: DataFrame, titles: tuple[str, str, str] = ("观
         F.when(seg.contains("<table>"), rows(seg)).otherwise(0).alias("watch_rows"), rows(after(rf"<h[34][^>]*>{risk}[^<]*</h[34]>", 3000)).alias("risk_rows"), rows(after(rf"<h[1-6][^>]*>[^<]*{market}[^<]*</h[1-6]>", 3000)).alias("market_rows"),
         F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(h, F.lit('class="sig sig-([SABC])"'), F.lit(1)))), ",").alias("levels"),
     )
-    return out.withColumn("passed", (F.col("chapters") >= 8) & ((F.col("watch_cards") >= 3) | (F.col("watch_rows") >= 3)) & (F.col("risk_rows") >= 3) & (F.col("market_rows") >= 10) & (F.col("levels") != ""))
+    return out.withColumn(
+        "passed",
+        (F.col("chapters") >= 8) & ((F.col("watch_cards") >= 3) | (F.col("watch_rows") >= 3)) & (F.col("risk_rows") >= 3) & (F.col("market_rows") >= 10) & (F.col("levels") != "")
+    )
 
 
 @F.pandas_udf(T.StringType())
@@ -129,7 +145,10 @@ def extract_blocks(docs: DataFrame, tags: tuple[str, ...] = ("METADATA", "CITATI
         out = out.withColumn(f"_{tag}", raw)
         body = F.regexp_replace(body, rf"(?s)<{tag}>.*?</{tag}>", "")
     out = out.withColumn("body", F.trim(F.regexp_replace(body, r"(?s)```json.*?```", "")))
-    fine = out.select("doc_id", "body", *[F.when(F.try_parse_json(f"_{t}").isNotNull(), F.col(f"_{t}")).alias(t.lower()) for t in tags], *[f"_{t}" for t in tags])
+    fine = out.select(
+        "doc_id", "body", *[F.when(F.try_parse_json(f"_{t}").isNotNull(), F.col(f"_{t}")).alias(t.lower()) for t in tags],
+        *[f"_{t}" for t in tags]
+    )
     broken = " or ".join(f"({t.lower()} is null and _{t} is not null)" for t in tags)
     good = fine.filter(f"not ({broken})").drop(*[f"_{t}" for t in tags])
     fixed = fine.filter(broken).select("doc_id", "body", *[F.coalesce(F.col(t.lower()), repaired_json(f"_{t}")).alias(t.lower()) for t in tags])
@@ -143,11 +162,15 @@ def _marked_lines(docs: DataFrame, excerpt: int = 0) -> DataFrame:
     All windows over a row's lines keep to its partition, so that the texts' lines are moved once.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")  # numbered before the lines are made
-    lines = rows.select("_row", "doc_id", F.substring("text", 1, excerpt).alias("excerpt"), F.posexplode_outer(F.split("text", "\n")).alias("n", "line"))
+    lines = rows.select(
+        "_row", "doc_id", F.substring("text", 1, excerpt).alias("excerpt"), F.posexplode_outer(F.split("text", "\n")).alias("n", "line")
+    )
     order = Window.partitionBy("_row").orderBy("n")
     head = F.nullif(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1), F.lit(""))
     item = F.nullif(F.trim(F.regexp_extract("line", r"^\s*(?:[-*•]|\d+[.、])\s+(.*)$", 1)), F.lit(""))
-    return lines.select("_row", "doc_id", "n", F.when(F.col("n") == 0, F.col("excerpt")).alias("excerpt"), head.alias("_h"), item.alias("item")).withColumn("heading", F.last("_h", ignorenulls=True).over(order)).drop("_h")
+    return lines.select(
+        "_row", "doc_id", "n", F.when(F.col("n") == 0, F.col("excerpt")).alias("excerpt"), head.alias("_h"), item.alias("item")
+    ).withColumn("heading", F.last("_h", ignorenulls=True).over(order)).drop("_h")
 
 
 def _place(among: Column, *keys: str) -> Column:
@@ -193,10 +216,16 @@ def build_history(docs: DataFrame, regions: dict[str, str], signals: str = "信
     some = lambda c: F.when(F.size(c) > 0, c)
     pack = lambda on: some(F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("n", "item")))), lambda x: x.item))
     placed = F.array_sort(F.collect_list(F.when(F.col("rank_region").isNotNull(), F.struct("n", "region", "item"))))
-    out = rows.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("excerpt").alias("summary_excerpt"), pack(F.col("_signals")).alias("signals"), pack(F.col("_clusters")).alias("clusters"), placed.alias("_placed"))
+    out = rows.groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"), F.max("excerpt").alias("summary_excerpt"), pack(F.col("_signals")).alias("signals"),
+        pack(F.col("_clusters")).alias("clusters"), placed.alias("_placed")
+    )
     of = lambda r: F.transform(F.filter("_placed", lambda x: x.region == r), lambda x: x.item)
     names = F.array_sort(F.array_distinct(F.transform("_placed", lambda x: x.region)))
-    out = out.withColumn("regions", F.when(F.size("_placed") > 0, F.map_from_entries(F.transform(names, lambda r: F.struct(r.alias("region"), of(r).alias("items"))))))
+    out = out.withColumn(
+        "regions",
+        F.when(F.size("_placed") > 0, F.map_from_entries(F.transform(names, lambda r: F.struct(r.alias("region"), of(r).alias("items")))))
+    )
     return out.select("doc_id", "signals", "clusters", "regions", "summary_excerpt")
 
 
@@ -212,7 +241,9 @@ def split_chapters(pages: DataFrame) -> DataFrame:
 def extract_cards(pages: DataFrame, labels: list[str]) -> DataFrame:
     """(page_id, n, one column for each label): paragraphs in which the first label is found, split at the labels."""
     stop = "|".join(re.escape(x) for x in labels)
-    paragraphs = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), strip_tags), lambda p: p.contains(labels[0]))
+    paragraphs = F.filter(
+        F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), strip_tags), lambda p: p.contains(labels[0])
+    )
     rows = pages.select("page_id", F.posexplode(paragraphs).alias("n", "p"))
     value = lambda x: F.nullif(F.trim(F.regexp_extract("p", rf"(?s){re.escape(x)}\s*[:：]?\s*(.*?)(?={stop}|$)", 1)), F.lit(""))
     return rows.select("page_id", "n", *[value(x).alias(x) for x in labels])
@@ -223,7 +254,10 @@ def html_excerpt(pages: DataFrame) -> DataFrame:
     h = F.slice(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<h2\b[^>]*>(.*?)</h2>"), F.lit(1)), strip_tags), 1, 10)
     p = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), strip_tags)
     p = F.slice(F.filter(p, lambda x: (F.length(x) > 20) & (F.length(x) < 500)), 1, 5)
-    return pages.select("page_id", F.array_join(h, "\n").alias("headings"), F.array_join(F.transform(p, lambda x: F.substring(x, 1, 100)), "\n").alias("paragraphs"))
+    return pages.select(
+        "page_id", F.array_join(h, "\n").alias("headings"),
+        F.array_join(F.transform(p, lambda x: F.substring(x, 1, 100)), "\n").alias("paragraphs")
+    )
 
 
 def parse_market_lines(docs: DataFrame) -> DataFrame:
@@ -231,7 +265,10 @@ def parse_market_lines(docs: DataFrame) -> DataFrame:
     pattern = r"^\s*-\s*([^:：]+)[:：]\s*([\d,.]+)\s*([^\s(（]*)\s*[(（]([+-]?[\d.]+)%[^)）]*[)）]\s*([^\s\[]*)\s*(?:\[([^\]]*)\])?"
     g = lambda i: F.nullif(F.trim(F.regexp_extract("line", pattern, i)), F.lit(""))
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter(F.col("line").rlike(pattern))
-    return rows.select("doc_id", "n", g(1).alias("name"), F.regexp_replace(g(2), ",", "").try_cast("double").alias("price"), g(3).alias("unit"), g(4).try_cast("double").alias("change_pct"), g(5).alias("trend"), g(6).alias("label"))
+    return rows.select(
+        "doc_id", "n", g(1).alias("name"), F.regexp_replace(g(2), ",", "").try_cast("double").alias("price"), g(3).alias("unit"),
+        g(4).try_cast("double").alias("change_pct"), g(5).alias("trend"), g(6).alias("label")
+    )
 
 
 def extract_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", long: int = 100) -> DataFrame:
@@ -244,11 +281,15 @@ def signal_mentions(pages: DataFrame, excluded: str | None = None) -> DataFrame:
     """(page_id, n, s, a, b, c): mentions of levels in each chapter, without the subsection of that title."""
     rows = split_chapters(pages)
     body = F.regexp_replace("body", rf"(?is)<h3\b[^>]*>[^<]*{re.escape(excluded)}.*?(?=<h3\b|$)", "") if excluded else F.col("body")
-    return rows.select("page_id", "n", "title", *[F.regexp_count(body, F.lit(rf"(?U)(?<!\w){k}(?:级|-level)(?!\w)")).alias(k.lower()) for k in "SABC"])
+    return rows.select(
+        "page_id", "n", "title", *[F.regexp_count(body, F.lit(rf"(?U)(?<!\w){k}(?:级|-level)(?!\w)")).alias(k.lower()) for k in "SABC"]
+    )
 
 
 def explode_citations(structured: DataFrame, news: DataFrame) -> DataFrame:
     """(run_id, claim, ordinal, url): references of claims with the news row of that ordinal; url null for a reference
     to no row, and one row with ordinal null for a claim without references."""
-    refs = structured.select("run_id", F.posexplode("claims").alias("claim", "_c")).select("run_id", "claim", F.explode_outer("_c.news_refs").alias("ordinal"))
+    refs = structured.select("run_id", F.posexplode("claims").alias("claim", "_c")).select(
+        "run_id", "claim", F.explode_outer("_c.news_refs").alias("ordinal")
+    )
     return refs.join(news.select("run_id", "ordinal", "url"), ["run_id", "ordinal"], "left").select("run_id", "claim", "ordinal", "url")

@@ -32,14 +32,20 @@ def normalize_events(raw: DataFrame) -> DataFrame:
 
 def event_quality(events: DataFrame) -> DataFrame:
     """One row: S and A events, regions, and a warning for each bound that is broken."""
-    out = events.agg(F.count_if(F.col("signal_level") == "S").alias("s_events"), F.count_if(F.col("signal_level") == "A").alias("a_events"), F.countDistinct("region").alias("regions"))
+    out = events.agg(
+        F.count_if(F.col("signal_level") == "S").alias("s_events"), F.count_if(F.col("signal_level") == "A").alias("a_events"),
+        F.countDistinct("region").alias("regions")
+    )
     return out.withColumns({"many_s": F.col("s_events") > 1, "many_a": F.col("a_events") > 5, "few_regions": F.col("regions") < 3})
 
 
 def normalize_clusters(raw: DataFrame) -> DataFrame:
     """Clusters (cluster_id, events array, source_count, region) with counts, consensus and regions."""
     n = F.coalesce("source_count", F.size("events"))
-    return raw.withColumns({"event_count": F.size("events"), "source_count": n, "consensus": S.consensus(n), "is_emerging": F.coalesce("is_emerging", F.lit(False)), "region": F.coalesce("region", F.lit("全球"))}).withColumn("regions", F.array("region"))
+    return raw.withColumns({
+        "event_count": F.size("events"), "source_count": n, "consensus": S.consensus(n),
+        "is_emerging": F.coalesce("is_emerging", F.lit(False)), "region": F.coalesce("region", F.lit("全球"))
+    }).withColumn("regions", F.array("region"))
 
 
 def few_clusters(clusters: DataFrame, events: DataFrame) -> DataFrame:
@@ -55,23 +61,33 @@ def merge_events(events: DataFrame, key: str = "event_id") -> DataFrame:
     first); last phase, trend and confidence; leans: neutral gives way, equal stays, else 混合; reasons joined by "; ".
     """
     rank = S.mapped(F.col("signal_level"), V.SIGNAL_RANK, 0)
-    parts = ["pos", "title", "actors", "sources", "domains", "related_events", "signal_level", "summary", "phase", "trend", "confidence", "source_lean", "lean_reasoning"]
+    parts = [
+        "pos", "title", "actors", "sources", "domains", "related_events", "signal_level", "summary", "phase", "trend", "confidence",
+        "source_lean", "lean_reasoning"
+    ]
     whole = events.withColumn("_rank", rank).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*parts, "_rank"))).alias("e"))
     united = lambda c: F.array_distinct(F.flatten(F.transform("e", lambda x: F.coalesce(x[c], F.array().cast("array<string>")))))
-    best = lambda score, c: F.aggregate("e", F.struct(F.lit(-1).alias("s"), F.lit(None).cast("string").alias("v")), lambda a, x: F.when(score(x) > a.s, F.struct(score(x).alias("s"), x[c].alias("v"))).otherwise(a))["v"]
+    best = lambda score, c: F.aggregate(
+        "e", F.struct(F.lit(-1).alias("s"), F.lit(None).cast("string").alias("v")),
+        lambda a, x: F.when(score(x) > a.s, F.struct(score(x).alias("s"), x[c].alias("v"))).otherwise(a)
+    )["v"]
     neutral = lambda x: F.coalesce(x.isin("中立", "neutral", ""), F.lit(True))
 
     def lean(a: Column, x: Column) -> Column:
         new = F.when(neutral(x.source_lean), a.lean).when(neutral(a.lean), x.source_lean).when(a.lean == x.source_lean, a.lean).otherwise("混合")
         more = F.coalesce(x.lean_reasoning, F.lit(""))
-        why = F.when(neutral(x.source_lean) | (more == "") | a.why.contains(more), a.why).when(a.why == "", more).otherwise(F.concat(a.why, F.lit("; "), more))
+        why = F.when(
+            neutral(x.source_lean) | (more == "") | a.why.contains(more), a.why
+        ).when(a.why == "", more).otherwise(F.concat(a.why, F.lit("; "), more))
         return F.struct(new.alias("lean"), why.alias("why"))
 
     folded = F.aggregate("e", F.struct(F.lit("中立").alias("lean"), F.lit("").alias("why")), lean)
     last = lambda c: F.element_at("e", -1)[c]
     return whole.select(
         key, F.get("e", 0).title.alias("title"), united("actors").alias("actors"), united("sources").alias("sources"), united("domains").alias("domains"), united("related_events").alias("related_events"),
-        best(lambda x: x["_rank"], "signal_level").alias("signal_level"), best(lambda x: F.length(F.coalesce(x.summary, F.lit(""))), "summary").alias("summary"),
+        best(lambda x: x["_rank"], "signal_level").alias("signal_level"), best(
+            lambda x: F.length(F.coalesce(x.summary, F.lit(""))), "summary"
+        ).alias("summary"),
         last("phase").alias("phase"), last("trend").alias("trend"), last("confidence").alias("confidence"), folded.lean.alias("source_lean"), folded.why.alias("lean_reasoning"),
     )
 
@@ -85,7 +101,11 @@ def build_revisions(events: DataFrame) -> DataFrame:
     days = events.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1").drop("_rn")
     order = Window.partitionBy("event_id").orderBy("date")
     before, phase = F.lag("risk").over(order), F.lag("phase").over(order)
-    return days.withColumns({"risk_delta": F.coalesce(F.col("risk") - before, F.lit(0)), "phase_transition": F.when(phase != F.col("phase"), F.concat(phase, F.lit("→"), F.col("phase"))), "summary": F.substring("summary", 1, 200)})
+    return days.withColumns({
+        "risk_delta": F.coalesce(F.col("risk") - before, F.lit(0)),
+        "phase_transition": F.when(phase != F.col("phase"), F.concat(phase, F.lit("→"), F.col("phase"))),
+        "summary": F.substring("summary", 1, 200)
+    })
 
 
 def event_heads(revisions: DataFrame) -> DataFrame:
@@ -125,7 +145,9 @@ def event_by_key(heads: DataFrame, identity_key) -> DataFrame:
 
 def events_by_date(heads: DataFrame, revisions: DataFrame, date: Column, limit: int = 50) -> DataFrame:
     """Events with a revision on the date, by risk."""
-    return heads.join(revisions.filter(F.col("date") == date).select("event_id"), "event_id", "left_semi").orderBy(F.col("risk").desc(), "event_id").limit(limit)
+    return heads.join(
+        revisions.filter(F.col("date") == date).select("event_id"), "event_id", "left_semi"
+    ).orderBy(F.col("risk").desc(), "event_id").limit(limit)
 
 
 def timeline_digest(heads: DataFrame, revisions: DataFrame, top: int = 5, min_risk: float = 20, rows: int = 7) -> DataFrame:
@@ -135,7 +157,10 @@ def timeline_digest(heads: DataFrame, revisions: DataFrame, top: int = 5, min_ri
     order = Window.partitionBy("event_id").orderBy("date")
     marked = recent.withColumn("_new", F.coalesce(F.lag("phase").over(order) != F.col("phase"), F.lit(True)))
     phases = F.transform(F.array_sort(F.collect_list(F.when(F.col("_new"), F.struct("date", "phase")))), lambda x: x.phase)
-    out = marked.groupBy("event_id").agg(F.array_join(F.slice(phases, 1, 5), "→").alias("phases"), F.max_by("risk", "date").alias("_new_risk"), F.min_by("risk", "date").alias("_old_risk"), F.count_if("_new").alias("_n"))
+    out = marked.groupBy("event_id").agg(
+        F.array_join(F.slice(phases, 1, 5), "→").alias("phases"), F.max_by("risk", "date").alias("_new_risk"),
+        F.min_by("risk", "date").alias("_old_risk"), F.count_if("_new").alias("_n")
+    )
     return out.select("event_id", "phases", S.arrow(F.col("_new_risk") - F.col("_old_risk")).alias("arrow"), (F.col("_n") - 1).alias("transitions"))
 
 
@@ -155,7 +180,10 @@ def cooccurrence_edges(events: DataFrame, span: int = 2) -> DataFrame:
     """(date, src, dst, relation, confidence) from each event to the next span events of its day."""
     order = Window.partitionBy("date").orderBy("pos")
     nxt = F.array_compact(F.array(*[F.lead("event_id", k).over(order) for k in range(1, span + 1)]))
-    return events.withColumn("_n", nxt).select("date", F.col("event_id").alias("src"), F.explode("_n").alias("dst"), F.lit("related_to").alias("relation"), F.lit(0.3).alias("confidence")).filter("src <> dst")
+    return events.withColumn("_n", nxt).select(
+        "date", F.col("event_id").alias("src"), F.explode("_n").alias("dst"), F.lit("related_to").alias("relation"),
+        F.lit(0.3).alias("confidence")
+    ).filter("src <> dst")
 
 
 def upsert_relations(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -170,7 +198,9 @@ def upsert_relations(edges: DataFrame, new: DataFrame) -> DataFrame:
     both = live.join(add, key, "full_outer")
     empty = F.array().cast("array<struct<date:date,confidence:double>>")
     more = both.select(
-        *key, F.coalesce("first_seen", F.get("_add", 0)["date"]).alias("first_seen"), F.coalesce(F.try_element_at("_add", F.lit(-1))["date"], F.col("last_confirmed")).alias("last_confirmed"),
+        *key, F.coalesce("first_seen", F.get("_add", 0)["date"]).alias("first_seen"), F.coalesce(
+            F.try_element_at("_add", F.lit(-1))["date"], F.col("last_confirmed")
+        ).alias("last_confirmed"),
         "expired", F.concat(F.coalesce("history", empty), F.coalesce("_add", empty)).alias("history"),
     )
     return more.unionByName(old.select(more.columns))
@@ -186,7 +216,12 @@ def tokens(text: Column) -> Column:
     """Lower-case words; runs of CJK characters as pairs of neighbours."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}&&[^一-鿿]]+"), F.lit(0))
     runs = F.regexp_extract_all(text, F.lit(r"[一-鿿]+"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
+    pairs = F.flatten(F.transform(
+        runs,
+        lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(
+            F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))
+        ))
+    ))
     return F.concat(words, pairs)
 
 
@@ -199,8 +234,14 @@ def search(corpus: DataFrame, query: list[str], limit: int = 20, id_col: str = "
     def tf(q: str) -> Column:
         return F.size(F.filter("_t", lambda x: x.startswith(q[:-1]) if q.endswith("*") else x == q))
 
-    counted = docs.select(id_col, "_n", *[tf(q).alias(f"_f{k}") for k, q in enumerate(terms)], F.lower("text").contains(" ".join(q.rstrip("*") for q in terms)).alias("_sub"))
-    stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(terms))])
+    counted = docs.select(
+        id_col, "_n", *[tf(q).alias(f"_f{k}") for k, q in enumerate(terms)],
+        F.lower("text").contains(" ".join(q.rstrip("*") for q in terms)).alias("_sub")
+    )
+    stats = counted.agg(
+        F.count("*").alias("_docs"), F.avg("_n").alias("_avg"),
+        *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(terms))]
+    )
     rows = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for k in range(len(terms)):
@@ -212,7 +253,9 @@ def search(corpus: DataFrame, query: list[str], limit: int = 20, id_col: str = "
     rows = rows.withColumns({"_all": every, "score": F.round(score, 6)}).filter(F.col("_all") | F.col("_sub"))
     top = rows.orderBy(F.col("_all").desc(), F.when(F.col("_all"), F.col("score")).desc(), id_col).limit(limit)
     hit = F.max("_all").over(Window.partitionBy())  # over at most limit rows
-    return top.withColumn("_hit", hit).filter(F.col("_all") == F.col("_hit")).select(id_col, F.when(F.col("_all"), F.col("score")).otherwise(0.0).alias("score"), F.col("_all").alias("ranked"))
+    return top.withColumn("_hit", hit).filter(F.col("_all") == F.col("_hit")).select(
+        id_col, F.when(F.col("_all"), F.col("score")).otherwise(0.0).alias("score"), F.col("_all").alias("ranked")
+    )
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -228,9 +271,14 @@ def rollup_clusters(events: DataFrame, assignment: DataFrame) -> DataFrame:
     """Of each cluster its events, sources, highest signal, distinct actors and regions. Nothing is gathered in lists."""
     rank = S.mapped(F.col("signal_level"), V.SIGNAL_RANK, 0)
     rows = events.join(assignment, "event_id")
-    out = rows.groupBy("cluster_id").agg(F.count("*").alias("event_count"), F.max_by("signal_level", rank).alias("highest_signal"), F.countDistinct("region").alias("regions"))
+    out = rows.groupBy("cluster_id").agg(
+        F.count("*").alias("event_count"), F.max_by("signal_level", rank).alias("highest_signal"),
+        F.countDistinct("region").alias("regions")
+    )
     distinct = lambda c: rows.select("cluster_id", F.explode_outer(c).alias("_x")).groupBy("cluster_id").agg(F.countDistinct("_x").cast("int").alias("n"))
-    out = out.join(distinct("sources").withColumnRenamed("n", "source_count"), "cluster_id").join(distinct("actors").withColumnRenamed("n", "actors"), "cluster_id")
+    out = out.join(
+        distinct("sources").withColumnRenamed("n", "source_count"), "cluster_id"
+    ).join(distinct("actors").withColumnRenamed("n", "actors"), "cluster_id")
     return out.select("cluster_id", "event_count", "source_count", "highest_signal", "actors", "regions")
 
 
@@ -247,7 +295,9 @@ def merge_candidates(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
     one = sets.select("s", *place, "n", "w", F.explode("w").alias("actor"))
     freq = one.groupBy(*place, "actor").agg(F.count("*").alias("f"))
     ranked = one.join(freq, [*place, "actor"]).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("f", "actor")))
-    prefix = stored(ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * min_jaccard)).select("s", *place, "actor", "n", "w"), "actor-prefixes")
+    prefix = stored(
+        ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * min_jaccard)).select("s", *place, "actor", "n", "w"), "actor-prefixes"
+    )
     a, b = prefix.toDF("sa", *place, "actor", "na", "wa"), prefix.toDF("sb", *place, "actor", "nb", "wb")
     pairs = a.join(b, [*place, "actor"]).filter((F.col("sa") < F.col("sb")) & (F.least("na", "nb") > min_jaccard * F.greatest("na", "nb")))
     common = F.size(F.array_intersect("wa", "wb"))
@@ -266,17 +316,26 @@ def apply_merges(heads: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     part = stored(connected_components(pairs, "a", "b").toDF("event_id", "into"), "merges")
     named = heads.join(part, "event_id", "left").withColumn("into", F.coalesce("into", "event_id"))
-    out = named.groupBy("into").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("peak_risk").alias("peak_risk"), (F.count("*") - 1).alias("merged"), F.min_by("canonical_title", "event_id").alias("canonical_title"))
+    out = named.groupBy("into").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("peak_risk").alias("peak_risk"),
+        (F.count("*") - 1).alias("merged"), F.min_by("canonical_title", "event_id").alias("canonical_title")
+    )
     gathered = lambda c, name: named.select("into", c.alias("_x")).distinct().groupBy("into").agg(F.array_sort(F.collect_list("_x")).alias(name))
     out = out.join(gathered(F.col("canonical_title"), "_titles"), "into").join(gathered(F.explode_outer("sources"), "evidence"), "into")
     aliases = F.filter("_titles", lambda t: ~t.eqNullSafe(F.col("canonical_title")))
-    return out.select(F.col("into").alias("event_id"), "canonical_title", aliases.alias("aliases"), "first_seen", "last_seen", "peak_risk", "merged", "evidence")
+    return out.select(
+        F.col("into").alias("event_id"), "canonical_title", aliases.alias("aliases"), "first_seen", "last_seen", "peak_risk", "merged",
+        "evidence"
+    )
 
 
 def lifecycle(heads: DataFrame, as_of: Column) -> DataFrame:
     """K3: status by days since last seen: 180 archived, 90 and risk under 20 resolved, 60 cooling, else active."""
     age = F.datediff(as_of, "last_seen")
-    return heads.withColumn("status", F.when(age >= 180, "archived").when((age >= 90) & (F.col("risk") < 20), "resolved").when(age >= 60, "cooling").otherwise("active"))
+    return heads.withColumn(
+        "status",
+        F.when(age >= 180, "archived").when((age >= 90) & (F.col("risk") < 20), "resolved").when(age >= 60, "cooling").otherwise("active")
+    )
 
 
 def dual_risk(assessments: DataFrame, rule_scores: DataFrame, gap: float = 3) -> DataFrame:
@@ -294,9 +353,13 @@ def validate_relations(edges: DataFrame, events: DataFrame, as_of: Column, max_a
     known = events.select("event_id").distinct()
     ok = edges.filter((F.col("confidence") >= min_confidence) & (F.col("src") != F.col("dst")) & (F.datediff(as_of, "date") <= max_age))
     ok = ok.groupBy("src", "dst", "relation").agg(F.max("date").alias("last_confirmed"), F.max("confidence").alias("confidence"))
-    return ok.join(known.withColumnRenamed("event_id", "src"), "src", "left_semi").join(known.withColumnRenamed("event_id", "dst"), "dst", "left_semi")
+    return ok.join(
+        known.withColumnRenamed("event_id", "src"), "src", "left_semi"
+    ).join(known.withColumnRenamed("event_id", "dst"), "dst", "left_semi")
 
 
 def source_credibility(evidence: DataFrame) -> DataFrame:
     """K7: of each source its evidence rows, events and days."""
-    return evidence.groupBy("source").agg(F.count("*").alias("evidence"), F.countDistinct("event_id").alias("events"), F.countDistinct("date").alias("days"))
+    return evidence.groupBy("source").agg(
+        F.count("*").alias("evidence"), F.countDistinct("event_id").alias("events"), F.countDistinct("date").alias("days")
+    )

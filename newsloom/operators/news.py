@@ -23,7 +23,9 @@ def noise_flag(news: DataFrame, negative: list[str], category_words: list[str])
 
 def health_gate(news: DataFrame, min_sources: int = 5) -> DataFrame:
     """One row: items, sources, passed."""
-    return news.agg(F.count("*").alias("items"), F.countDistinct("source").alias("sources")).withColumn("passed", (F.col("items") > 0) & (F.col("sources") >= min_sources))
+    return news.agg(
+        F.count("*").alias("items"), F.countDistinct("source").alias("sources")
+    ).withColumn("passed", (F.col("items") > 0) & (F.col("sources") >= min_sources))
 
 
 def vocab_violations(df: DataFrame, column: str, vocab: list[str]) -> DataFrame:
@@ -41,7 +43,9 @@ def category_hits(news: DataFrame, categories: dict[str, dict]) -> DataFrame:
         found = S.has_any(text_of(), c["terms"])
         return found & S.has_any(text_of(), c["context"]) if c.get("context") else found
 
-    hits = F.array_compact(F.array(*[F.when(hit(c), F.struct(F.lit(n).alias("category"), F.lit(float(c["weight"])).alias("weight"))) for n, c in categories.items()]))
+    hits = F.array_compact(F.array(*[
+        F.when(hit(c), F.struct(F.lit(n).alias("category"), F.lit(float(c["weight"])).alias("weight"))) for n, c in categories.items()
+    ]))
     return news.select("id", F.explode(hits).alias("h")).select("id", "h.category", "h.weight")
 
 
@@ -61,7 +65,12 @@ def escalation_bonus(categories: dict[str, dict], cap: float = 30, low: Column |
 
 def with_source_trust(df: DataFrame, tiers: list[tuple] = V.SOURCE_TRUST) -> DataFrame:
     """Tier and score of the first name that the source contains."""
-    found = reduce(lambda rest, t: F.when(F.lower("source").contains(t[0].lower()), F.struct(F.lit(t[1]).alias("tier"), F.lit(t[2]).alias("score"))).otherwise(rest), reversed(tiers), F.struct(F.lit(V.UNRATED[0]).alias("tier"), F.lit(V.UNRATED[1]).alias("score")))
+    found = reduce(
+        lambda rest, t: F.when(
+            F.lower("source").contains(t[0].lower()), F.struct(F.lit(t[1]).alias("tier"), F.lit(t[2]).alias("score"))
+        ).otherwise(rest),
+        reversed(tiers), F.struct(F.lit(V.UNRATED[0]).alias("tier"), F.lit(V.UNRATED[1]).alias("score"))
+    )
     return df.withColumn("_t", found).withColumns({"tier": F.col("_t.tier"), "trust": F.col("_t.score")}).drop("_t")
 
 
@@ -85,12 +94,16 @@ def coverage_pairs(items: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     sets = stored(items.select("s", "w").dropDuplicates(["s"]).withColumn("n", F.size("w")), "title-sets")
     tokens = sets.select("s", "n", F.explode("w").alias("t"))
-    ranked = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("f")), "t").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("f", "t")))
+    ranked = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("f")), "t").withColumn(
+        "r", F.row_number().over(Window.partitionBy("s").orderBy("f", "t"))
+    )
     prefix = stored(ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * threshold)).select("s", "n", "t", "r"), "title-prefixes")
     both = prefix.toDF("sa", "na", "t", "ra").join(prefix.toDF("sb", "nb", "t", "rb"), "t").filter(F.col("sa") < F.col("sb"))
     left_over = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
     cand = both.filter(left_over > threshold * F.greatest("na", "nb")).select("sa", "sb").distinct()
-    close = cand.join(sets.select(F.col("s").alias("sa"), F.col("w").alias("wa")), "sa").join(sets.select(F.col("s").alias("sb"), F.col("w").alias("wb")), "sb")
+    close = cand.join(
+        sets.select(F.col("s").alias("sa"), F.col("w").alias("wa")), "sa"
+    ).join(sets.select(F.col("s").alias("sb"), F.col("w").alias("wb")), "sb")
     return close.filter(F.size(F.array_intersect("wa", "wb")) > threshold * F.greatest(F.size("wa"), F.size("wb"))).select("sa", "sb")
 
 
@@ -121,12 +134,16 @@ def text_scores(news: DataFrame, categories: dict, themes: dict[str, list[str]],
         found = S.has_low(low, c["terms"])
         return found & S.has_low(low, c["context"]) if c.get("context") else found
 
-    total = reduce(lambda a, b: a + b, [F.when(matched(c), float(c["weight"])).otherwise(0.0) for c in categories.values()], F.lit(0.0)) + escalation_bonus(categories, low=low)
+    total = reduce(
+        lambda a, b: a + b, [F.when(matched(c), float(c["weight"])).otherwise(0.0) for c in categories.values()], F.lit(0.0)
+    ) + escalation_bonus(categories, low=low)
     total = total + reduce(lambda a, b: a + b, [F.when(S.has_low(low, w), 2.0).otherwise(0.0) for w in themes.values()], F.lit(0.0))
     return news.withColumn("_low", text_of()).withColumns({"text_score": total, "official": S.has_low(low, official)}).drop("_low")
 
 
-def weighed(scored: DataFrame, social: list[str], media: list[str], coverage_bonus: dict[int, float], as_of: Column, half_life: float = 72) -> DataFrame:
+def weighed(
+    scored: DataFrame, social: list[str], media: list[str], coverage_bonus: dict[int, float], as_of: Column, half_life: float = 72
+) -> DataFrame:
     """H7: text_scores() with source, credibility, coverage_count and published_ts to importance_score, one digit."""
     authority = F.least(F.coalesce("credibility", F.lit(5)), F.lit(10)) * 1.5
     loud = F.when(F.lower("source").isin([m.lower() for m in media]), 3.0).otherwise(0.0)
@@ -138,7 +155,10 @@ def weighed(scored: DataFrame, social: list[str], media: list[str], coverage_bon
     return scored.withColumn("importance_score", F.round(total, 1)).drop("text_score", "official")
 
 
-def importance(news: DataFrame, categories: dict, themes: dict[str, list[str]], official: list[str], social: list[str], media: list[str], coverage_bonus: dict[int, float], as_of: Column, half_life: float = 72) -> DataFrame:
+def importance(
+    news: DataFrame, categories: dict, themes: dict[str, list[str]], official: list[str], social: list[str], media: list[str],
+    coverage_bonus: dict[int, float], as_of: Column, half_life: float = 72
+) -> DataFrame:
     """H7: news (title, summary, source, credibility, coverage_count, published_ts) with importance_score, one digit."""
     return weighed(text_scores(news, categories, themes, official), social, media, coverage_bonus, as_of, half_life)
 
@@ -147,7 +167,10 @@ def mark_repeats(news: DataFrame, seen: DataFrame, factor: float = 0.7) -> DataF
     """C17: repeated where the normalized URL is among the seen hashes; a positive score is cut by factor."""
     known = seen.select(F.col("url_hash").alias("_h")).distinct().withColumn("_seen", F.lit(True))
     out = news.withColumn("_h", S.url_hash("url")).join(known, "_h", "left").withColumn("repeated", F.coalesce("_seen", F.lit(False)))
-    return out.withColumn("importance_score", F.when(F.col("repeated") & (F.col("importance_score") > 0), F.col("importance_score") * factor).otherwise(F.col("importance_score"))).drop("_h", "_seen")
+    return out.withColumn(
+        "importance_score",
+        F.when(F.col("repeated") & (F.col("importance_score") > 0), F.col("importance_score") * factor).otherwise(F.col("importance_score"))
+    ).drop("_h", "_seen")
 
 
 def dedup_news(news: DataFrame) -> DataFrame:
@@ -168,7 +191,10 @@ def stratified_top(news: DataFrame, max_n: int, min_per_region: int = 3) -> Data
     cut = news.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= max_n)
     cut = cut.withColumns({"_top": F.max("importance_score").over(Window.partitionBy("region")), "_first": F.first("pos").over(best)})
     early = F.col("_r") <= min_per_region
-    keys = [F.when(early, 0).otherwise(1), F.when(early, -F.col("_top")), F.when(early, F.col("_first")), F.when(early, F.col("_r")), F.col("importance_score").desc(), F.col("pos")]
+    keys = [
+        F.when(early, 0).otherwise(1), F.when(early, -F.col("_top")), F.when(early, F.col("_first")), F.when(early, F.col("_r")),
+        F.col("importance_score").desc(), F.col("pos")
+    ]
     picked = cut.orderBy(*keys).limit(max_n)
     return picked.drop("_r", "_top", "_first")
 
@@ -182,7 +208,9 @@ def round_robin(news: DataFrame, max_n: int = 500) -> DataFrame:
 def links_by_region(news: DataFrame, k: int = 5) -> DataFrame:
     """The first k valid links of each region."""
     ok = news.filter(S.valid_url("url"))
-    return ok.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy("pos"))).filter(F.col("rank") <= k).select("region", "rank", "id", "url")
+    return ok.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("region").orderBy("pos"))
+    ).filter(F.col("rank") <= k).select("region", "rank", "id", "url")
 
 
 def diverse_sample(news: DataFrame, n: int = 4, penalized: tuple[str, ...] = ("中东", "Middle East")) -> DataFrame:
@@ -194,10 +222,17 @@ def diverse_sample(news: DataFrame, n: int = 4, penalized: tuple[str, ...] = ("
     """
     share = news.groupBy("region").agg(F.count("*").alias("_n"))
     total = share.agg(F.sum("_n").alias("_all"))
-    dim = share.crossJoin(F.broadcast(total)).select(F.col("region").alias("_region"), (1.0 / (F.col("_n") / F.col("_all") + 0.01)).alias("_w"))  # one row
+    dim = share.crossJoin(F.broadcast(total)).select(
+        F.col("region").alias("_region"), (1.0 / (F.col("_n") / F.col("_all") + 0.01)).alias("_w")
+    )  # one row
     long = lambda c, most: F.least(F.length(F.coalesce(c, F.lit(""))), F.lit(most)) / most
-    rows = news.select("id", "pos", "region", "source", (long("summary", 200) * 15 + long("title", 100) * 10 + F.when(F.col("region").isin(list(penalized)), -15.0).otherwise(0.0)).alias("_text"))
-    rows = rows.join(dim, F.col("region").eqNullSafe(F.col("_region"))).select("id", "pos", "region", "source", "_w", (F.col("_w") * 20 + F.col("_text")).alias("_fixed"))
+    rows = news.select(
+        "id", "pos", "region", "source",
+        (long("summary", 200) * 15 + long("title", 100) * 10 + F.when(F.col("region").isin(list(penalized)), -15.0).otherwise(0.0)).alias("_text")
+    )
+    rows = rows.join(dim, F.col("region").eqNullSafe(F.col("_region"))).select(
+        "id", "pos", "region", "source", "_w", (F.col("_w") * 20 + F.col("_text")).alias("_fixed")
+    )
     best = Window.partitionBy("region", "source").orderBy(F.col("_fixed").desc(), "pos")
     pool = stored(rows.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= n).drop("_k"), "diverse")
     picked: list = []
@@ -211,12 +246,16 @@ def diverse_sample(news: DataFrame, n: int = 4, penalized: tuple[str, ...] = ("
     order = {p["id"]: k for k, p in enumerate(picked)}
     if not order:
         return news.limit(0).withColumn("pick", F.lit(0))
-    return news.filter(F.col("id").isin(list(order))).withColumn("pick", F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("id")))
+    return news.filter(F.col("id").isin(list(order))).withColumn(
+        "pick", F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("id"))
+    )
 
 
 def source_health(news: DataFrame, low: int = 3) -> DataFrame:
     """Items and sources of each region, and whether it is low."""
-    return news.groupBy("region").agg(F.count("*").alias("items"), F.countDistinct("source").alias("sources")).withColumn("low", F.col("items") < low)
+    return news.groupBy("region").agg(
+        F.count("*").alias("items"), F.countDistinct("source").alias("sources")
+    ).withColumn("low", F.col("items") < low)
 
 
 def majority(df: DataFrame, column: str, order: str) -> DataFrame:
@@ -246,9 +285,14 @@ def budget_pack(sections: DataFrame, group: str, budget: int, always: int = 8) -
 
     def step(acc: Column, x: Column) -> Column:
         take = (x.priority >= always) | (acc.used + x.cost <= budget)
-        return F.when(take, F.struct((acc.used + x.cost).cast("long").alias("used"), F.concat(acc.taken, F.array(x.pos.cast("long"))).alias("taken"))).otherwise(acc)
-
-    return packed.select(group, F.aggregate("s", zero, step).alias("r")).select(group, F.col("r.used").alias("used"), F.size("r.taken").alias("n_taken"), F.array_join(F.transform("r.taken", lambda x: x.cast("string")), ",").alias("taken"))
+        return F.when(
+            take, F.struct((acc.used + x.cost).cast("long").alias("used"), F.concat(acc.taken, F.array(x.pos.cast("long"))).alias("taken"))
+        ).otherwise(acc)
+
+    return packed.select(group, F.aggregate("s", zero, step).alias("r")).select(
+        group, F.col("r.used").alias("used"), F.size("r.taken").alias("n_taken"),
+        F.array_join(F.transform("r.taken", lambda x: x.cast("string")), ",").alias("taken")
+    )
 
 
 def top_per_day(df: DataFrame, k: int) -> DataFrame:

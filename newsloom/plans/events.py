@@ -12,7 +12,10 @@ from newsloom.plans.registry import DAILY, NEWS, THEMES, daily, news, query, tab
 from newsloom.sources import scan, sinks
 
 DAY = "2024-01-31"
-TRANSITIONS = {("diplomatic", "sanction"): 10, ("sanction", "military"): 25, ("economic", "military"): 20, ("military", "diplomatic"): -15, ("financial", "economic"): 5, ("diplomatic", "military"): 30, ("military", "financial"): 8}
+TRANSITIONS = {
+    ("diplomatic", "sanction"): 10, ("sanction", "military"): 25, ("economic", "military"): 20, ("military", "diplomatic"): -15,
+    ("financial", "economic"): 5, ("diplomatic", "military"): 30, ("military", "financial"): 8
+}
 _DELTA = "CASE {a} || '→' || {b} " + " ".join(f"WHEN '{x}→{y}' THEN {v}" for (x, y), v in TRANSITIONS.items()) + " ELSE 0 END"
 
 
@@ -87,7 +90,11 @@ def c13_search_corpus(spark, d):
 
 def _orders(spark, d):
     o = table(spark, d, "orders")
-    return o.select(F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("event_id"), F.concat(F.col("o_orderpriority"), F.lit(" "), F.col("o_orderstatus")).alias("summary"), F.array(F.concat(F.lit("s"), (F.col("o_orderkey") % 5).cast("string")), F.col("o_orderstatus")).alias("sources"))
+    return o.select(
+        F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("event_id"),
+        F.concat(F.col("o_orderpriority"), F.lit(" "), F.col("o_orderstatus")).alias("summary"),
+        F.array(F.concat(F.lit("s"), (F.col("o_orderkey") % 5).cast("string")), F.col("o_orderstatus")).alias("sources")
+    )
 
 
 _ORD = "o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS pos, o_custkey AS event_id, o_orderpriority || ' ' || o_orderstatus AS summary, ['s' || CAST(o_orderkey % 5 AS VARCHAR), o_orderstatus] AS sources FROM orders)"
@@ -116,9 +123,14 @@ SELECT coalesce(o1.src, n1.src) AS src, coalesce(o1.dst, n1.dst) AS dst, coalesc
 FROM o1 FULL JOIN n1 ON o1.src = n1.src AND o1.dst = n1.dst""")
 def c20_upsert_relations(spark, d):
     e = E.cooccurrence_edges(_orders(spark, d))
-    none = spark.createDataFrame([], "src long, dst long, relation string, first_seen date, last_confirmed date, expired date, history array<struct<date:date,confidence:double>>")
+    none = spark.createDataFrame(
+        [],
+        "src long, dst long, relation string, first_seen date, last_confirmed date, expired date, history array<struct<date:date,confidence:double>>"
+    )
     one = E.upsert_relations(none, e.filter("date < '2020-01-01'"))
-    return E.upsert_relations(one, e.filter("date >= '2020-01-01'")).select("src", "dst", "first_seen", "last_confirmed", F.size("history").alias("n"))
+    return E.upsert_relations(one, e.filter("date >= '2020-01-01'")).select(
+        "src", "dst", "first_seen", "last_confirmed", F.size("history").alias("n")
+    )
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'given' ELSE 'evt_' || lpad(CAST(c_custkey + 1 AS VARCHAR), 3, '0') END AS event_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS title,
@@ -129,11 +141,16 @@ def b5_normalize_events(spark, d):
     none = F.lit(None).cast("string")
     raw = c.select(
         k.alias("pos"), F.when(k % 3 == 0, "given").alias("event_id"), F.when(k % 5 != 0, F.col("c_name")).alias("title"),
-        F.element_at(F.array(F.lit("s"), F.lit(" A "), F.lit("b"), F.lit("c"), F.lit("urgent"), none), (k % 6 + 1).cast("int")).alias("signal_level"), F.concat("c_name", F.lit(", ,"), "c_mktsegment").alias("actors"),
+        F.element_at(
+            F.array(F.lit("s"), F.lit(" A "), F.lit("b"), F.lit("c"), F.lit("urgent"), none), (k % 6 + 1).cast("int")
+        ).alias("signal_level"), F.concat("c_name", F.lit(", ,"), "c_mktsegment").alias("actors"),
         F.when(k % 4 != 0, "x、 y").alias("sources"), F.when(k % 2 == 0, "军事").alias("event_type"), F.when(k % 7 == 0, 9).alias("source_count"),
     )
     joined = lambda c: F.array_join(c, "|").alias(c)
-    return E.normalize_events(raw).select(F.col("pos").alias("c_custkey"), "event_id", "title", "signal_level", joined("actors"), joined("sources"), "event_type", "source_count")
+    return E.normalize_events(raw).select(
+        F.col("pos").alias("c_custkey"), "event_id", "title", "signal_level", joined("actors"), joined("sources"), "event_type",
+        "source_count"
+    )
 
 
 @query(f"WITH {DAILY} SELECT count(*) FILTER (WHERE signal_level = 'S') AS s_events, count(*) FILTER (WHERE signal_level = 'A') AS a_events, count(DISTINCT phase) AS regions, count(*) FILTER (WHERE signal_level = 'S') > 1 AS many_s, count(*) FILTER (WHERE signal_level = 'A') > 5 AS many_a, count(DISTINCT phase) < 3 AS few_regions FROM revs")
@@ -143,21 +160,31 @@ def b6_event_quality(spark, d):
 
 @query("SELECT o_custkey AS cluster_id, CAST(count(*) AS INT) AS event_count, CASE WHEN count(*) > 5 THEN '高' WHEN count(*) > 1 THEN '中' ELSE '低' END AS consensus, '全球' AS region FROM orders GROUP BY o_custkey")
 def b7_normalize_clusters(spark, d):
-    raw = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cluster_id")).agg(F.collect_list("o_orderkey").alias("events")).withColumns({"source_count": F.lit(None).cast("int"), "is_emerging": F.lit(None).cast("boolean"), "region": F.lit(None).cast("string")})
+    raw = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cluster_id")).agg(F.collect_list("o_orderkey").alias("events")).withColumns({
+        "source_count": F.lit(None).cast("int"), "is_emerging": F.lit(None).cast("boolean"), "region": F.lit(None).cast("string")
+    })
     return E.normalize_clusters(raw).select("cluster_id", "event_count", "consensus", "region")
 
 
 def _parts(spark, d):
     n = news(spark, d)
     lean = F.when(F.col("id") % 3 == 0, "中立").otherwise(F.concat(F.lit("l"), (F.col("id") % 2).cast("string")))
-    return n.select(F.col("source").alias("event_id"), "pos", "title", F.array("region", "source").alias("actors"), F.array(F.col("source")).alias("sources"), F.array(F.col("region")).alias("domains"), F.array(F.lit("")).alias("related_events"), F.when(F.col("id") % 7 == 0, "A").otherwise("C").alias("signal_level"), "summary", F.col("region").alias("phase"), F.lit("up").alias("trend"), F.lit("高").alias("confidence"), lean.alias("source_lean"), F.lit("").alias("lean_reasoning"))
+    return n.select(
+        F.col("source").alias("event_id"), "pos", "title", F.array("region", "source").alias("actors"),
+        F.array(F.col("source")).alias("sources"), F.array(F.col("region")).alias("domains"), F.array(F.lit("")).alias("related_events"),
+        F.when(F.col("id") % 7 == 0, "A").otherwise("C").alias("signal_level"), "summary", F.col("region").alias("phase"),
+        F.lit("up").alias("trend"), F.lit("高").alias("confidence"), lean.alias("source_lean"), F.lit("").alias("lean_reasoning")
+    )
 
 
 @query(f"""WITH {NEWS} SELECT source AS event_id, arg_min(title, pos) AS title, max(CASE WHEN id % 7 = 0 THEN 'A' ELSE 'C' END) = 'A' OR bool_or(id % 7 = 0) AS has_a, max(length(summary)) AS longest, arg_max(region, pos) AS phase,
 CASE WHEN count(DISTINCT id % 2) FILTER (WHERE id % 3 <> 0) > 1 THEN '混合' WHEN count(*) FILTER (WHERE id % 3 <> 0) = 0 THEN '中立' ELSE 'l' || CAST(min(id % 2) FILTER (WHERE id % 3 <> 0) AS VARCHAR) END AS source_lean, CAST(count(DISTINCT region) + 1 AS INT) AS n_actors FROM news GROUP BY source""")
 def d1_merge_events(spark, d):
     m = E.merge_events(_parts(spark, d))
-    return m.select("event_id", "title", (F.col("signal_level") == "A").alias("has_a"), F.length("summary").alias("longest"), "phase", "source_lean", F.size("actors").alias("n_actors"))
+    return m.select(
+        "event_id", "title", (F.col("signal_level") == "A").alias("has_a"), F.length("summary").alias("longest"), "phase", "source_lean",
+        F.size("actors").alias("n_actors")
+    )
 
 
 @query("SELECT (SELECT count(*) FROM orders) AS events, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS clusters, (SELECT count(*) FROM orders) >= 10 AND (SELECT count(DISTINCT o_orderstatus) FROM orders) < 5 AS few")
@@ -168,7 +195,10 @@ def b7_few_clusters(spark, d):
 
 @query(f"WITH {NEWS} SELECT source AS cluster_id, count(*) AS event_count, CAST(count(DISTINCT region) AS INT) AS source_count, CASE WHEN bool_or(id % 7 = 0) THEN 'A' ELSE 'C' END AS highest_signal, CAST(1 AS INT) AS actors, count(DISTINCT region) AS regions FROM news GROUP BY source")
 def d23_rollup_clusters(spark, d):
-    n = news(spark, d).select(F.col("id").alias("event_id"), F.array("region").alias("sources"), F.array("source").alias("actors"), "region", F.when(F.col("id") % 7 == 0, "A").otherwise("C").alias("signal_level"))
+    n = news(spark, d).select(
+        F.col("id").alias("event_id"), F.array("region").alias("sources"), F.array("source").alias("actors"), "region",
+        F.when(F.col("id") % 7 == 0, "A").otherwise("C").alias("signal_level")
+    )
     a = news(spark, d).select(F.col("id").alias("event_id"), F.col("source").alias("cluster_id"))
     return E.rollup_clusters(n, a)
 
@@ -196,14 +226,26 @@ c AS (SELECT *, list_filter([{", ".join(_HAS.format(n, c) for n, c in (("keit",
 k AS (SELECT *, list_concat(who, rest) AS codes FROM c)
 SELECT id, CASE WHEN len(codes) >= 2 THEN lower(array_to_string(codes, '-')) WHEN contains(t, 'rights') AND NOT contains(t, 'mit') THEN 'rights' ELSE substr(trim(regexp_replace(t, '{_NOT_WORD}', '-', 'g'), '-'), 1, 30) || '-' || substr(md5(title), 1, 8) END AS event_id FROM k""")
 def h5_canonical_event_id(spark, d):
-    return news(spark, d).select("id", S.canonical_event_id(F.col("title"), [("aux", "AUX"), ("keit", "KEIT"), ("the", "THE")], [("tion", "TION")], [("en", "EN")], [("rights", 9, ["rights"], ["mit"])]).alias("event_id"))
+    return news(spark, d).select(
+        "id",
+        S.canonical_event_id(
+            F.col("title"), [("aux", "AUX"), ("keit", "KEIT"), ("the", "THE")], [("tion", "TION")], [("en", "EN")],
+            [("rights", 9, ["rights"], ["mit"])]
+        ).alias("event_id")
+    )
 
 
 @query(f"""WITH {NEWS}, x AS (SELECT id, title, lower(title) AS t, upper(region) AS region, upper(source) AS source FROM news),
 c AS (SELECT *, list_filter([{", ".join(_HAS.format(n, c) for n, c in (("keit", "KEIT"), ("the", "THE")))}], lambda v: v IS NOT NULL) AS who FROM x)
 SELECT id, region || '|' || CASE WHEN len(who) > 0 THEN array_to_string(list_sort(who), ',') ELSE source END || '|' || substr(source, 1, 30) || '|' || coalesce({_HAS.format("tion", "TION")}, upper(replace(trim(regexp_replace(substr(title, 1, 40), '{_NOT_WORD}', '_', 'g'), '_'), 'ß', 'SS'))) AS identity_key FROM c""")
 def h4_derive_identity(spark, d):
-    return news(spark, d).select("id", S.derive_identity(F.col("title"), F.array("source"), F.lit(None).cast("string"), F.array("region", "source"), [("keit", "KEIT"), ("the", "THE")], [("tion", "TION")]).alias("identity_key"))
+    return news(spark, d).select(
+        "id",
+        S.derive_identity(
+            F.col("title"), F.array("source"), F.lit(None).cast("string"), F.array("region", "source"), [("keit", "KEIT"), ("the", "THE")],
+            [("tion", "TION")]
+        ).alias("identity_key")
+    )
 
 
 @query(f"WITH {DAILY} SELECT event_id, date, greatest(0, least(100, CASE signal_level WHEN 'S' THEN 85 WHEN 'A' THEN 65 WHEN 'B' THEN 45 ELSE 25 END + CASE phase WHEN 'military' THEN 15 WHEN 'financial' THEN 10 WHEN 'sanction' THEN 8 WHEN 'economic' THEN 5 ELSE 0 END)) AS est FROM revs")
@@ -218,29 +260,41 @@ def h10_inferences(spark, d):
     level = F.element_at(F.array(*map(F.lit, ("HIGH", "中", "low", "unsure", "medium"))), (k % 5 + 1).cast("int"))
     domains = F.when(k % 4 == 1, F.array(F.lit("军事"), F.lit("中东"))).when(k % 4 == 2, F.array(F.lit("other"), F.lit("欧洲"))).otherwise(F.array(F.lit("other")))
     phase = F.when(F.col("event_type") == "error", "military").when(F.col("event_type") == "view", "diplomatic").otherwise("unknown")
-    return table(spark, d, "events").select("event_id", S.estimate_confidence(level).alias("confidence"), S.infer_region(domains).alias("region"), S.infer_type(domains, phase).alias("type"))
+    return table(spark, d, "events").select(
+        "event_id", S.estimate_confidence(level).alias("confidence"), S.infer_region(domains).alias("region"),
+        S.infer_type(domains, phase).alias("type")
+    )
 
 
 @query("SELECT event_id, CASE event_type WHEN 'error' THEN 'military' WHEN 'click' THEN 'sanction' WHEN 'view' THEN 'financial' ELSE 'diplomatic' END AS phase FROM events")
 def h11_detect_phase(spark, d):
-    rules = [("military", ["error"], ["diplomatic"]), ("sanction", ["click"], ["diplomatic"]), ("financial", ["view"], None), ("economic", ["signup"], ["military"])]
+    rules = [
+        ("military", ["error"], ["diplomatic"]), ("sanction", ["click"], ["diplomatic"]), ("financial", ["view"], None),
+        ("economic", ["signup"], ["military"])
+    ]
     return table(spark, d, "events").select("event_id", S.detect_phase(F.lit("diplomatic"), F.col("event_type"), rules).alias("phase"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license') THEN 'law' WHEN regexp_matches(text, '(?i)keit') THEN 'de' ELSE 'other' END AS theme FROM documents")
 def h12_normalize_theme(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.normalize_theme(F.col("text"), [("license", "law"), ("keit", "de")], "other").alias("theme"))
+    return table(spark, d, "documents").select(
+        "doc_id", S.normalize_theme(F.col("text"), [("license", "law"), ("keit", "de")], "other").alias("theme")
+    )
 
 
 @query("SELECT event_id, greatest(0.1, exp(-0.693::DOUBLE * (date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-31') / 3600.0::DOUBLE) / 72)) AS decay, CASE WHEN date_diff('second', CAST(CAST(ts AS DATE) AS TIMESTAMP), TIMESTAMP '2024-01-31') <= 0 THEN 1.0 ELSE greatest(0.1, round(pow(0.9::DOUBLE, date_diff('second', CAST(CAST(ts AS DATE) AS TIMESTAMP), TIMESTAMP '2024-01-31') / 3600.0::DOUBLE / 48), 3)) END AS signal FROM events")
 def h9_decay(spark, d):
     now = F.lit(DAY).cast("timestamp")
-    return table(spark, d, "events").select("event_id", S.time_decay(F.col("ts"), now).alias("decay"), S.signal_decay(F.to_date("ts"), F.lit("A"), now).alias("signal"))
+    return table(spark, d, "events").select(
+        "event_id", S.time_decay(F.col("ts"), now).alias("decay"), S.signal_decay(F.to_date("ts"), F.lit("A"), now).alias("signal")
+    )
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'licensed') THEN 1.5 WHEN doc_id % 5 >= 3 THEN 1.3 WHEN contains(source, 'src1') THEN 0.5 ELSE 0.8 END::DOUBLE AS multiplier FROM documents")
 def h8_confirmation(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.confirmation(F.col("text"), F.col("source"), (F.col("doc_id") % 5), ["licensed"], ["src1"]).alias("multiplier"))
+    return table(spark, d, "documents").select(
+        "doc_id", S.confirmation(F.col("text"), F.col("source"), (F.col("doc_id") % 5), ["licensed"], ["src1"]).alias("multiplier")
+    )
 
 
 # ---- themes ----
@@ -256,7 +310,9 @@ def _signals(spark, d):
     return table(spark, d, "documents").select(dim.alias("dimension"), "text")
 
 
-_TOPIC = ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{t}' END" for t, ws in TOPICS.items())
+_TOPIC = ", ".join(
+    f"CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{t}' END" for t, ws in TOPICS.items()
+)
 _MEDIA = f"hit AS (SELECT doc_id, source, unnest(list_filter([{_TOPIC}], lambda x: x IS NOT NULL)) AS theme FROM documents), tm AS (SELECT DISTINCT theme, source, (CAST(substr(source, 4) AS INT) % 4 + 1) / 8.0::DOUBLE AS quality FROM hit), th AS (SELECT theme, ['government', 'financial', 'energy', 'think_tank'][CAST(doc_id % 4 + 1 AS INT)] AS dimension, count(*) AS hits FROM hit GROUP BY ALL)"
 
 
@@ -361,7 +417,9 @@ e AS (SELECT 'regions' AS part, row_number() OVER (ORDER BY -(total / days::DOUB
 SELECT part, CAST(rank AS INT) AS rank, name, value, trend FROM (SELECT * FROM a WHERE rank <= 10 UNION ALL SELECT * FROM b WHERE rank <= 5 UNION ALL SELECT * FROM c WHERE rank <= 5 UNION ALL SELECT * FROM e WHERE rank <= 8)""")
 def f2_trend_dashboard(spark, d):
     regions = table(spark, d, "events").groupBy(F.col("user_id").alias("region"), F.to_date("ts").alias("date")).agg(F.count("*").alias("items"))
-    return R.trend_dashboard(R.trajectory(_mentions(spark, d), "theme", "mentions"), R.trajectory(regions, "region", "items", scale=1, edge=0.05), max_days=40)
+    return R.trend_dashboard(
+        R.trajectory(_mentions(spark, d), "theme", "mentions"), R.trajectory(regions, "region", "items", scale=1, edge=0.05), max_days=40
+    )
 
 
 @query(f"WITH {_TRAJ} SELECT theme, days FROM tj WHERE days <= 40 ORDER BY days DESC, theme LIMIT 5")
@@ -371,7 +429,10 @@ def d8_emerging(spark, d):
 
 def _history(spark, d):
     e = table(spark, d, "events").withColumn("date", F.to_date("ts"))
-    items = e.groupBy("date").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "event_type", "props"))).alias("clusters"), F.array_sort(F.collect_list(F.concat(F.substring(F.translate("event_type", "scvep", "SABCA"), 1, 1), F.lit(": x")))).alias("signals"))
+    items = e.groupBy("date").agg(
+        F.array_sort(F.collect_list(F.concat_ws(" ", "event_type", "props"))).alias("clusters"),
+        F.array_sort(F.collect_list(F.concat(F.substring(F.translate("event_type", "scvep", "SABCA"), 1, 1), F.lit(": x")))).alias("signals")
+    )
     regions = e.groupBy("date", F.col("event_type").alias("r")).agg(F.collect_list("event_id").alias("v")).groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("regions"))
     return items.join(regions, "date").withColumn("summary_excerpt", F.lit("x"))
 
@@ -413,7 +474,9 @@ def a18_backfill_counts(spark, d):
 def c16_phase_delta(spark, d):
     from pyspark.sql import Window
 
-    r = revisions(spark, d).withColumn("old_phase", F.lag("phase").over(Window.partitionBy("event_id").orderBy("date"))).filter("old_phase is not null")
+    r = revisions(spark, d).withColumn(
+        "old_phase", F.lag("phase").over(Window.partitionBy("event_id").orderBy("date"))
+    ).filter("old_phase is not null")
     return R.with_phase_delta(r, TRANSITIONS).select("event_id", "date", "phase", "risk_delta")
 
 
@@ -443,12 +506,17 @@ def d19_new_participants(spark, d):
     return R.new_participants(e)
 
 
-_ANCH = [("oil", "n1", "us10y", 50.0, "above"), ("oil", "n2", "us2y", -1.0, "below"), ("gold", "n3", "spread_10y_2y", 1000.0, "below"), ("gold", "n4", "us2y", 5.0, "change")]
+_ANCH = [
+    ("oil", "n1", "us10y", 50.0, "above"), ("oil", "n2", "us2y", -1.0, "below"), ("gold", "n3", "spread_10y_2y", 1000.0, "below"),
+    ("gold", "n4", "us2y", 5.0, "change")
+]
 
 
 def _market(spark, d):
     e = table(spark, d, "events")
-    return e.groupBy(F.when(F.col("event_type") == "view", "us10y").when(F.col("event_type") == "click", "us2y").otherwise(F.col("event_type")).alias("key")).agg(F.round(F.avg("value"), 4).alias("price"), (-F.round(F.avg("value") / 100, 4)).alias("change_pct"))
+    return e.groupBy(F.when(F.col("event_type") == "view", "us10y").when(F.col("event_type") == "click", "us2y").otherwise(F.col("event_type")).alias("key")).agg(
+        F.round(F.avg("value"), 4).alias("price"), (-F.round(F.avg("value") / 100, 4)).alias("change_pct")
+    )
 
 
 _CHAINS = """mk AS (SELECT CASE event_type WHEN 'view' THEN 'us10y' WHEN 'click' THEN 'us2y' ELSE event_type END AS key, round(avg(value), 4) AS price, -round(avg(value) / 100, 4) AS change_pct FROM events GROUP BY 1),
@@ -458,13 +526,17 @@ fired AS (SELECT chain, count(*) AS nodes, 5 * count(*) AS bonus FROM ch GROUP B
 
 @query(f"WITH {_CHAINS} SELECT * FROM fired")
 def c11_chain_triggers(spark, d):
-    return R.chain_triggers(spark.createDataFrame(_ANCH, "chain string, node string, indicator string, threshold double, direction string"), _market(spark, d))
+    return R.chain_triggers(
+        spark.createDataFrame(_ANCH, "chain string, node string, indicator string, threshold double, direction string"), _market(spark, d)
+    )
 
 
 @query(f"""WITH {_TS}, {_CHAINS}, b AS (SELECT coalesce(sum(bonus), 0) AS bonus, count(*) AS chains FROM fired)
 SELECT CAST(least(100, floor((SELECT avg(score) FROM tl) + bonus + CASE WHEN chains >= 3 THEN 20 WHEN chains = 2 THEN 10 ELSE 0 END + 1e-9)) AS INT) AS stress, chains FROM b""")
 def d6_global_stress(spark, d):
-    chains = R.chain_triggers(spark.createDataFrame(_ANCH, "chain string, node string, indicator string, threshold double, direction string"), _market(spark, d))
+    chains = R.chain_triggers(
+        spark.createDataFrame(_ANCH, "chain string, node string, indicator string, threshold double, direction string"), _market(spark, d)
+    )
     return R.global_stress(_theme_scores(spark, d), chains)
 
 
@@ -509,7 +581,12 @@ g AS (SELECT m, min(d) AS first_seen, max(d) AS last_seen, max(risk) AS peak_ris
 SELECT m AS event_id, canonical_title, array_to_string(list_filter(ts, lambda t: t <> canonical_title), ',') AS aliases, first_seen, last_seen, peak_risk, merged, array_to_string(ss, ',') AS evidence FROM g""")
 def k2_apply_merges(spark, d):
     o = table(spark, d, "orders")
-    heads = o.select(F.col("o_orderkey").alias("event_id"), F.concat("o_orderstatus", (F.col("o_orderkey") % 3).cast("string")).alias("canonical_title"), F.to_date("o_orderdate").alias("first_seen"), F.to_date("o_orderdate").alias("last_seen"), F.substring("o_orderpriority", 1, 1).cast("int").alias("peak_risk"), F.array(F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string"))).alias("sources"))
+    heads = o.select(
+        F.col("o_orderkey").alias("event_id"), F.concat("o_orderstatus", (F.col("o_orderkey") % 3).cast("string")).alias("canonical_title"),
+        F.to_date("o_orderdate").alias("first_seen"), F.to_date("o_orderdate").alias("last_seen"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("peak_risk"),
+        F.array(F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string"))).alias("sources")
+    )
     out = E.apply_merges(heads, E.merge_candidates(_actors(spark, d)))
     return out.withColumns({"aliases": F.array_join("aliases", ","), "evidence": F.array_join("evidence", ",")})
 
@@ -522,12 +599,18 @@ def k3_lifecycle(spark, d):
 @query("SELECT doc_id AS event_id, quality * 10 AS model_score, toxic * 8 AS rule_score, abs(quality * 10 - toxic * 8) > 3 AS review FROM labels")
 def k4_dual_risk(spark, d):
     lab = table(spark, d, "labels")
-    return E.dual_risk(lab.select(F.col("doc_id").alias("event_id"), (F.col("quality") * 10).alias("model_score")), lab.select(F.col("doc_id").alias("event_id"), (F.col("toxic") * 8).alias("rule_score")))
+    return E.dual_risk(
+        lab.select(F.col("doc_id").alias("event_id"), (F.col("quality") * 10).alias("model_score")),
+        lab.select(F.col("doc_id").alias("event_id"), (F.col("toxic") * 8).alias("rule_score"))
+    )
 
 
 @query("SELECT o_custkey AS event_id, CAST('2024-01-01' AS DATE) AS date, o_orderkey AS version, o_totalprice AS score, round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS change FROM orders")
 def k5_compare_assessments(spark, d):
-    a = table(spark, d, "orders").select(F.col("o_custkey").alias("event_id"), day("2024-01-01").alias("date"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("score"))
+    a = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("event_id"), day("2024-01-01").alias("date"), F.col("o_orderkey").alias("version"),
+        F.col("o_totalprice").alias("score")
+    )
     return E.compare_assessments(a).withColumn("change", F.round("change", 2))
 
 

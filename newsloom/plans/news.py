@@ -11,7 +11,10 @@ from newsloom.sources import scan, sinks
 
 NOISE, PRIORITY = ["disgusting", "trash", "***"], ["licensed", "the"]
 CATEGORIES = {
-    "motion": {"weight": 5, "terms": ["tionst", "edst"], "escalation": [{"triggers": ["there", "and", "of"], "bonus": 20}, {"triggers": ["aux", "que"], "bonus": 15}]},
+    "motion": {
+        "weight": 5, "terms": ["tionst", "edst"],
+        "escalation": [{"triggers": ["there", "and", "of"], "bonus": 20}, {"triggers": ["aux", "que"], "bonus": 15}]
+    },
     "law": {"weight": 8, "terms": ["licens", "rights"]},
     "speech": {"weight": 3, "terms": ["eaux", "keit"], "context": ["und", "les"]},
 }
@@ -34,7 +37,9 @@ def _cat(c: dict) -> str:
     return _any(c["terms"]) + (f" AND {_any(c['context'])}" if c.get("context") else "")
 
 
-_HITS = " UNION ALL ".join(f"SELECT id, '{n}' AS category, CAST({c['weight']} AS DOUBLE) AS weight FROM news WHERE {_cat(c)}" for n, c in CATEGORIES.items())
+_HITS = " UNION ALL ".join(
+    f"SELECT id, '{n}' AS category, CAST({c['weight']} AS DOUBLE) AS weight FROM news WHERE {_cat(c)}" for n, c in CATEGORIES.items()
+)
 _ESC = "least(30.0, " + " + ".join(f"CASE WHEN {_cat(c)} AND ({' + '.join(f'CAST(contains({_TEXT}, {chr(39)}{t}{chr(39)}) AS INT)' for t in r['triggers'])}) >= 2 THEN {r['bonus']}.0 ELSE 0.0 END" for c in CATEGORIES.values() for r in c.get("escalation", [])) + ")"
 _COVER = """w AS (SELECT id, url, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda x: x <> ''))) AS ws FROM news),
 tk AS (SELECT id, url, len(ws) AS n, unnest(ws) AS t FROM w),
@@ -102,7 +107,9 @@ def c2_escalation(spark, d):
 
 @query("SELECT c_custkey, CASE WHEN contains(lower(n_name), 'ira') THEN 'gold' WHEN contains(lower(n_name), 'united') THEN 'silver' ELSE 'unrated' END AS tier, CASE WHEN contains(lower(n_name), 'ira') THEN 90 WHEN contains(lower(n_name), 'united') THEN 60 ELSE 40 END AS trust FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def c3_source_trust(spark, d):
-    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("source", F.col("n_name"))
+    c = table(spark, d, "customer").join(
+        table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    ).withColumn("source", F.col("n_name"))
     return N.with_source_trust(c, [("IRA", "gold", 90), ("UNITED", "silver", 60)]).select("c_custkey", "tier", "trust")
 
 
@@ -153,7 +160,9 @@ def g1_dedup_news(spark, d):
 
 @query(f"WITH {_URLS} SELECT min(page_id) AS page_id FROM nu GROUP BY url")
 def g1_dedup_pages(spark, d):
-    p = table(spark, d, "pages").select(F.col("page_id").alias("pos"), "url", F.col("page_id").cast("string").alias("title"), F.lit("page").alias("source"))
+    p = table(spark, d, "pages").select(
+        F.col("page_id").alias("pos"), "url", F.col("page_id").cast("string").alias("title"), F.lit("page").alias("source")
+    )
     return N.dedup_news(p).select(F.col("pos").alias("page_id"))
 
 
@@ -205,7 +214,9 @@ def d3_majority(spark, d):
 
 @query(f"WITH {SOURCES}, {_URLS} SELECT (SELECT count(*) FROM so WHERE NOT experimental) AS ok_sources, (SELECT count(*) FROM so WHERE experimental) AS failed_sources, count(*) AS items, count(*) - count(DISTINCT url) AS duplicates, (SELECT count(*) FROM (SELECT min(page_id) AS id FROM nu GROUP BY url) WHERE id % 3 = 0) AS repeats FROM nu")
 def d22_fetch_stats(spark, d):
-    p = table(spark, d, "pages").select(F.col("page_id").alias("pos"), "url", F.col("page_id").cast("string").alias("title"), F.lit("page").alias("source"))
+    p = table(spark, d, "pages").select(
+        F.col("page_id").alias("pos"), "url", F.col("page_id").cast("string").alias("title"), F.lit("page").alias("source")
+    )
     seen = p.filter("pos % 3 = 0").select(S.fingerprint("title", "source").alias("fingerprint"))
     return N.fetch_stats(sources(spark, d).select(F.col("name").alias("source"), (~F.col("experimental")).alias("ok")), p, seen)
 
@@ -219,7 +230,10 @@ f AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, '' AS t
 SELECT conv_id, arg_max(used, k) AS used, CAST(arg_max(n, k) AS INT) AS n_taken, arg_max(taken, k) AS taken FROM f GROUP BY conv_id""")
 def f3_budget_pack(spark, d):
     c = table(spark, d, "conversations")
-    s = c.select("conv_id", F.when(F.col("role") == "system", 8).when(F.col("role") == "user", 5).otherwise(3).alias("priority"), F.col("turn").cast("int").alias("pos"), S.est_tokens(F.col("text"), 2).cast("int").alias("cost"))
+    s = c.select(
+        "conv_id", F.when(F.col("role") == "system", 8).when(F.col("role") == "user", 5).otherwise(3).alias("priority"),
+        F.col("turn").cast("int").alias("pos"), S.est_tokens(F.col("text"), 2).cast("int").alias("cost")
+    )
     return N.budget_pack(s, "conv_id", 500)
 
 
@@ -246,14 +260,18 @@ def a4_select_sources(spark, d):
 
 @query("WITH e AS (SELECT c_nationkey AS source, c_custkey % 3 AS url_rank, c_custkey FROM customer), r AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY url_rank) AS k FROM e) SELECT source, url_rank, c_custkey FROM r WHERE k = 1")
 def a5_failover(spark, d):
-    return scan.failover(table(spark, d, "customer").select(F.col("c_nationkey").alias("source"), (F.col("c_custkey") % 3).alias("url_rank"), "c_custkey"))
+    return scan.failover(table(spark, d, "customer").select(
+        F.col("c_nationkey").alias("source"), (F.col("c_custkey") % 3).alias("url_rank"), "c_custkey"
+    ))
 
 
 @query(f"""WITH {NEWS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS rn FROM news)
 SELECT id, trim(regexp_replace(regexp_replace(summary, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))[1:500] AS summary FROM r WHERE rn <= 30 AND trim(title) <> ''
 AND floor(date_diff('second', published_ts, TIMESTAMP '{AS_OF}') / 86400.0) <= 3""")
 def a1_scan_feed_entries(spark, d):
-    n = news(spark, d).withColumns({"published": F.date_format("published_ts", "yyyy-MM-dd HH:mm"), "updated": F.lit(None).cast("string"), "link": F.col("url")})
+    n = news(spark, d).withColumns({
+        "published": F.date_format("published_ts", "yyyy-MM-dd HH:mm"), "updated": F.lit(None).cast("string"), "link": F.col("url")
+    })
     return scan.scan_feed_entries(n, as_of()).select("id", "summary")
 
 
@@ -285,7 +303,9 @@ def h18_est_tokens(spark, d):
 
 @query("SELECT doc_id, CASE WHEN contains(source, 'src1') THEN 'one' WHEN contains(source, '5') THEN 'five' ELSE 'rest' END AS lean FROM documents")
 def h13_classify_lean(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.classify_lean(F.col("source"), [("one", ["SRC1"]), ("five", ["5"])], "rest").alias("lean"))
+    return table(spark, d, "documents").select(
+        "doc_id", S.classify_lean(F.col("source"), [("one", ["SRC1"]), ("five", ["5"])], "rest").alias("lean")
+    )
 
 
 @query("SELECT page_id, regexp_replace(url, '(?:[A-Za-z]:\\\\|/)(?:[A-Za-z0-9_.-]+[/\\\\])+[A-Za-z0-9_.-]*', '<path>', 'g')[1:300] AS text FROM pages")

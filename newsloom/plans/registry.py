@@ -29,7 +29,9 @@ def news(spark: SparkSession, d: str) -> DataFrame:
     """Documents as news: title is the first line, summary the whole text, region the language."""
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.get(F.split("text", "\n"), 0).alias("title"), F.col("text").alias("summary"), F.col("lang").alias("region"), "source",
-        F.concat(F.lit("https://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.timestamp_add("HOUR", -(F.col("doc_id") % 200).cast("int"), F.lit("2024-01-31").cast("timestamp")).alias("published_ts"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.timestamp_add(
+            "HOUR", -(F.col("doc_id") % 200).cast("int"), F.lit("2024-01-31").cast("timestamp")
+        ).alias("published_ts"),
     )
 
 
@@ -39,7 +41,9 @@ NEWS = """news AS (SELECT doc_id AS id, doc_id AS pos, string_split(text, chr(10
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
     """Events as daily events: an event is a user, its phase the type of the day's rows, its risk from the value."""
-    phase = F.create_map(*[F.lit(x) for kv in {"view": "diplomatic", "signup": "economic", "click": "sanction", "error": "military", "purchase": "financial"}.items() for x in kv])
+    phase = F.create_map(*[F.lit(x) for kv in {
+        "view": "diplomatic", "signup": "economic", "click": "sanction", "error": "military", "purchase": "financial"
+    }.items() for x in kv])
     risk = F.least(F.lit(100), F.floor(F.col("value") / 5)).cast("int")
     return table(spark, d, "events").select(
         F.col("user_id").alias("event_id"), F.to_date("ts").alias("date"), F.struct("ts", "event_id").alias("pos"), F.element_at(phase, F.col("event_type")).alias("phase"), risk.alias("risk"),
@@ -64,7 +68,9 @@ heads AS (SELECT event_id, min(date) AS first_seen, max(date) AS last_seen, arg_
 
 def themes(spark: SparkSession, d: str) -> DataFrame:
     """Event types as themes, their mean risk of a day as the score."""
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("theme"), F.to_date("ts").alias("date")).agg(F.floor(F.sum(F.least(F.lit(100), F.floor(F.col("value") / 5))) / F.count("*")).cast("int").alias("score"))
+    return table(spark, d, "events").groupBy(
+        F.col("event_type").alias("theme"), F.to_date("ts").alias("date")
+    ).agg(F.floor(F.sum(F.least(F.lit(100), F.floor(F.col("value") / 5))) / F.count("*")).cast("int").alias("score"))
 
 
 THEMES = """sc AS (SELECT event_type AS theme, CAST(ts AS DATE) AS date, CAST(floor(sum(least(100, floor(value / 5))) / count(*)) AS INT) AS score FROM events GROUP BY ALL)"""
@@ -74,7 +80,9 @@ def prices(spark: SparkSession, d: str) -> DataFrame:
     """Lineitem prices of brands by day and provider (odd and even suppliers)."""
     li, part = table(spark, d, "lineitem"), table(spark, d, "part")
     rows = li.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy(F.to_date("l_shipdate").alias("date"), F.col("p_brand").alias("key"), (F.col("l_suppkey") % 2).cast("int").alias("provider")).agg((F.floor(F.sum("l_extendedprice") / F.sum("l_quantity") * 100 + 1e-6) / 100).alias("price"))
+    return rows.groupBy(
+        F.to_date("l_shipdate").alias("date"), F.col("p_brand").alias("key"), (F.col("l_suppkey") % 2).cast("int").alias("provider")
+    ).agg((F.floor(F.sum("l_extendedprice") / F.sum("l_quantity") * 100 + 1e-6) / 100).alias("price"))
 
 
 PRICES = """px AS (SELECT CAST(l_shipdate AS DATE) AS date, p_brand AS key, CAST(l_suppkey % 2 AS INT) AS provider, floor(sum(l_extendedprice) / sum(l_quantity) * 100 + 1e-6) / 100 AS price
@@ -100,8 +108,15 @@ RUNS = """rn AS (SELECT event_id AS run_id, CAST(ts AS DATE) AS date, event_type
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as news sources."""
-    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return s.select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_suppkey").alias("pos"), F.col("r_name").alias("region"), (1 + F.col("s_suppkey") % 10).alias("credibility"), (1 + F.col("s_suppkey") % 7).alias("signal_weight"), (1 + F.col("s_suppkey") % 2).alias("tier"), (F.col("s_suppkey") % 9 == 0).alias("experimental"))
+    s = table(spark, d, "supplier").join(
+        table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    ).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return s.select(
+        F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_suppkey").alias("pos"),
+        F.col("r_name").alias("region"), (1 + F.col("s_suppkey") % 10).alias("credibility"),
+        (1 + F.col("s_suppkey") % 7).alias("signal_weight"), (1 + F.col("s_suppkey") % 2).alias("tier"),
+        (F.col("s_suppkey") % 9 == 0).alias("experimental")
+    )
 
 
 SOURCES = """so AS (SELECT 'src' || CAST(s_suppkey AS VARCHAR) AS name, s_suppkey AS pos, r_name AS region, 1 + s_suppkey % 10 AS credibility, 1 + s_suppkey % 7 AS signal_weight, 1 + s_suppkey % 2 AS tier, s_suppkey % 9 = 0 AS experimental

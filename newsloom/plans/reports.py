@@ -95,13 +95,19 @@ def h16_spreads(spark, d):
 
 @query("SELECT event_id, CASE WHEN value > 72 AND event_type <> 'view' THEN 'stale' WHEN event_type = 'view' THEN 'verified' ELSE 'single' END AS quality, CASE WHEN value > 72 AND event_type <> 'view' THEN 'older than 72 h' END AS note FROM events")
 def h19_freshness(spark, d):
-    e = table(spark, d, "events").select("event_id", F.col("value").alias("freshness_hours"), F.when(F.col("event_type") == "view", "verified").otherwise("single").alias("quality"))
+    e = table(spark, d, "events").select(
+        "event_id", F.col("value").alias("freshness_hours"),
+        F.when(F.col("event_type") == "view", "verified").otherwise("single").alias("quality")
+    )
     return M.with_freshness(e).select("event_id", "quality", "note")
 
 
 @query("SELECT event_type AS series, arg_max(CAST(value AS DOUBLE), event_id) AS value FROM events WHERE event_id % 10 <> 0 GROUP BY 1")
 def a12_latest_observation(spark, d):
-    e = table(spark, d, "events").select(F.col("event_type").alias("series"), F.col("event_id").alias("date"), F.when(F.col("event_id") % 10 == 0, ".").otherwise(F.col("value").cast("string")).alias("value"))
+    e = table(spark, d, "events").select(
+        F.col("event_type").alias("series"), F.col("event_id").alias("date"),
+        F.when(F.col("event_id") % 10 == 0, ".").otherwise(F.col("value").cast("string")).alias("value")
+    )
     return scan.latest_observation(e).select("series", "value")
 
 
@@ -109,17 +115,23 @@ def a12_latest_observation(spark, d):
 def a8_price_history(spark, d):
     num = F.regexp_extract("props", "([0-9]+)", 1)
     v = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"price": '), num, F.lit("}"))).otherwise(F.col("value").cast("string"))
-    return scan.scan_price_history(table(spark, d, "events").select(F.to_date("ts").alias("date"), F.col("event_id").alias("key"), v.alias("value")), day())
+    return scan.scan_price_history(
+        table(spark, d, "events").select(F.to_date("ts").alias("date"), F.col("event_id").alias("key"), v.alias("value")), day()
+    )
 
 
 @query("SELECT 'sym' || CAST(event_id AS VARCHAR) AS key, value AS price, round((value - 100.5) / 100.5 * 100, 4) AS change_pct FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT 'fx_' || CAST(event_id AS VARCHAR), value, round((value - 99.5) / 99.5 * 100, 4) FROM events WHERE event_id % 3 = 0")
 def a10_quote_lines(spark, d):
     e = table(spark, d, "events")
-    sym = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("fx_"), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("sym"), F.col("event_id").cast("string")))
+    sym = F.when(
+        F.col("event_id") % 3 == 0, F.concat(F.lit("fx_"), F.col("event_id").cast("string"))
+    ).otherwise(F.concat(F.lit("sym"), F.col("event_id").cast("string")))
     v = F.col("value").cast("string")
     fx = F.concat_ws(",", F.lit("10:00"), v, v, F.lit("99.5"), F.lit("2024-01-01"), F.lit("x"), F.lit(""))
     cn = F.concat_ws(",", F.lit("name"), v, F.lit("100.5"), v, F.lit("2024-01-01"), F.lit("x"), F.lit(""))
-    lines = e.select(F.concat(F.lit("var hq_str_"), sym, F.lit('="'), F.when(F.col("event_id") % 3 == 0, fx).otherwise(cn), F.lit('";')).alias("value"))
+    lines = e.select(F.concat(
+        F.lit("var hq_str_"), sym, F.lit('="'), F.when(F.col("event_id") % 3 == 0, fx).otherwise(cn), F.lit('";')
+    ).alias("value"))
     out = scan.scan_quote_lines(lines, e.select(sym.alias("symbol"), sym.alias("key")))
     return out.select("key", "price", F.round("change_pct", 4).alias("change_pct"))
 
@@ -128,7 +140,9 @@ def a10_quote_lines(spark, d):
 def a10_check_quotes(spark, d):
     k = F.col("event_id")
     e = table(spark, d, "events").withColumn("symbol", F.concat(F.when(k % 3 == 0, "fx_").otherwise("nf_"), k.cast("string")))
-    body = F.when(k % 3 == 0, F.concat(F.lit("10:00,"), F.col("value").cast("string"), F.lit(",x"))).otherwise(F.concat(F.col("value").cast("string"), F.lit(",y,z")))
+    body = F.when(
+        k % 3 == 0, F.concat(F.lit("10:00,"), F.col("value").cast("string"), F.lit(",x"))
+    ).otherwise(F.concat(F.col("value").cast("string"), F.lit(",y,z")))
     symbols = e.select("symbol", F.col("symbol").alias("key"), F.when(k % 4 == 0, 100.0).when(k % 4 == 1, 0.5).alias("factor"))
     return scan.scan_check_quotes(e.select(F.concat(F.lit("var hq_str_"), "symbol", F.lit('="'), body, F.lit('";')).alias("value")), symbols)
 
@@ -147,7 +161,15 @@ def a13_price_maps(spark, d):
 
 
 # ---- runs ----
-_GATE = " UNION ALL ".join(f"SELECT '{n}' AS \"check\", round({v}, 4) AS value, coalesce({v} {op} {b}, false) AS passed FROM rec" for n, v, op, b in (("api", "avg(CAST(api_ok AS INT)) * 100", ">=", 99), ("json", "avg(CAST(json_valid AS INT)) * 100", ">=", 100), ("html", "avg(CAST(html_valid AS INT)) * 100", ">=", 100), ("quality", "avg(quality_score)", ">=", 85), ("latency_cv", "stddev_pop(total_seconds) / avg(total_seconds) * 100", "<", 30), ("token_cv", "stddev_pop(total_tokens) / avg(total_tokens) * 100", "<", 30)))
+_GATE = " UNION ALL ".join(
+    f"SELECT '{n}' AS \"check\", round({v}, 4) AS value, coalesce({v} {op} {b}, false) AS passed FROM rec" for n, v, op,
+    b in (
+        ("api", "avg(CAST(api_ok AS INT)) * 100", ">=", 99), ("json", "avg(CAST(json_valid AS INT)) * 100", ">=", 100),
+        ("html", "avg(CAST(html_valid AS INT)) * 100", ">=", 100), ("quality", "avg(quality_score)", ">=", 85),
+        ("latency_cv", "stddev_pop(total_seconds) / avg(total_seconds) * 100", "<", 30),
+        ("token_cv", "stddev_pop(total_tokens) / avg(total_tokens) * 100", "<", 30)
+    )
+)
 
 
 @query(f"WITH {RUNS}, rec AS (SELECT * FROM rn WHERE date > DATE '{DAY}' - 14), g AS ({_GATE}) SELECT * FROM g UNION ALL SELECT 'records', CAST(count(*) AS DOUBLE), count(*) >= 14 FROM rec UNION ALL SELECT 'all', NULL, (SELECT bool_and(passed) FROM g) AND (SELECT count(*) >= 14 FROM rec)")
@@ -174,7 +196,11 @@ def d16_cost_trend(spark, d):
 
 @query("SELECT CAST(ts AS DATE) AS run_id, count(*) AS events, count(DISTINCT event_type) AS regions, count(*) FILTER (WHERE value > 400) AS s_events, count(*) FILTER (WHERE value > 300 AND value <= 400) AS a_events, CAST(2 * count(*) AS BIGINT) AS citations, 2.0::DOUBLE AS citation_density FROM events GROUP BY 1")
 def d21_run_facts(spark, d):
-    e = table(spark, d, "events").select(F.to_date("ts").alias("run_id"), F.col("event_type").alias("region"), F.when(F.col("value") > 400, "S").when(F.col("value") > 300, "A").otherwise("B").alias("signal_level"), F.array(F.lit(1), F.lit(2)).alias("citations"))
+    e = table(spark, d, "events").select(
+        F.to_date("ts").alias("run_id"), F.col("event_type").alias("region"),
+        F.when(F.col("value") > 400, "S").when(F.col("value") > 300, "A").otherwise("B").alias("signal_level"),
+        F.array(F.lit(1), F.lit(2)).alias("citations")
+    )
     return U.run_facts(e)
 
 
@@ -208,7 +234,10 @@ def e13_version_regression(spark, d):
 
 
 # ---- documents and pages ----
-_WORDS = {"placeholders": ["scum", "trash"], "vague": ["only", "was"], "indicators": ["License", "rights"], "regions": ["the", "les", "und", "and", "est", "von", "que", "de"]}
+_WORDS = {
+    "placeholders": ["scum", "trash"], "vague": ["only", "was"], "indicators": ["License", "rights"],
+    "regions": ["the", "les", "und", "and", "est", "von", "que", "de"]
+}
 
 
 def _n(words: list[str]) -> str:
@@ -226,7 +255,9 @@ def _rule(cat: str, sev: str, value: str, cond: str) -> str:
 
 _CHECKS = " UNION ALL ".join(_rule(*x) for x in (
     ("A1_h2_count", "issue", "h2", "h2 < 4"), ("A1_h2_count", "warning", "h2", "h2 > 12"), ("A2_placeholders", "issue", "held", "held > 0"), ("A3_vague", "warning", "dull", "dull > 0"), ("A4_market_data", "issue", "missing", "missing > 0"),
-    ("B1_coverage", "issue", "covered", "covered < 6"), ("B1_coverage", "warning", "covered", "covered IN (6, 7)"), ("B2_dominance", "issue", "round(share, 4)", "share > 45"), ("B2_dominance", "warning", "round(share, 4)", "share <= 45 AND share > 30"),
+    ("B1_coverage", "issue", "covered", "covered < 6"), ("B1_coverage", "warning", "covered", "covered IN (6, 7)"), ("B2_dominance", "issue", "round(share, 4)", "share > 45"), (
+        "B2_dominance", "warning", "round(share, 4)", "share <= 45 AND share > 30"
+    ),
     ("C2_confidence", "warning", "0", "true"), ("D1_links", "warning", "urls", "urls < 5"), ("E1_length", "issue", "n", "n < 3000"), ("E1_length", "warning", "n", "n >= 3000 AND n < 5000")))
 
 
@@ -252,8 +283,13 @@ def b11_html_structure(spark, d):
 def _tagged(spark, d):
     """Documents with blocks made of their own columns; every third structured block is broken, every fifth is fenced."""
     j = F.to_json(F.struct("doc_id", "lang"))
-    block = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<STRUCTURED>"), F.expr("replace(to_json(struct(doc_id, lang)), '}', ',}')"), F.lit("</STRUCTURED>"))).otherwise(F.concat(F.lit("<STRUCTURED>"), j, F.lit("</STRUCTURED>")))
-    return table(spark, d, "documents").select("doc_id", "lang", F.concat(F.lit("<METADATA>{\"v\": 3}</METADATA>\n"), block, F.lit("\n"), F.col("text")).alias("text"))
+    block = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(
+        F.col("doc_id") % 3 == 0,
+        F.concat(F.lit("<STRUCTURED>"), F.expr("replace(to_json(struct(doc_id, lang)), '}', ',}')"), F.lit("</STRUCTURED>"))
+    ).otherwise(F.concat(F.lit("<STRUCTURED>"), j, F.lit("</STRUCTURED>")))
+    return table(spark, d, "documents").select(
+        "doc_id", "lang", F.concat(F.lit("<METADATA>{\"v\": 3}</METADATA>\n"), block, F.lit("\n"), F.col("text")).alias("text")
+    )
 
 
 @query("SELECT doc_id, '{\"v\": 3}' AS metadata, doc_id AS found, lang AS found_lang FROM documents")
@@ -266,7 +302,10 @@ def i1_extract_blocks(spark, d):
 def _listed(spark, d):
     """Documents as reports: a heading by language, then the lines as list items."""
     h = F.when(F.col("lang") == "en", "# signals").when(F.col("lang") == "fr", "# clusters").otherwise("# rest")
-    return table(spark, d, "documents").select("doc_id", "lang", F.concat(h, F.lit("\n"), F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("- "), x)), "\n")).alias("text"))
+    return table(spark, d, "documents").select(
+        "doc_id", "lang",
+        F.concat(h, F.lit("\n"), F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("- "), x)), "\n")).alias("text")
+    )
 
 
 _ITEMS = "it AS (SELECT doc_id, lang, k, trim(l) AS item FROM (SELECT doc_id, lang, generate_subscripts(ls, 1) AS k, unnest(ls) AS l FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(l) <> '')"
@@ -287,7 +326,10 @@ SELECT d.doc_id, string_agg(item, '|' ORDER BY rank) FILTER (WHERE r.lang = 'en'
 substr(CASE d.lang WHEN 'en' THEN '# signals' WHEN 'fr' THEN '# clusters' ELSE '# rest' END || chr(10) || '- ' || replace(any_value(d.text), chr(10), chr(10) || '- '), 1, 500) AS summary_excerpt FROM documents AS d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, d.lang""")
 def i4_build_history(spark, d):
     h = D.build_history(_listed(spark, d), {"E": "signals"}, "signals", "clusters")
-    return h.select("doc_id", F.array_join("signals", "|").alias("signals"), F.array_join("clusters", "|").alias("clusters"), F.array_join(F.try_element_at("regions", F.lit("E")), "|").alias("region_e"), "summary_excerpt")
+    return h.select(
+        "doc_id", F.array_join("signals", "|").alias("signals"), F.array_join("clusters", "|").alias("clusters"),
+        F.array_join(F.try_element_at("regions", F.lit("E")), "|").alias("region_e"), "summary_excerpt"
+    )
 
 
 _PART = r"""ch AS (SELECT page_id, html, len(regexp_extract_all(lower(html), '<h2[^a-z0-9]')) AS n FROM pages),
@@ -329,8 +371,13 @@ def i7_html_excerpt(spark, d):
 
 @query("SELECT p_partkey AS doc_id, p_name AS name, p_retailprice AS price, 'USD' AS unit, p_size / 10.0::DOUBLE AS change_pct, 'up' AS trend, 'now' AS label FROM part")
 def i8_market_lines(spark, d):
-    line = F.concat(F.lit("- "), F.col("p_name"), F.lit(": "), F.col("p_retailprice").cast("decimal(18,4)").cast("string"), F.lit(" USD (+"), (F.col("p_size") / 10.0).cast("decimal(9,1)").cast("string"), F.lit("% day) up [now]"))
-    return D.parse_market_lines(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("# head\n"), line).alias("text"))).drop("n")
+    line = F.concat(
+        F.lit("- "), F.col("p_name"), F.lit(": "), F.col("p_retailprice").cast("decimal(18,4)").cast("string"), F.lit(" USD (+"),
+        (F.col("p_size") / 10.0).cast("decimal(9,1)").cast("string"), F.lit("% day) up [now]")
+    )
+    return D.parse_market_lines(table(spark, d, "part").select(
+        F.col("p_partkey").alias("doc_id"), F.concat(F.lit("# head\n"), line).alias("text")
+    )).drop("n")
 
 
 @query("SELECT page_id, CAST(i - 1 AS INT) AS n, u AS url, length(u) > 100 AS is_long, regexp_matches(u, 'xxxx|example\\.com/test|/a-123456') AS is_placeholder FROM (SELECT page_id, generate_subscripts(us, 1) AS i, unnest(us) AS u FROM (SELECT page_id, regexp_extract_all(html || ' ' || url, 'https?://[^\\s)\\]\"''<>]+') AS us FROM pages))")
@@ -347,10 +394,15 @@ def i10_signal_mentions(spark, d):
 def i11_explode_citations(spark, d):
     e = table(spark, d, "events")
     runs_ = e.groupBy(F.col("user_id").alias("run_id")).agg(F.array(F.struct(F.collect_list("event_id").alias("news_refs"))).alias("claims"))
-    rows = e.filter("event_id % 2 = 0").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ordinal"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"))
+    rows = e.filter("event_id % 2 = 0").select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("ordinal"),
+        F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url")
+    )
     return D.explode_citations(runs_, rows)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 10 > 5 THEN '高' WHEN event_id % 10 > 1 THEN '中' ELSE '低' END AS consensus, CASE WHEN value > 250 THEN '↑' WHEN value < 250 THEN '↓' ELSE '→' END AS arrow FROM events")
 def h21_labels(spark, d):
-    return table(spark, d, "events").select("event_id", S.consensus(F.col("event_id") % 10).alias("consensus"), S.arrow(F.col("value") - 250).alias("arrow"))
+    return table(spark, d, "events").select(
+        "event_id", S.consensus(F.col("event_id") % 10).alias("consensus"), S.arrow(F.col("value") - 250).alias("arrow")
+    )

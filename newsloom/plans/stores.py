@@ -41,8 +41,13 @@ def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
 # ---- sinks ----
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, 'event ' || event_type AS title, CAST(ts AS DATE) AS date FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-13' AND CAST(ts AS DATE) <= DATE '2024-01-20' AND event_id % 17 <> 0")
 def a6_scan_events(spark, d):
-    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("event "), "event_type").alias("title"), F.array("event_type").alias("actors")))
-    lines = table(spark, d, "events").select(F.when(F.col("event_id") % 17 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"), F.to_date("ts").alias("date"))
+    line = F.to_json(F.struct(
+        F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("event "), "event_type").alias("title"),
+        F.array("event_type").alias("actors")
+    ))
+    lines = table(spark, d, "events").select(
+        F.when(F.col("event_id") % 17 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"), F.to_date("ts").alias("date")
+    )
     path = folder(spark, "event-lines")
     lines.write.partitionBy("date").text(path)
     return scan.scan_events(spark, path, "2024-01-20", 7).select("event_id", "title", F.col("date").cast("date").alias("date"))
@@ -90,7 +95,9 @@ def a20_snapshots(spark, d):
 # ---- streams ----
 @query(f"WITH {_URLS} SELECT DISTINCT md5(url) AS url_hash FROM nu")
 def j1_stream_dedup(spark, d):
-    pages = table(spark, d, "pages").select("url", F.timestamp_add("HOUR", (F.col("page_id") % 40).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("ts"))
+    pages = table(spark, d, "pages").select(
+        "url", F.timestamp_add("HOUR", (F.col("page_id") % 40).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("ts")
+    )
     return drained(jobs.stream_dedup(landed(pages, "pages"), "30 days"), "append", "seen").select("url_hash")
 
 
@@ -106,13 +113,18 @@ def j2_stream_upserts(spark, d):
 def j3_stream_evolution(spark, d):
     rows = daily(spark, d).select("event_id", F.col("pos.ts").cast("timestamp").alias("ts"), "phase")
     out = drained(jobs.stream_evolution(landed(rows, "phases"), TRANSITIONS), "update", "evolution")
-    last = out.groupBy("event_id").agg(F.max_by(F.struct("phase", "risk", "transitions", "last_day"), F.struct("last_day", "transitions")).alias("s"))
+    last = out.groupBy("event_id").agg(F.max_by(
+        F.struct("phase", "risk", "transitions", "last_day"), F.struct("last_day", "transitions")
+    ).alias("s"))
     return last.select("event_id", "s.phase", "s.risk", "s.transitions", "s.last_day")
 
 
 @query("SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def j4_stream_daily(spark, d):
-    out = drained(jobs.stream_daily(landed(table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), "events")), "complete", "days")
+    out = drained(
+        jobs.stream_daily(landed(table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), "events")),
+        "complete", "days"
+    )
     return out.withColumn("total", F.round("total", 4))
 
 

@@ -25,7 +25,9 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").schema("title string, link string, published string, updated string, pubDate string, description string").load(path)
 
 
-def scan_feed_entries(raw: DataFrame, as_of: Column, per_source: int = 30, max_days: int = 3, noise: list[str] = (), priority: list[str] = ()) -> DataFrame:
+def scan_feed_entries(
+    raw: DataFrame, as_of: Column, per_source: int = 30, max_days: int = 3, noise: list[str] = (), priority: list[str] = ()
+) -> DataFrame:
     """A1: (source, pos, title, link, published, updated, summary) to news rows.
 
     The first per_source entries of a source by pos; blank titles or links, stale and irrelevant entries go.
@@ -33,7 +35,10 @@ def scan_feed_entries(raw: DataFrame, as_of: Column, per_source: int = 30, max_d
     first = Window.partitionBy("source").orderBy("pos")
     out = raw.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= per_source).drop("_rn")
     out = out.filter((F.trim("title") != "") & (F.trim("link") != ""))
-    out = out.withColumns({"published": first_date("published", "updated"), "summary": F.substring(strip_tags(F.coalesce("summary", F.lit(""))), 1, 500), "url": F.trim("link")})
+    out = out.withColumns({
+        "published": first_date("published", "updated"), "summary": F.substring(strip_tags(F.coalesce("summary", F.lit(""))), 1, 500),
+        "url": F.trim("link")
+    })
     out = not_stale(out, as_of, max_days)
     return relevant(out, list(noise), list(priority)).drop("link", "updated")
 
@@ -116,13 +121,18 @@ def page_links(html: pd.Series) -> pd.Series:
         out = []
         for a in _Page(x or "").anchors:
             near = (_text(e) for e in _inside(a[2]) if DATED.search(e[1].get("class") or ""))
-            out.append({"href": (a[1].get("href") or "").strip(), "text": _text(a), "time": _stamp(a) or _stamp(a[2]), "dated": next((t[:25] for t in near if len(t) >= 8), "")})
+            out.append({
+                "href": (a[1].get("href") or "").strip(), "text": _text(a), "time": _stamp(a) or _stamp(a[2]),
+                "dated": next((t[:25] for t in near if len(t) >= 8), "")
+            })
         return out
 
     return html.map(found)
 
 
-def scan_page_links(pages: DataFrame, as_of: Column, per_page: int = 30, min_text: int = 10, noise: list[str] = (), priority: list[str] = ()) -> DataFrame:
+def scan_page_links(
+    pages: DataFrame, as_of: Column, per_page: int = 30, min_text: int = 10, noise: list[str] = (), priority: list[str] = ()
+) -> DataFrame:
     """A2 and A3: (page_id, url, html) to links (page_id, pos, url, title, published).
 
     The first per_page anchors; text of min_text characters or more; relative addresses completed with the page's host;
@@ -131,10 +141,16 @@ def scan_page_links(pages: DataFrame, as_of: Column, per_page: int = 30, min_tex
     """
     host = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     base = F.regexp_extract("url", r"^(https?://[^?#]*/)", 1)
-    rows = pages.select("page_id", host.alias("_host"), F.when(base == "", F.concat(host, F.lit("/"))).otherwise(base).alias("_base"), F.posexplode(F.slice(page_links("html"), 1, per_page)).alias("pos", "_a"))
+    rows = pages.select(
+        "page_id", host.alias("_host"), F.when(base == "", F.concat(host, F.lit("/"))).otherwise(base).alias("_base"),
+        F.posexplode(F.slice(page_links("html"), 1, per_page)).alias("pos", "_a")
+    )
     href = F.col("_a.href")
     full = F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat("_host", href)).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(href.startswith("#") | (href == ""), None).otherwise(F.concat("_base", href))
-    rows = rows.select("page_id", "pos", full.alias("url"), F.col("_a.text").alias("title"), F.col("_a.time").alias("_time"), F.col("_a.dated").alias("_dated"))
+    rows = rows.select(
+        "page_id", "pos", full.alias("url"), F.col("_a.text").alias("title"), F.col("_a.time").alias("_time"),
+        F.col("_a.dated").alias("_dated")
+    )
     dated = F.regexp_replace(F.regexp_extract("url", r"/(\d{4}/\d{1,2}/\d{1,2})/", 1), "/", "-")
     some = lambda c: F.nullif(c, F.lit(""))
     rows = rows.withColumn("published", F.coalesce(some(F.col("_time")), some(dated), some(F.col("_dated")), F.date_format(as_of, "yyyy-MM-dd")))
@@ -194,7 +210,10 @@ def scan_quote_lines(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     price = F.when(F.col("symbol").startswith("fx_"), num(1)).when(F.col("symbol").startswith("hk"), num(6)).otherwise(num(3))
     before = F.when(F.col("symbol").startswith("fx_"), num(3)).when(F.col("symbol").startswith("hk"), num(3)).otherwise(num(2))
     native = F.when(F.col("symbol").startswith("hk"), num(8))
-    out = rows.select("symbol", price.alias("price"), F.coalesce(native, F.try_divide(price - before, before) * 100).alias("change_pct"), F.concat_ws(" ", F.expr("get(f, size(f) - 3)"), F.expr("get(f, size(f) - 2)")).alias("label"))
+    out = rows.select(
+        "symbol", price.alias("price"), F.coalesce(native, F.try_divide(price - before, before) * 100).alias("change_pct"),
+        F.concat_ws(" ", F.expr("get(f, size(f) - 3)"), F.expr("get(f, size(f) - 2)")).alias("label")
+    )
     return out.filter("price > 0").join(symbols, "symbol").select("key", "price", "change_pct", "label")
 
 
@@ -204,7 +223,9 @@ def scan_check_quotes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     FX (fx_): price 1, futures: price 0, times the symbol's unit factor. symbols: (symbol, key, factor; null is 1).
     """
     found = r'hq_str_(\w+)="([^"]*)"'
-    rows = lines.select(F.regexp_extract("value", found, 1).alias("symbol"), F.split(F.regexp_extract("value", found, 2), ",").alias("f")).filter("symbol <> ''")
+    rows = lines.select(
+        F.regexp_extract("value", found, 1).alias("symbol"), F.split(F.regexp_extract("value", found, 2), ",").alias("f")
+    ).filter("symbol <> ''")
     price = F.get("f", F.when(F.col("symbol").startswith("fx_"), 1).otherwise(0)).try_cast("double")
     out = rows.select("symbol", price.alias("_p")).join(symbols, "symbol")
     return out.select("key", (F.col("_p") * F.coalesce("factor", F.lit(1.0))).alias("price")).filter("price > 0")
@@ -213,12 +234,17 @@ def scan_check_quotes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 def fx_cross_rates(rates: DataFrame) -> DataFrame:
     """(date, currency, rate against EUR) to eurusd, gbpusd, usdjpy of each date."""
     wide = rates.groupBy("date").pivot("currency", ["USD", "GBP", "JPY"]).agg(F.first("rate"))
-    return wide.select("date", F.round("USD", 5).alias("eurusd"), F.round(F.try_divide("USD", "GBP"), 5).alias("gbpusd"), F.round(F.try_divide("JPY", "USD"), 2).alias("usdjpy"))
+    return wide.select(
+        "date", F.round("USD", 5).alias("eurusd"), F.round(F.try_divide("USD", "GBP"), 5).alias("gbpusd"),
+        F.round(F.try_divide("JPY", "USD"), 2).alias("usdjpy")
+    )
 
 
 def latest_observation(obs: DataFrame) -> DataFrame:
     """Of each series the newest value that is a number ("." and blank are missing)."""
-    return obs.withColumn("value", F.col("value").try_cast("double")).filter("value is not null").groupBy("series").agg(F.max("date").alias("date"), F.max_by("value", "date").alias("value"))
+    return obs.withColumn("value", F.col("value").try_cast("double")).filter("value is not null").groupBy("series").agg(
+        F.max("date").alias("date"), F.max_by("value", "date").alias("value")
+    )
 
 
 def scan_price_maps(df: DataFrame) -> DataFrame:

@@ -40,7 +40,10 @@ def backfill_counts(events_daily: DataFrame, days: int | None = None) -> DataFra
     if days:
         newest = events_daily.select("date").distinct().orderBy(F.col("date").desc()).limit(days)
         events_daily = events_daily.join(F.broadcast(newest), "date", "left_semi")  # that many dates are broadcast
-    return events_daily.agg(F.countDistinct("date").alias("dates"), F.count("*").alias("events"), F.coalesce(F.sum(F.size("sources")), F.lit(0)).alias("sources"))
+    return events_daily.agg(
+        F.countDistinct("date").alias("dates"), F.count("*").alias("events"),
+        F.coalesce(F.sum(F.size("sources")), F.lit(0)).alias("sources")
+    )
 
 
 def backfill(events_daily: DataFrame, path: str, days: int | None = None) -> DataFrame:

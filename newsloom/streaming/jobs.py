@@ -40,7 +40,9 @@ def upsert_batch(batch: DataFrame, path: str) -> None:
             raise
         old = batch.limit(0)
     both = old.unionByName(batch)
-    last = both.groupBy("event_id", "date").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("event_id", "date")]), "pos").alias("_r")).select("event_id", "date", "_r.*")
+    last = both.groupBy("event_id", "date").agg(F.max_by(
+        F.struct(*[c for c in batch.columns if c not in ("event_id", "date")]), "pos"
+    ).alias("_r")).select("event_id", "date", "_r.*")
     write_dated(stored(last, "upsert"), path)
 
 
@@ -54,7 +56,9 @@ def current_revisions(rows: DataFrame) -> DataFrame:
     return build_revisions(rows)
 
 
-def stream_evolution(stream: DataFrame, transitions: dict[tuple[str, str], int], half_life: float = 14, archive_days: int = 60, delay: str = "2 days") -> DataFrame:
+def stream_evolution(
+    stream: DataFrame, transitions: dict[tuple[str, str], int], half_life: float = 14, archive_days: int = 60, delay: str = "2 days"
+) -> DataFrame:
     """(event_id, ts, phase) rows to the state of each event that a batch has rows of.
 
     A new phase adds its transition's delta, idle days decay the risk as in the batch form, and days before the last one
@@ -91,4 +95,6 @@ def stream_evolution(stream: DataFrame, transitions: dict[tuple[str, str], int],
 
     dated = stream.withWatermark("ts", delay).withColumns({"day": F.unix_date(F.to_date("ts")), "micros": F.unix_micros("ts")})
     kind = "phase string, risk int, seen long, moves int, day long, at long, now string"
-    return dated.groupBy("event_id").applyInPandasWithState(advance, "event_id long, phase string, risk int, last_day long, transitions int", kind, "update", GroupStateTimeout.EventTimeTimeout)
+    return dated.groupBy("event_id").applyInPandasWithState(
+        advance, "event_id long, phase string, risk int, last_day long, transitions int", kind, "update", GroupStateTimeout.EventTimeTimeout
+    )
