@@ -35,8 +35,15 @@ def _segment(ids: list, absent: list, crcs: list, lengths: list, hashes: list) -
     new[1:] = h[1:] != h[:-1]
     gap = np.diff(order, prepend=0)
     gap[new] = order[new]
-    rows = [np.concatenate(ids).astype(np.int64), np.concatenate(absent).astype(np.uint8), np.concatenate(crcs), np.concatenate(lengths).astype(np.int32), h[new], np.diff(np.flatnonzero(np.append(new, True))).astype(np.int32), np.minimum(gap, 255).astype(np.uint8), gap[gap >= 255].astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([x.tobytes()], pa.binary()) for x in rows)], names=["segment", "docs", "absent", "crcs", "lengths", "terms", "counts", "gaps", "wide"])
+    rows = [
+        np.concatenate(ids).astype(np.int64), np.concatenate(absent).astype(np.uint8), np.concatenate(crcs),
+        np.concatenate(lengths).astype(np.int32), h[new], np.diff(np.flatnonzero(np.append(new, True))).astype(np.int32),
+        np.minimum(gap, 255).astype(np.uint8), gap[gap >= 255].astype(np.int32)
+    ]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([uuid.uuid4().hex]), *(pa.array([x.tobytes()], pa.binary()) for x in rows)],
+        names=["segment", "docs", "absent", "crcs", "lengths", "terms", "counts", "gaps", "wide"]
+    )
 
 
 def _crcs(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -99,7 +106,10 @@ def _searcher(items: list[tuple[str, np.ndarray]], size: int, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                docs, absent, crcs, lengths, terms, counts, gaps, wide = (np.frombuffer(batch.column(k + 1)[r].as_py(), t) for k, t in enumerate((np.int64, np.uint8, np.int64, np.int32, np.uint64, np.int32, np.uint8, np.int32)))
+                docs, absent, crcs, lengths, terms, counts, gaps, wide = (
+                    np.frombuffer(batch.column(k + 1)[r].as_py(), t) for k,
+                    t in enumerate((np.int64, np.uint8, np.int64, np.int32, np.uint64, np.int32, np.uint8, np.int32))
+                )
                 step = gaps.astype(np.int64)
                 step[gaps == 255] = wide
                 upto = np.concatenate([[0], np.cumsum(counts)])
@@ -149,7 +159,12 @@ def _searcher(items: list[tuple[str, np.ndarray]], size: int, slop: int):
                     return [sorted(x) for x in out]
 
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, mask=absent.astype(bool)), pa.array(crcs), pa.array(lengths.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(named(found), pa.list_(pa.string())), pa.array(named(close), pa.list_(pa.string())), pa.array([batch.column(0)[r].as_py()] * n, pa.string()), pa.array(range(n), pa.int64())],
+                    [
+                        pa.array(docs, mask=absent.astype(bool)), pa.array(crcs), pa.array(lengths.astype(np.int64)),
+                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                        pa.array(named(found), pa.list_(pa.string())), pa.array(named(close), pa.list_(pa.string())),
+                        pa.array([batch.column(0)[r].as_py()] * n, pa.string()), pa.array(range(n), pa.int64())
+                    ],
                     names=["doc_id", "text_crc32", "n_words", "spans", "items", "near_items", "_segment", "_row"],
                 )
 
@@ -190,13 +205,21 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int =
     while following is not None:
         every = every.unionByName(stored(one(following), "matches"))
         following = next(blocks, None)
-    whole = every.groupBy("_segment", "_row").agg(F.first("doc_id").alias("doc_id"), F.first("text_crc32").alias("text_crc32"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"))
+    whole = every.groupBy("_segment", "_row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text_crc32").alias("text_crc32"), F.first("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items")
+    )
     return whole.drop("_segment", "_row")
 
 
 def n_hit() -> F.Column:
     """Words inside the union of the sorted spans."""
-    step = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(F.greatest(s.upto, x.end).alias("upto"), (s.n + F.greatest(F.lit(0), x.end - F.greatest(s.upto, x.start))).alias("n")))
+    step = F.aggregate(
+        "spans", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n")),
+        lambda s, x: F.struct(F.greatest(s.upto, x.end).alias("upto"), (s.n + F.greatest(F.lit(0), x.end - F.greatest(s.upto, x.start))).alias("n"))
+    )
     return step.n
 
 
@@ -208,7 +231,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     doc_id each get a row; empty tables give empty results or no hits.
     """
     out = search(build_index(docs), benchmark, window)
-    return out.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))).alias("contaminated"), "near_items")
+    return out.select(
+        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))).alias("contaminated"), "near_items"
+    )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:

@@ -136,7 +136,10 @@ def _predict(langs: list[str], log_p: np.ndarray):
                     named.append(langs[who[top]]), score.append(float(min(1.0, max(0.0, share[top]))))
                     sets.append([langs[x] for x in who]), shares.append([float(x) for x in share])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(named)).cast(pa.int64()), pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
+                    [
+                        batch.column(0).slice(lo, len(named)).cast(pa.int64()), pa.array(named, pa.string()), pa.array(score, pa.float64()),
+                        pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))
+                    ],
                     names=["doc_id", "lang_pred", "score", "languages", "proportions"],
                 )
 
@@ -151,7 +154,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     but no trigram that counts gives the first language by name and equal shares. Whole texts are used; other columns
     never are. Rows that repeat a doc_id each get a row; an empty table gives an empty result.
     """
-    return docs.select("doc_id", "text").mapInArrow(_predict(*model), "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
+    return docs.select("doc_id", "text").mapInArrow(
+        _predict(*model), "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>"
+    )
 
 
 def fold() -> F.Column:

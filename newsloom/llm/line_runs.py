@@ -45,7 +45,10 @@ def words_of(x: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line that holds a word: doc_id, _doc, line (0-based), number (among such lines), h, h2, words."""
     each = _documents(docs).filter("text is not null")
-    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("h2"), words_of(x).alias("words")))
+    parts = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("h2"), words_of(x).alias("words"))
+    )
     full = each.select("doc_id", "_doc", F.filter(parts, lambda x: x.words > 0).alias("_parts"))
     return full.select("doc_id", "_doc", F.posexplode("_parts").alias("number", "_p")).select("doc_id", "_doc", "number", "_p.*")
 
@@ -112,7 +115,10 @@ def _intervals(rows: DataFrame, rounds: int, min_words: int) -> DataFrame:
     starts = part.orderBy("before")
     stops = part.orderBy("upto")
     # forward: [at, end), the first end with enough words; backward: [start, at], the last start with enough
-    end = F.coalesce(F.min("at").over(starts.rangeBetween(min_words, Window.unboundedFollowing)), F.when(F.col("whole") - F.col("before") >= min_words, F.col("last")))
+    end = F.coalesce(
+        F.min("at").over(starts.rangeBetween(min_words, Window.unboundedFollowing)),
+        F.when(F.col("whole") - F.col("before") >= min_words, F.col("last"))
+    )
     start = F.coalesce(F.max("at").over(stops.rangeBetween(Window.unboundedPreceding, -min_words)) + 1, F.when(F.col("upto") >= min_words, F.lit(0)))
     rows = rows.withColumns({"end": end.cast("int"), "start": start.cast("int")})
     offsets = [f"o{k}" for k in range(rounds + 1)]
@@ -124,11 +130,17 @@ def _intervals(rows: DataFrame, rounds: int, min_words: int) -> DataFrame:
         n = b - a
         k = F.floor(F.log2(n.cast("double") + 0.5)).cast("int")
         x, y = F.get("s", a), F.get("s", b - F.pow(F.lit(2.0), k).cast("int"))
-        return F.struct(a.alias("a"), b.alias("b"), n.alias("n"), x.h.alias("h"), x.h2.alias("h2"), F.get(x.o, k).alias("p"), y.h.alias("g"), y.h2.alias("g2"), F.get(y.o, k).alias("q"))
+        return F.struct(
+            a.alias("a"), b.alias("b"), n.alias("n"), x.h.alias("h"), x.h2.alias("h2"), F.get(x.o, k).alias("p"), y.h.alias("g"),
+            y.h2.alias("g2"), F.get(y.o, k).alias("q")
+        )
 
     ahead = F.transform(F.filter("s", lambda x: x.end.isNotNull()), lambda x: name(x["at"], x.end))
     back = F.transform(F.filter("s", lambda x: x.start.isNotNull()), lambda x: name(x.start, x["at"] + 1))
-    both = whole.select("doc_id", "_doc", F.transform("s", lambda x: x.line).alias("lines"), F.col("segment").alias("segment"), F.explode(F.array_distinct(F.concat(ahead, back))).alias("run"))
+    both = whole.select(
+        "doc_id", "_doc", F.transform("s", lambda x: x.line).alias("lines"), F.col("segment").alias("segment"),
+        F.explode(F.array_distinct(F.concat(ahead, back))).alias("run")
+    )
     return both.select("doc_id", "_doc", "segment", "run.*", F.slice("lines", F.col("run.a") + 1, F.col("run.n")).alias("lines"))
 
 
@@ -150,7 +162,9 @@ def _runs(lines: Column) -> Column:
     def add(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last.start.alias("start"), x.cast("int").alias("end"))))
-        return F.when(F.size(acc) == 0, F.array(F.struct(x.cast("int").alias("start"), x.cast("int").alias("end")))).when(last.end == x - 1, joined).otherwise(F.concat(acc, F.array(F.struct(x.cast("int").alias("start"), x.cast("int").alias("end")))))
+        return F.when(
+            F.size(acc) == 0, F.array(F.struct(x.cast("int").alias("start"), x.cast("int").alias("end")))
+        ).when(last.end == x - 1, joined).otherwise(F.concat(acc, F.array(F.struct(x.cast("int").alias("start"), x.cast("int").alias("end")))))
 
     return F.aggregate(lines, empty, add)
 

@@ -47,8 +47,13 @@ def featured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     chars = F.greatest(F.length(text), F.lit(1))
     share = lambda kept: F.length(F.regexp_replace(text, kept, "")) / chars
-    out = out.withColumns({"_words": F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""), "_tokens": n_tokens(), "_u": F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)})
-    return out.withColumns({"_symbols": 5 * share(r"[^#*$%&|<>!]+"), "_upper": share(r"[^A-Z]+"), "_short": F.least(F.lit(1.0), 20.0 / (1 + F.col("_tokens")))}).drop("text")
+    out = out.withColumns({
+        "_words": F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""), "_tokens": n_tokens(),
+        "_u": F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    })
+    return out.withColumns({
+        "_symbols": 5 * share(r"[^#*$%&|<>!]+"), "_upper": share(r"[^A-Z]+"), "_short": F.least(F.lit(1.0), 20.0 / (1 + F.col("_tokens")))
+    }).drop("text")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7):
@@ -68,8 +73,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, see
         return None, found
     train = train.withColumn("_label", F.array_position(F.array(*map(F.lit, found)), F.col("_domain")).cast("double") - 1)
     stages = [
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=FEATURES), Normalizer(inputCol="_tf", outputCol="_norm"), VectorAssembler(inputCols=["_norm", "_symbols", "_upper", "_short"], outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_hard", regParam=1e-4, maxIter=40, family="multinomial"),
+        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=FEATURES), Normalizer(inputCol="_tf", outputCol="_norm"), VectorAssembler(
+            inputCols=["_norm", "_symbols", "_upper", "_short"], outputCol="_features"
+        ),
+        LogisticRegression(
+            featuresCol="_features", labelCol="_label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_hard", regParam=1e-4,
+            maxIter=40, family="multinomial"
+        ),
     ]
     return Pipeline(stages=stages).fit(train), found
 
@@ -114,7 +124,11 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float]) -> Fit:
     pairs = list(combinations_with_replacement(range(len(domains)), 2))
     p, t = [F.col(f"p_{d}") for d in domains], F.col("_tokens").cast("double")
     r = F.col("_rate")
-    sums = [F.sum(t).alias("all"), *(F.sum(r * t * x).alias(f"s{k}") for k, x in enumerate(p)), *(F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i, j in pairs), *(F.sum(t * p[i] * p[j]).alias(f"h{i}_{j}") for i, j in pairs)]
+    sums = [
+        F.sum(t).alias("all"), *(F.sum(r * t * x).alias(f"s{k}") for k, x in enumerate(p)),
+        *(F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i, j in pairs),
+        *(F.sum(t * p[i] * p[j]).alias(f"h{i}_{j}") for i, j in pairs)
+    ]
 
     def tried(choices: list[list[np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
         """(all tokens, residual, curvature of rates over 0, of all) after each choice of steps, in one pass."""
@@ -169,7 +183,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     """
     known, fit = plan(docs, labels, targets)
     out = known.withColumn("rate", rate(sorted(targets), fit.steps))
-    return out.select("doc_id", F.col("_tokens").alias("n_tokens"), *(f"p_{d}" for d in sorted(targets)), "rate", copies(F.col("rate")).alias("copies"))
+    return out.select(
+        "doc_id", F.col("_tokens").alias("n_tokens"), *(f"p_{d}" for d in sorted(targets)), "rate", copies(F.col("rate")).alias("copies")
+    )
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:

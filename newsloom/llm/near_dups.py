@@ -73,7 +73,10 @@ def _sketcher(shingle: int, full: bool):
                     s2.append(T.mix(m + np.uint64(1)).sum(dtype=np.uint64))
                     keep.append(x if full else x[:K])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(n)).cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)), _lists(keep)],
+                    [
+                        batch.column(0).slice(lo, len(n)).cast(pa.int64()), pa.array(n, pa.int64()),
+                        *(pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)), _lists(keep)
+                    ],
                     names=["doc_id", "n_shingles", "s1", "s2", "hashes"],
                 )
 
@@ -160,7 +163,9 @@ def _spokes(near: DataFrame, rated: DataFrame, pct: int) -> DataFrame:
     """Distinct pairs (a, b) of a list's hub, by the mean likeness to its neighbours, and each other node of the list."""
     central = rated.select(F.explode(F.array("a", "b")).alias("node"), "likeness").groupBy("node").agg(F.avg("likeness").alias("mean"))
     hubs = near.join(central, "node").groupBy("key", "part").agg(F.max(F.struct("mean", "node", "n_shingles")).alias("hub"))
-    both = near.select("key", "part", "node", "n_shingles").join(hubs.select("key", "part", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("n_hub")), ["key", "part"])
+    both = near.select("key", "part", "node", "n_shingles").join(
+        hubs.select("key", "part", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("n_hub")), ["key", "part"]
+    )
     both = both.filter((F.col("node") != F.col("hub")) & _fits("n_shingles", "n_hub", pct))
     return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
@@ -170,7 +175,9 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
         x, n = x[n >= HEAVY], n[n >= HEAVY]
-        yield pa.RecordBatch.from_arrays([pa.array((x.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)), pa.array(n)], names=["bucket", "times"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((x.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)), pa.array(n)], names=["bucket", "times"]
+        )
 
 
 def _prefixes(times: np.ndarray, pct: int):
@@ -188,7 +195,10 @@ def _prefixes(times: np.ndarray, pct: int):
                 places.append(np.arange(len(first)))
                 hashes.append(first.view(np.int64))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (nodes, sizes, places, hashes)], names=["node", "n", "place", "hash"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c).astype(np.int64)) for c in (nodes, sizes, places, hashes)],
+                    names=["node", "n", "place", "hash"]
+                )
 
     return run
 
@@ -205,17 +215,25 @@ def _open_pairs(open_nodes: DataFrame, sets: DataFrame, part: DataFrame, pct: in
     times = np.zeros(1 << BITS, np.int64)
     found = heavy.toPandas()
     times[found.bucket.to_numpy()] = found.times.to_numpy()
-    rows = sets.select("node", "hashes").mapInArrow(_prefixes(times, pct), "node long, n long, place long, hash long").join(open_nodes, "node", "left_semi")
+    rows = sets.select("node", "hashes").mapInArrow(
+        _prefixes(times, pct), "node long, n long, place long, hash long"
+    ).join(open_nodes, "node", "left_semi")
     rows = rows.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_part = rows.groupBy("hash", "component").agg(F.count("*").alias("m"))
-    sizes = of_part.groupBy("hash").agg(F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    sizes = of_part.groupBy("hash").agg(
+        F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts")
+    ).filter("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("hash", F.col("most.component").alias("most"), blocks(F.col("m")).alias("blocks"), blocks(F.col("m") - F.col("most.m")).alias("few"))
+    sizes = sizes.select(
+        "hash", F.col("most.component").alias("most"), blocks(F.col("m")).alias("blocks"), blocks(F.col("m") - F.col("most.m")).alias("few")
+    )
     rows = rows.join(sizes, "hash").withColumn("outside", F.col("component") != F.col("most"))
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     names = ("node", "n", "place", "component", "outside")
-    left = rows.filter("outside").select("hash", block("few").alias("own"), every("blocks").alias("other"), *(F.col(c).alias(f"{c}_a") for c in names))
+    left = rows.filter("outside").select(
+        "hash", block("few").alias("own"), every("blocks").alias("other"), *(F.col(c).alias(f"{c}_a") for c in names)
+    )
     right = rows.select("hash", every("few").alias("own"), block("blocks").alias("other"), *(F.col(c).alias(f"{c}_b") for c in names))
     fit = _fits("n_a", "n_b", pct) & (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("node_a") < F.col("node_b")))
     left_over = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
@@ -236,7 +254,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     order = Window.partitionBy("key", "part").orderBy(F.floor(F.log("n_shingles") / float(np.log(1.25))), F.xxhash64("key", "node"))
-    near = _lists_of(nodes, pct).withColumns({"before": F.lag("node").over(order), "n_before": F.lag("n_shingles").over(order), "after": F.lead("node").over(order)})
+    near = _lists_of(nodes, pct).withColumns({
+        "before": F.lag("node").over(order), "n_before": F.lag("n_shingles").over(order), "after": F.lead("node").over(order)
+    })
     near = stored(near.filter("before is not null or after is not null or long").drop("after", "long"), "near-lists")
 
     live = nodes.join(near.select("node").distinct(), "node", "left_semi").select("node", "least", "s1", "s2", "n_shingles")
@@ -264,7 +284,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
     named = nodes.join(part, "node", "left").withColumn("first", F.coalesce("component", "node")).drop("component")
     named = named.join(joined.toDF("first", "second"), "first", "left").withColumn("component", F.coalesce("second", "first"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component")
-    out = hashed.select("doc_id", "n_shingles", "s1", "s2").join(named.select("s1", "s2", "n_shingles", "component_id"), ["s1", "s2", "n_shingles"], "left")
+    out = hashed.select("doc_id", "n_shingles", "s1", "s2").join(
+        named.select("s1", "s2", "n_shingles", "component_id"), ["s1", "s2", "n_shingles"], "left"
+    )
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

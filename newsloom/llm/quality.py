@@ -65,7 +65,11 @@ def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate(words), return_counts=True)
             m = len(key) + N_CLASSES
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * m, pa.string()), pa.array(np.concatenate([np.zeros(len(key), np.int32), np.ones(N_CLASSES, np.int32)])), pa.array(np.concatenate([key.view(np.int64), np.arange(N_CLASSES)])), pa.array(np.concatenate([n, classes]))],
+                [
+                    pa.array([lang] * m, pa.string()),
+                    pa.array(np.concatenate([np.zeros(len(key), np.int32), np.ones(N_CLASSES, np.int32)])),
+                    pa.array(np.concatenate([key.view(np.int64), np.arange(N_CLASSES)])), pa.array(np.concatenate([n, classes]))
+                ],
                 names=["lang", "kind", "key", "n"],
             )
 
@@ -78,7 +82,9 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
     sums = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(_corpus, "lang string, kind int, key long, n long")
     sums = stored(sums.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "quality-words")
     totals = sums.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    common = sums.join(F.broadcast(totals), ["lang", "kind"]).filter(f"kind = 1 or n >= {COMMON_SHARE} * total").select("lang", "kind", "key", (F.col("n") / F.greatest("total", F.lit(1))).alias("share"))
+    common = sums.join(F.broadcast(totals), ["lang", "kind"]).filter(f"kind = 1 or n >= {COMMON_SHARE} * total").select(
+        "lang", "kind", "key", (F.col("n") / F.greatest("total", F.lit(1))).alias("share")
+    )
     out: dict = {}
     for lang, kind, key, share in common.collect():
         out.setdefault(lang, ({}, {}))[0 if kind else 1][key] = share
@@ -155,9 +161,21 @@ def _judge(refs: dict):
                             both.append((js_distance(p, q), js_distance(*rest)))
                         classes, common = min(both, key=lambda x: (x[0] + x[1], x))
                     kept = not failed and (classes is None or (classes <= MAX_CLASS and common <= MAX_COMMON))
-                    rows.append((n, int(chars[b] - chars[a]), int(symbols[b] - symbols[a]), _dup_lines(buf[a:b].tobytes()), repeated, failed, kept, classes, common))
+                    rows.append((
+                        n, int(chars[b] - chars[a]), int(symbols[b] - symbols[a]), _dup_lines(buf[a:b].tobytes()), repeated, failed, kept,
+                        classes, common
+                    ))
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(rows)).cast(pa.int64()), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, len(rows)).cast(pa.int64()),
+                        *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))
+                    ],
+                    names=[
+                        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "class_distance", "common_distance"
+                    ]
+                )
 
     return run
 

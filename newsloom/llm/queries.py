@@ -23,7 +23,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: lines removed, their runs, and size and hash of what is left. A null text stays null; ties in doc_id are told apart by text."""
     out = line_runs.deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.coalesce(F.aggregate("removed", F.lit(0), lambda n, r: n + r.end - r.start + 1), F.lit(0)).cast("long")
-    return out.select("doc_id", gone.alias("n_removed"), "removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", gone.alias("n_removed"), "removed", F.octet_length("text").cast("long").alias("kept_bytes"),
+        F.sha2("text", 256).alias("kept_sha256")
+    )
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +34,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = sharding.read_back(sharding.shard(docs, 16))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
-    return out.select("doc_id", sharding.text_size().alias("size"), crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id", sharding.text_size().alias("size"), crc, F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +80,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_sharding, op4_warc, op5_token_counts, op6_decontamination, op7_language_id, op8_quality_rules, op9_mixing, op10_near_duplicates)}
+    return {f.__name__: f for f in (
+        op1_secret_scan, op2_line_dedup, op3_sharding, op4_warc, op5_token_counts, op6_decontamination, op7_language_id, op8_quality_rules,
+        op9_mixing, op10_near_duplicates
+    )}
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

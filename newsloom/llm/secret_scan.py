@@ -30,7 +30,10 @@ CANDIDATE = (
     rf"|{ASSIGN}[^\s\"',;]{{6,}}"
     r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 )
-FEATURES = ["length", "changes", "distinct", "digits", "upper", "symbols", "hex", "coverage", "in_path", "in_address", "keyword_before", "assigned", "quoted", "reference_before"]
+FEATURES = [
+    "length", "changes", "distinct", "digits", "upper", "symbols", "hex", "coverage", "in_path", "in_address", "keyword_before", "assigned",
+    "quoted", "reference_before"
+]
 USER = r"://(?:[^\s/@:]{0,40}:)?$"  # before a token or password that a URL gives before its host
 REFERENCE = r"(?i)(?:commit|sha\d*|md5|hash|uuid|checksum|card|phone|tel|order|invoice|isbn|example|sample|dummy|placeholder)\W{0,4}$"
 
@@ -40,11 +43,24 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     start counts characters from 0. path is the document's source.
     """
-    found = docs.select("doc_id", F.col("source").alias("path"), "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("m")).filter("size(m) > 0")
+    found = docs.select(
+        "doc_id", F.col("source").alias("path"), "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("m")
+    ).filter("size(m) > 0")
     found = found.withColumn("gaps", F.split("text", CANDIDATE, -1)).drop("text").withColumn("_doc", F.monotonically_increasing_id())
-    each = found.select("doc_id", "path", "_doc", F.posexplode(F.transform("m", lambda x, i: F.struct(x.alias("match"), F.length(F.get("gaps", i)).alias("gap"), F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after")))).alias("at", "c"))
+    each = found.select(
+        "doc_id", "path", "_doc",
+        F.posexplode(F.transform(
+            "m",
+            lambda x, i: F.struct(
+                x.alias("match"), F.length(F.get("gaps", i)).alias("gap"), F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"),
+                F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after")
+            )
+        )).alias("at", "c")
+    )
     order = Window.partitionBy("_doc").orderBy("at")  # over the candidates of one text
-    rows = each.select("doc_id", "path", "_doc", "at", "c.*").withColumns({"gap": F.sum("gap").over(order), "prior": F.sum(F.length("match")).over(order) - F.length("match")})
+    rows = each.select("doc_id", "path", "_doc", "at", "c.*").withColumns({
+        "gap": F.sum("gap").over(order), "prior": F.sum(F.length("match")).over(order) - F.length("match")
+    })
     head = F.regexp_extract("match", rf"^{ASSIGN}(?=[^\s\"',;]{{6,}})", 0)
     return rows.withColumn("head", head).select(
         "doc_id", "path", (F.col("gap") + F.col("prior") + F.length("head")).cast("long").alias("start"),
@@ -73,9 +89,13 @@ def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
     covered = found.select("_id", F.explode(_chunks()).alias("word")).join(dictionary(docs), "word").groupBy("_id").agg(F.sum(F.length("word")).alias("covered"))
     n = F.length("secret")
     share = lambda other: F.length(F.regexp_replace("secret", other, "")) / n
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("secret", r"[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    shape = F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(F.regexp_replace("secret", r"[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A"
+    )
     flag = lambda column, pattern: F.col(column).rlike(pattern).cast("double")
-    login = F.greatest(flag("before", USER), flag("before", ":$") * flag("secret", "^//[^/]+$")) * flag("after", r"^@\w")  # a bare login takes the slashes with it
+    login = F.greatest(
+        flag("before", USER), flag("before", ":$") * flag("secret", "^//[^/]+$")
+    ) * flag("after", r"^@\w")  # a bare login takes the slashes with it
     return found.join(covered, "_id", "left").withColumns({
         "length": n.cast("double"),
         "changes": (F.length(F.regexp_replace(shape, r"(.)\1+", "$1")) - 1) / n,
@@ -115,7 +135,9 @@ def fit_forest(findings: DataFrame, sample: int = SAMPLE, seed: int = 11):
         return None
     rate = min(1.0, sample / sum(n.values()))
     rows = findings.filter(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(rows).select("_features", F.col("is_secret").cast("double").alias("is_secret"))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(rows).select(
+        "_features", F.col("is_secret").cast("double").alias("is_secret")
+    )
     return RandomForestClassifier(featuresCol="_features", labelCol="is_secret", numTrees=20, maxDepth=6, seed=seed).fit(rows)
 
 
@@ -128,10 +150,15 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, limit: float = 0.5)
     repeat a document give its candidates again.
     """
     found = stored(featured(candidates(docs), docs), "secret-features")  # read by every pass of the forest
-    known = labelled(found) if findings is None else found.join(findings.groupBy("doc_id", "start").agg(F.max("is_secret").alias("is_secret")), ["doc_id", "start"])
+    known = labelled(found) if findings is None else found.join(
+        findings.groupBy("doc_id", "start").agg(F.max("is_secret").alias("is_secret")), ["doc_id", "start"]
+    )
     model = fit_forest(known)
     if model is None:
         scored = found.withColumn("score", F.lit(1.0))
     else:
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(found)).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "path", "start", F.length("secret").cast("long").alias("n_chars"), F.sha2("secret", 256).alias("secret_sha256"), "score", (F.col("score") >= limit).alias("kept"))
+    return scored.select(
+        "doc_id", "path", "start", F.length("secret").cast("long").alias("n_chars"), F.sha2("secret", 256).alias("secret_sha256"), "score",
+        (F.col("score") >= limit).alias("kept")
+    )

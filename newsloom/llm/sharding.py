@@ -46,7 +46,11 @@ def _content(records: DataFrame, seed: int) -> Column:
 
 def offsets(keys: DataFrame, n_buckets: int, seed: int) -> DataFrame:
     """(_bucket, _offset): the records in buckets before each; groups of buckets are summed apart and then in turn."""
-    one = keys.select("_content", F.when(F.col("_n") > REPEATS, F.sequence(F.lit(1).cast("long"), "_n")).otherwise(F.array(F.lit(0).cast("long"))).alias("_copies"), "_n")
+    one = keys.select(
+        "_content",
+        F.when(F.col("_n") > REPEATS, F.sequence(F.lit(1).cast("long"), "_n")).otherwise(F.array(F.lit(0).cast("long"))).alias("_copies"),
+        "_n"
+    )
     one = one.select("_content", F.explode("_copies").alias("_copy"), F.when(F.col("_n") > REPEATS, 1).otherwise(F.col("_n")).alias("_n"))
     sizes = one.groupBy(_bucket(n_buckets, seed, F.col("_copy").cast("int")).alias("_bucket")).agg(F.sum("_n").alias("_n"))
     sizes = stored(sizes.withColumn("_group", F.floor(F.col("_bucket") / GROUP)), "shard-sizes")

@@ -54,12 +54,23 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     made = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    made = made.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("_n"))
-    made = stored(made.withColumn("record_id", F.concat_ws(":", F.lit("urn:page"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.col("_n"))).drop("_n"), "warc-records")
+    made = made.select(
+        "page_id", "url", F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("_n")
+    )
+    made = stored(
+        made.withColumn(
+            "record_id", F.concat_ws(":", F.lit("urn:page"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.col("_n"))
+        ).drop("_n"),
+        "warc-records"
+    )
     owner = made.groupBy("sha256").agg(F.max("page_id").alias("owner"), F.max_by("record_id", "page_id").alias("owner_id"))
     made = made.join(owner, "sha256")
     response = (F.col("payload_bytes") < min_bytes) | F.col("page_id").eqNullSafe(F.col("owner"))
-    return made.withColumns({"record_type": F.when(response, "response").otherwise("revisit"), "refers_to": F.when(~response, F.col("owner")), "refers_id": F.when(~response, F.col("owner_id"))}).drop("owner", "owner_id")
+    return made.withColumns({
+        "record_type": F.when(response, "response").otherwise("revisit"), "refers_to": F.when(~response, F.col("owner")),
+        "refers_id": F.when(~response, F.col("owner_id"))
+    }).drop("owner", "owner_id")
 
 
 def _header(name: str, value: Column) -> Column:
@@ -94,7 +105,10 @@ def header_block(captured: Column) -> Column:
 def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bodies = [x.encode() for x in batch.column(0).fill_null("").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).hexdigest() for x in bodies]), pa.array([zlib.compress(x) for x in bodies], pa.binary())], names=["sha256", "body"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([hashlib.sha256(x).hexdigest() for x in bodies]), pa.array([zlib.compress(x) for x in bodies], pa.binary())],
+            names=["sha256", "body"]
+        )
 
 
 def write_archive(pages: DataFrame, min_bytes: int = 0, captured: str = CAPTURED) -> Archive:
@@ -140,7 +154,9 @@ def write_warc(archive: Archive, path: str) -> DataFrame:
     Only responses meet their payloads: a large group of copies is one payload and many headers.
     """
     response = F.col("record_type") == "response"
-    whole = archive.headers.filter(response).join(archive.payloads, "sha256", "left").select("sha256", "header", F.coalesce("body", F.raise_error(F.lit("a payload is missing")).cast("binary")).alias("body"))
+    whole = archive.headers.filter(response).join(archive.payloads, "sha256", "left").select(
+        "sha256", "header", F.coalesce("body", F.raise_error(F.lit("a payload is missing")).cast("binary")).alias("body")
+    )
     rows = whole.unionByName(archive.headers.filter(~response).select("sha256", "header", F.lit(None).cast("binary").alias("body")))
     return stored(rows.mapInArrow(_writer(path), "file string, n_records long"), "warc-files")
 
@@ -173,7 +189,9 @@ def _reader(path: str):
                         heads.append(head.decode() + CRLF + CRLF)
                         bodies.append(rest[:-4])
                         if len(heads) == READ or sum(map(len, bodies)) >= READ_BYTES:
-                            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.string()), pa.array(bodies, pa.binary())], names=["header", "block"])
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(heads, pa.string()), pa.array(bodies, pa.binary())], names=["header", "block"]
+                            )
                             heads, bodies = [], []
                     if heads:
                         yield pa.RecordBatch.from_arrays([pa.array(heads, pa.string()), pa.array(bodies, pa.binary())], names=["header", "block"])
@@ -207,7 +225,9 @@ def described(found: DataFrame) -> DataFrame:
     Length and digest are of the bytes in the file, for a revisit those of the record that it refers to; bytes that
     differ from what a header states raise an error.
     """
-    known = found.withColumns({"payload_bytes": F.octet_length("block").cast("long"), "payload_digest": base32_sha1(F.col("block"))}).drop("block", "header")
+    known = found.withColumns({
+        "payload_bytes": F.octet_length("block").cast("long"), "payload_digest": base32_sha1(F.col("block"))
+    }).drop("block", "header")
     known = stored(known, "warc-read")
     held = known.filter("record_type = 'response'")
     seen = held.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
