@@ -303,14 +303,16 @@ def test_merge_candidates_against_all_pairs(spark):
 
 def test_stored_tables_are_deleted(spark):
     import os
+    import uuid
 
     from newsloom.functions import scratch
 
-    root = scratch.shared_dir(spark).removeprefix("file:")
+    root, own = scratch.shared_dir(spark).removeprefix("file:"), uuid.uuid4().hex
+    there = lambda name: len([x for x in os.listdir(root) if x.startswith(f"{name}-{own}")])
     with scratch.temporary(spark) as kept:
-        for name in ("one-a", "two", "two"):
-            left = scratch.stored(spark.range(3), name)
-        rounds = scratch.discard_before(spark.range(4), "one-a")
-        assert rounds.count() == 4 and len([x for x in os.listdir(root) if x.startswith("one-a-")]) == 1
-        kept.append("two")
-    assert left.count() == 3 and [x for x in os.listdir(root) if x.startswith("one-a-")] == [] and len([x for x in os.listdir(root) if x.startswith("two-")]) == 1
+        for name in ("one", "two", "two"):
+            left = scratch.stored(spark.range(3), f"{name}-{own}")
+        rounds = scratch.discard_before(spark.range(4), f"one-{own}")
+        assert rounds.count() == 4 and there("one") == 1
+        kept.append(f"two-{own}")
+    assert left.count() == 3 and there("one") == 0 and there("two") == 1
