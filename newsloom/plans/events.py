@@ -133,7 +133,7 @@ def c20_upsert_relations(spark, d):
     )
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'given' ELSE 'evt_' || lpad(CAST(c_custkey + 1 AS VARCHAR), 3, '0') END AS event_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS title,
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'given' ELSE printf('evt_%03d', c_custkey + 1) END AS event_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS title,
 CASE c_custkey % 6 WHEN 0 THEN 'S' WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE 'C' END AS signal_level, c_name || '|' || c_mktsegment AS actors, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'x|y' END AS sources,
 CASE WHEN c_custkey % 2 = 0 THEN '军事' ELSE '政治' END AS event_type, CAST(CASE WHEN c_custkey % 7 = 0 THEN 9 WHEN c_custkey % 4 = 0 THEN 0 ELSE 2 END AS INT) AS source_count FROM customer""")
 def b5_normalize_events(spark, d):
