@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, language, line_runs, mixing, near_dups, quality, secret_scan, sharding, tokens, warc
+from newsloom.llm import (
+    byte_bpe, decontaminate, language, line_runs, mixing, near_dups, quality, ranked_search, secret_scan, sharding, spelling, tokens, warc
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,10 +81,27 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, pct=80)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 7 letters with their near words, form and root. A null text has no words; repeated rows count again."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), least=7, times=2, ratio=10, noise=31)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item. A null text has no terms; repeated documents are ranked one by one."""
+    return ranked_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each whole document and the bytes that they decode to, as digests. A null text is empty; repeated rows each get a row."""
+    import public_tokenizers  # here, so that the other queries don't need the folder of vocabulary files
+
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_line_dedup, op3_sharding, op4_warc, op5_token_counts, op6_decontamination, op7_language_id, op8_quality_rules,
-        op9_mixing, op10_near_duplicates
+        op9_mixing, op10_near_duplicates, op11_spelling_variants, op12_ranked_search, op13_byte_bpe
     )}
 
 
@@ -140,6 +159,63 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w
 FROM w JOIN c ON c.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
+# crc32 byte by byte from a table that its polynomial gives; letters beyond ASCII are two bytes
+OP11_SQL = f"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+b AS (
+  SELECT run, n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END)) AS bytes FROM r),
+h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) AS h
+  FROM b, tab),
+w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN concat(left(run, CAST(h % length(run) AS INT)), substr(run, CAST(h % length(run) AS INT) + 2)) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+s AS (
+  SELECT word, n, left(word, CAST(i AS INT) - 1) AS p, substr(word, CAST(i AS INT) + 1) AS q
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (
+  SELECT a.word AS a, b.word AS b FROM s AS a JOIN s AS b ON a.p = b.p AND a.q = b.q AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM s JOIN w ON concat(s.p, s.q) = w.word
+  UNION SELECT w.word, s.word FROM s JOIN w ON concat(s.p, s.q) = w.word),
+m AS (
+  SELECT e.a, count(*) AS n_near, arg_max(struct_pack(b := e.b, n := w.n), struct_pack(n := w.n, b := -k)) AS best
+  FROM e JOIN (SELECT word, n, row_number() OVER (ORDER BY word) AS k FROM w) AS w ON w.word = e.b GROUP BY e.a),
+f AS (SELECT w.word, best.b AS form, best.n AS form_n FROM w JOIN m ON m.a = w.word WHERE best.n >= 10 * w.n),
+g AS (
+  SELECT word, word AS last, 0 AS steps FROM w
+  UNION ALL SELECT g.word, f.form, steps + 1 FROM g JOIN f ON f.word = g.last)
+SELECT w.word, f.form, g.root, w.n, CAST(coalesce(m.n_near, 0) AS BIGINT) AS n_near, f.form_n
+FROM w LEFT JOIN f ON f.word = w.word LEFT JOIN m ON m.a = w.word
+JOIN (SELECT word, arg_max(last, steps) AS root FROM g GROUP BY word) AS g ON g.word = w.word
+"""
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM s),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM t GROUP BY term), c),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+x AS (
+  SELECT item_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN t USING (term) JOIN s USING (r), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM x JOIN s USING (r) WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_near_duplicates": OP10_SQL}
+    return {
+        "op4_warc": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_near_duplicates": OP10_SQL, "op11_spelling_variants": OP11_SQL,
+        "op12_ranked_search": OP12_SQL
+    }
