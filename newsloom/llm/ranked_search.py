@@ -96,7 +96,7 @@ def _segment(ids: list, absent: list, lengths: list, hashes: list, n_docs: int,
     )
 
 
-def _indexer(n_docs: int, n_tokens: int) -> Callable:
+def _indexer(n_docs: int, n_tokens: int, segment_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in range(4)]
         n = 0
@@ -109,7 +109,7 @@ def _indexer(n_docs: int, n_tokens: int) -> Callable:
                 for to, x in zip(held, (np.asarray(own.fill_null(0))[some], np.asarray(own.is_null())[some], size[some], h), strict=True):
                     to.append(x)
                 n += len(h)
-                if n >= SEGMENT_WORDS:
+                if n >= segment_words:
                     yield _segment(*held, n_docs, n_tokens)
                     held, n = [[] for _ in range(4)], 0
         if n:
@@ -118,11 +118,11 @@ def _indexer(n_docs: int, n_tokens: int) -> Callable:
     return run
 
 
-def build_index(docs: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The index of docs (doc_id, text), written to the shared folder: a row for each segment. Documents without terms are left out."""
     rows = docs.select("doc_id", "text")
     of = rows.mapInArrow(_cells, "docs long, tokens long").agg(F.sum("docs"), F.sum("tokens")).first()
-    return stored(rows.mapInArrow(_indexer(of[0] or 0, of[1] or 0), INDEX), "treaps")
+    return stored(rows.mapInArrow(_indexer(of[0] or 0, of[1] or 0, segment_words), INDEX), "treaps")
 
 
 class Treap:
@@ -241,7 +241,7 @@ def _plain(x: pa.Scalar):
     return x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) else x.as_py()
 
 
-def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, k: int = 10, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """(item, rank, doc_id, score): each item's k best of the indexed documents; items has item (a string) and text.
 
     Every block of items meets every segment once. Equal scores are ranked by doc_id, documents without one last; documents
@@ -253,7 +253,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     n_docs, n_tokens = int(of[0] or 0), int(of[1] or 0)
     weighted = stored(weighted_items(index, items, n_docs), "search-items")
     total = weighted.agg(F.sum(F.size("terms"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("item"), F.lit(1 + total // BLOCK_TERMS))
+    block = F.pmod(F.xxhash64("item"), F.lit(1 + total // block_terms))
     blocks = stored(weighted.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item", "terms", "weights")).alias("items")), "search-blocks")
     met = index.drop("dfs", "n_tokens").crossJoin(blocks.select("items"))  # a set of queries, in blocks, against all rows
     found = met.mapInArrow(_searcher(k, n_docs, n_tokens), "item string, doc_id long, score long")
