@@ -9,6 +9,7 @@ from newsloom.functions import scalars as S
 from newsloom.functions import vocab as V
 from newsloom.functions.scratch import stored
 from newsloom.operators.graph import connected_components
+from newsloom.operators.ordered import following
 
 
 def as_list(text: Column) -> Column:
@@ -177,11 +178,11 @@ def append_evidence(existing: DataFrame, events: DataFrame, per_source: bool = F
 
 
 def cooccurrence_edges(events: DataFrame, span: int = 2) -> DataFrame:
-    """(date, src, dst, relation, confidence) from each event to the next span events of its day."""
-    order = Window.partitionBy("date").orderBy("pos")
-    nxt = F.array_compact(F.array(*[F.lead("event_id", k).over(order) for k in range(1, span + 1)]))
-    return events.withColumn("_n", nxt).select(
-        "date", F.col("event_id").alias("src"), F.explode("_n").alias("dst"), F.lit("related_to").alias("relation"),
+    """(date, src, dst, relation, confidence) from each event to the next span events of its day by pos.
+
+    A day may be spread over any number of tasks."""
+    return following(events.select("date", "pos", "event_id"), "date", ["pos"], "event_id", span).select(
+        "date", F.col("event_id").alias("src"), F.explode("_next").alias("dst"), F.lit("related_to").alias("relation"),
         F.lit(0.3).alias("confidence")
     ).filter("src <> dst")
 
@@ -282,46 +283,69 @@ def rollup_clusters(events: DataFrame, assignment: DataFrame) -> DataFrame:
     return out.select("cluster_id", "event_count", "source_count", "highest_signal", "actors", "regions")
 
 
-def merge_candidates(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
-    """K1: (a, b, jaccard) of events of one type and location whose actors are alike.
+def merge_classes(events: DataFrame, min_jaccard: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """K1: (members, links). members (event_id, first): events of one type, location and set of actors are a class, named
+    by its least event_id. links (a, b, jaccard): classes of one type and location whose actors are alike.
 
-    Events with the same actors are compared as one. Exact prefix filter: two sets over the threshold share one of the
-    rarest actors of either, the first n - floor(threshold n); an actor of a third of all events is in few prefixes.
+    Exact prefix filter: two sets over the threshold share one of the rarest actors of either, the first n -
+    floor(threshold n), and after the first that they share enough actors are left in both. Only names, sizes and places
+    are joined; the actors come to the pairs that are left. Events without actors are in no class.
     """
     place = ["event_type", "location"]
     rows = events.select("event_id", *place, F.array_sort(F.array_distinct("actors")).alias("w")).filter(F.size("w") > 0)
-    rows = rows.withColumn("s", F.xxhash64(*place, "w"))
-    sets = stored(rows.select("s", *place, "w").dropDuplicates(["s"]).withColumn("n", F.size("w")), "actor-sets")
-    one = sets.select("s", *place, "n", "w", F.explode("w").alias("actor"))
+    rows = stored(rows.withColumn("s", F.xxhash64(*place, "w")), "actor-rows")
+    classes = rows.groupBy("s").agg(F.min("event_id").alias("first"), *[F.first(c).alias(c) for c in (*place, "w")])
+    classes = stored(classes.withColumn("n", F.size("w")), "actor-sets")
+    one = classes.select("first", *place, "n", F.explode("w").alias("actor"))
     freq = one.groupBy(*place, "actor").agg(F.count("*").alias("f"))
-    ranked = one.join(freq, [*place, "actor"]).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("f", "actor")))
-    prefix = stored(
-        ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * min_jaccard)).select("s", *place, "actor", "n", "w"), "actor-prefixes"
-    )
-    a, b = prefix.toDF("sa", *place, "actor", "na", "wa"), prefix.toDF("sb", *place, "actor", "nb", "wb")
-    pairs = a.join(b, [*place, "actor"]).filter((F.col("sa") < F.col("sb")) & (F.least("na", "nb") > min_jaccard * F.greatest("na", "nb")))
+    ranked = one.join(freq, [*place, "actor"]).withColumn("r", F.row_number().over(Window.partitionBy("first").orderBy("f", "actor")))
+    prefix = ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * min_jaccard)).select("first", *place, "actor", "n", "r")
+    prefix = stored(prefix, "actor-prefixes")
+    x, y = prefix.toDF("a", *place, "actor", "na", "ra"), prefix.toDF("b", *place, "actor", "nb", "rb")
+    left = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    fit = (F.col("a") < F.col("b")) & (left * (1 + min_jaccard) > min_jaccard * (F.col("na") + F.col("nb")) - 1e-9)
+    pairs = x.join(y, [*place, "actor"]).filter(fit).select("a", "b").distinct()
+    sets = classes.select("first", "w")
+    pairs = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
-    pairs = pairs.withColumn("jaccard", common / (F.col("na") + F.col("nb") - common)).filter(F.col("jaccard") > min_jaccard).select("sa", "sb", "jaccard").distinct()
-    pairs = pairs.unionByName(sets.select(F.col("s").alias("sa"), F.col("s").alias("sb"), F.lit(1.0).alias("jaccard")))
-    of = rows.select("event_id", "s")
-    out = pairs.join(of.toDF("x", "sa"), "sa").join(of.toDF("y", "sb"), "sb").filter((F.col("sa") != F.col("sb")) | (F.col("x") < F.col("y")))
-    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    links = pairs.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("jaccard")).filter(F.col("jaccard") > min_jaccard)
+    return rows.select("event_id", "s").join(classes.select("s", "first"), "s").select("event_id", "first"), links
+
+
+def merge_candidates(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
+    """K1: (a, b, jaccard) of events of one type and location whose actors are alike, by way of classes: each event of a
+    class with the class's first one, and the first ones of classes that are alike. Rows grow with the events of a class."""
+    members, links = merge_classes(events, min_jaccard)
+    own = members.filter(F.col("event_id") != F.col("first")).select(F.col("first").alias("a"), F.col("event_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return links.unionByName(own)
+
+
+def merge_groups(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
+    """K1: (event_id, into): the least event that an event with actors reaches. Only the classes' links are followed."""
+    members, links = merge_classes(events, min_jaccard)
+    part = connected_components(links, "a", "b").toDF("first", "into")
+    return members.join(part, "first", "left").select("event_id", F.coalesce("into", "first").alias("into"))
 
 
 def apply_merges(heads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """K2: heads (event_id, canonical_title, first_seen, last_seen, peak_risk, sources) merged along pairs under the least id.
+    """K2: apply_groups() along pairs (a, b) of events."""
+    return apply_groups(heads, connected_components(pairs, "a", "b").toDF("event_id", "into"))
+
+
+def apply_groups(heads: DataFrame, groups: DataFrame) -> DataFrame:
+    """K2: heads (event_id, canonical_title, first_seen, last_seen, peak_risk, sources) merged by groups (event_id, into).
 
     Earliest first_seen, latest last_seen, highest peak, the title of the least id, the other titles as aliases, the
-    united sources as evidence, and the count of the others. Titles and sources are made distinct before they are gathered.
+    united sources as evidence, and the count of the others. An event without a group is its own. Titles and sources are
+    made distinct in each task before they are shuffled.
     """
-    part = stored(connected_components(pairs, "a", "b").toDF("event_id", "into"), "merges")
-    named = heads.join(part, "event_id", "left").withColumn("into", F.coalesce("into", "event_id"))
+    named = heads.join(groups, "event_id", "left").withColumn("into", F.coalesce("into", "event_id"))
     out = named.groupBy("into").agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("peak_risk").alias("peak_risk"),
-        (F.count("*") - 1).alias("merged"), F.min_by("canonical_title", "event_id").alias("canonical_title")
+        (F.count("*") - 1).alias("merged"), F.min_by("canonical_title", "event_id").alias("canonical_title"),
+        F.array_sort(F.collect_set("canonical_title")).alias("_titles"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("evidence")
     )
-    gathered = lambda c, name: named.select("into", c.alias("_x")).distinct().groupBy("into").agg(F.array_sort(F.collect_list("_x")).alias(name))
-    out = out.join(gathered(F.col("canonical_title"), "_titles"), "into").join(gathered(F.explode_outer("sources"), "evidence"), "into")
     aliases = F.filter("_titles", lambda t: ~t.eqNullSafe(F.col("canonical_title")))
     return out.select(
         F.col("into").alias("event_id"), "canonical_title", aliases.alias("aliases"), "first_seen", "last_seen", "peak_risk", "merged",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import scalars as S
 from newsloom.functions import vocab as V
+from newsloom.operators.ordered import numbered
 from newsloom.sources.scan import score_spine
 
 
@@ -145,9 +146,8 @@ def theme_mentions(history: DataFrame, themes=V.THEMES) -> DataFrame:
 
 def trajectory(daily: DataFrame, key: str, value: str, scale: float = 10, edge: float = 1, min_days: int = 2) -> DataFrame:
     """Of keys with min_days days: days, total, first and last day, trend score (second half's mean minus the
-    first's, times scale) and its label."""
-    w = Window.partitionBy(key)
-    rows = daily.withColumns({"_i": F.row_number().over(w.orderBy("date")), "_n": F.count("*").over(w)})
+    first's, times scale) and its label. A key may be spread over any number of tasks."""
+    rows = numbered(daily.select(key, "date", value), key, ["date"])
     half = F.floor(F.col("_n") / 2)
     out = rows.groupBy(key).agg(
         F.count("*").alias("days"), F.sum(value).alias("total"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"),

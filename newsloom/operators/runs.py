@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import scalars as S
+from newsloom.operators.ordered import numbered
 
 #: check -> (column, kind of figure, at least or below, bound)
 GATE = {
@@ -49,9 +50,9 @@ def ops_trend(runs: DataFrame) -> DataFrame:
 
 
 def metric_trend(runs: DataFrame, metric: str, group: str, least: int = 3) -> DataFrame:
-    """Of each group, ascending by date and run: mean, change of the second half against the first in %, label."""
-    w = Window.partitionBy(group)
-    rows = runs.filter(F.col(metric).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy("date", "run_id")), "_n": F.count("*").over(w)})
+    """Of each group, ascending by date and run: mean, change of the second half against the first in %, label. A group
+    may be spread over any number of tasks."""
+    rows = numbered(runs.filter(F.col(metric).isNotNull()).select(group, "date", "run_id", metric), group, ["date", "run_id"])
     half = F.floor(F.col("_n") / 2)
     a, b = F.avg(F.when(F.col("_i") <= half, F.col(metric))), F.avg(F.when(F.col("_i") > half, F.col(metric)))
     out = rows.groupBy(group).agg(

@@ -120,20 +120,29 @@ def a8_price_history(spark, d):
     )
 
 
-@query("SELECT 'sym' || CAST(event_id AS VARCHAR) AS key, value AS price, round((value - 100.5) / 100.5 * 100, 4) AS change_pct FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT 'fx_' || CAST(event_id AS VARCHAR), value, round((value - 99.5) / 99.5 * 100, 4) FROM events WHERE event_id % 3 = 0")
+# lines as the quote service sends them: an index (sh), one of Hong Kong (rt_hk), pairs with and without a change of their own (fx_)
+_QUOTES = """e AS (SELECT event_id AS k, value AS v, CASE event_id % 5 WHEN 0 THEN 'sh' WHEN 1 THEN 'rt_hk' WHEN 4 THEN 'sz' ELSE 'fx_s' END || CAST(event_id AS VARCHAR) AS key FROM events WHERE event_id % 11 <> 10),
+c AS (SELECT key, k, round(v, 4) AS price, CASE k % 5 WHEN 0 THEN (v - (v + 3)) / (v + 3) * 100 WHEN 4 THEN (v - (v + 3)) / (v + 3) * 100 WHEN 1 THEN (v - (v + 7.5)) / (v + 7.5) * 100
+  WHEN 2 THEN (k % 9 - 4) / 4.0::DOUBLE ELSE (v - (v + 11)) / (v + 11) * 100 END AS ch FROM e WHERE v > 0)"""
+
+
+@query(f"""WITH {_QUOTES} SELECT key, price, round(ch, 2) AS change_pct, CASE WHEN ch > 0 THEN '↑' WHEN ch < 0 THEN '↓' ELSE '→' END AS trend,
+  CASE WHEN k % 5 IN (2, 3) THEN '01-31 09:' || lpad(CAST(k % 60 AS VARCHAR), 2, '0') || ':05 UTC' ELSE '01-31 10:15 CST' END AS label FROM c""")
 def a10_quote_lines(spark, d):
-    e = table(spark, d, "events")
-    sym = F.when(
-        F.col("event_id") % 3 == 0, F.concat(F.lit("fx_"), F.col("event_id").cast("string"))
-    ).otherwise(F.concat(F.lit("sym"), F.col("event_id").cast("string")))
-    v = F.col("value").cast("string")
-    fx = F.concat_ws(",", F.lit("10:00"), v, v, F.lit("99.5"), F.lit("2024-01-01"), F.lit("x"), F.lit(""))
-    cn = F.concat_ws(",", F.lit("name"), v, F.lit("100.5"), v, F.lit("2024-01-01"), F.lit("x"), F.lit(""))
-    lines = e.select(F.concat(
-        F.lit("var hq_str_"), sym, F.lit('="'), F.when(F.col("event_id") % 3 == 0, fx).otherwise(cn), F.lit('";')
-    ).alias("value"))
-    out = scan.scan_quote_lines(lines, e.select(sym.alias("symbol"), sym.alias("key")))
-    return out.select("key", "price", F.round("change_pct", 4).alias("change_pct"))
+    k, v = F.col("event_id"), F.col("value")
+    kind = F.when(k % 5 == 0, "sh").when(k % 5 == 1, "rt_hk").when(k % 5 == 4, "sz").otherwise("fx_s")
+    e = table(spark, d, "events").withColumn("symbol", F.concat(kind, k.cast("string")))
+    text = lambda *parts: F.concat_ws(",", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    s = lambda x: x.cast("string")
+    index = text("name", s(v), s(v + 3), s(v + 5), s(v + 9), s(v - 9), "120", "2024-01-31")
+    hong_kong = text("HSI", "name", s(v), s(v + 7.5), s(v + 2), s(v + 9), s(v - 9), "1")
+    clock = F.concat(F.lit("09:"), F.lpad(s(k % 60), 2, "0"), F.lit(":05"))
+    own = F.when(k % 5 == 2, s((k % 9 - 4) / 4)).otherwise("")
+    pair = text(clock, s(v), s(v - 1), s(v + 1), "30", s(v + 11), s(v + 12), s(v - 12), s(v), "name", own, "x")
+    body = F.when(k % 5 == 1, hong_kong).when(k % 5 < 4, F.when(k % 5 == 0, index).otherwise(pair)).otherwise(index)
+    body = F.when(k % 11 == 10, "closed,0,1").otherwise(body)  # too few fields
+    lines = e.select(F.concat(F.lit("var hq_str_"), "symbol", F.lit('="'), body, F.lit('";')).alias("value"))
+    return scan.scan_quote_lines(lines, e.select("symbol", F.col("symbol").alias("key")), F.lit("2024-01-31 10:15:00").cast("timestamp"))
 
 
 @query("SELECT CASE WHEN event_id % 3 = 0 THEN 'fx_' ELSE 'nf_' END || CAST(event_id AS VARCHAR) AS key, value * CASE event_id % 4 WHEN 0 THEN 100.0 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS price FROM events")

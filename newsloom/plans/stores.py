@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom import views
 from newsloom.functions.scratch import shared_dir
 from newsloom.operators import events as E
+from newsloom.operators import search
 from newsloom.plans.events import _EVOLVE, TRANSITIONS, _orders
 from newsloom.plans.news import _URLS
 from newsloom.plans.registry import DAILY, NEWS, RUNS, SOURCES, daily, query, runs, table
@@ -92,6 +93,47 @@ def a20_snapshots(spark, d):
     return sinks.list_snapshots(spark, path)
 
 
+_FOUND = """t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents),
+n AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda w: w = 'licensed' OR w = 'license')) AS f0, len(list_filter(ws, lambda w: starts_with(w, 'apach'))) AS f1 FROM t),
+s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (WHERE f0 > 0) AS d0, count(*) FILTER (WHERE f1 > 0) AS d1 FROM n)"""
+
+
+@query(f"""WITH {_FOUND} SELECT doc_id, round(ln(1 + (docs - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * f0 * 2.2::DOUBLE / (f0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) + ln(1 + (docs - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * f1 * 2.2::DOUBLE / (f1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)), 6) AS score
+FROM n, s WHERE f0 > 0 AND f1 > 0 ORDER BY score DESC, doc_id LIMIT 20""")
+def c14_search_index(spark, d):
+    path = folder(spark, "index")
+    search.build_index(table(spark, d, "documents"), path)
+    return search.search_index(spark, path, [["licensed", "license"], "apach*"], 20).withColumnRenamed("id", "doc_id")
+
+
+@query(f"WITH {DAILY} SELECT event_id, 0.0::DOUBLE AS score, false AS ranked FROM heads WHERE contains(lower(canonical_title), 'nt pur') ORDER BY risk DESC, event_id LIMIT 50")
+def c14_search_titles(spark, d):
+    revs, path = E.build_revisions(daily(spark, d)), folder(spark, "event-index")
+    heads = E.event_heads(revs)
+    search.build_index(E.search_corpus(heads, revs), path, "event_id", ("canonical_title", "summary"))
+    return search.search_events(spark, path, heads, ["Nt", "PUR"])  # no such words: titles that hold "nt pur"
+
+
+@query("WITH r AS (SELECT CAST(ts AS DATE) AS date, round(avg(value) FILTER (WHERE event_type = 'view'), 4) AS u, round(avg(value) FILTER (WHERE event_type = 'click'), 4) AS g, round(avg(value) FILTER (WHERE event_type = 'error'), 4) AS j FROM events GROUP BY 1) SELECT date, round(u, 5) AS eurusd, round(u / g, 5) AS gbpusd, round(j / u, 2) AS usdjpy FROM r")
+def a11_rates_from_files(spark, d):
+    name = F.create_map(*[F.lit(x) for x in ("view", "USD", "click", "GBP", "error", "JPY", "signup", "", "purchase", "PUR")])
+    rates = table(spark, d, "events").groupBy(F.to_date("ts").alias("date"), name[F.col("event_type")].alias("currency")).agg(F.round(F.avg("value"), 4).alias("rate"))
+    line = F.format_string('<Cube currency="%s" rate="%s"/>', "currency", F.when(F.col("currency") == "PUR", "n/a").otherwise(F.col("rate").cast("string")))
+    days = rates.groupBy("date").agg(F.concat_ws("", F.collect_list(line)).alias("x"))  # a day has a handful of currencies
+    page = F.format_string('<gesmes:Envelope xmlns:gesmes="http://www.gesmes.org/xml/2002-08-01"><Cube><Cube time="%s">%s</Cube></Cube></gesmes:Envelope>', F.col("date").cast("string"), "x")
+    path = folder(spark, "rates")
+    days.select(page.alias("value")).write.text(path)
+    return scan.fx_cross_rates(scan.read_rates(spark, path))
+
+
+@query(f"WITH {DAILY} SELECT event_id, first_seen, last_seen, phase, risk, peak_risk, canonical_title, revisions FROM heads")
+def d9_heads_by_batches(spark, d):
+    rows, path = daily(spark, d), folder(spark, "heads")
+    for batch in (F.col("event_id") % 7 > 0, F.col("date") >= "2024-01-20", F.col("event_id") % 7 == 0, F.col("event_id") % 97 == 3):
+        jobs.upsert_heads(rows.filter(batch), path, 16)
+    return spark.read.parquet(f"{path}/heads").select("event_id", "first_seen", "last_seen", "phase", "risk", "peak_risk", "canonical_title", "revisions")
+
+
 # ---- streams ----
 @query(f"WITH {_URLS} SELECT DISTINCT md5(url) AS url_hash FROM nu")
 def j1_stream_dedup(spark, d):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -64,70 +64,107 @@ def relevant(df: DataFrame, noise: list[str], priority: list[str]) -> DataFrame:
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 DATED = re.compile("date|time|publish", re.I)
+WORD = re.compile(r"\S+")
 LINKS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("href", "text", "time", "dated")]))
 
 
-class _Page(HTMLParser):
-    """A page as a tree of (tag, attributes, parent, parts), parts being texts and elements; its anchors in order."""
+class _Open:
+    """An open element: where its text begins, and what has been found in it so far."""
 
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.at: tuple = ("", {}, None, [])
-        self.anchors: list[tuple] = []
-        self.feed(html)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        element = (tag, dict(attrs), self.at, [])
-        self.at[3].append(element)
-        if tag == "a":
-            self.anchors.append(element)
-        if tag not in VOID:
-            self.at = element
+    def __init__(self, tag: str, begins: int, time: str | None, is_dated: bool, link: dict | None):
+        self.tag, self.begins, self.time, self.is_dated, self.link = tag, begins, time, is_dated, link
+        self.stamp: str | None = None  # the datetime of the first time element inside
+        self.dated: str | None = None  # the first text of 8 letters inside an element of a class for dates
+        self.waiting: list[dict] = []  # links of the anchors directly in it
 
-    def handle_endtag(self, tag):
-        up = self.at
-        while up is not None and up[0] != tag:
-            up = up[2]
-        if up is not None and up[2] is not None:
-            self.at = up[2]
-
-    def handle_data(self, data):
-        self.at[3].append(data)
 
+class _Enough(Exception):
+    """Nothing that follows can change the links."""
 
-def _inside(element: tuple) -> Iterator[tuple]:
-    for part in element[3]:
-        if not isinstance(part, str):
-            yield part
-            yield from _inside(part)
 
+class _Links(HTMLParser):
+    """The first anchors of a page, in one pass: an element that closes hands what it has found to the one around it."""
 
-def _text(element: tuple) -> str:
-    return " ".join(" ".join(p if isinstance(p, str) else _text(p) for p in element[3]).split())
-
-
-def _stamp(element: tuple) -> str:
-    """The datetime of the first time element inside; empty without one."""
-    first = next((e for e in _inside(element) if e[0] == "time"), None)
-    return ((first[1].get("datetime") if first else None) or "").strip()
-
+    def __init__(self, html: str, limit: int):
+        super().__init__(convert_charrefs=True)
+        self.limit, self.links, self.undecided = limit, [], 0
+        self.texts: list[str] = []  # without blank ones
+        self.stack = [_Open("", 0, None, False, None)]
+        self.open_tags: Counter[str] = Counter()
+        try:
+            self.feed(html if limit > 0 else "")
+            self.close()
+        except _Enough:
+            pass
+        while self.stack:
+            self._close_last()
 
-@F.pandas_udf(LINKS)
-def page_links(html: pd.Series) -> pd.Series:
-    """Anchors of pages with their texts, the time in them or else in their parent, and the parent's first dated text."""
+    def handle_starttag(self, tag, attrs):
+        found = dict(attrs)
+        link = None
+        if tag == "a" and len(self.links) < self.limit:
+            link = {"href": (found.get("href") or "").strip(), "text": "", "time": "", "dated": ""}
+            self.links.append(link)
+            self.stack[-1].waiting.append(link)
+            self.undecided += 1
+        time = (found.get("datetime") or "").strip() if tag == "time" else None
+        self.stack.append(_Open(tag, len(self.texts), time, bool(DATED.search(found.get("class") or "")), link))
+        self.open_tags[tag] += 1
+        if tag in VOID:
+            self._close_last()
 
-    def found(x: str | None) -> list[dict]:
-        out = []
-        for a in _Page(x or "").anchors:
-            near = (_text(e) for e in _inside(a[2]) if DATED.search(e[1].get("class") or ""))
-            out.append({
-                "href": (a[1].get("href") or "").strip(), "text": _text(a), "time": _stamp(a) or _stamp(a[2]),
-                "dated": next((t[:25] for t in near if len(t) >= 8), "")
-            })
-        return out
+    def handle_endtag(self, tag):
+        if self.open_tags[tag]:
+            while self.stack[-1].tag != tag:
+                self._close_last()
+            self._close_last()
+        if len(self.links) == self.limit and not self.undecided:
+            raise _Enough
 
-    return html.map(found)
+    def handle_data(self, data):
+        if not data.isspace():
+            self.texts.append(data)
+
+    def _letters(self, begins: int, n: int) -> str:
+        """The first n letters of the text from there on, blanks as one space each; one word may be looked at whole."""
+        words, size = [], -1
+        for text in self.texts[begins:]:
+            for word in WORD.finditer(text):
+                words.append(word[0])
+                size += 1 + len(word[0])
+                if size >= n:
+                    return " ".join(words)[:n]
+        return " ".join(words)
+
+    def _close_last(self) -> None:
+        done = self.stack.pop()
+        self.open_tags[done.tag] -= 1
+        if done.link is not None:
+            done.link["text"] = " ".join(" ".join(self.texts[done.begins :]).split())
+            done.link["time"] = done.stamp or ""
+        for link in done.waiting:
+            link["time"] = link["time"] or done.stamp or ""
+            link["dated"] = done.dated or ""
+            self.undecided -= 1
+        if not self.stack:
+            return
+        around = self.stack[-1]
+        if around.stamp is None:
+            around.stamp = done.stamp if done.time is None else done.time
+        if around.dated is None:
+            text = self._letters(done.begins, 25) if done.is_dated else ""
+            around.dated = text if len(text) >= 8 else done.dated
+
+
+def page_links(limit: int):
+    """The first limit anchors of pages with their texts, the time in them or else in their parent, and the parent's first
+    dated text. Time and memory grow with the page, however its elements are nested or left open."""
+
+    @F.pandas_udf(LINKS)
+    def found(html: pd.Series) -> pd.Series:
+        return html.map(lambda x: _Links(x or "", limit).links)
+
+    return found
 
 
 def scan_page_links(
@@ -143,7 +180,7 @@ def scan_page_links(
     base = F.regexp_extract("url", r"^(https?://[^?#]*/)", 1)
     rows = pages.select(
         "page_id", host.alias("_host"), F.when(base == "", F.concat(host, F.lit("/"))).otherwise(base).alias("_base"),
-        F.posexplode(F.slice(page_links("html"), 1, per_page)).alias("pos", "_a")
+        F.posexplode(page_links(per_page)("html")).alias("pos", "_a")
     )
     href = F.col("_a.href")
     full = F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat("_host", href)).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(href.startswith("#") | (href == ""), None).otherwise(F.concat("_base", href))
@@ -198,23 +235,37 @@ def score_spine(scores: DataFrame, as_of: Column, days: int) -> DataFrame:
     return spine.join(scores.select("theme", "date", "score"), ["theme", "date"], "left")
 
 
-def scan_quote_lines(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """A10: value lines `var hq_str_SYM="a,b,..."` to (key, price, change_pct, label), layouts by symbol prefix.
+def in_session(at: Column) -> Column:
+    """Whether a time of the exchange falls into its hours: Monday to Friday, 9:30 to 11:30 and 13:00 to 15:00, by the minute."""
+    minute = F.hour(at) * 60 + F.minute(at)
+    return F.weekday(at).between(0, 4) & (minute.between(9 * 60 + 30, 11 * 60 + 30) | minute.between(13 * 60, 15 * 60))
+
 
-    FX (fx_): price 1, previous close 3. HK (hk): price 6, change % 8. Others (sh, sz): previous close 2, price 3. Prices of
-    0 or less are dropped. symbols: (symbol, key).
+def scan_quote_lines(lines: DataFrame, symbols: DataFrame, at: Column) -> DataFrame:
+    """A10: value lines `var hq_str_SYM="a,b,..."` to (key, price, change_pct, trend, label), read at the exchange's time at.
+
+    Fields by the symbol's prefix, from 0: index lines have price 1 and previous close 2; rt_hk price 2 and previous close
+    3; fx_ price 1 and the change in % in 10, else within the session against the open in 5, else 0. A change in 10 that is
+    no number is 0; against a close of 0 it is 0. Lines of fewer than 4 fields, with a figure that is no number or a price of
+    0 or less are dropped. label: day and time within the session, else day and 收盘; for fx_ day and the line's own time.
+    symbols: (symbol, key).
     """
-    sym, body = F.regexp_extract("value", r'hq_str_(\w+)="([^"]*)"', 1), F.split(F.regexp_extract("value", r'hq_str_(\w+)="([^"]*)"', 2), ",")
-    num = lambda i: F.expr(f"try_cast(get(f, {i}) as double)")
-    rows = lines.select(sym.alias("symbol"), body.alias("f")).filter("symbol <> ''")
-    price = F.when(F.col("symbol").startswith("fx_"), num(1)).when(F.col("symbol").startswith("hk"), num(6)).otherwise(num(3))
-    before = F.when(F.col("symbol").startswith("fx_"), num(3)).when(F.col("symbol").startswith("hk"), num(3)).otherwise(num(2))
-    native = F.when(F.col("symbol").startswith("hk"), num(8))
-    out = rows.select(
-        "symbol", price.alias("price"), F.coalesce(native, F.try_divide(price - before, before) * 100).alias("change_pct"),
-        F.concat_ws(" ", F.expr("get(f, size(f) - 3)"), F.expr("get(f, size(f) - 2)")).alias("label")
-    )
-    return out.filter("price > 0").join(symbols, "symbol").select("key", "price", "change_pct", "label")
+    found = r'hq_str_(\w+)="([^"]*)"'
+    rows = lines.select(F.regexp_extract("value", found, 1).alias("symbol"), F.split(F.regexp_extract("value", found, 2), ",").alias("f"))
+    rows = rows.filter((F.col("symbol") != "") & (F.size("f") >= 4))
+    fx, hk, session = F.col("symbol").startswith("fx_"), F.col("symbol").startswith("rt_hk"), in_session(at)
+    field = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(""))
+    num = lambda i: field(i).try_cast("double")
+    # one-element arrays: what they hold is worked out once, where a plain column would be repeated in every later use
+    rows = rows.select("symbol", "f", F.explode(F.array(F.when(hk, num(2)).otherwise(num(1)))).alias("_p"))
+    rows = rows.select("symbol", "f", "_p", F.explode(F.array(F.when(hk, num(3)).when(fx, num(5)).otherwise(num(2)))).alias("_b"))
+    moved = F.when(F.col("_b") == 0, 0.0).otherwise((F.col("_p") - F.col("_b")) / F.col("_b") * 100)
+    fx_change = F.when(field(10) != "", F.coalesce(num(10), F.lit(0.0))).when(session & (field(5) != ""), moved).otherwise(0.0)
+    closed = F.when(session, F.date_format(at, "MM-dd HH:mm 'CST'")).otherwise(F.concat(F.date_format(at, "MM-dd"), F.lit(" 收盘")))
+    label = F.when(fx & (field(0) != ""), F.concat_ws(" ", F.date_format(at, "MM-dd"), field(0), F.lit("UTC"))).otherwise(closed)
+    out = rows.select("symbol", "_p", F.explode(F.array(F.when(fx, fx_change).otherwise(moved))).alias("_c"), label.alias("label"))
+    out = out.filter("_p > 0 and _c is not null").withColumn("trend", F.when(F.col("_c") > 0, "↑").when(F.col("_c") < 0, "↓").otherwise("→"))
+    return out.join(symbols, "symbol").select("key", F.round("_p", 4).alias("price"), F.round("_c", 2).alias("change_pct"), "trend", "label")
 
 
 def scan_check_quotes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -231,6 +282,18 @@ def scan_check_quotes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.select("key", (F.col("_p") * F.coalesce("factor", F.lit(1.0))).alias("price")).filter("price > 0")
 
 
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    """A11 landing: files of nested Cube elements, days (time) of currencies (currency, rate), to (date, currency, rate).
+
+    Days without a readable date and currencies without a name or a readable rate are left out.
+    """
+    cube = "Cube struct<Cube: array<struct<_time: string, Cube: array<struct<_currency: string, _rate: string>>>>>"
+    days = spark.read.format("xml").option("rowTag", "Envelope").option("ignoreNamespace", "true").schema(cube).load(path)
+    rates = days.select(F.explode("Cube.Cube").alias("d")).select(F.col("d._time").try_cast("date").alias("date"), F.explode("d.Cube").alias("c"))
+    rates = rates.select("date", F.col("c._currency").alias("currency"), F.col("c._rate").try_cast("double").alias("rate"))
+    return rates.filter("date is not null and currency <> '' and rate is not null")
+
+
 def fx_cross_rates(rates: DataFrame) -> DataFrame:
     """(date, currency, rate against EUR) to eurusd, gbpusd, usdjpy of each date."""
     wide = rates.groupBy("date").pivot("currency", ["USD", "GBP", "JPY"]).agg(F.first("rate"))
