@@ -195,6 +195,15 @@ def detect_phase(current: Column, text: Column, rules=V.PHASE_RULES) -> Column:
     return out
 
 
+def phase_change(current: Column, text: Column, deltas: dict[tuple[str, str], int], rules=V.PHASE_RULES) -> Column:
+    """(phase, risk_delta, transition): the phase after the text, the delta of that step (0 for one without) and its
+    text; no text where the delta is 0."""
+    new = detect_phase(current, text, rules)
+    delta = mapped(F.concat_ws("→", current, new), {f"{a}→{b}": d for (a, b), d in deltas.items()}, 0)
+    shown = F.concat(current, F.lit(" → "), new, F.lit(" (风险增量: "), F.when(delta > 0, "+").otherwise(""), delta.cast("string"), F.lit(")"))
+    return F.struct(new.alias("phase"), delta.alias("risk_delta"), F.when(delta != 0, shown).otherwise("").alias("transition"))
+
+
 def normalize_theme(text: Column, themes=V.THEMES, other: str = V.OTHER_THEME) -> Column:
     return reduce(lambda rest, t: F.when(text.rlike(f"(?i){t[0]}"), F.lit(t[1])).otherwise(rest), reversed(themes), F.lit(other))
 

@@ -104,5 +104,9 @@ REPORT_REGIONS = {
     ],
 }
 INDICATORS = {"zh": ["标普500", "纳斯达克", "Brent", "WTI", "黄金", "VIX"], "en": ["S&P 500", "Nasdaq", "Brent", "WTI", "Gold", "VIX"]}
+REPORT_TITLES = {
+    "zh": ("未来48小时关键观察哨", "最高优先级风险", "全量市场数据|核心市场数据"),
+    "en": ("48-Hour Key Watchpoints", "Top Priority Risks", "Full Market Data|Market Data"),
+}
 PLACEHOLDER_URLS = ["xxxx", "example.com/test", "/a-123456"]
 DROPPED_QUERY_KEYS = ["utm_", "ceid", "hl", "gl", "fbclid", "gclid"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,19 +80,38 @@ def quality_summary(
     return found.select("doc_id", n("issue").alias("issues"), n("warning").alias("warnings")).withColumn("passed", F.col("issues") == 0)
 
 
-def html_structure_checks(pages: DataFrame, titles: tuple[str, str, str] = ("观察哨", "风险矩阵", "全量市场数据")) -> DataFrame:
-    """Counts of five structure rules of a report page and whether all hold."""
-    watch, risk, market = map(re.escape, titles)
+def report_language(html: Column, titles: dict[str, tuple[str, str, str]] = V.REPORT_TITLES, other: str = "zh") -> Column:
+    """The first language but other whose title of the watch list is in the page, else other."""
+    found = F.lit(other)
+    for lang in reversed([x for x in titles if x != other]):
+        found = F.when(html.rlike(titles[lang][0]), lang).otherwise(found)
+    return found
+
+
+def html_structure_checks(pages: DataFrame, titles: dict[str, tuple[str, str, str]] = V.REPORT_TITLES, lang: str | None = None) -> DataFrame:
+    """Counts of five structure rules of a report page and whether all hold.
+
+    titles: for each language patterns of the titles of watch list, risks and market data; lang: that of all pages, else
+    each page's own. A null page has a language and no counts.
+    """
     h = F.col("html")
 
     def after(pattern: str, n: int) -> Column:
         return F.regexp_extract(h, rf"(?s){pattern}(.{{0,{n}}})", 1)
 
-    rows = lambda seg: F.regexp_count(seg, F.lit(r"<tr[\s>]"))
-    seg = after(rf"<h[34][^>]*>{watch}[^<]*</h[34]>", 800)
-    out = pages.select(
-        "page_id", F.regexp_count(h, F.lit(r'<h2[^>]*class="chapter-title"')).alias("chapters"), F.regexp_count(h, F.lit('<div class="watch-card">')).alias("watch_cards"),
-        F.when(seg.contains("<table>"), rows(seg)).otherwise(0).alias("watch_rows"), rows(after(rf"<h[34][^>]*>{risk}[^<]*</h[34]>", 3000)).alias("risk_rows"), rows(after(rf"<h[1-6][^>]*>[^<]*{market}[^<]*</h[1-6]>", 3000)).alias("market_rows"),
+    def of(segment: Callable[[tuple[str, str, str]], Column]) -> Column:
+        found = F.lit(None).cast("string")
+        for name, own in titles.items():
+            found = F.when(F.col("lang") == name, segment(own)).otherwise(found)
+        return found
+
+    rows = lambda seg: F.regexp_count(seg, F.lit("<tr>"))
+    watch = of(lambda t: after(rf"<h[34][^>]*>(?:{t[0]})[^<]*</h[34]>", 800))
+    risk = of(lambda t: after(rf"<h[34][^>]*>(?:{t[1]})[^<]*</h[34]>", 3000))
+    market = of(lambda t: after(rf"<h[1-6][^>]*>[^<]*(?:{t[2]})[^<]*</h[1-6]>", 3000))
+    out = pages.withColumn("lang", F.coalesce(F.lit(lang), report_language(h, titles))).select(
+        "page_id", "lang", F.regexp_count(h, F.lit(r'<h2[^>]*class="chapter-title"')).alias("chapters"), F.regexp_count(h, F.lit('<div class="watch-card">')).alias("watch_cards"),
+        F.when(watch.contains("<table>"), rows(watch)).otherwise(0).alias("watch_rows"), rows(risk).alias("risk_rows"), rows(market).alias("market_rows"),
         F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(h, F.lit('class="sig sig-([SABC])"'), F.lit(1)))), ",").alias("levels"),
     )
     return out.withColumn(
@@ -131,28 +151,48 @@ def repaired_json(text: pd.Series) -> pd.Series:
     return text.map(fix)
 
 
-def extract_blocks(docs: DataFrame, tags: tuple[str, ...] = ("METADATA", "CITATIONS", "STRUCTURED")) -> DataFrame:
+#: Keys by which an object in a fence is known, looked for in this order.
+FENCE_KEYS = (("STRUCTURED", ("events",)), ("CITATIONS", ("citation_density", "claims")), ("METADATA", ("quality_self_assessment", "regions_covered")))
+
+
+def extract_blocks(docs: DataFrame, tags: tuple[str, ...] = ("METADATA", "CITATIONS", "STRUCTURED"), fence_keys=FENCE_KEYS) -> DataFrame:
     """(doc_id, <tag> JSON text or null for each tag, body without the blocks).
 
-    A missing structured block is taken from the first ```json fence. Only blocks that don't parse go through repair.
+    A block that isn't closed ends at the next < or with the text. Only blocks that don't parse go through repair. Where no
+    block is found, the objects in ```json fences are taken, each as the first tag of fence_keys of which it has a key; of
+    several the last.
     """
-    out = docs.select("doc_id", "text")
     body = F.col("text")
+    found = []
     for tag in tags:
-        raw = F.nullif(F.trim(F.regexp_extract("text", rf"(?s)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
-        if tag == tags[-1]:
-            raw = F.coalesce(raw, F.nullif(F.trim(F.regexp_extract("text", r"(?s)```json\s*(.*?)```", 1)), F.lit("")))
-        out = out.withColumn(f"_{tag}", raw)
-        body = F.regexp_replace(body, rf"(?s)<{tag}>.*?</{tag}>", "")
-    out = out.withColumn("body", F.trim(F.regexp_replace(body, r"(?s)```json.*?```", "")))
+        closed, open_ = rf"(?s)<{tag}>(.*?)</{tag}>", rf"<{tag}>([^<]*)"
+        raw = F.coalesce(F.get(F.regexp_extract_all("text", F.lit(closed), F.lit(1)), 0), F.regexp_extract("text", open_, 1))
+        found.append(F.nullif(F.trim(raw), F.lit("")).alias(f"_{tag}"))
+        body = F.regexp_replace(body, rf"(?s)<{tag}>(?:.*?</{tag}>|[^<]*)", "")
+    found.append(F.trim(F.regexp_replace(body, r"(?s)```json.*?```", "")).alias("body"))
+    # an array of one row: what it holds is worked out once, where plain columns would be repeated in every later use
+    out = docs.select("doc_id", "text", F.inline(F.array(F.struct(*found))))
     fine = out.select(
-        "doc_id", "body", *[F.when(F.try_parse_json(f"_{t}").isNotNull(), F.col(f"_{t}")).alias(t.lower()) for t in tags],
+        "doc_id", "text", "body", *[F.when(F.try_parse_json(f"_{t}").isNotNull(), F.col(f"_{t}")).alias(t.lower()) for t in tags],
         *[f"_{t}" for t in tags]
     )
     broken = " or ".join(f"({t.lower()} is null and _{t} is not null)" for t in tags)
     good = fine.filter(f"not ({broken})").drop(*[f"_{t}" for t in tags])
-    fixed = fine.filter(broken).select("doc_id", "body", *[F.coalesce(F.col(t.lower()), repaired_json(f"_{t}")).alias(t.lower()) for t in tags])
-    return good.unionByName(fixed)
+    fixed = fine.filter(broken).select(
+        "doc_id", "text", "body", *[F.coalesce(F.col(t.lower()), repaired_json(f"_{t}")).alias(t.lower()) for t in tags]
+    )
+    found = good.unionByName(fixed)
+    fences = F.filter(F.regexp_extract_all("text", F.lit(r"(?s)```json\s*(.*?)\s*```"), F.lit(1)), lambda x: F.try_parse_json(x).isNotNull())
+    known = F.lit(None).cast("string")
+    kind = lambda x: known
+    for tag, keys in reversed(fence_keys):
+        kind = lambda x, tag=tag, keys=keys, rest=kind: F.when(F.arrays_overlap(F.json_object_keys(x), F.array(*map(F.lit, keys))), tag).otherwise(rest(x))
+    none = F.lit(True)
+    for t in tags:
+        none = none & F.col(t.lower()).isNull()
+    found = found.withColumn("_fences", F.when(none & F.col("text").contains("```json"), F.transform(fences, lambda x: F.struct(kind(x).alias("k"), x.alias("v")))))
+    of = lambda t: F.try_element_at(F.filter("_fences", lambda x: x.k == t), F.lit(-1))["v"]
+    return found.select("doc_id", "body", *[F.coalesce(F.col(t.lower()), of(t)).alias(t.lower()) for t in tags])
 
 
 def _marked_lines(docs: DataFrame, excerpt: int = 0) -> DataFrame:
@@ -168,8 +208,10 @@ def _marked_lines(docs: DataFrame, excerpt: int = 0) -> DataFrame:
     order = Window.partitionBy("_row").orderBy("n")
     head = F.nullif(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1), F.lit(""))
     item = F.nullif(F.trim(F.regexp_extract("line", r"^\s*(?:[-*•]|\d+[.、])\s+(.*)$", 1)), F.lit(""))
+    part = lambda pattern, least: F.when(F.length(F.trim(F.regexp_extract("line", pattern, 1))) > least, F.trim(F.regexp_extract("line", pattern, 1)))
     return lines.select(
-        "_row", "doc_id", "n", F.when(F.col("n") == 0, F.col("excerpt")).alias("excerpt"), head.alias("_h"), item.alias("item")
+        "_row", "doc_id", "n", F.when(F.col("n") == 0, F.col("excerpt")).alias("excerpt"), head.alias("_h"), item.alias("item"),
+        part(r"^\s*[-*]\s+(.*)$", 5).alias("bullet"), part(r"^\s*###\s+(.*)$", 3).alias("title")
     ).withColumn("heading", F.last("_h", ignorenulls=True).over(order)).drop("_h")
 
 
@@ -182,6 +224,26 @@ def _section(heading: str) -> Column:
     return F.coalesce(F.col("item").isNotNull() & F.col("heading").rlike(heading), F.lit(False))
 
 
+def _taken(heading: str, k: int, other: Column | None, other_k: int) -> Column:
+    """What a line gives: its item in the first k under headings that match; in a row without any, the first other_k others."""
+    inside = _section(heading)
+    own = F.when(inside & (_place(inside) <= k), F.col("item"))
+    if other is None:
+        return own
+    none = F.coalesce(F.max(inside).over(Window.partitionBy("_row")), F.lit(False)) == F.lit(False)
+    return F.when(none, F.when(other.isNotNull() & (_place(other.isNotNull()) <= other_k), other)).otherwise(own)
+
+
+def bullets_with(word: str) -> Column:
+    """List items of more than 5 letters with the word, as a fallback of sections."""
+    return F.when(F.col("bullet").contains(word), F.col("bullet"))
+
+
+def third_level_titles() -> Column:
+    """Titles of the third level of more than 3 letters, as a fallback of sections."""
+    return F.col("title")
+
+
 def _with_regions(rows: DataFrame, regions: dict[str, str], per_heading: int, per_region: int) -> DataFrame:
     """rows with region and rank_region, the place among its region's items, where a line is taken as one."""
     name = F.lit(None).cast("string")
@@ -193,10 +255,13 @@ def _with_regions(rows: DataFrame, regions: dict[str, str], per_heading: int, pe
     return rows.withColumn("rank_region", F.when(F.col("rank_region") <= per_region, F.col("rank_region").cast("int"))).drop("_in")
 
 
-def extract_section_items(docs: DataFrame, heading: str = "信号|风险|观察哨", k: int = 10) -> DataFrame:
-    """(doc_id, rank, item): the first k list items under headings that match; rows that repeat a doc_id each give theirs."""
-    rows = _marked_lines(docs).withColumn("_in", _section(heading)).filter("_in")
-    return rows.withColumn("rank", _place(F.col("_in")).cast("int")).filter(F.col("rank") <= k).select("doc_id", "rank", "item")
+def extract_section_items(docs: DataFrame, heading: str = "信号|风险|观察哨", k: int = 10, other: Column | None = None, other_k: int = 5) -> DataFrame:
+    """(doc_id, rank, item): the first k list items under headings that match; where there are none, the first other_k
+    of other: bullets_with() a word (for signals, 5) or third_level_titles() (for clusters, 10). Rows that repeat a doc_id
+    each give theirs."""
+    rows = _marked_lines(docs).withColumn("_got", _taken(heading, k, other, other_k)).filter("_got is not null")
+    rank = F.row_number().over(Window.partitionBy("_row").orderBy("n"))
+    return rows.select("doc_id", rank.alias("rank"), F.col("_got").alias("item"))
 
 
 def extract_region_items(docs: DataFrame, regions: dict[str, str], per_heading: int = 3, per_region: int = 5) -> DataFrame:
@@ -207,14 +272,17 @@ def extract_region_items(docs: DataFrame, regions: dict[str, str], per_heading:
 
 
 def build_history(docs: DataFrame, regions: dict[str, str], signals: str = "信号|风险|观察哨", clusters: str = "聚类", excerpt: int = 500) -> DataFrame:
-    """I4: (doc_id, signals, clusters, regions map, summary_excerpt), a row for each row of docs; null where there is nothing."""
+    """I4: (doc_id, signals, clusters, regions map, summary_excerpt), a row for each row of docs; null where there is nothing.
+
+    Without a section of signals, list items that name a risk are taken, and without one of clusters, third-level titles.
+    """
     rows = _marked_lines(docs, excerpt)
-    for name, heading, k in (("signals", signals, 10), ("clusters", clusters, 15)):
-        rows = rows.withColumn(f"_{name}", _section(heading))
-        rows = rows.withColumn(f"_{name}", F.col(f"_{name}") & (_place(F.col(f"_{name}")) <= k))
+    rows = rows.withColumns({
+        "_signals": _taken(signals, 10, bullets_with("风险"), 5), "_clusters": _taken(clusters, 15, third_level_titles(), 10)
+    })
     rows = _with_regions(rows, regions, 3, 5)
     some = lambda c: F.when(F.size(c) > 0, c)
-    pack = lambda on: some(F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("n", "item")))), lambda x: x.item))
+    pack = lambda got: some(F.transform(F.array_sort(F.collect_list(F.when(got.isNotNull(), F.struct(F.col("n"), got.alias("got"))))), lambda x: x.got))
     placed = F.array_sort(F.collect_list(F.when(F.col("rank_region").isNotNull(), F.struct("n", "region", "item"))))
     out = rows.groupBy("_row").agg(
         F.first("doc_id").alias("doc_id"), F.max("excerpt").alias("summary_excerpt"), pack(F.col("_signals")).alias("signals"),
@@ -239,14 +307,28 @@ def split_chapters(pages: DataFrame) -> DataFrame:
 
 
 def extract_cards(pages: DataFrame, labels: list[str]) -> DataFrame:
-    """(page_id, n, one column for each label): paragraphs in which the first label is found, split at the labels."""
+    """(page_id, n, one column for each label): paragraphs in which the first label is found, split at the labels.
+
+    A paragraph without it, but with another label and a colon, is a card in plain text: what stands before the first of the
+    other labels that it has is its name, and the others' values end at the next label or colon mark ;.
+    """
     stop = "|".join(re.escape(x) for x in labels)
+    others = "|".join(re.escape(x) for x in labels[1:]) or "(?!)"
+    colon = r"\s*[:：]\s*"
     paragraphs = F.filter(
-        F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), strip_tags), lambda p: p.contains(labels[0])
+        F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), strip_tags),
+        lambda p: p.contains(labels[0]) | p.rlike(f"(?:{others}){colon}")
     )
-    rows = pages.select("page_id", F.posexplode(paragraphs).alias("n", "p"))
-    value = lambda x: F.nullif(F.trim(F.regexp_extract("p", rf"(?s){re.escape(x)}\s*[:：]?\s*(.*?)(?={stop}|$)", 1)), F.lit(""))
-    return rows.select("page_id", "n", *[value(x).alias(x) for x in labels])
+    rows = pages.select("page_id", F.posexplode(paragraphs).alias("n", "p")).withColumn("_named", F.col("p").contains(labels[0]))
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    value = lambda x: some(F.regexp_extract("p", rf"(?s){re.escape(x)}\s*[:：]?\s*(.*?)(?={stop}|$)", 1))
+    name = F.coalesce(*[F.when(F.col("p").rlike(re.escape(x) + colon), F.regexp_extract("p", rf"(?s)^(.*?){re.escape(x)}{colon}", 1)) for x in labels[1:]], F.lit(""))
+    name = some(F.regexp_replace(F.trim(name), "^[:：]+|[:：]+$", ""))
+    plain = lambda x: some(F.regexp_replace(F.trim(F.try_element_at(
+        F.regexp_extract_all("p", F.lit(rf"(?s){re.escape(x)}{colon}(.*?)(?=(?:{others})\s*[:：]|$)"), F.lit(1)), F.lit(-1)
+    )), "^[；;]+|[；;]+$", ""))
+    either = lambda k, x: F.when(F.col("_named"), value(x)).otherwise(name if k == 0 else plain(x))
+    return rows.select("page_id", "n", *[either(k, x).alias(x) for k, x in enumerate(labels)])
 
 
 def html_excerpt(pages: DataFrame) -> DataFrame:

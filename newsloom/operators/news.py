@@ -29,8 +29,8 @@ def health_gate(news: DataFrame, min_sources: int = 5) -> DataFrame:
 
 
 def vocab_violations(df: DataFrame, column: str, vocab: list[str]) -> DataFrame:
-    """Values outside the vocabulary and how often."""
-    return df.filter(~F.col(column).isin(vocab)).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    """Values outside the vocabulary, null among them, and how often."""
+    return df.filter(~F.coalesce(F.col(column).isin(vocab), F.lit(False))).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
 def category_hits(news: DataFrame, categories: dict[str, dict]) -> DataFrame:

@@ -177,14 +177,14 @@ def _parts(spark, d):
     )
 
 
-@query(f"""WITH {NEWS} SELECT source AS event_id, arg_min(title, pos) AS title, max(CASE WHEN id % 7 = 0 THEN 'A' ELSE 'C' END) = 'A' OR bool_or(id % 7 = 0) AS has_a, max(length(summary)) AS longest, arg_max(region, pos) AS phase,
-CASE WHEN count(DISTINCT id % 2) FILTER (WHERE id % 3 <> 0) > 1 THEN '混合' WHEN count(*) FILTER (WHERE id % 3 <> 0) = 0 THEN '中立' ELSE 'l' || CAST(min(id % 2) FILTER (WHERE id % 3 <> 0) AS VARCHAR) END AS source_lean, CAST(count(DISTINCT region) + 1 AS INT) AS n_actors FROM news GROUP BY source""")
+@query(f"""WITH {NEWS}, g AS (SELECT source, region, min(pos) AS m FROM news GROUP BY ALL), l AS (SELECT source, list(region ORDER BY m) AS rs FROM g GROUP BY source)
+SELECT news.source AS event_id, arg_min(title, pos) AS title, CASE WHEN bool_or(id % 7 = 0) THEN 'A' ELSE 'C' END AS signal_level, (list(summary ORDER BY length(summary) DESC, pos))[1] AS summary, arg_max(region, pos) AS phase,
+CASE WHEN count(DISTINCT id % 2) FILTER (WHERE id % 3 <> 0) > 1 THEN '混合' WHEN count(*) FILTER (WHERE id % 3 <> 0) = 0 THEN '中立' ELSE 'l' || CAST(min(id % 2) FILTER (WHERE id % 3 <> 0) AS VARCHAR) END AS source_lean,
+any_value(rs)[1] || ',' || news.source || CASE WHEN len(any_value(rs)) > 1 THEN ',' || array_to_string(any_value(rs)[2:], ',') ELSE '' END AS actors, news.source AS sources, array_to_string(any_value(rs), ',') AS domains FROM news JOIN l ON l.source = news.source GROUP BY news.source""")
 def d1_merge_events(spark, d):
     m = E.merge_events(_parts(spark, d))
-    return m.select(
-        "event_id", "title", (F.col("signal_level") == "A").alias("has_a"), F.length("summary").alias("longest"), "phase", "source_lean",
-        F.size("actors").alias("n_actors")
-    )
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return m.select("event_id", "title", "signal_level", "summary", "phase", "source_lean", joined("actors"), joined("sources"), joined("domains"))
 
 
 @query("SELECT (SELECT count(*) FROM orders) AS events, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS clusters, (SELECT count(*) FROM orders) >= 10 AND (SELECT count(DISTINCT o_orderstatus) FROM orders) < 5 AS few")
@@ -212,9 +212,12 @@ def h3_identity_key(spark, d):
 _NAMES = [("green", "GRN"), ("blue", "BLU"), ("red", "RED"), ("widget", "WDG"), ("steel", "STL"), ("st", "ST")]
 
 
-@query("SELECT p_partkey, list_distinct(list_filter([CASE WHEN contains(lower(p_name), 'widget') THEN 'WDG' END, CASE WHEN contains(lower(p_name), 'green') THEN 'GRN' END, CASE WHEN contains(lower(p_name), 'steel') THEN 'STL' END, CASE WHEN contains(lower(p_name), 'blue') THEN 'BLU' END, CASE WHEN contains(lower(p_name), 'red') THEN 'RED' END, CASE WHEN regexp_matches(p_name, '(?i)(^|[^a-z])st([^a-z]|$)') THEN 'ST' END], lambda x: x IS NOT NULL))[1:3] IS NOT NULL AS has FROM part")
+@query("""WITH n AS (SELECT p_partkey, unnest([1, 2, 3, 4, 5, 6]) AS k, unnest(['widget', 'green', 'steel', 'blue', 'red', 'st']) AS name, unnest(['WDG', 'GRN', 'STL', 'BLU', 'RED', 'ST']) AS code, p_name FROM part),
+f AS (SELECT p_partkey, k, code FROM n WHERE CASE name WHEN 'st' THEN regexp_matches(p_name, '(?i)(^|[^a-z])st([^a-z]|$)') ELSE contains(lower(p_name), name) END),
+r AS (SELECT p_partkey, code, row_number() OVER (PARTITION BY p_partkey ORDER BY k) AS i FROM f)
+SELECT part.p_partkey, coalesce(string_agg(code, ',' ORDER BY i), '') AS codes FROM part LEFT JOIN r ON r.p_partkey = part.p_partkey AND i <= 2 GROUP BY part.p_partkey""")
 def h6_extract_codes(spark, d):
-    return table(spark, d, "part").select("p_partkey", S.extract_codes(F.col("p_name"), _NAMES, 3).isNotNull().alias("has"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(S.extract_codes(F.col("p_name"), _NAMES, 2), ",").alias("codes"))
 
 
 _HAS = "CASE WHEN contains(t, '{0}') THEN '{1}' END"
@@ -266,13 +269,23 @@ def h10_inferences(spark, d):
     )
 
 
+_RULES = [
+    ("military", ["error"], ["diplomatic"]), ("sanction", ["click"], ["diplomatic"]), ("financial", ["view"], None),
+    ("economic", ["signup"], ["military"])
+]
+_STEPS = {("diplomatic", "military"): 30, ("diplomatic", "sanction"): -5, ("diplomatic", "economic"): 7}
+
+
 @query("SELECT event_id, CASE event_type WHEN 'error' THEN 'military' WHEN 'click' THEN 'sanction' WHEN 'view' THEN 'financial' ELSE 'diplomatic' END AS phase FROM events")
 def h11_detect_phase(spark, d):
-    rules = [
-        ("military", ["error"], ["diplomatic"]), ("sanction", ["click"], ["diplomatic"]), ("financial", ["view"], None),
-        ("economic", ["signup"], ["military"])
-    ]
-    return table(spark, d, "events").select("event_id", S.detect_phase(F.lit("diplomatic"), F.col("event_type"), rules).alias("phase"))
+    return table(spark, d, "events").select("event_id", S.detect_phase(F.lit("diplomatic"), F.col("event_type"), _RULES).alias("phase"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'military' WHEN 'click' THEN 'sanction' WHEN 'view' THEN 'financial' ELSE 'diplomatic' END AS phase,
+  CASE event_type WHEN 'error' THEN 30 WHEN 'click' THEN -5 ELSE 0 END AS risk_delta,
+  CASE event_type WHEN 'error' THEN 'diplomatic → military (风险增量: +30)' WHEN 'click' THEN 'diplomatic → sanction (风险增量: -5)' ELSE '' END AS transition FROM events""")
+def h11_phase_change(spark, d):
+    return table(spark, d, "events").select("event_id", S.phase_change(F.lit("diplomatic"), F.col("event_type"), _STEPS, _RULES).alias("c")).select("event_id", "c.*")
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license') THEN 'law' WHEN regexp_matches(text, '(?i)keit') THEN 'de' ELSE 'other' END AS theme FROM documents")

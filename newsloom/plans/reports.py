@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import scalars as S
+from newsloom.functions import vocab as V
 from newsloom.operators import documents as D
 from newsloom.operators import market as M
 from newsloom.operators import runs as U
@@ -86,11 +87,12 @@ def d12_market_quality(spark, d):
     return M.market_quality_summary(_validated(spark, d)[0])
 
 
-@query(f"""WITH {PRICES}, k AS (SELECT date, avg(price) FILTER (WHERE key = 'Brand#1') AS a, avg(price) FILTER (WHERE key = 'Brand#2') AS b FROM px GROUP BY date)
-SELECT date, round(a - b, 4) AS spread, a - b < 0 AS inverted FROM k""")
+@query(f"""WITH {PRICES}, k AS (SELECT date, avg(price) FILTER (WHERE key = 'Brand#1') AS a, avg(price) FILTER (WHERE key = 'Brand#2') AS b, avg(price) FILTER (WHERE key = 'Brand#3') AS c, avg(price) FILTER (WHERE key = 'Brand#4') AS h, avg(price) FILTER (WHERE key = 'Brand#5') AS l FROM px GROUP BY date)
+SELECT date, round(a - coalesce(b, c), 4) AS spread, a - coalesce(b, c) < 0 AS inverted, round((1 / h - 1 / l) * 100, 6) AS credit_spread FROM k""")
 def h16_spreads(spark, d):
-    p = prices(spark, d).withColumn("key", F.when(F.col("key") == "Brand#1", "us10y").when(F.col("key") == "Brand#2", "us2y").otherwise("other"))
-    return M.spreads(p.groupBy("date", "key").agg(F.avg("price").alias("price"))).select("date", "spread", "inverted")
+    name = F.create_map(*[F.lit(x) for x in ("Brand#1", "us10y", "Brand#2", "us2y", "Brand#3", "us5y", "Brand#4", "hyg", "Brand#5", "lqd")])
+    p = prices(spark, d).withColumn("key", F.coalesce(name[F.col("key")], F.lit("other")))
+    return M.spreads(p.groupBy("date", "key").agg(F.avg("price").alias("price")))
 
 
 @query("SELECT event_id, CASE WHEN value > 72 AND event_type <> 'view' THEN 'stale' WHEN event_type = 'view' THEN 'verified' ELSE 'single' END AS quality, CASE WHEN value > 72 AND event_type <> 'view' THEN 'older than 72 h' END AS note FROM events")
@@ -284,28 +286,51 @@ def b10_quality_summary(spark, d):
     return D.quality_summary(table(spark, d, "documents"), "en", 100, **_WORDS)
 
 
-@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<h2[^>]*class="chapter-title"')) AS INT) AS chapters, CAST(len(regexp_extract_all(html, '<div class="watch-card">')) AS INT) AS watch_cards, 0 AS watch_rows, 0 AS risk_rows, 0 AS market_rows, '' AS levels, false AS passed FROM pages""")
+def _reports(spark, d):
+    """Pages with the parts of a report behind them, as many of each as the page's number says; every second is in English."""
+    k = F.col("page_id")
+    en = k % 2 == 0
+    watch, risk, market = (F.when(en, V.REPORT_TITLES["en"][i].split("|")[0]).otherwise(V.REPORT_TITLES["zh"][i].split("|")[0]) for i in range(3))
+    times = lambda text, n: F.repeat(F.lit(text), n.cast("int"))
+    rows = lambda n: F.concat(F.lit("<table>"), times("<tr><td>x</td></tr>", n), F.lit("</table>"))
+    heading = lambda tag, before, title: F.concat(F.lit(f"<{tag} class='t'>{before}"), title, F.lit(f"（3-5）</{tag}>"))
+    level = F.when(k % 5 == 0, "").when(k % 5 == 1, '<span class="sig sig-S">').otherwise('<span class="sig sig-B"><span class="sig sig-A"><span class="sig sig-B">')
+    return table(spark, d, "pages").select("page_id", F.concat(
+        F.coalesce("html", F.lit("")), times('<h2 id="c" class="chapter-title">c</h2>', k % 12), times('<div class="watch-card">', k % 4), level,
+        F.when(k % 13 == 0, "").otherwise(F.concat(heading("h3", "", watch), rows(k % 5))), times(" ", F.lit(900)),
+        heading("h4", "", risk), rows(k % 6), times(" ", F.lit(3000)), heading("h5", "4.1 ", market), rows(k % 20)
+    ).alias("html"))
+
+
+@query("""WITH c AS (SELECT page_id, page_id AS k, CASE WHEN page_id % 2 = 0 AND page_id % 13 <> 0 THEN 'en' ELSE 'zh' END AS lang, page_id % 2 = 0 AS english,
+  len(regexp_extract_all(coalesce(html, ''), '<h2[^>]*class="chapter-title"')) AS own, len(regexp_extract_all(coalesce(html, ''), '<div class="watch-card">')) AS cards FROM pages),
+n AS (SELECT page_id, lang, CAST(own + k % 12 AS INT) AS chapters, CAST(cards + k % 4 AS INT) AS watch_cards, CASE WHEN k % 13 = 0 THEN 0 ELSE CAST(k % 5 AS INT) END AS watch_rows,
+  CASE WHEN (lang = 'en') = english THEN CAST(k % 6 AS INT) ELSE 0 END AS risk_rows, CASE WHEN (lang = 'en') = english THEN CAST(k % 20 AS INT) ELSE 0 END AS market_rows, CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'S' ELSE 'A,B' END AS levels FROM c)
+SELECT *, chapters >= 8 AND (watch_cards >= 3 OR watch_rows >= 3) AND risk_rows >= 3 AND market_rows >= 10 AND levels <> '' AS passed FROM n""")
 def b11_html_structure(spark, d):
-    return D.html_structure_checks(table(spark, d, "pages"))
+    return D.html_structure_checks(_reports(spark, d))
 
 
 def _tagged(spark, d):
-    """Documents with blocks made of their own columns; every third structured block is broken, every fifth is fenced."""
+    """Documents with blocks made of their own columns; every third structured block is broken, every fifth document has
+    objects in fences alone, every tenth of them a block besides."""
     j = F.to_json(F.struct("doc_id", "lang"))
-    block = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(
+    fenced = F.concat(F.lit('```json\n{"claims": [1]}\n```\n```json\n{"events": 1, '), F.expr("substr(to_json(struct(doc_id, lang)), 2)"), F.lit("\n```\n```json\n{broken\n```"))
+    block = F.when(F.col("doc_id") % 5 == 0, fenced).when(
         F.col("doc_id") % 3 == 0,
         F.concat(F.lit("<STRUCTURED>"), F.expr("replace(to_json(struct(doc_id, lang)), '}', ',}')"), F.lit("</STRUCTURED>"))
     ).otherwise(F.concat(F.lit("<STRUCTURED>"), j, F.lit("</STRUCTURED>")))
     return table(spark, d, "documents").select(
-        "doc_id", "lang", F.concat(F.lit("<METADATA>{\"v\": 3}</METADATA>\n"), block, F.lit("\n"), F.col("text")).alias("text")
+        "doc_id", "lang", F.concat(F.when(F.col("doc_id") % 10 == 5, "").otherwise('<METADATA>{"v": 3}</METADATA>\n'), block, F.lit("\n"), F.col("text")).alias("text")
     )
 
 
-@query("SELECT doc_id, '{\"v\": 3}' AS metadata, doc_id AS found, lang AS found_lang FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 <> 5 THEN '{"v": 3}' END AS metadata, CASE WHEN doc_id % 10 = 5 THEN '{"claims": [1]}' END AS citations,
+  CASE WHEN doc_id % 10 <> 0 THEN doc_id END AS found, CASE WHEN doc_id % 10 <> 0 THEN lang END AS found_lang FROM documents""")
 def i1_extract_blocks(spark, d):
     b = D.extract_blocks(_tagged(spark, d))
     s = F.from_json("structured", "doc_id long, lang string")
-    return b.select("doc_id", "metadata", s.doc_id.alias("found"), s.lang.alias("found_lang"))
+    return b.select("doc_id", "metadata", "citations", s.doc_id.alias("found"), s.lang.alias("found_lang"))
 
 
 def _listed(spark, d):
@@ -325,6 +350,13 @@ def i2_section_items(spark, d):
     return D.extract_section_items(_listed(spark, d), "signals", 10)
 
 
+@query(f"""WITH {_ITEMS}, s AS (SELECT doc_id, item, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS rank FROM it WHERE lang = 'en'),
+f AS (SELECT doc_id, item, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS rank FROM it WHERE lang <> 'en' AND contains(item, 'tion') AND length(item) > 5)
+SELECT doc_id, CAST(rank AS INT) AS rank, item FROM s WHERE rank <= 10 UNION ALL SELECT doc_id, CAST(rank AS INT), item FROM f WHERE rank <= 5""")
+def i2_section_fallback(spark, d):
+    return D.extract_section_items(_listed(spark, d), "signals", 10, D.bullets_with("tion"), 5)
+
+
 @query(f"WITH {_ITEMS}, r AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'E' ELSE 'F' END AS region, item, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS rank FROM it WHERE lang IN ('en', 'fr')) SELECT doc_id, region, CAST(rank AS INT) AS rank, item FROM r WHERE rank <= 3")
 def i3_region_items(spark, d):
     return D.extract_region_items(_listed(spark, d), {"E": "signals", "F": "clusters"})
@@ -372,6 +404,14 @@ def i6_extract_cards(spark, d):
 
 
 
+@query("SELECT doc_id AS page_id, 0 AS n, CASE WHEN doc_id % 3 > 0 THEN source || ' talks' END AS item, lang AS status, CASE WHEN doc_id % 2 = 0 THEN source END AS trigger FROM documents")
+def i6_plain_cards(spark, d):
+    name = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("<strong>"), "source", F.lit(" talks</strong>：")))
+    more = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("；Trigger : "), "source", F.lit(";"))).otherwise("；")
+    page = F.concat(F.lit("<p>no card</p><p>"), name, F.lit("Status：<b>"), "lang", F.lit("</b>"), more, F.lit("</p>"))
+    cards = D.extract_cards(table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html")), ["Watch Item", "Status", "Trigger"])
+    return cards.toDF("page_id", "n", "item", "status", "trigger")
+
 
 @query(f"SELECT page_id, array_to_string(({_TAGS.format('h2')})[1:10], chr(10)) AS headings, array_to_string(list_transform((list_filter({_TAGS.format('p')}, lambda x: length(x) > 20 AND length(x) < 500))[1:5], lambda x: substr(x, 1, 100)), chr(10)) AS paragraphs FROM pages")
 def i7_html_excerpt(spark, d):

@@ -122,7 +122,7 @@ def a11_rates_from_files(spark, d):
     days = rates.groupBy("date").agg(F.concat_ws("", F.collect_list(line)).alias("x"))  # a day has a handful of currencies
     page = F.format_string('<gesmes:Envelope xmlns:gesmes="http://www.gesmes.org/xml/2002-08-01"><Cube><Cube time="%s">%s</Cube></Cube></gesmes:Envelope>', F.col("date").cast("string"), "x")
     path = folder(spark, "rates")
-    days.select(page.alias("value")).write.text(path)
+    days.select("date", page.alias("value")).write.partitionBy("date").text(path)  # a file holds one envelope
     return scan.fx_cross_rates(scan.read_rates(spark, path))
 
 

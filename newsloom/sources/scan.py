@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import scalars as S
+from newsloom.functions import vocab as V
 
 EVENT_SCHEMA = "event_id string, title string, signal_level string, confidence string, actors array<string>, domains array<string>, trend string, summary string, sources array<string>, related_events array<string>, phase string, source_lean string, lean_reasoning string"
 
@@ -56,7 +57,7 @@ def not_stale(df: DataFrame, as_of: Column, max_days: int = 3) -> DataFrame:
     return df.filter(~blank & ~F.coalesce(days > max_days, F.lit(False)))
 
 
-def relevant(df: DataFrame, noise: list[str], priority: list[str]) -> DataFrame:
+def relevant(df: DataFrame, noise: list[str] = V.NOISE_WORDS, priority: list[str] = V.PRIORITY_WORDS) -> DataFrame:
     """B1: rows without a noise word, or with a priority word."""
     text = F.concat_ws(" ", "title", "summary")
     return df.filter(~S.has_any(text, noise) | S.has_any(text, priority))

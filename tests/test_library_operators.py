@@ -201,7 +201,7 @@ def test_blocks(spark):
     assert got[2].structured == '{"y": {"z": 1}}' and got[3].structured is None and got[4].structured is None
 
 
-def test_report_page(spark):
+def test_report_page(spark):  # titles of both languages are in tests of stores and scans
     page = "".join(f'<h2 class="chapter-title">{k}</h2>' for k in range(8)) + '<div class="watch-card">' * 3 + "<h3>风险矩阵</h3><table>" + "<tr><td>" * 3 + "</table><h4>4.1 全量市场数据</h4><table>" + "<tr>" * 10 + '</table><span class="sig sig-A">'
     got = D.html_structure_checks(spark.createDataFrame([(1, page), (2, "<p>")], "page_id int, html string")).orderBy("page_id").collect()
     assert got[0].passed and not got[1].passed and got[0].levels == "A"
