@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import textnum as T
 
-LEAF = 8  # bytes up to which a string is merged directly
-REMEMBERED = 250_000  # pieces, and pairs of tokens, that a worker remembers; all are forgotten when there are more
+LEAF = 4  # bytes up to which a string is merged directly
+SHORT = 32  # bytes up to which the least rank is looked for in a list, not in a heap
+NEVER = 1 << 62  # no rank
+REMEMBERED = 400_000  # pieces, pairs of tokens, and leaves that a worker remembers; all are forgotten when there are more
 CHUNK = 1 << 20  # characters in which a text is cut into pieces at once
 AHEAD = 8  # characters by which the pattern may look past the end of a piece
 BLOCK = 1024  # tokens in a leaf of decoding
@@ -42,10 +44,23 @@ class Coder:
         if missing:
             raise ValueError(f"no rank for byte {missing[0]}")
         self._pairs: dict[tuple[int, int], list[int]] = {}
+        self._leaves: dict[bytes, list[int]] = {}
 
     def merged(self, s: bytes) -> list[int]:
         """The tokens of s by merging the pair of least rank, the leftmost first, until none has a rank."""
         rank, n = self.ranks.get, len(s)
+        if n <= SHORT:
+            parts = [s[k : k + 1] for k in range(n)]
+            found = [rank(s[k : k + 2], NEVER) for k in range(n - 1)]
+            while found and (least := min(found)) != NEVER:
+                k = found.index(least)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                del found[k]
+                if k < len(found):
+                    found[k] = rank(parts[k] + parts[k + 1], NEVER)
+                if k:
+                    found[k - 1] = rank(parts[k - 1] + parts[k], NEVER)
+            return [self.ranks[x] for x in parts]
         ends = list(range(1, n + 1))  # of the part that starts at each place
         before = list(range(-1, n - 1))
         heap = [(r, k) for k in range(n - 1) if (r := rank(s[k : k + 2])) is not None]
@@ -100,7 +115,12 @@ class Coder:
     def reduced(self, s: bytes) -> list[int]:
         """The tokens of s by the tree of its halves."""
         if len(s) <= LEAF:
-            return self.merged(s)
+            found = self._leaves.get(s)
+            if found is None:
+                if len(self._leaves) > REMEMBERED:
+                    self._leaves.clear()
+                found = self._leaves[s] = self.merged(s)
+            return found
         half = 1 << ((len(s) - 1).bit_length() - 1)
         return self.join(self.reduced(s[:half]), self.reduced(s[half:]))
 
