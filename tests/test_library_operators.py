@@ -195,16 +195,69 @@ def test_evolution(spark):
 
 
 def test_blocks(spark):
-    rows = [(1, '<METADATA>{"a": 1}</METADATA>body<STRUCTURED>{"x": [1, 2,]}</STRUCTURED>'), (2, 'text\n```json\n{"y": {"z": 1\n```\nend'), (3, "plain"), (4, "<STRUCTURED>hopeless</STRUCTURED>")]
+    rows = [
+        (1, '<METADATA>{"a": 1}</METADATA>body<STRUCTURED>{"x": [1, 2,]}</STRUCTURED>'), (2, 'text\n```json\n{"events": {"z": 1}}\n```\nend'), (3, "plain"),
+        (4, "<STRUCTURED>hopeless</STRUCTURED>"), (5, '<CITATIONS>{"c": 1}\n<b>rest'), (6, '<METADATA>{"a": 1}</METADATA>```json\n{"events": 1}\n```'),
+        (7, '```json\n{"claims": 1}\n```\n```json\n{"regions_covered": 2}```\n```json {"citation_density": 3}\n```\n```json\n{"events": [}\n```\n```json\n{"other": 1}\n```'),
+        (8, '<STRUCTURED>nothing</STRUCTURED>```json\n{"claims": 1, "events": 2}\n```'), (9, None)
+    ]
     got = {r.doc_id: r for r in D.extract_blocks(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got[1].metadata == '{"a": 1}' and got[1].structured == '{"x": [1, 2]}' and got[1].body == "body"
-    assert got[2].structured == '{"y": {"z": 1}}' and got[3].structured is None and got[4].structured is None
-
-
-def test_report_page(spark):  # titles of both languages are in tests of stores and scans
-    page = "".join(f'<h2 class="chapter-title">{k}</h2>' for k in range(8)) + '<div class="watch-card">' * 3 + "<h3>风险矩阵</h3><table>" + "<tr><td>" * 3 + "</table><h4>4.1 全量市场数据</h4><table>" + "<tr>" * 10 + '</table><span class="sig sig-A">'
-    got = D.html_structure_checks(spark.createDataFrame([(1, page), (2, "<p>")], "page_id int, html string")).orderBy("page_id").collect()
-    assert got[0].passed and not got[1].passed and got[0].levels == "A"
+    assert got[2].structured == '{"events": {"z": 1}}' and got[2].body == "text\n\nend" and got[3].structured is None and got[4].structured is None
+    assert got[5].citations.strip() == '{"c": 1}' and got[5].body == "<b>rest"
+    assert got[6].structured is None  # a block was found, so that fences are ordinary text
+    assert (got[7].metadata, got[7].citations, got[7].structured) == ('{"regions_covered": 2}', '{"citation_density": 3}', None)
+    assert got[8].structured == '{"claims": 1, "events": 2}' and got[8].citations is None and got[9].body is None
+
+
+def test_section_fallbacks(spark):
+    rows = [
+        (1, "## 风险信号\n- one item\n- two\n## else\n- 风险 elsewhere here"), (2, "## else\n- 风险上升 a b\n* 风险 x\n- no such word\n1. 风险 numbered item\n" + "- 风险 again and again\n" * 9),
+        (3, "### first title\n### ab\n text\n### second title"), (4, None), (5, "")
+    ]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    items = lambda **x: {d: [r.item for r in sorted(D.extract_section_items(df, **x).collect(), key=lambda r: r["rank"]) if r.doc_id == d] for d in range(1, 6)}
+    got = items(other=D.bullets_with("风险"))
+    assert got == {1: ["one item", "two"], 2: ["风险上升 a b"] + ["风险 again and again"] * 4, 3: [], 4: [], 5: []}
+    assert items(heading="聚类", other=D.third_level_titles(), other_k=10)[3] == ["first title", "second title"]
+    history = {r.doc_id: r for r in D.build_history(df, {}).collect()}
+    assert history[2].signals == got[2] and history[3].clusters == ["first title", "second title"] and history[5].signals is None
+
+
+def test_plain_cards(spark):
+    labels = ["观察项", "当前状态", "升级触发", "缓和触发", "监控方式"]
+    pages = [
+        (1, "<p><strong>观察项：</strong>海峡 <strong>当前状态：</strong>紧张 <strong>升级触发</strong>：封锁</p>"),
+        (2, "<p><strong>美伊谈判进展</strong>：当前状态：僵持；升级触发：<b>新制裁</b>；监控方式: 声明；</p><p>nothing here</p>"), (3, "<p>当前状态：无名；</p>"), (4, None)
+    ]
+    got = {r.page_id: tuple(r)[2:] for r in D.extract_cards(spark.createDataFrame(pages, "page_id int, html string"), labels).collect()}
+    assert got == {
+        1: ("海峡", "紧张", "封锁", None, None), 2: ("美伊谈判进展", "僵持", "新制裁", None, "声明"), 3: (None, "无名", None, None, None)
+    }
+
+
+def test_report_page(spark):
+    def page(watch, risk, market, rows=10):
+        return "".join(f'<h2 class="chapter-title">{k}</h2>' for k in range(8)) + f"<h3>{watch}（3-5个）</h3><table>" + "<tr><td>" * 3 + "</table>" + " " * 800 + f"<h3>{risk}</h3><table>" + "<tr><td>" * 3 + "</table>" + " " * 3000 + f"<h4>4.1 {market}</h4><table>" + "<tr>" * rows + '</table><span class="sig sig-A">'
+
+    pages = [(1, page("未来48小时关键观察哨", "最高优先级风险", "核心市场数据")), (2, "<p>"), (3, page("48-Hour Key Watchpoints", "Top Priority Risks", "Market Data")), (4, page("48-Hour Key Watchpoints", "最高优先级风险", "Market Data", 9))]
+    df = spark.createDataFrame([*pages, (5, None)], "page_id int, html string")
+    got = {r.page_id: r for r in D.html_structure_checks(df).collect()}
+    assert [(got[k].lang, got[k].passed) for k in (1, 2, 3, 4)] == [("zh", True), ("zh", False), ("en", True), ("en", False)]
+    assert got[1].levels == "A" and (got[1].watch_rows, got[1].risk_rows, got[1].market_rows) == (3, 3, 10) and (got[4].risk_rows, got[4].market_rows) == (0, 9)
+    assert {r.page_id: r.passed for r in D.html_structure_checks(df, lang="zh").collect()}[3] is False
+
+
+def test_phase_change(spark):
+    step = lambda now, text: tuple(one(spark, c=S.phase_change(F.lit(now), F.lit(text), {("diplomatic", "military"): 25, ("military", "de-escalation"): -20}, [("military", ["strike"], ["diplomatic"]), ("de-escalation", ["truce"], None)])).c)
+    assert step("diplomatic", "a strike") == ("military", 25, "diplomatic → military (风险增量: +25)")
+    assert step("military", "truce") == ("de-escalation", -20, "military → de-escalation (风险增量: -20)")
+    assert step("economic", "a strike") == ("economic", 0, "") and step("economic", "truce") == ("de-escalation", 0, "")
+
+
+def test_null_values_are_outside_a_vocabulary(spark):
+    got = N.vocab_violations(spark.createDataFrame([("a",), (None,), ("z",), (None,)], "x string"), "x", ["a"]).collect()
+    assert {(r.value, r.n) for r in got} == {(None, 2), ("z", 1)}
 
 
 def test_links_and_dates(spark):
@@ -289,18 +342,6 @@ def test_merges_unite_titles_and_sources(spark):
     assert (got[3].aliases, got[3].evidence, got[3].merged) == ([], [], 0)
 
 
-def test_merge_candidates_against_all_pairs(spark):
-    rng = random.Random(2)
-    rows = [(k, "t", str(k % 2), rng.sample("abcdefgh", rng.randint(0, 6))) for k in range(60)]
-    got = {(r.a, r.b): r.jaccard for r in E.merge_candidates(spark.createDataFrame(rows, "event_id int, event_type string, location string, actors array<string>")).collect()}
-    want = {}
-    for a, _, la, wa in rows:
-        for b, _, lb, wb in rows:
-            if a < b and la == lb and set(wa) | set(wb) and len(set(wa) & set(wb)) / len(set(wa) | set(wb)) > 0.6:
-                want[a, b] = len(set(wa) & set(wb)) / len(set(wa) | set(wb))
-    assert got == pytest.approx(want)
-
-
 def test_stored_tables_are_deleted(spark):
     import os
     import uuid

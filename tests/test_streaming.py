@@ -67,3 +67,24 @@ def test_evolution_takes_the_last_row_of_a_day(spark, tmp_path):
         states.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     got = [(r.phase, r.risk, r.transitions) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == [("a", 0, 0), ("a", 0, 0), ("b", 0, 0)]
+
+
+def states(spark, tmp_path, rows):
+    """Adds the rows to the stream's folder, runs it to the end from its checkpoint, and gives the states of that run."""
+    schema = "event_id long, ts timestamp, phase string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    run = str(tmp_path / f"out{len(list(tmp_path.iterdir()))}")
+    out = jobs.stream_evolution(stream, {("a", "b"): 60, ("b", "a"): 7}, archive_days=10, delay="2 days")
+    out.writeStream.foreachBatch(lambda b, _: b.write.mode("append").parquet(run)).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    return sorted((r.event_id, r.phase, r.risk, r.status) for r in spark.read.schema(out.schema).parquet(run).collect())
+
+
+def test_evolution_timers_late_rows_and_restart(spark, tmp_path):
+    at = lambda day, hour=5: dt.datetime(2024, 1, 1, hour) + dt.timedelta(day)
+    assert states(spark, tmp_path, [(1, at(0), "a"), (2, at(0), "a")]) == [(1, "a", 0, "active"), (2, "a", 0, "active")]
+    assert states(spark, tmp_path, [(1, at(4), "b")]) == [(1, "b", 60, "active")]  # restarted: the state is there
+    assert states(spark, tmp_path, [(2, at(1), "b"), (1, at(4, 7), "a")]) == [(1, "a", 0, "active")]  # event 2's row is behind the watermark
+    got = states(spark, tmp_path, [(3, at(40), "b")])  # event time passes the idle time of 1 and 2
+    assert (3, "b", 0, "active") in got and {x for x in got if x[0] < 3} == {(1, "a", 0, "archived"), (2, "a", 0, "archived")}
+    assert states(spark, tmp_path, [(1, at(41), "b")]) == [(1, "b", 0, "active")]  # begins anew
