@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import scalars as S
 from newsloom.functions import vocab as V
 from newsloom.functions.scratch import stored
+from newsloom.functions.terms import with_lists
 
 
 def text_of() -> Column:
@@ -39,27 +41,33 @@ def category_hits(news: DataFrame, categories: dict[str, dict]) -> DataFrame:
     categories: name -> weight, terms, and context (words of which one is needed too, where given).
     """
 
-    def hit(c: dict) -> Column:
-        found = S.has_any(text_of(), c["terms"])
-        return found & S.has_any(text_of(), c["context"]) if c.get("context") else found
-
+    rows, has = with_lists(news.select("id", "title", "summary"), text_of(), _lists_of(categories))
     hits = F.array_compact(F.array(*[
-        F.when(hit(c), F.struct(F.lit(n).alias("category"), F.lit(float(c["weight"])).alias("weight"))) for n, c in categories.items()
+        F.when(_matched(c, has), F.struct(F.lit(n).alias("category"), F.lit(float(c["weight"])).alias("weight"))) for n, c in categories.items()
     ]))
-    return news.select("id", F.explode(hits).alias("h")).select("id", "h.category", "h.weight")
+    return rows.select("id", F.explode(hits).alias("h")).select("id", "h.category", "h.weight")
+
+
+def _lists_of(categories: dict[str, dict]) -> list[list[str]]:
+    """Terms and contexts of the categories, and their rules' triggers one by one."""
+    return [x for c in categories.values() for x in (
+        c["terms"], c.get("context") or [], *([t] for rule in c.get("escalation", []) for t in rule["triggers"])
+    )]
+
 
+def _matched(c: dict, has: Callable[[list[str]], Column]) -> Column:
+    return has(c["terms"]) & has(c["context"]) if c.get("context") else has(c["terms"])
 
-def escalation_bonus(categories: dict[str, dict], cap: float = 30, low: Column | None = None) -> Column:
-    """Bonuses of matched categories' rules of which two triggers or more are in the text (low: in lower case), capped."""
-    low = text_of() if low is None else low
+
+def escalation_bonus(categories: dict[str, dict], cap: float = 30, has: Callable[[list[str]], Column] | None = None) -> Column:
+    """Bonuses of matched categories' rules of which two triggers or more are in the text, capped. has: whether a row's
+    text has a word of a list (default: that of title and summary)."""
+    has = has or (lambda words: S.has_low(text_of(), list(words)))
     out = F.lit(0.0)
     for c in categories.values():
-        matched = S.has_low(low, c["terms"])
-        if c.get("context"):
-            matched = matched & S.has_low(low, c["context"])
         for rule in c.get("escalation", []):
-            n = reduce(lambda a, b: a + b, [F.when(low.contains(t.lower()), 1).otherwise(0) for t in rule["triggers"]])
-            out = out + F.when(matched & (n >= 2), float(rule["bonus"])).otherwise(0.0)
+            n = reduce(lambda a, b: a + b, [F.when(has([t]), 1).otherwise(0) for t in rule["triggers"]])
+            out = out + F.when(_matched(c, has) & (n >= 2), float(rule["bonus"])).otherwise(0.0)
     return F.least(F.lit(float(cap)), out)
 
 
@@ -126,19 +134,14 @@ def coverage_count(news: DataFrame, threshold: float = 0.5) -> DataFrame:
 def text_scores(news: DataFrame, categories: dict, themes: dict[str, list[str]], official: list[str]) -> DataFrame:
     """H7: news with text_score (weights of categories, escalation and themes) and official, from title and summary.
 
-    The text is put in lower case once. What follows needs no text, so that callers can drop it before they join.
+    The text is put in lower case once, and with many words gone through once. What follows needs no text, so that callers can drop it before they join.
     """
-    low = F.col("_low")
-
-    def matched(c: dict) -> Column:
-        found = S.has_low(low, c["terms"])
-        return found & S.has_low(low, c["context"]) if c.get("context") else found
-
+    rows, has = with_lists(news, text_of(), [*_lists_of(categories), *themes.values(), official])
     total = reduce(
-        lambda a, b: a + b, [F.when(matched(c), float(c["weight"])).otherwise(0.0) for c in categories.values()], F.lit(0.0)
-    ) + escalation_bonus(categories, low=low)
-    total = total + reduce(lambda a, b: a + b, [F.when(S.has_low(low, w), 2.0).otherwise(0.0) for w in themes.values()], F.lit(0.0))
-    return news.withColumn("_low", text_of()).withColumns({"text_score": total, "official": S.has_low(low, official)}).drop("_low")
+        lambda a, b: a + b, [F.when(_matched(c, has), float(c["weight"])).otherwise(0.0) for c in categories.values()], F.lit(0.0)
+    ) + escalation_bonus(categories, has=has)
+    total = total + reduce(lambda a, b: a + b, [F.when(has(w), 2.0).otherwise(0.0) for w in themes.values()], F.lit(0.0))
+    return rows.withColumns({"text_score": total, "official": has(official)}).drop("_low", "_lists")
 
 
 def weighed(

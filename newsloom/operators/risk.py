@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import scalars as S
 from newsloom.functions import vocab as V
+from newsloom.functions.terms import lists_found
 from newsloom.operators.ordered import numbered
 from newsloom.sources.scan import score_spine
 
 
 def matched_themes(text: Column, themes: dict[str, list[str]]) -> Column:
-    """Names of the themes with a word in the text."""
-    return F.array_compact(F.array(*[F.when(S.has_any(text, w), F.lit(t)) for t, w in themes.items()]))
+    """Names of the themes with a word in the text; the text is gone through once, however many words there are."""
+    names = F.array(*map(F.lit, themes)) if themes else F.array().cast("array<string>")
+    return F.transform(F.coalesce(lists_found(F.lower(text), themes.values()), F.array().cast("array<int>")), lambda k: F.get(names, k))
 
 
 def theme_media(news: DataFrame, themes: dict[str, list[str]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import scalars as S
 from newsloom.operators import news as N
+from newsloom.operators import risk as R
 from newsloom.plans.registry import NEWS, SOURCES, news, query, sources, table
 from newsloom.sources import scan, sinks
 
@@ -312,3 +313,12 @@ def h13_classify_lean(spark, d):
 @query("SELECT page_id, regexp_replace(url, '(?:[A-Za-z]:\\\\|/)(?:[A-Za-z0-9_.-]+[/\\\\])+[A-Za-z0-9_.-]*', '<path>', 'g')[1:300] AS text FROM pages")
 def h20_redact_paths(spark, d):
     return table(spark, d, "pages").select("page_id", S.redact_paths(F.col("url")).alias("text"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("WITH t AS (SELECT lang AS dimension, lower(text) AS low FROM documents), l AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS theme) SELECT theme, dimension, count(*) AS hits FROM t, l WHERE regexp_matches(low, theme || '[a-z]') GROUP BY ALL")
+def c7_many_words(spark, d):
+    themes = {a: [a + b for b in _LETTERS] for a in _LETTERS}  # 676 words
+    return R.theme_signal_hits(table(spark, d, "documents").select(F.col("lang").alias("dimension"), "text"), themes)

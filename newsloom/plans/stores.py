@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import views
+from newsloom.functions import scalars as S
 from newsloom.functions.scratch import shared_dir
 from newsloom.operators import events as E
 from newsloom.operators import search
@@ -70,6 +71,17 @@ def a15_write_state(spark, d):
     return sinks.read_state(spark, path)
 
 
+@query("WITH h AS (SELECT *, upper(replace(p_type, ' ', '_')) || '||' || upper(replace(p_name, ' ', '_')) || '|' AS k FROM part) SELECT p_partkey AS event_id, p_name AS canonical_title, k AS identity_key FROM h WHERE k = (SELECT k FROM h WHERE p_partkey = 7) OR p_partkey = 11")
+def b13_stored_lookups(spark, d):
+    key = S.identity_key(F.col("p_type"), F.array().cast("array<string>"), F.col("p_name"), F.lit(None).cast("string"))
+    path = folder(spark, "keyed")
+    heads = table(spark, d, "part").select(F.col("p_partkey").alias("event_id"), F.col("p_name").alias("canonical_title"), key.alias("identity_key"))
+    sinks.write_keyed(heads, path, "event_id", {"identity_key": 10_000})
+    stored = spark.read.parquet(path)
+    by_key = E.event_by_key(stored, E.event_by_id(stored, 7).first()["identity_key"])
+    return by_key.unionByName(E.event_by_id(stored, 11).join(by_key.select("event_id"), "event_id", "left_anti"))
+
+
 @query(f"WITH {RUNS} SELECT variant, count(*) AS n, round(avg(quality_score), 4) AS quality FROM rn GROUP BY variant")
 def a16_append_runs(spark, d):
     r, path = runs(spark, d), folder(spark, "runs")

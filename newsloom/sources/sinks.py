@@ -121,6 +121,19 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def write_keyed(df: DataFrame, path: str, key: str, lookups: dict[str, int], partitions: int | None = None) -> None:
+    """Df in the order of key, dealt by ranges of it, with bloom filters for the columns in lookups (column: distinct
+    values that a file is expected to have). A filter on key skips files and row groups by their least and greatest keys, one
+    on a lookup column by its bloom filter."""
+    dealt = df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)
+    writer = dealt.sortWithinPartitions(key).write.mode("overwrite")
+    for column, n in lookups.items():
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(n))
+        # a dictionary would make the filter needless to the writer
+        writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
+    writer.parquet(path)
+
+
 def append_runs(df: DataFrame, path: str) -> None:
     """A16."""
     df.write.mode("append").parquet(path)
