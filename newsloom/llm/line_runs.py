@@ -178,7 +178,7 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one document and get the same result; a column removed of docs is replaced; rows with one doc_id and different texts are different documents. An
     earlier copy may overlap the run: of one line over and over, the first stays. What is deleted always stands earlier.
     """
-    docs = docs.select(*[c for c in docs.columns if c.lower() != "removed"])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == "removed"])
     (key,) = unused(docs, "_key")
     found = later_copies(docs, min_words).select(F.col("_doc").alias(key), _runs(F.col("lines")).alias("removed"))
     joined = docs.withColumn(key, F.xxhash64("doc_id", "text", F.lit(1))).join(found, key, "left").drop(key)

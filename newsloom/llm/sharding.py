@@ -1,8 +1,8 @@
 """Operator 3: uniform random sharding by a two-pass external shuffle, DataFrame functions only.
 
 Pass one scatters whole records into buckets of bounded bytes by a seeded hash of their content: one shuffle, and the
-same buckets however the input is split. Of a record that is repeated more than REPEATS times, each copy is scattered by
-its number, so that no repeated row fills a bucket. Pass two puts the records of a bucket in a fixed order, permutes
+same buckets however the input is split. Of a record whose copies have more bytes together than a SHARE of a bucket, each
+copy is scattered by its number, so that no repeated row fills a bucket. Pass two puts the records of a bucket in a fixed order, permutes
 them with a seeded Fisher-Yates shuffle, deals the permuted sequence of all buckets to the shards in turn and writes
 the bucket's part of each shard, from the task that holds the bucket.
 """
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from newsloom.functions.scratch import shared_dir, stored
 
 BUCKET_BYTES = 32 << 20
-REPEATS = 1000  # copies of a record from which they are scattered one by one
+SHARE = 1 / 32  # of a bucket's bytes, from which the copies of a record are scattered one by one
+FILL = 2 / 3  # of a bucket's bytes that it has on average
 GROUP = 4096  # buckets whose offsets one task sums up
 
 
@@ -31,9 +32,9 @@ def _bucket(n_buckets: int, seed: int, copy: Column) -> Column:
 
 
 def scatter(records: DataFrame, keys: DataFrame, n_buckets: int, seed: int) -> DataFrame:
-    """(_bucket, _record): every record with its bucket; keys has _content and its copies _n."""
-    whole = records.select(_content(records, seed), F.struct(*records.columns).alias("_record"))
-    hot = stored(keys.filter(F.col("_n") > REPEATS).select("_content"), "shard-repeats")  # written, so that its size is known
+    """(_bucket, _record): every record with its bucket; keys has _content, its copies _n and whether they are scattered, _many."""
+    whole = records.select(_content(records, seed), F.struct(*_columns(records)).alias("_record"))
+    hot = stored(keys.filter("_many").select("_content"), "shard-repeats")  # written, so that its size is known
     plain = whole.join(hot, "_content", "left_anti").select(_bucket(n_buckets, seed, F.lit(0)).alias("_bucket"), "_record")
     many = whole.join(hot, "_content", "left_semi").groupBy("_content", "_record").agg(F.count("*").alias("_n"))
     many = many.select("_content", "_record", F.explode(F.sequence(F.lit(1), "_n")).alias("_copy"))
@@ -41,17 +42,22 @@ def scatter(records: DataFrame, keys: DataFrame, n_buckets: int, seed: int) -> D
 
 
 def _content(records: DataFrame, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *records.columns).alias("_content")
+    return F.xxhash64(F.lit(seed), *_columns(records)).alias("_content")
+
+
+def _columns(records: DataFrame) -> list[Column]:
+    """Also those with a dot in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in records.columns]
 
 
 def offsets(keys: DataFrame, n_buckets: int, seed: int) -> DataFrame:
     """(_bucket, _offset): the records in buckets before each; groups of buckets are summed apart and then in turn."""
     one = keys.select(
         "_content",
-        F.when(F.col("_n") > REPEATS, F.sequence(F.lit(1).cast("long"), "_n")).otherwise(F.array(F.lit(0).cast("long"))).alias("_copies"),
-        "_n"
+        F.when(F.col("_many"), F.sequence(F.lit(1).cast("long"), "_n")).otherwise(F.array(F.lit(0).cast("long"))).alias("_copies"),
+        F.when(F.col("_many"), 1).otherwise(F.col("_n")).alias("_n")
     )
-    one = one.select("_content", F.explode("_copies").alias("_copy"), F.when(F.col("_n") > REPEATS, 1).otherwise(F.col("_n")).alias("_n"))
+    one = one.select("_content", F.explode("_copies").alias("_copy"), "_n")
     sizes = one.groupBy(_bucket(n_buckets, seed, F.col("_copy").cast("int")).alias("_bucket")).agg(F.sum("_n").alias("_n"))
     sizes = stored(sizes.withColumn("_group", F.floor(F.col("_bucket") / GROUP)), "shard-sizes")
     upto = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -77,16 +83,18 @@ def shuffle_buckets(scattered: DataFrame, at: DataFrame, n_buckets: int, seed: i
 def shard(records: DataFrame, n_shards: int = 16, seed: int = 20240131, size: Column | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """records with shard (0 to n_shards - 1) and slot (0, 1, ... in each shard), in uniformly random order.
 
-    size is a record's bytes (default: those of its column text). Shards differ by at most one row. The same seed and
+    size is a record's bytes (default: those of its column text). Buckets have bucket_bytes at most, but for the chance of
+    the scatter and for a record that is larger itself. Shards differ by at most one row. The same seed and
     rows give the same order, however they are split or ordered. Nulls in any column, equal rows and empty texts are
     ordinary records; every row is dealt once. An empty table gives an empty result. Columns of records named shard or
     slot are replaced. Columns of map type can't be put in order and raise an error.
     """
-    records = records.select(*[c for c in records.columns if c.lower() not in ("shard", "slot")])
+    records = records.drop(*[c for c in records.columns if c.lower() in ("shard", "slot")])
     keys = records.select(_content(records, seed), (text_size() if size is None else size).alias("_size"))
     keys = stored(keys.groupBy("_content").agg(F.count("*").alias("_n"), F.sum("_size").alias("_bytes")), "shard-keys")
     total = keys.agg(F.sum("_bytes")).first()[0] or 0
-    n_buckets = max(n_shards, -(-int(total) // bucket_bytes))
+    n_buckets = max(n_shards, int(total / (bucket_bytes * FILL)) + 1)
+    keys = keys.withColumn("_many", (F.col("_n") > 1) & (F.col("_bytes") > bucket_bytes * SHARE))
     dealt = shuffle_buckets(scatter(records, keys, n_buckets, seed), offsets(keys, n_buckets, seed), n_buckets, seed)
     place = F.col("_position")
     return dealt.select("_record.*", F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))

@@ -184,7 +184,40 @@ def test_sharding_of_one_row_repeated(spark):
     assert sorted({r[0]: r[1] for r in out.groupBy("shard").count().collect()}.values()) == [1256] * 12 + [1257] * 4
     assert out.filter("text = 'x'").count() == 20_000 and out.select("shard", "slot").distinct().count() == 20_100
     sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
-    assert len(sizes) == 21 and max(sizes) < 1300  # copies are spread over the buckets
+    assert len(sizes) == 31 and max(sizes) < 1000  # copies are spread over the buckets, which are two thirds full
+
+
+def test_buckets_of_repeated_large_rows_are_bounded(spark):
+    """900 copies of a text of 100 KB, and texts of 10 KB with some copies each, in buckets of 1 MB."""
+    rows = spark.range(900).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("0123456789"), 10_000).alias("text"))
+    rows = rows.unionByName(spark.range(1500).select((F.col("id") % 90).alias("doc_id"), F.repeat((F.col("id") % 90).cast("string"), 5000).alias("text")))
+    seed, size = 20240131, 1 << 20
+    sizes = {}
+    real = sharding.shuffle_buckets
+
+    def watched(scattered, at, n_buckets, seed):
+        for r in scattered.groupBy("_bucket").agg(F.sum(F.octet_length("_record.text")).alias("b"), F.count("*").alias("n")).collect():
+            sizes[r["_bucket"]] = (r.b, r.n)
+        return real(scattered, at, n_buckets, seed)
+
+    sharding.shuffle_buckets = watched
+    try:
+        out = sharding.shard(rows, 4, seed, bucket_bytes=size)
+    finally:
+        sharding.shuffle_buckets = real
+    assert max(b for b, _ in sizes.values()) < 2 * size and sum(n for _, n in sizes.values()) == 2400
+    assert sorted(r["count"] for r in out.groupBy("shard").count().collect()) == [600] * 4
+    again = sharding.shard(rows.repartition(13), 4, seed, bucket_bytes=size)
+    order = lambda df: [tuple(r) for r in df.select("shard", "slot", "doc_id").orderBy("shard", "slot").collect()]
+    assert order(out) == order(again)
+
+
+def test_columns_with_dots(spark):
+    df = spark.createDataFrame([(k, f"text {k}", k) for k in range(20)], "doc_id long, text string, `a.b` long")
+    out = sharding.shard(df, 4)
+    assert out.columns == ["doc_id", "text", "a.b", "shard", "slot"] and out.select("`a.b`").distinct().count() == 20
+    kept = line_runs.deduplicate_lines(df)
+    assert kept.columns == ["doc_id", "text", "a.b", "removed"] and kept.count() == 20
 
 
 def test_sharding_is_a_seeded_permutation(spark, docs, tmp_path):
