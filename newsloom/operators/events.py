@@ -10,6 +10,7 @@ from newsloom.functions import vocab as V
 from newsloom.functions.scratch import stored
 from newsloom.operators.graph import connected_components
 from newsloom.operators.ordered import following
+from newsloom.operators.sets import most_common, signature
 
 
 def as_list(text: Column) -> Column:
@@ -288,21 +289,21 @@ def merge_classes(events: DataFrame, min_jaccard: float = 0.6) -> tuple[DataFram
     by its least event_id. links (a, b, jaccard): classes of one type and location whose actors are alike.
 
     Exact prefix filter: two sets over the threshold share one of the rarest actors of either, the first n -
-    floor(threshold n), and after the first that they share enough actors are left in both. Only names, sizes and places
-    are joined; the actors come to the pairs that are left. Events without actors are in no class.
+    floor(threshold n), and after the first that they share enough actors are left in both. Only names, sizes, places and
+    64 bits of each set are joined; the actors come to the few pairs that are left. Events without actors are in no class.
     """
     place = ["event_type", "location"]
     rows = events.select("event_id", *place, F.array_sort(F.array_distinct("actors")).alias("w")).filter(F.size("w") > 0)
     rows = stored(rows.withColumn("s", F.xxhash64(*place, "w")), "actor-rows")
     classes = rows.groupBy("s").agg(F.min("event_id").alias("first"), *[F.first(c).alias(c) for c in (*place, "w")])
-    classes = stored(classes.withColumn("n", F.size("w")), "actor-sets")
-    one = classes.select("first", *place, "n", F.explode("w").alias("actor"))
+    classes = stored(classes.withColumns({"n": F.size("w"), "bits": signature("w")}), "actor-sets")
+    one = classes.select("first", *place, "n", "bits", F.explode("w").alias("actor"))
     freq = one.groupBy(*place, "actor").agg(F.count("*").alias("f"))
     ranked = one.join(freq, [*place, "actor"]).withColumn("r", F.row_number().over(Window.partitionBy("first").orderBy("f", "actor")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * min_jaccard)).select("first", *place, "actor", "n", "r")
+    prefix = ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * min_jaccard)).select("first", *place, "actor", "n", "bits", "r")
     prefix = stored(prefix, "actor-prefixes")
-    x, y = prefix.toDF("a", *place, "actor", "na", "ra"), prefix.toDF("b", *place, "actor", "nb", "rb")
-    left = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    x, y = prefix.toDF("a", *place, "actor", "na", "sa", "ra"), prefix.toDF("b", *place, "actor", "nb", "sb", "rb")
+    left = F.least(F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1, most_common("na", "nb", "sa", "sb"))
     fit = (F.col("a") < F.col("b")) & (left * (1 + min_jaccard) > min_jaccard * (F.col("na") + F.col("nb")) - 1e-9)
     pairs = x.join(y, [*place, "actor"]).filter(fit).select("a", "b").distinct()
     sets = classes.select("first", "w")

@@ -12,6 +12,7 @@ from newsloom.functions import scalars as S
 from newsloom.functions import vocab as V
 from newsloom.functions.scratch import stored
 from newsloom.functions.terms import with_lists
+from newsloom.operators.sets import most_common, signature
 
 
 def text_of() -> Column:
@@ -98,16 +99,17 @@ def coverage_pairs(items: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Exact prefix filter: over half of the larger set is shared, so two such sets share a word among the rarest words of
     either, the first n - floor(threshold n); frequent words make few candidates. A common word at place r leaves
-    n - r + 1 words to share in each set, which drops pairs that only meet late.
+    n - r + 1 words to share in each set, which drops pairs that only meet late, and 64 bits of each set bound what they share.
     """
-    sets = stored(items.select("s", "w").dropDuplicates(["s"]).withColumn("n", F.size("w")), "title-sets")
-    tokens = sets.select("s", "n", F.explode("w").alias("t"))
+    sets = items.select("s", "w").dropDuplicates(["s"]).withColumns({"n": F.size("w"), "bits": signature("w")})
+    sets = stored(sets, "title-sets")
+    tokens = sets.select("s", "n", "bits", F.explode("w").alias("t"))
     ranked = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("f")), "t").withColumn(
         "r", F.row_number().over(Window.partitionBy("s").orderBy("f", "t"))
     )
-    prefix = stored(ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * threshold)).select("s", "n", "t", "r"), "title-prefixes")
-    both = prefix.toDF("sa", "na", "t", "ra").join(prefix.toDF("sb", "nb", "t", "rb"), "t").filter(F.col("sa") < F.col("sb"))
-    left_over = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    prefix = stored(ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * threshold)).select("s", "n", "bits", "t", "r"), "title-prefixes")
+    both = prefix.toDF("sa", "na", "ba", "t", "ra").join(prefix.toDF("sb", "nb", "bb", "t", "rb"), "t").filter(F.col("sa") < F.col("sb"))
+    left_over = F.least(F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1, most_common("na", "nb", "ba", "bb"))
     cand = both.filter(left_over > threshold * F.greatest("na", "nb")).select("sa", "sb").distinct()
     close = cand.join(
         sets.select(F.col("s").alias("sa"), F.col("w").alias("wa")), "sa"
@@ -166,6 +168,20 @@ def importance(
     return weighed(text_scores(news, categories, themes, official), social, media, coverage_bonus, as_of, half_life)
 
 
+def score_news(
+    news: DataFrame, sources: DataFrame, categories: dict, themes: dict[str, list[str]], official: list[str], social: list[str],
+    media: list[str], coverage_bonus: dict[int, float], as_of: Column, half_life: float = 72
+) -> DataFrame:
+    """H7 and C5 together: news without summary, with coverage_count, credibility and importance_score; sources: (source,
+    credibility), a source once.
+
+    Texts are read once: what they give is written down without them, and coverage is counted and joined from there.
+    """
+    base = stored(text_scores(news, categories, themes, official).drop("summary"), "news-scores")
+    scored = base.join(coverage_count(base), "id").join(sources, "source", "left")
+    return weighed(scored, social, media, coverage_bonus, as_of, half_life)
+
+
 def mark_repeats(news: DataFrame, seen: DataFrame, factor: float = 0.7) -> DataFrame:
     """C17: repeated where the normalized URL is among the seen hashes; a positive score is cut by factor."""
     known = seen.select(F.col("url_hash").alias("_h")).distinct().withColumn("_seen", F.lit(True))

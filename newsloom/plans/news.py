@@ -49,10 +49,8 @@ cov AS (SELECT news.id, 1 + count(pr.b) AS coverage_count FROM news LEFT JOIN pr
 
 
 def _scored(spark, d):
-    n = news(spark, d)
-    scored = N.text_scores(n, CATEGORIES, TOPICS, ["licensed under"]).drop("summary").join(N.coverage_count(n), "id")
     dim = sources(spark, d).select(F.col("name").alias("source"), "credibility")
-    return N.weighed(scored.join(dim, "source", "left"), ["src19"], ["src1", "src2"], {2: 3, 3: 6}, as_of())
+    return N.score_news(news(spark, d), dim, CATEGORIES, TOPICS, ["licensed under"], ["src19"], ["src1", "src2"], {2: 3, 3: 6}, as_of())
 
 
 _SCORED = f"""sd AS (SELECT news.*, coverage_count, credibility FROM news JOIN cov USING (id) LEFT JOIN so ON news.source = so.name),
