@@ -632,3 +632,22 @@ def test_secret_scan_learns_from_findings(spark):
     reviewed = spark.createDataFrame([(k, 3, int(k % 2 == 0)) for k in range(60)], "doc_id long, start long, is_secret int")
     got = secret_scan.scan(docs, reviewed).collect()
     assert len(got) == 80 and all(r.kept == (r.doc_id % 2 == 0) for r in got)
+
+
+def test_secret_scan_on_held_out_findings(spark):
+    """Reviewed findings where the rule errs: tokens that nothing names are secrets, ids assigned to the name token are none."""
+    rows, reviewed = [], []
+    for k in range(240):
+        secret = k % 2 == 0
+        before = "id " if secret else "token = "
+        value = f"{'Xy9/Qz7+' * 3}{k:04d}" if secret else f"{'ab12' * 3}{k:04d}"
+        rows.append((k, f"{before}{value} zz", "s"))
+        reviewed.append((k, len(before), int(secret)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    findings = spark.createDataFrame(reviewed, "doc_id long, start long, is_secret int")
+    got = {r.judge: r for r in secret_scan.evaluate(docs, findings).collect()}
+    assert 40 < got["forest"].findings == got["rule"].findings < 110 and 15 < got["forest"].secrets < 60
+    assert (got["forest"].precision, got["forest"].recall) == (1.0, 1.0) and got["rule"].recall == 0 and got["rule"].precision == 0
+    assert secret_scan.evaluate(docs, findings.filter("is_secret = 1")).count() == 0
+    learned = secret_scan.scan(docs, findings.filter("doc_id < 120")).filter("doc_id >= 120").collect()
+    assert len(learned) == 120 and all(r.kept == (r.doc_id % 2 == 0) and (r.score > 0.9 or r.score < 0.1) for r in learned)
