@@ -120,14 +120,16 @@ def coverage_pairs(items: DataFrame, threshold: float = 0.5) -> DataFrame:
 def coverage_count(news: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(id, coverage_count): 1 plus the items of other URLs with a similar title.
 
-    Items are counted by word set and URL, so that copies are never paired one by one. The sets and pairs are written
-    down once.
+    Items are counted by word set and URL, so that copies are never paired one by one. The titles' words are written down
+    once, and so are the counts; pairs are taken both ways in one pass.
     """
     items = news.select("id", "url", title_words().alias("w")).withColumn("s", F.when(F.size("w") > 0, F.xxhash64("w")))
-    pairs = stored(coverage_pairs(items.filter("s is not null"), threshold), "title-pairs")
-    own = stored(items.filter("s is not null").groupBy("s", "url").agg(F.count("*").alias("k")), "title-counts")
-    near = pairs.union(pairs.select("sb", "sa")).toDF("s", "o").union(own.select("s", F.col("s").alias("o")).distinct())
-    counted = near.join(own.withColumnRenamed("s", "o"), "o").groupBy("s", "url").agg(F.sum("k").alias("mine"))
+    items = stored(items, "title-items")
+    pairs = coverage_pairs(items.filter("s is not null"), threshold)
+    both = F.array(F.struct(F.col("sa").alias("s"), F.col("sb").alias("o")), F.struct(F.col("sb").alias("s"), F.col("sa").alias("o")))
+    own = items.filter("s is not null").groupBy("s", "url").agg(F.count("*").alias("k"))
+    near = pairs.select(F.inline(both)).unionByName(items.filter("s is not null").select("s", F.col("s").alias("o")).distinct())
+    counted = stored(near.join(own.withColumnRenamed("s", "o"), "o").groupBy("s", "url").agg(F.sum("k").alias("mine")), "title-counts")
     total = counted.groupBy("s").agg(F.sum("mine").alias("total"))
     out = items.drop("w").join(total, "s", "left").join(counted, ["s", "url"], "left")
     return out.select("id", (1 + F.coalesce(F.col("total") - F.col("mine"), F.lit(0))).cast("long").alias("coverage_count"))
