@@ -282,8 +282,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFra
     joined = connected_components(ends.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).distinct(), "x", "y")
 
     named = nodes.join(part, "node", "left").withColumn("first", F.coalesce("component", "node")).drop("component")
-    named = named.join(joined.toDF("first", "second"), "first", "left").withColumn("component", F.coalesce("second", "first"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component")
+    named = named.join(joined.toDF("first", "second"), "first", "left")
+    named = stored(named.select("s1", "s2", "n_shingles", "least", F.coalesce("second", "first").alias("component")), "near-named")
+    # written, so that its size is known and the join with a large component's nodes can be split; a node alone has its own id
+    several = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    named = named.join(stored(several, "near-components"), "component", "left").withColumn("component_id", F.coalesce("component_id", "least"))
     out = hashed.select("doc_id", "n_shingles", "s1", "s2").join(
         named.select("s1", "s2", "n_shingles", "component_id"), ["s1", "s2", "n_shingles"], "left"
     )
