@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -244,7 +245,7 @@ def _plain(x: pa.Scalar):
 def search(index: DataFrame, items: DataFrame, k: int = 10, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """(item, rank, doc_id, score): each item's k best of the indexed documents; items has item (a string) and text.
 
-    Every block of items meets every segment once. Equal scores are ranked by doc_id, documents without one last; documents
+    Every block of about block_terms terms of items meets every segment once. Equal scores are ranked by doc_id, documents without one last; documents
     that repeat a doc_id are ranked one by one. Scores are above 0. Rows of one item are one query, also those without a
     name; an item without terms, or none that a document has, gives no rows. No documents or no items give no rows. Terms
     are compared by 64-bit hashes.
@@ -253,10 +254,12 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, block_terms: int = B
     n_docs, n_tokens = int(of[0] or 0), int(of[1] or 0)
     weighted = stored(weighted_items(index, items, n_docs), "search-items")
     total = weighted.agg(F.sum(F.size("terms"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("item"), F.lit(1 + total // block_terms))
+    n_blocks = 1 + total // block_terms
+    block = F.pmod(F.xxhash64("item"), F.lit(n_blocks))
     blocks = stored(weighted.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item", "terms", "weights")).alias("items")), "search-blocks")
-    met = index.drop("dfs", "n_tokens").crossJoin(blocks.select("items"))  # a set of queries, in blocks, against all rows
-    found = met.mapInArrow(_searcher(k, n_docs, n_tokens), "item string, doc_id long, score long")
+    # a set of queries, in blocks, against all rows: a pass over the index for each block, so that a task holds one at a time
+    passes = [index.drop("dfs", "n_tokens").crossJoin(blocks.filter(F.col("block") == b).select("items")) for b in range(n_blocks)]
+    found = reduce(DataFrame.unionByName, [x.mapInArrow(_searcher(k, n_docs, n_tokens), "item string, doc_id long, score long") for x in passes])
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("item", "rank", "doc_id", "score")
 

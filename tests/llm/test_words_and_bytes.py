@@ -129,7 +129,7 @@ def test_ranked_search(spark, odd, none):  # noqa: F811
     own = [(1, BASE_ITEM), (2, "w7 w9 END"), (3, None), (4, " "), (None, "x b"), (2, "more"), (5, "absent words"), (6, "日本語 ß don't"), (7, "one " * 300)]
     items = spark.createDataFrame(own, "item_id long, text string").withColumn("doc_id", F.lit(3))
     rows = [(d, t) for d, t, *_ in ODD]
-    for segment, block, k in ((2_000_000, 100_000, 10), (40, 2, 3), (1, 1, 1)):
+    for segment, block, k in ((2_000_000, 100_000, 10), (40, 4, 3), (1, 100_000, 1)):
         named = items.select(F.col("item_id").cast("string").alias("item"), "text")
         got = ranked_search.search(ranked_search.build_index(odd, segment), named, k, block)
         found = [(None if r.item is None else int(r.item), *tuple(r)[1:]) for r in got.collect()]
