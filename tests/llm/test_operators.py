@@ -317,8 +317,38 @@ def test_token_counts(odd, none, docs):
     assert tokens.token_counts(none, path).count() == 0
 
 
+def test_token_counts_at_every_prefix(spark, odd):
+    """Every prefix of odd texts, and the cuts of small budgets, against the library's count of each prefix."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    size = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    random = np.random.default_rng(3)
+    letters = list("etaoinshrdl'.,-1é\u0301日한\u1161<|>/İ🙂\u00a0\u3000 \n")
+    texts = ["", "  ", "they've'll don't", "e\u0301te\u0301 가나\u11a8", "a<|endoftext|>b<|endof", " unbelievably internationalisation ", None]
+    texts += ["".join(random.choice(letters, 30)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in tokens.prefix_tables(df, path, every=True).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        ends = [len((texts[r.doc_id] or "")[:k].encode()) for k in range(1, len(texts[r.doc_id] or "") + 1)]
+        assert r.prefix_bytes == [e for e in ends if raw[e - 1] not in b" \t\n\v\f\r"]
+        assert r.prefix_tokens == [size(raw[:e].decode()) for e in r.prefix_bytes]
+    for budget in (0, 3, 7):
+        for r in tokens.token_counts(df, path, budget).collect():
+            raw = (texts[r.doc_id] or "").encode()
+            cuts = [len((texts[r.doc_id] or "")[:k].encode()) for k in range(1, len(texts[r.doc_id] or "") + 1)]
+            fits = [e for e in cuts if raw[e - 1] not in b" \t\n\v\f\r" and size(raw[:e].decode()) <= budget]
+            assert r.bytes_in_limit == max(fits, default=0)
+    long = spark.createDataFrame([(1, "etaoin" * 5000)], "doc_id long, text string")
+    table = tokens.prefix_tables(long, path, every=True).first()
+    assert len(table.prefix_tokens) == 30000
+    assert [table.prefix_tokens[k] for k in (9_999, 29_999)] == [size(("etaoin" * 5000)[: k + 1]) for k in (9_999, 29_999)]
+
+
 def test_tokenizers_that_join_words_are_refused(odd):
-    with pytest.raises(ValueError, match="not those of its words"):
+    with pytest.raises(ValueError, match="may not be those of its words"):
         tokens.token_counts(odd, public_tokenizers.path("byte_bpe_50k.json"))
 
 
