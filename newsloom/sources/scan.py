@@ -269,10 +269,11 @@ def scan_quote_lines(lines: DataFrame, symbols: DataFrame, at: Column) -> DataFr
     return out.join(symbols, "symbol").select("key", F.round("_p", 4).alias("price"), F.round("_c", 2).alias("change_pct"), "trend", "label")
 
 
-def scan_check_quotes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+def scan_check_quotes(lines: DataFrame, symbols: DataFrame, usable: bool = True) -> DataFrame:
     """A10, second layout: value lines `var hq_str_SYM="a,b,..."` to (key, price) for checks against other providers.
 
-    FX (fx_): price 1, futures: price 0, times the symbol's unit factor. symbols: (symbol, key, factor; null is 1).
+    FX (fx_): price 1, futures: price 0, times the symbol's unit factor. symbols: (symbol, key, factor; null is 1). usable:
+    only prices above 0; without it every line of a known symbol, with a null price where it is no number.
     """
     found = r'hq_str_(\w+)="([^"]*)"'
     rows = lines.select(
@@ -280,7 +281,8 @@ def scan_check_quotes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     ).filter("symbol <> ''")
     price = F.get("f", F.when(F.col("symbol").startswith("fx_"), 1).otherwise(0)).try_cast("double")
     out = rows.select("symbol", price.alias("_p")).join(symbols, "symbol")
-    return out.select("key", (F.col("_p") * F.coalesce("factor", F.lit(1.0))).alias("price")).filter("price > 0")
+    out = out.select("key", (F.col("_p") * F.coalesce("factor", F.lit(1.0))).alias("price"))
+    return out.filter("price > 0") if usable else out
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom import queries as plans
 from newsloom.operators import events as E
 from newsloom.operators import ordered, search
 from newsloom.operators import runs as U
@@ -275,6 +276,17 @@ def test_quote_lines(spark):
     assert [r.x for r in at.collect()] == [False, True, True, False, False, True, True, False]
 
 
+def test_check_quotes_keep_prices_of_zero(spark, tmp_path):
+    lines = spark.createDataFrame([(f'var hq_str_{x},z";',) for x in ('nf_1="5', 'nf_2="0', 'fx_3="10:00,-2', 'nf_4="', 'nf_9="7')], "value string")
+    symbols = spark.createDataFrame([(n, n, None) for n in ("nf_1", "nf_2", "fx_3", "nf_4")], "symbol string, key string, factor double")
+    got = lambda **kw: {r.key: r.price for r in scan.scan_check_quotes(lines, symbols, **kw).collect()}
+    assert got() == {"nf_1": 5.0} and got(usable=False) == {"nf_1": 5.0, "nf_2": 0.0, "fx_3": -2.0, "nf_4": None}
+    events = [(1, 0.0), (2, 3.5), (3, 0.0), (3, 0.0), (4, None), (6, 2.0)]
+    spark.createDataFrame(events, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    rows = sorted(tuple(r) for r in plans.queries()["a10_check_quotes"](spark, str(tmp_path)).collect() if r.price is not None)
+    assert rows == [("fx_3", 0.0), ("fx_3", 0.0), ("fx_6", 2.0), ("nf_1", 0.0), ("nf_2", 3.5)]
+
+
 def test_rates_from_files(spark, tmp_path):
     day = lambda d, *rates: f'<Cube time="{d}">' + "".join(f'<Cube currency="{c}" rate="{r}"/>' for c, r in rates) + "</Cube>"
     (tmp_path / "rates.xml").write_text(
