@@ -77,6 +77,22 @@ def test_two_key_dedup(spark):
     assert N.dedup_news(again).count() == again.count()
 
 
+def test_coverage_counts_urls_and_common_words_exactly(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):
+        words = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 4))] + [f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 6))]
+        rows.append((k, rng.choice([f"u{k}", f"u{k}", "shared", f"v{k % 9}", None]), " ".join(words)))
+    word_set = {k: set(t.split()) for k, _, t in rows}
+    near = lambda a, b: len(word_set[a] & word_set[b]) > 0.5 * max(len(word_set[a]), len(word_set[b]))
+    want = {k: 1 + sum(u is not None and v is not None and u != v and near(k, j) for j, v, _ in rows) for k, u, _ in rows}
+    df = spark.createDataFrame(rows, "id int, url string, title string")
+    assert {r.id: r.coverage_count for r in N.coverage_count(df).collect()} == want
+    # similar titles are decided where they meet: nothing but the pairs themselves is made for them
+    plan = N.coverage_pairs(df.filter("title <> ''").select(F.xxhash64(N.title_words()).alias("s"), N.title_words().alias("w")))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_coverage(spark):
     rows = [(1, "a", "x y z"), (2, "b", "z y x"), (3, "a", "x y z"), (4, "c", "x y q r"), (5, "d", "lone"), (6, "e", "lone"), (7, "f", ""), (8, "g", None)]
     got = {r.id: r.coverage_count for r in N.coverage_count(spark.createDataFrame(rows, "id int, url string, title string")).collect()}
