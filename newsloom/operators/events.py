@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from newsloom.functions import vocab as V
 from newsloom.functions.scratch import stored
 from newsloom.operators.graph import connected_components
 from newsloom.operators.ordered import following
-from newsloom.operators.sets import most_common, signature
+from newsloom.operators.sets import numbered
 
 
 def as_list(text: Column) -> Column:
@@ -284,33 +287,77 @@ def rollup_clusters(events: DataFrame, assignment: DataFrame) -> DataFrame:
     return out.select("cluster_id", "event_count", "source_count", "highest_signal", "actors", "regions")
 
 
+LONGEST, CHOICES = 16, 64  # actors of sets that meet on several actors at once; most such choices for two sizes
+
+
+def _choices(min_jaccard: float) -> list[tuple]:
+    """(n, [(lo, hi, k, sure, pick)]): for sizes n and another up to LONGEST, lo and hi in order, the places of k actors of the
+    n, so that two such sets over the threshold have the same actors at a pick of each. sure: these are enough for a link."""
+    out = []
+    for n in range(1, LONGEST + 1):
+        own = []
+        for other in range(1, LONGEST + 1):
+            lo, hi = min(n, other), max(n, other)
+            least = next((c for c in range(1, lo + 1) if c / (n + other - c) > min_jaccard), None)
+            if least is None or lo == least == hi:  # the same set
+                continue
+            k = max(k for k in range(1, least + 1) if k == 1 or comb(hi - least + k, k) <= CHOICES)
+            own += [(lo, hi, k, k == least, list(pick)) for pick in combinations(range(n - least + k), k)]
+        out.append((n, own))
+    return out
+
+
+def _meeting(classes: DataFrame, min_jaccard: float) -> DataFrame:
+    """The classes (first, p, n, w) at each key where they can meet others: (p, lo, hi, k, sure, items)."""
+    made = classes.sparkSession.createDataFrame(_choices(min_jaccard), "n int, own array<struct<lo: int, hi: int, k: int, sure: boolean, pick: array<int>>>")
+    short = classes.join(F.broadcast(made), "n").select("first", "p", "n", "w", F.inline("own"))  # LONGEST rows
+    short = short.withColumn("items", F.transform("pick", lambda i: F.get("w", i))).drop("pick")
+    single = F.explode(F.slice("w", F.lit(1), (F.col("n") - F.floor(F.col("n") * min_jaccard)).cast("int")))
+    long = classes.filter(F.col("n") > LONGEST * min_jaccard - 1).select("first", "p", "n", "w", single.alias("item"))
+    long = long.select("first", "p", "n", "w", *[F.lit(x).alias(c) for c, x in (("lo", 0), ("hi", 0), ("k", 1), ("sure", False))], F.array("item").alias("items"))
+    return short.unionByName(long).withColumn("key", F.xxhash64("p", "lo", "hi", "items"))
+
+
+def _alike(meeting: DataFrame, min_jaccard: float) -> DataFrame:
+    """(a, b, jaccard) of the classes over the threshold, each pair by the first actors that they share."""
+    side = lambda x, size: meeting.filter((F.col("n") == F.col(size)) | (F.col("hi") == 0)).select("key", *[
+        F.col(c).alias(f"{c}_{x}") for c in ("first", "p", "n", "w", "lo", "hi", "k", "items")
+    ])
+    both = side("a", "lo").join(side("b", "hi"), "key").filter(
+        (F.col("p_a") == F.col("p_b")) & (F.col("lo_a") == F.col("lo_b")) & (F.col("hi_a") == F.col("hi_b"))
+        & ((F.col("lo_a") < F.col("hi_a")) | (F.col("first_a") < F.col("first_b"))) & ((F.col("hi_a") > 0) | (F.greatest("n_a", "n_b") > LONGEST))
+    )
+    # a one-element array: what it holds is made once
+    both = both.select("first_a", "first_b", "n_a", "n_b", "k_a", "items_a", F.explode(F.array(F.array_intersect("w_a", "w_b"))).alias("common"))
+    both = both.withColumn("jaccard", F.size("common") / (F.col("n_a") + F.col("n_b") - F.size("common")))
+    both = both.filter((F.col("jaccard") > min_jaccard) & (F.slice("common", F.lit(1), F.col("k_a")) == F.col("items_a")))
+    return both.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"), "jaccard")
+
+
+def _classes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, classes) of merge_classes(); classes (first, p, n, w): place, size and numbered actors, rare ones first."""
+    place = ["event_type", "location"]
+    rows = events.select("event_id", *place, F.array_sort(F.array_distinct("actors")).alias("w")).filter(F.size("w") > 0)
+    rows = stored(rows.select("event_id", F.xxhash64(*place, "w").alias("s"), *place, "w"), "actor-rows")
+    sets = stored(rows.groupBy("s").agg(F.min("event_id").alias("first"), *[F.first(c).alias(c) for c in (*place, "w")]), "actor-sets")
+    one = sets.filter(" and ".join(f"{c} is not null" for c in place)).select("first", F.xxhash64(*place).alias("p"), F.explode("w").alias("actor"))
+    ids = numbered(one.groupBy("actor").agg(F.count("*").alias("f")), "f", "actor").select("actor", "id")
+    classes = one.join(ids, "actor").groupBy("first", "p").agg(F.array_sort(F.collect_list("id")).alias("w"))
+    classes = stored(classes.select("first", "p", F.size("w").alias("n"), "w"), "actor-numbers")
+    return rows.select("event_id", "s").join(sets.select("s", "first"), "s").select("event_id", "first"), classes
+
+
 def merge_classes(events: DataFrame, min_jaccard: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """K1: (members, links). members (event_id, first): events of one type, location and set of actors are a class, named
     by its least event_id. links (a, b, jaccard): classes of one type and location whose actors are alike.
 
-    Exact prefix filter: two sets over the threshold share one of the rarest actors of either, the first n -
-    floor(threshold n), and after the first that they share enough actors are left in both. Only names, sizes, places and
-    64 bits of each set are joined; the actors come to the few pairs that are left. Events without actors are in no class.
+    Exact: two sets of these sizes over the threshold share so many actors that the first k of them stand among the
+    first n - least + k of either. Sets of up to LONGEST actors meet on k actors at once, with as large a k as CHOICES
+    allows, longer ones on one. Where they meet their numbered actors decide, so that no candidate is shuffled. Events
+    without actors are in no class.
     """
-    place = ["event_type", "location"]
-    rows = events.select("event_id", *place, F.array_sort(F.array_distinct("actors")).alias("w")).filter(F.size("w") > 0)
-    rows = stored(rows.withColumn("s", F.xxhash64(*place, "w")), "actor-rows")
-    classes = rows.groupBy("s").agg(F.min("event_id").alias("first"), *[F.first(c).alias(c) for c in (*place, "w")])
-    classes = stored(classes.withColumns({"n": F.size("w"), "bits": signature("w")}), "actor-sets")
-    one = classes.select("first", *place, "n", "bits", F.explode("w").alias("actor"))
-    freq = one.groupBy(*place, "actor").agg(F.count("*").alias("f"))
-    ranked = one.join(freq, [*place, "actor"]).withColumn("r", F.row_number().over(Window.partitionBy("first").orderBy("f", "actor")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * min_jaccard)).select("first", *place, "actor", "n", "bits", "r")
-    prefix = stored(prefix, "actor-prefixes")
-    x, y = prefix.toDF("a", *place, "actor", "na", "sa", "ra"), prefix.toDF("b", *place, "actor", "nb", "sb", "rb")
-    left = F.least(F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1, most_common("na", "nb", "sa", "sb"))
-    fit = (F.col("a") < F.col("b")) & (left * (1 + min_jaccard) > min_jaccard * (F.col("na") + F.col("nb")) - 1e-9)
-    pairs = x.join(y, [*place, "actor"]).filter(fit).select("a", "b").distinct()
-    sets = classes.select("first", "w")
-    pairs = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    links = pairs.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("jaccard")).filter(F.col("jaccard") > min_jaccard)
-    return rows.select("event_id", "s").join(classes.select("s", "first"), "s").select("event_id", "first"), links
+    members, classes = _classes(events)
+    return members, _alike(_meeting(classes, min_jaccard), min_jaccard)
 
 
 def merge_candidates(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
@@ -322,8 +369,16 @@ def merge_candidates(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
 
 
 def merge_groups(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
-    """K1: (event_id, into): the least event that an event with actors reaches. Only the classes' links are followed."""
-    members, links = merge_classes(events, min_jaccard)
+    """K1: (event_id, into): the least event that an event with actors reaches. Of the classes' links only enough are followed:
+    where sharing a key's actors is enough for a link, each class there is tied to the least one."""
+    members, classes = _classes(events)
+    meeting = _meeting(classes, min_jaccard)
+    here = Window.partitionBy("key", "p", "lo", "hi", "items")
+    sure = meeting.filter("sure").select("key", "p", "lo", "hi", "items", "n", "first").withColumns({
+        "least": F.min("first").over(here), "shortest": F.min("n").over(here), "longest": F.max("n").over(here)
+    })
+    ties = sure.filter("shortest = lo and longest = hi and first <> least").select(F.col("first").alias("a"), F.col("least").alias("b"))
+    links = ties.unionByName(_alike(meeting.filter("not sure"), min_jaccard).select("a", "b"))
     part = connected_components(links, "a", "b").toDF("first", "into")
     return members.join(part, "first", "left").select("event_id", F.coalesce("into", "first").alias("into"))
 

@@ -254,6 +254,31 @@ def test_page_links_of_large_pages():
     assert time.process_time() - began < 0.1  # the first 30 are enough
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8])
+def test_alike_sets_of_all_sizes_meet(spark, threshold):
+    rng = random.Random(7)
+    rows = [(k, "t", "x" if k % 3 else "y", rng.sample([f"a{i}" for i in range(9)], rng.randint(0, 7))) for k in range(150)]
+    long = [f"b{i}" for i in range(26)]
+    rows += [(200 + k, "t", "x", rng.sample(long, rng.randint(10, 26))) for k in range(40)] + [(300, "t", None, ["a1"]), (301, "t", None, ["a1"])]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, location string, actors array<string>")
+    first = {}
+    for e, _, place, w in rows:
+        if w:
+            first.setdefault((place, frozenset(w)), e)
+    sets = sorted((e, place, w) for (place, w), e in first.items())
+    want = {(a, b): len(v & w) / len(v | w) for a, p, v in sets for b, q, w in sets if a < b and p == q and p and len(v & w) / len(v | w) > threshold}
+    links = E.merge_classes(df, threshold)[1]
+    assert {(r.a, r.b): r.jaccard for r in links.collect()} == pytest.approx(want) and links.count() == len(want)
+    assert "Aggregate" not in links._jdf.queryExecution().optimizedPlan().toString()  # candidates aren't shuffled to be made distinct
+    groups = {r.event_id: r.into for r in E.merge_groups(df, threshold).collect()}
+    part = {e: e for e, _, _, w in rows if w}
+    links_of = [*want, *((first[p, frozenset(w)], e) for e, _, p, w in rows if w)]
+    for _ in rows:
+        for a, b in links_of:
+            part[a] = part[b] = min(part[a], part[b])
+    assert groups == part
+
+
 # ---- quotes and rates ----
 def test_quote_lines(spark):
     lines = [
