@@ -77,6 +77,14 @@ def test_two_key_dedup(spark):
     assert N.dedup_news(again).count() == again.count()
 
 
+def test_quality_checks_judge_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    out = D.quality_checks(docs, "en", 100)
+    filters = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("regexp" in x or "RLIKE" in x for x in filters)
+    assert {r.doc_id for r in out.collect()} == {1}
+
+
 def test_coverage_counts_urls_and_common_words_exactly(spark):
     rng = random.Random(5)
     rows = []
