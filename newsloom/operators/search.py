@@ -1,7 +1,7 @@
 """C14: a stored inverted index of titles and summaries, and its search.
 
 Documents get numbers in blocks of BLOCK neighbours. A row of the index is a block of a term's list: the term, the block,
-the highest score part in it, and its postings (document, frequency). The rows stand in term order, dealt by ranges of
+the highest score part in it, and its postings (place in the block, frequency, length of the document). The rows stand in term order, dealt by ranges of
 (term, block), so that a term of a third of all documents is spread over many files, and a term or a prefix is a range of
 Parquet row groups that the scan finds by their statistics. All lists are cut at the same documents, so that blocks of
 several terms are compared by their highest parts before any posting is read.
@@ -9,6 +9,12 @@ several terms are compared by their highest parts before any posting is read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +22,7 @@ from newsloom.functions.scratch import stored
 from newsloom.operators.events import tokens
 
 BLOCK = 128  # documents of a block; a power of two
+WORDS = 10_000_000  # of a partition of the term order: sorted in some hundred MB
 K1, B = 1.2, 0.75
 
 
@@ -23,24 +30,66 @@ def _part(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, id, _t) as the lists of each block: neighbours stand in one task, so that no shuffle brings them together."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (pa.concat_tables([rest, rows]) if rest else rows).combine_chunks()
+        block = rows["doc"].to_numpy() // BLOCK
+        starts = [0, *(np.flatnonzero(np.diff(block)) + 1)]
+        for start, end in pairwise(starts):
+            yield from _lists(rows.slice(start, end - start))
+        rest = rows.slice(starts[-1])  # its block may go on
+    if rest:
+        yield from _lists(rest)
+
+
+def _lists(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A block's documents (term null), and its terms in order with places, frequencies and lengths."""
+    doc, ids, texts = (rows[c].combine_chunks() for c in ("doc", "id", "_t"))
+    block, at = doc[0].as_py() // BLOCK, (doc.to_numpy() % BLOCK).astype(np.int16)
+    length = pc.list_value_length(texts).to_numpy().astype(np.int32)
+    names = ["block", "term", "at", "tf", "length", "id"]
+    lists = lambda values, starts: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values))
+    each, n = np.arange(len(at) + 1), len(at)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, block)), pa.nulls(n, pa.string()), lists(at, each), pa.nulls(n, pa.list_(pa.int32())), lists(length, each), ids], names
+    )
+    words = texts.flatten().dictionary_encode()
+    order = pc.sort_indices(words.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    key, tf = np.unique(rank[words.indices.to_numpy()] * BLOCK + np.repeat(at, length), return_counts=True)
+    starts, n = np.append(np.flatnonzero(np.diff(key // BLOCK, prepend=-1)), len(key)), len(order)
+    at_length = np.zeros(BLOCK, np.int32)
+    at_length[at] = length
+    at = (key % BLOCK).astype(np.int16)
+    yield pa.RecordBatch.from_arrays([
+        pa.array(np.full(n, block)), words.dictionary.take(pa.array(order)), lists(at, starts), lists(tf.astype(np.int32), starts),
+        lists(at_length[at], starts), pa.nulls(n, ids.type)
+    ], names)
+
+
 def build_index(corpus: DataFrame, path: str, id_col: str = "doc_id", texts: tuple[str, ...] = ("text",), blocks: int = 64) -> None:
     """Write the index of corpus (id_col, texts) under path: documents, postings and a line of totals.
 
-    A null text is empty; a document without words is counted, as any other. blocks: partitions of the term order.
+    A null text is empty; a document without words is counted, as any other. blocks: partitions of the term order, more from
+    WORDS words each on. Lists are made where the texts are read, and shuffled once, to the term order.
     """
-    text = F.concat_ws("\n", *texts)
-    rows = corpus.select(F.col(id_col).alias("id"), tokens(text).alias("_t")).withColumn("doc", F.monotonically_increasing_id())
-    rows.select("doc", "id", F.size("_t").alias("length"), "_t").write.mode("overwrite").parquet(f"{path}/documents")
-    spark = corpus.sparkSession
+    spark, kind = corpus.sparkSession, corpus.schema[id_col].dataType.simpleString()
+    rows = corpus.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("id"), tokens(F.concat_ws("\n", *texts)).alias("_t"))
+    rows = rows.mapInArrow(_listed, f"block long, term string, at array<short>, tf array<int>, length array<int>, id {kind}")
+    rows = stored(rows, "search-lists")
+    docs = rows.filter("term is null").select((F.col("block") * BLOCK + F.col("at")[0]).alias("doc"), "id", F.col("length")[0].alias("length"))
+    docs.write.mode("overwrite").parquet(f"{path}/documents")
     docs = spark.read.parquet(f"{path}/documents")
     docs.agg(F.count("*").alias("docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    mean = F.lit(spark.read.parquet(f"{path}/totals").first()["mean"])
-    own = docs.withColumn("block", F.shiftright("doc", BLOCK.bit_length() - 1)).repartition("block")  # the counts below stay in the task
-    counts = own.select("block", "doc", "length", F.explode("_t").alias("term")).groupBy("block", "doc", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-    part = _part(F.col("tf"), F.col("length"), mean)
-    lists = counts.groupBy("block", "term").agg(F.max(part).alias("top"), F.array_sort(F.collect_list(F.struct("doc", "tf", "length"))).alias("postings"))
-    lists = lists.select("term", "block", "top", F.size("postings").alias("m"), "postings")
-    lists.repartitionByRange(blocks, "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    totals = spark.read.parquet(f"{path}/totals").first()
+    lists = rows.filter("term is not null").drop("id").repartitionByRange(max(blocks, int(totals["docs"] * totals["mean"]) // WORDS), "term", "block")
+    top = F.array_max(F.zip_with("tf", "length", lambda tf, length: _part(tf, length, F.lit(totals["mean"]))))
+    lists = lists.sortWithinPartitions("term", "block").select("term", "block", top.alias("top"), F.size("at").alias("m"), "at", "tf", "length")
+    lists.write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def _matches(q: str) -> Column:
@@ -76,7 +125,7 @@ def search_index(spark: SparkSession, path: str, query: list[str | list[str]], l
     several = [k for k in range(len(asked)) if k not in alone]
     if several:
         of = hits.filter(F.col("group").isin(several)).groupBy("block", "group").agg(
-            F.sum("top").alias("top"), F.size(F.array_distinct(F.flatten(F.collect_list("postings.doc")))).cast("long").alias("m")
+            F.sum("top").alias("top"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("m")
         )
         heads = heads.unionByName(of) if alone else of
     heads = stored(heads, "search-heads")
@@ -89,8 +138,8 @@ def search_index(spark: SparkSession, path: str, query: list[str | list[str]], l
     bounds = stored(bounds.select("block", "bound"), "search-bounds")
 
     def scored(blocks: DataFrame) -> DataFrame:
-        rows = hits.join(blocks.select("block"), "block", "left_semi").select("group", F.inline("postings"))
-        rows = rows.groupBy("doc", "group", "length").agg(F.sum("tf").alias("tf"))
+        rows = hits.join(blocks.select("block"), "block", "left_semi").select("group", "block", F.inline(F.arrays_zip("at", "tf", "length")))
+        rows = rows.groupBy((F.col("block") * BLOCK + F.col("at")).alias("doc"), "group", "length").agg(F.sum("tf").alias("tf"))
         part = _part(F.col("tf"), F.col("length"), F.lit(totals["mean"])) * idf[F.col("group")]
         out = rows.groupBy("doc").agg(F.count("*").alias("k"), F.sum(part).alias("score")).filter(F.col("k") == len(asked))
         return out.select("doc", F.round("score", 6).alias("score"))

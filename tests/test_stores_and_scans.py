@@ -82,6 +82,35 @@ def test_search_reads_the_lists_of_its_terms(spark, indexed):
         assert "PushedFilters: [" in wanted._jdf.queryExecution().toString() and re.search("EqualTo|StringStartsWith", wanted._jdf.queryExecution().toString())
 
 
+def stages(spark):
+    """Stages of the session by number."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {found.apply(k).stageId(): found.apply(k) for k in range(found.size())}
+
+
+def test_index_shuffles_its_lists_once_and_no_texts(spark, tmp_path):
+    rnd, path = random.Random(5), str(tmp_path / "i")
+    texts = [(d, " ".join(f"w{int(rnd.paretovariate(0.6)) % 500}" for _ in range(rnd.randint(0, 20)))) for d in range(2000)]
+    df, before = spark.createDataFrame(texts, "doc_id long, text string").repartition(3).localCheckpoint(), max(stages(spark), default=-1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # blocks go over several batches
+    try:
+        search.build_index(df, path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    ran = [s for k, s in stages(spark).items() if k > before]
+    lists = spark.read.parquet(f"{path}/postings")
+    assert lists.count() == lists.select("term", "block").distinct().count()
+    assert lists.count() <= sum(s.shuffleWriteRecords() for s in ran) <= lists.count() + 100  # and rows of totals
+    assert sum(s.diskBytesSpilled() for s in ran) == 0
+    assert spark.read.parquet(f"{path}/documents").columns == ["doc", "id", "length"]
+    got = [(r.id, r.score) for r in search.search_index(spark, path, ["w1", "w2*"]).collect()]
+    want = ranked(texts, ["w1", "w2*"], 20)
+    assert [x[0] for x in got] == [x[0] for x in want] and [x[1] for x in got] == pytest.approx([x[1] for x in want], abs=2e-6)
+
+
 def test_search_falls_back_to_titles(spark, tmp_path):
     heads = [(1, "霍尔木兹海峡 Talks", "Hormuz", ["Strait of H"], 10), (2, "Oil", "hormuz strait", None, 90), (3, None, None, ["old HORMUZ news"], 50), (4, "x", "y", [], 99)]
     df = spark.createDataFrame(heads, "event_id int, display_title string, canonical_title string, aliases array<string>, risk int")
