@@ -22,6 +22,7 @@ from newsloom.functions.scratch import stored
 from newsloom.operators.events import tokens
 
 BLOCK = 128  # documents of a block; a power of two
+LONGEST = 2**28  # words of a document, below which a posting fits a long
 WORDS = 10_000_000  # of a partition of the term order: sorted in some hundred MB
 K1, B = 1.2, 0.75
 
@@ -50,6 +51,8 @@ def _lists(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     doc, ids, texts = (rows[c].combine_chunks() for c in ("doc", "id", "_t"))
     block, at = doc[0].as_py() // BLOCK, (doc.to_numpy() % BLOCK).astype(np.int16)
     length = pc.list_value_length(texts).to_numpy().astype(np.int32)
+    if length.max(initial=0) >= LONGEST:
+        raise ValueError(f"a document of {LONGEST} words or more")
     names = ["block", "term", "at", "tf", "length", "id"]
     lists = lambda values, starts: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values))
     each, n = np.arange(len(at) + 1), len(at)
@@ -86,9 +89,17 @@ def build_index(corpus: DataFrame, path: str, id_col: str = "doc_id", texts: tup
     docs = spark.read.parquet(f"{path}/documents")
     docs.agg(F.count("*").alias("docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
     totals = spark.read.parquet(f"{path}/totals").first()
-    lists = rows.filter("term is not null").drop("id").repartitionByRange(max(blocks, int(totals["docs"] * totals["mean"]) // WORDS), "term", "block")
+    # a posting is shuffled as one number: three arrays of one or two entries are mostly their headers
+    one = F.transform("at", lambda at, k: (F.get("tf", k).cast("long") * LONGEST + F.get("length", k)) * BLOCK + at)
+    lists = rows.filter("term is not null").select("term", "block", one.alias("one"))
+    lists = lists.repartitionByRange(max(blocks, int(totals["docs"] * totals["mean"]) // WORDS), "term", "block").sortWithinPartitions("term", "block")
+    lists = lists.select(
+        "term", "block", F.transform("one", lambda x: (x % BLOCK).cast("short")).alias("at"),
+        F.transform("one", lambda x: F.call_function("div", x, F.lit(BLOCK * LONGEST)).cast("int")).alias("tf"),
+        F.transform("one", lambda x: (F.call_function("div", x, F.lit(BLOCK)) % LONGEST).cast("int")).alias("length")
+    )
     top = F.array_max(F.zip_with("tf", "length", lambda tf, length: _part(tf, length, F.lit(totals["mean"]))))
-    lists = lists.sortWithinPartitions("term", "block").select("term", "block", top.alias("top"), F.size("at").alias("m"), "at", "tf", "length")
+    lists = lists.select("term", "block", top.alias("top"), F.size("at").alias("m"), "at", "tf", "length")
     lists.write.mode("overwrite").parquet(f"{path}/postings")
 
 
