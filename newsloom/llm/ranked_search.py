@@ -123,7 +123,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
     """The index of docs (doc_id, text), written to the shared folder: a row for each segment. Documents without terms are left out."""
     rows = docs.select("doc_id", "text")
     of = rows.mapInArrow(_cells, "docs long, tokens long").agg(F.sum("docs"), F.sum("tokens")).first()
-    return stored(rows.mapInArrow(_indexer(of[0] or 0, of[1] or 0, segment_words), INDEX), "treaps")
+    return stored(rows.mapInArrow(_indexer(of[0] or 0, of[1] or 0, segment_words), INDEX), "treaps", group_rows=1)
 
 
 class Treap:
@@ -138,13 +138,15 @@ class Treap:
         self.levels = len(row["sizes"]) - 1
         masks, tf = read("masks", np.uint8), read("tfs", np.uint8).astype(np.int64)
         tf[tf == 255] = read("wide", np.int64)
-        self.mask = np.concatenate([[0], masks]).astype(np.int64)
-        count = POPCOUNT[self.mask]
-        self.child = np.cumsum(count) - count + 2  # the root is cell 1
+        self.mask = np.concatenate([np.zeros(1, np.uint8), masks])
+        count = POPCOUNT.astype(np.uint8)[self.mask]
+        self.child = np.cumsum(count, dtype=np.int32 if len(count) < 2**29 else np.int64)
+        self.child += 2  # the root is cell 1
+        self.child -= count
         columns = self._columns(np.asarray(row["sizes"], np.int64))
         m = _length_part(read("lengths", np.int32).astype(np.int64), n_docs, n_tokens)
-        inner = read("maxima", np.uint16).astype(np.int64) * STEP
-        self.top = np.concatenate([[0, 0], inner, _impact(tf, m[columns])]) if self.levels else np.zeros(2, np.int64)
+        inner = read("maxima", np.uint16).astype(np.int32) * STEP
+        self.top = np.concatenate([np.zeros(2, np.int32), inner, _impact(tf, m[columns]).astype(np.int32)]) if self.levels else np.zeros(2, np.int32)
 
     def _columns(self, sizes: np.ndarray) -> np.ndarray:
         """The column of each leaf."""
@@ -178,7 +180,7 @@ class Treap:
                 some = np.ones(len(bound), bool)
             at, below = cell[some], level[some] - 1
             bit = (rows >> below[:, None]) & 1
-            mask, child = self.mask[at], self.child[at]
+            mask, child = self.mask[at].astype(np.int64), self.child[at]
             halves = []
             for side in (0, 1):
                 quarter = 2 * bit + side

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import regex
 import tiktoken
@@ -139,6 +140,14 @@ def test_ranked_search(spark, odd, none):  # noqa: F811
     assert ranked_search.ranked(odd.filter("text is null"), items).count() == 0
 
 
+def test_segments_are_read_one_by_one(spark):
+    """A row group holds one segment: a task that reads or writes many has one of them in memory."""
+    large = spark.range(0, 7, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('one two ', 150000)").alias("text"))
+    files = ranked_search.build_index(large, 5).inputFiles()
+    groups = [f.row_group(k).num_rows for f in (pq.read_metadata(x.removeprefix("file:")) for x in files) for k in range(f.num_row_groups)]
+    assert groups == [1] * 7
+
+
 BASE_ITEM = "One two THREE four sixteen"
 
 
