@@ -288,6 +288,7 @@ def rollup_clusters(events: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 LONGEST, CHOICES = 16, 64  # actors of sets that meet on several actors at once; most such choices for two sizes
+PART = 1000  # events of a class, about, that are paired at once
 
 
 def _choices(min_jaccard: float) -> list[tuple]:
@@ -368,6 +369,24 @@ def merge_candidates(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
     return links.unionByName(own)
 
 
+def merge_pairs(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
+    """K1: (a, b, jaccard) of all pairs of events, a < b, of one type and location whose actors are alike, those with the same
+    actors too. Made from classes and their links: where two classes are alike, or one has several events, all their events
+    are. Rows grow with the square of a class; a task holds parts of PART events, and no pair is shuffled."""
+    members, links = merge_classes(events.filter("event_type is not null and location is not null"), min_jaccard)
+    sizes = members.groupBy("first").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), (F.count("*") > 1).alias("several"))
+    part = F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int").alias("part")
+    ids = stored(members.join(sizes, "first").groupBy("first", "parts", "several", part).agg(F.collect_list("event_id").alias("ids")), "actor-parts")
+    classes = ids.select("first", "parts", "several").distinct()
+    own = classes.filter("several").select(F.col("first").alias("a"), F.col("first").alias("b"), F.lit(1.0).alias("jaccard"))
+    side = lambda x: ids.select(F.col("first").alias(x), F.col("part").alias(f"part_{x}"), F.col("ids").alias(f"ids_{x}"))
+    of_b = classes.select(F.col("first").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"))
+    both = links.unionByName(own).join(of_b, "b").join(side("a"), "a").join(side("b"), ["b", "part_b"]).filter("a <> b or part_a <= part_b")
+    one = both.select("a", "b", "part_a", "part_b", "ids_b", "jaccard", F.explode("ids_a").alias("x"))
+    one = one.select("a", "b", "part_a", "part_b", "jaccard", "x", F.explode("ids_b").alias("y")).filter("x < y or x > y and (a <> b or part_a < part_b)")
+    return one.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
 def merge_groups(events: DataFrame, min_jaccard: float = 0.6) -> DataFrame:
     """K1: (event_id, into): the least event that an event with actors reaches. Of the classes' links only enough are followed:
     where sharing a key's actors is enough for a link, each class there is tied to the least one."""

@@ -583,11 +583,9 @@ _ALIKE = """k1 AS (SELECT x.e AS a, y.e AS b, len(list_intersect(x.s, y.s)) / le
   WHERE len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::DOUBLE > 0.6)"""
 
 
-@query(f"""WITH {_ACTORS}, cl AS (SELECT loc, list_sort(s) AS w, min(e) AS first FROM ac GROUP BY 1, 2),
-j AS (SELECT x.first AS a, y.first AS b, len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w)))::DOUBLE AS jaccard FROM cl AS x JOIN cl AS y ON x.loc = y.loc AND x.first < y.first)
-SELECT * FROM j WHERE jaccard > 0.6 UNION ALL SELECT first, e, 1.0::DOUBLE FROM ac JOIN cl ON cl.loc = ac.loc AND cl.w = list_sort(ac.s) WHERE e <> first""")
+@query(f"WITH {_ACTORS}, {_ALIKE} SELECT * FROM k1")
 def k1_merge_candidates(spark, d):
-    return E.merge_candidates(_actors(spark, d))
+    return E.merge_pairs(_actors(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_ACTORS}, {_ALIKE}, h AS (SELECT o_orderkey AS event_id, o_orderstatus || CAST(o_orderkey % 3 AS VARCHAR) AS title, CAST(o_orderdate AS DATE) AS d, CAST(substr(o_orderpriority, 1, 1) AS INT) AS risk, 's' || CAST(o_custkey % 5 AS VARCHAR) AS source FROM orders),

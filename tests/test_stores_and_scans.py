@@ -256,6 +256,28 @@ def test_equal_actors_give_a_row_each(spark):
         assert {r.into for r in E.merge_groups(df).collect()} == {0}
 
 
+def test_every_pair_of_events_with_equal_or_alike_actors(spark, monkeypatch):
+    """Also those of copies, in parts of a class, and none of events without a place."""
+    rng = random.Random(4)
+    rows = [(k, "t", str(k % 2), rng.choice(["ab", "abc", "abcd", "bcde", "f", ""])) for k in range(90)] + [(100 + k, "t", None, "ab") for k in range(3)]
+    df = spark.createDataFrame([(e, t, loc, list(w)) for e, t, loc, w in rows], ALIKE)
+    share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = sorted((a, b, round(share(x, y), 9)) for a, _, la, x in rows for b, _, lb, y in rows if a < b and la == lb and la and x and y and share(x, y) > 0.6)
+    for part in (E.PART, 4):
+        monkeypatch.setattr(E, "PART", part)
+        assert sorted((r.a, r.b, round(r.jaccard, 9)) for r in E.merge_pairs(df).collect()) == want
+
+
+def test_merge_candidates_query_gives_every_pair(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().collect()
+    actors = {}
+    for order, supplier in lines:
+        actors.setdefault(order, set()).add(supplier % 40)
+    pairs = {(a, b) for a, x in actors.items() for b, y in actors.items() if a < b and a % 50 == b % 50 and len(x & y) / len(x | y) > 0.6}
+    got = [(r.a, r.b) for r in plans.queries()["k1_merge_candidates"](spark, sf).collect()]
+    assert len(got) == len(pairs) and set(got) == pairs
+
+
 # ---- pages ----
 def links(html, limit=30):
     return [tuple(x.values()) for x in scan._Links(html, limit).links]
