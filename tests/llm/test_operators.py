@@ -347,6 +347,56 @@ def test_token_counts_at_every_prefix(spark, odd):
     assert [table.prefix_tokens[k] for k in (9_999, 29_999)] == [size(("etaoin" * 5000)[: k + 1]) for k in (9_999, 29_999)]
 
 
+def test_token_counts_read_tables_of_all_prefixes(docs):
+    """What token_counts reads of a text has an entry for each character of a word, also beside the budget, with the library's count."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = [r.text for r in docs.filter("length(text) < 1500").orderBy("doc_id").limit(12).collect()] + ["", None, "one " * 3000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    tables = list(tokens._over(path, lambda ids, sizes, table: table)([batch]))
+    found = [(e, n) for ends, counts, first, *_ in tables for a, b in zip(first[:-1], first[1:], strict=True) for e, n in [(ends[a:b], counts[a:b])]]
+    for text, (ends, counts) in zip(texts, found, strict=True):
+        cuts = [k for k in range(1, len(text or "") + 1) if text[k - 1] not in " \t\n\v\f\r"]
+        assert ends.tolist() == [len(text[:k].encode()) for k in cuts]
+        some = range(0, len(cuts), 1 if len(cuts) < 1500 else 997)
+        want = tok.encode_batch_fast([text[: cuts[k]] for k in some], add_special_tokens=False)
+        assert [counts[k] for k in some] == [len(e.ids) for e in want]
+
+
+def test_words_counted_together_as_one_by_one(tmp_path):
+    """Repeats, runs of one letter, digits and signs, special strings, marks and long words; also without a mark for a word's end."""
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    from newsloom.llm.prefix_batch import BatchCounter
+    from newsloom.llm.prefix_bpe import PrefixCounter
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("etaoinshrdl'.,-!019é日한ßÉµ²½İ🙂\u0301\u00a0\x1c", k=rnd.randint(1, 20))) for _ in range(500)]
+    words += ["a<|endoftext|>b", "e" * 300, *("e" * k + "!" * k for k in range(1, 40)), *("ab" * k for k in range(1, 40))]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["end_of_word_suffix"] = None
+    (tmp_path / "own.json").write_text(json.dumps(spec), encoding="utf-8")
+    for own in (path, str(tmp_path / "own.json")):
+        tok = Tokenizer.from_file(own)
+        one = PrefixCounter(own, tok)
+        many = BatchCounter(one)
+        assert many.usable
+        sizes, counts = many.words([w.encode() for w in words])
+        assert sizes.tolist() == [len(w) for w in words]
+        prefixes = [w[:k] for w in words for k in range(1, len(w) + 1)]
+        assert counts.tolist() == [len(e.ids) for e in tok.encode_batch_fast(prefixes, add_special_tokens=False)] == [n for w in words for n in one.word(w)]
+        many.usable = False
+        assert many.words([b"it's", b"ab"])[1].tolist() == one.word("it's") + one.word("ab")
+
+
 def test_tokenizers_that_join_words_are_refused(odd):
     with pytest.raises(ValueError, match="may not be those of its words"):
         tokens.token_counts(odd, public_tokenizers.path("byte_bpe_50k.json"))
